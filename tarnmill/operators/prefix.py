@@ -11,6 +11,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_BUCKETS = 1024
 SAMPLES_PER_BUCKET = 20
@@ -21,8 +22,8 @@ def _bucket_count(df: DataFrame) -> int:
     return max(8, min(MAX_BUCKETS, partitions))
 
 
-def _literal(row) -> Column:
-    values = [F.lit(value) for value in row]
+def _literal(row, fields: list[T.StructField]) -> Column:
+    values = [F.lit(value).cast(field.dataType).alias(field.name) for value, field in zip(row, fields)]
     return values[0] if len(values) == 1 else F.struct(*values)
 
 
@@ -40,14 +41,14 @@ def _range_bounds(df: DataFrame, keys: list[str], buckets: int) -> list:
     return ordered[step::step][: buckets - 1]
 
 
-def _bucket_of(key: Column, bounds: list, low: int = 0) -> Column:
+def _bucket_of(key: Column, bounds: list, fields: list[T.StructField], low: int = 0) -> Column:
     """Number of bounds at or below the key, as a balanced comparison tree."""
     if not bounds:
         return F.lit(low)
     middle = len(bounds) // 2
-    return F.when(key < _literal(bounds[middle]), _bucket_of(key, bounds[:middle], low)).otherwise(
-        _bucket_of(key, bounds[middle + 1 :], low + middle + 1)
-    )
+    return F.when(
+        key < _literal(bounds[middle], fields), _bucket_of(key, bounds[:middle], fields, low)
+    ).otherwise(_bucket_of(key, bounds[middle + 1 :], fields, low + middle + 1))
 
 
 def running_total(
@@ -66,7 +67,7 @@ def running_total(
         bucket = F.substring(F.col(keys[0]), 1, 3)
     else:
         key = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
-        bucket = _bucket_of(key, _range_bounds(df, keys, _bucket_count(df)))
+        bucket = _bucket_of(key, _range_bounds(df, keys, _bucket_count(df)), df.select(*keys).schema.fields)
     values = {f"__value_{name}": value.cast("bigint") for name, value in totals.items()}
     tagged = df.withColumns({"__bucket": bucket, **values})
     sums = tagged.groupBy("__bucket").agg(*[F.sum(value).alias(value) for value in values])

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tarnmill.functions.tasks import row_function
 from tarnmill.markers import WORD_START, reserved_symbols
-from tarnmill.operators.subword import MAX_PIECE, UNKNOWN_PENALTY, best_path
+from tarnmill.operators.subword import MAX_PIECE, best_path
 from tarnmill.session import cut_lineage
 
 # Default size, seeds per final piece, rounds and share kept per pruning.
@@ -27,6 +27,8 @@ SEED_FACTOR = 4
 EM_ROUNDS = 2
 KEEP_SHARE = 0.75
 SEGMENT = 4096
+# Fixed value: scale that keeps word probabilities in the range of a double.
+NATS_PER_CHAR = 3.0
 
 
 def word_counts(files: DataFrame, lines: str = "lines", num_reserved: int = 0) -> DataFrame:
@@ -78,36 +80,33 @@ def seed_pieces(words: DataFrame, limit: int, max_piece: int = MAX_PIECE) -> Dat
     return counted.where(F.col("size") == 1).select("piece", "n").unionByName(longer.select("piece", "n"))
 
 
-def _log_add(a: float, b: float) -> float:
-    if a == -math.inf:
-        return b
-    high, low = (a, b) if a > b else (b, a)
-    return high + math.log1p(math.exp(low - high))
+def expected_counts(word: str, weights: Mapping[str, float], longest: int) -> dict[str, float]:
+    """Posterior count of each piece over all segmentations of a word (forward-backward).
 
-
-def expected_counts(word: str, scores: Mapping[str, float], floor: float) -> tuple[dict[str, float], float]:
-    """Posterior count of each piece over all segmentations of a word, and its likelihood."""
+    ``weights`` are piece probabilities scaled per character, so that products over a
+    word stay near one; a word for which they still leave the number range is cut in two.
+    """
     n = len(word)
+    ahead = [1.0] + [0.0] * n
     spans = []
     for end in range(1, n + 1):
-        for start in range(max(0, end - MAX_PIECE), end):
-            score = scores.get(word[start:end])
-            if score is None and end - start == 1:
-                score = floor - UNKNOWN_PENALTY
-            if score is not None:
-                spans.append((start, end, score))
-    ahead = [0.0] + [-math.inf] * n
-    for start, end, score in spans:
-        ahead[end] = _log_add(ahead[end], ahead[start] + score)
-    behind = [-math.inf] * n + [0.0]
-    for start, end, score in sorted(spans, key=lambda s: -s[1]):
-        behind[start] = _log_add(behind[start], behind[end] + score)
+        for start in range(max(0, end - longest), end):
+            weight = weights.get(word[start:end])
+            if weight is not None:
+                ahead[end] += ahead[start] * weight
+                spans.append((start, end, weight))
+    total = ahead[n]
+    if n > 1 and not 1e-280 < total < 1e280:
+        halves = [expected_counts(part, weights, longest) for part in (word[: n // 2], word[n // 2 :])]
+        return dict(sum(map(Counter, halves), Counter()))
+    behind = [0.0] * n + [1.0]
     counts: dict[str, float] = {}
-    for start, end, score in spans:
+    for start, end, weight in reversed(spans):
+        share = weight * behind[end]
+        behind[start] += share
         piece = word[start:end]
-        if piece in scores:
-            counts[piece] = counts.get(piece, 0.0) + math.exp(ahead[start] + score + behind[end] - ahead[n])
-    return counts, ahead[n]
+        counts[piece] = counts.get(piece, 0.0) + ahead[start] * share / total
+    return counts
 
 
 def _per_partition(measure):
@@ -142,7 +141,8 @@ def fit_vocabulary(
     removal costs least, until ``vocab_size`` is reached. Single characters always stay.
     """
     spark = words.sparkSession
-    words = cut_lineage(words)
+    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    words = cut_lineage(words.repartition(cores, "word"))
     wanted = vocab_size - len(reserved_symbols(num_reserved))
     seeds = seed_pieces(words, seed_factor * vocab_size).collect()
     total = sum(row["n"] for row in seeds)
@@ -160,9 +160,10 @@ def fit_vocabulary(
 
 
 def _maximise(words: DataFrame, scores: dict[str, float]) -> dict[str, float]:
-    sent = words.sparkSession.sparkContext.broadcast(scores)
-    floor = min(scores.values())
-    sums = _piece_sums(words, lambda word: expected_counts(word, sent.value, floor)[0]).collect()
+    scaled = {piece: math.exp(score + NATS_PER_CHAR * len(piece)) for piece, score in scores.items()}
+    sent = words.sparkSession.sparkContext.broadcast(scaled)
+    longest = max(map(len, scores))
+    sums = _piece_sums(words, lambda word: expected_counts(word, sent.value, longest)).collect()
     counts = {row["piece"]: row["c"] for row in sums if row["c"] >= 0.5}
     for piece in scores:
         if len(piece) == 1:
