@@ -120,6 +120,9 @@ def prediction_report(spark, sf):
 
 # ---------------------------------------------------------------- learners (no SQL)
 
+# few labelled rows need few hash buckets
+SMALL = {"num_features": 1 << 14, "max_iter": 20}
+
 
 def _labelled(spark, sf):
     """Cleaned labelled documents with three folds of training and validation rows."""
@@ -138,17 +141,17 @@ def word_vectors(spark, sf):
 
 @query("fold_predictions")
 def fold_predictions(spark, sf):
-    return classify.predict_folds(_labelled(spark, sf), {}, 3)
+    return classify.predict_folds(_labelled(spark, sf), SMALL, 3)
 
 
 @query("grid_results")
 def grid_results(spark, sf):
-    grid = {"word_ngrams": [1, 2], "reg": [0.001, 0.01], "max_iter": [20]}
+    grid = {"word_ngrams": [1, 2], "reg": [0.001, 0.01], "num_features": [1 << 14], "max_iter": [20]}
     return classify.grid_search(_labelled(spark, sf), 3, grid)
 
 
 @query("predicted_comments")
 def predicted_comments(spark, sf):
-    model = classify.fit_classifier(_labelled(spark, sf).where("fold = 0 AND part = 'train'"))
+    model = classify.fit_classifier(_labelled(spark, sf).where("fold = 0 AND part = 'train'"), SMALL)
     comments = s.files(spark, sf).select("file_id", F.posexplode("lines").alias("block_no", "text"))
     return classify.predict(model, comments).select("file_id", "block_no", "label", "prob")

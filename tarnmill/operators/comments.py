@@ -137,8 +137,12 @@ def file_comments(files: DataFrame) -> DataFrame:
 
 
 def comment_rows(files: DataFrame, *keep: str) -> DataFrame:
-    """One row per comment block: the kept file columns and the block's fields."""
-    return files.select(*keep, F.inline("blocks"))
+    """One row per comment block: the kept file columns and the block's fields.
+
+    The outer form keeps the optimizer from adding a filter on the array, which would
+    compute the blocks a second time.
+    """
+    return files.select(*keep, F.inline_outer("blocks")).where(F.col("block_no").isNotNull())
 
 
 def lex_failures(files: DataFrame, *keep: str) -> DataFrame:

@@ -102,3 +102,13 @@ def ids_to_pieces(df: DataFrame, vocab: DataFrame, column: str = "ids", out: str
 def decode_pieces(pieces: Column) -> Column:
     """Text of an array of pieces."""
     return F.trim(F.replace(F.array_join(pieces, ""), F.lit(WORD_START), F.lit(" ")))
+
+
+def decode_lines(pieces: Column, num_reserved: int = 0) -> Column:
+    """Lines of words of an array of pieces, with every reserved symbol as a word."""
+    symbols = reserved_symbols(num_reserved)
+    spaced = F.transform(
+        pieces, lambda p: F.when(p.isin(symbols), F.concat(F.lit(WORD_START), p, F.lit(WORD_START))).otherwise(p)
+    )
+    lines = F.split(F.replace(F.array_join(spaced, ""), F.lit(WORD_START), F.lit(" ")), END_LINE)
+    return F.transform(lines, lambda line: F.filter(F.split(line, " "), lambda word: word != ""))
