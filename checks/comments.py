@@ -36,7 +36,12 @@ def code_token_lines(spark, sf):
     return coded.select("file_id", F.size("code").alias("num_lines"), "code_error", F.md5(F.to_json("code")).alias("digest"))
 
 
-@query("restored_source")
+@query(
+    "restored_source",
+    f"""WITH {s.CODE}, shown AS (
+      SELECT file_id, line_no, array_to_string(CASE WHEN is_comment THEN ['#'] || toks[2:-2] ELSE toks END, ' ') AS line FROM code WHERE len(toks) > 0)
+    SELECT f.file_id, coalesce(string_agg(line, chr(10) ORDER BY line_no), '') AS source FROM files f LEFT JOIN shown s ON f.file_id = s.file_id GROUP BY f.file_id""",
+)
 def restored_source(spark, sf):
     lines = s.code_lines(spark, sf)
     return lines.select("file_id", lexing.untokenize(F.col("lines")).alias("source"))
@@ -96,10 +101,29 @@ def default_filtered_comments(spark, sf):
     return comments.comment_rows(kept, "file_id").select("file_id", "block_no", "text")
 
 
+# The word-splitting rules one by one, as the SQL applies them.
+_RULES = [
+    (r"([«“‘„»”’])", r" \1 "),
+    (r"([:,])([^0-9])", r" \1 \2"),
+    (r"([:,])$", r" \1 "),
+    (r"([;@#$%&])", r" \1 "),
+    (r"([?!])", r" \1 "),
+    (r"([*])", r" \1 "),
+    (r"([\]\[(){}<>])", r" \1 "),
+    (r"--", r" -- "),
+    (r"\b(can)(not)\b", r" \1 \2 "),
+    (r"\b(gim)(me)\b", r" \1 \2 "),
+    (r"\b(gon)(na)\b", r" \1 \2 "),
+    (r"\b(got)(ta)\b", r" \1 \2 "),
+    (r"\b(lem)(me)\b", r" \1 \2 "),
+    (r"\b(wan)(na)\b", r" \1 \2 "),
+]
+
+
 def _cleaned_sql(deleted: str, shown: str) -> str:
     spaced = f"translate(lower(text), $q${deleted}$q$, '')"
-    for pattern, replacement in text.TREEBANK_RULES:
-        spaced = f"regexp_replace({spaced}, $q${pattern}$q$, '{replacement.replace('$1', chr(92) + '1').replace('$2', chr(92) + '2')}', 'g')"
+    for pattern, replacement in _RULES:
+        spaced = f"regexp_replace({spaced}, $q${pattern}$q$, '{replacement}', 'g')"
     return f"SELECT doc_id AS file_id, array_to_string(list_filter(regexp_split_to_array({spaced}, '\\s+'), lambda w: w <> ''), ' ') AS {shown} FROM documents"
 
 

@@ -59,7 +59,7 @@ def _meta(spark, sf):
 
 def _unique(spark, sf):
     # hashing reads whole texts, so its small result is kept for all later readers
-    return dedup.unique_files(cut_lineage(_meta(spark, sf)))
+    return cut_lineage(dedup.unique_files(_meta(spark, sf)))
 
 
 def _assigned(spark, sf):
@@ -221,20 +221,25 @@ SELECT block_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY place) AS input_id
 WHERE place < kept - kept % 512 GROUP BY block_id"""
 
 
+def _stored_ids(spark, sf):
+    """The id data set is a stored table between stages; packing reads it twice."""
+    return cut_lineage(_ids(spark, sf).select("file_id", "ids"))
+
+
 def _packed(blocks):
     return blocks.select("block_id", s.text_of("input_ids").alias("input_ids"))
 
 
 @query("packed_blocks", f"WITH {s.IDS}" + _PACK.format(order="file_id", fraction="1.0"))
 def packed_blocks(spark, sf):
-    return _packed(packing.pack_blocks(_ids(spark, sf)))
+    return _packed(packing.pack_blocks(_stored_ids(spark, sf)))
 
 
 @query("packed_fraction", f"WITH {s.IDS}" + _PACK.format(order="file_id", fraction="0.37"))
 def packed_fraction(spark, sf):
-    return _packed(packing.pack_blocks(_ids(spark, sf), fraction=0.37))
+    return _packed(packing.pack_blocks(_stored_ids(spark, sf), fraction=0.37))
 
 
 @query("packed_epoch", f"WITH {s.IDS}" + _PACK.format(order="md5('RANDOMSEED:2:' || file_id), file_id", fraction="1.0"))
 def packed_epoch(spark, sf):
-    return _packed(packing.pack_blocks(_ids(spark, sf), epoch=2))
+    return _packed(packing.pack_blocks(_stored_ids(spark, sf), epoch=2))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import standins as s
 from tarnmill.operators import sequences
+from tarnmill.session import cut_lineage
 
 
 QUERIES, ORACLES, query = s.registry()
@@ -165,7 +166,8 @@ def _batch_sql(left: bool) -> str:
 
 
 def _batches(spark, sf, left: bool):
-    labelled = sequences.with_labels(_examples(spark, sf))
+    # the examples are a stored table between stages; batching reads it twice
+    labelled = sequences.with_labels(cut_lineage(_examples(spark, sf)))
     batches = sequences.padded_batches(labelled, ["file_id", "comment_no"], 16, pad_left=left)
     arrays = ["input_ids", "labels", "attention_mask"]
     return batches.select("batch_id", "row", "file_id", "comment_no", *[s.text_of(a).alias(a) for a in arrays])

@@ -11,7 +11,7 @@ from tarnmill.markers import BEGIN_COMMENT, DEDENT, END_COMMENT, INDENT, reserve
 from tarnmill.operators.prefix import with_position
 from tarnmill.operators.sequences import comment_pairs
 from tarnmill.operators.tokens import frame_files, reserved_table
-from tarnmill.session import checkpoint_dir, spread
+from tarnmill.session import checkpoint_dir, cut_lineage, spread
 
 
 
@@ -103,7 +103,8 @@ def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
         .where("n >= 3")
         .withColumn("rarity", -F.col("n"))
     )
-    numbered = with_position(counted, ["rarity", "piece"])
+    # a table of distinct words, read several times below
+    numbered = with_position(cut_lineage(counted), ["rarity", "piece"])
     learned = numbered.select("piece", (F.col("position") + len(reserved_symbols())).cast("int").alias("id"))
     return reserved_table(spark).unionByName(learned)
 
@@ -184,7 +185,7 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 def conversation_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """An assistant turn as prediction, the next assistant turn as target."""
     turns = (
-        table(spark, sf, "conversations")
+        table(spark, sf, "conversations", "conv_id", "turn")
         .where(F.col("role") == "assistant")
         .select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     )

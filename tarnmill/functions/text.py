@@ -13,24 +13,11 @@ COMMENT_EDGE = "#\n "
 CLASSIFIER_DELETED = ".()[]`\"'"
 VECTOR_DELETED = ".-()[]`\"'#"
 
-# Published Treebank word-splitting rules that can still match once
-# periods, quotes and brackets are gone. Pattern and replacement, in order.
-TREEBANK_RULES = [
-    (r"([«“‘„»”’])", r" $1 "),
-    (r"([:,])([^0-9])", r" $1 $2"),
-    (r"([:,])$", r" $1 "),
-    (r"([;@#$%&])", r" $1 "),
-    (r"([?!])", r" $1 "),
-    (r"([*])", r" $1 "),
-    (r"([\]\[(){}<>])", r" $1 "),
-    (r"--", r" -- "),
-    (r"\b(can)(not)\b", r" $1 $2 "),
-    (r"\b(gim)(me)\b", r" $1 $2 "),
-    (r"\b(gon)(na)\b", r" $1 $2 "),
-    (r"\b(got)(ta)\b", r" $1 $2 "),
-    (r"\b(lem)(me)\b", r" $1 $2 "),
-    (r"\b(wan)(na)\b", r" $1 $2 "),
-]
+# The published Treebank word-splitting rules that can still match once
+# periods, quotes and brackets are gone: characters that are words of their own, and
+# contractions that split in two.
+SINGLE_CHARS = "«“‘„»”’;@#$%&?!*][(){}<>"
+CONTRACTIONS = ["can not", "gim me", "gon na", "got ta", "lem me", "wan na"]
 
 
 def comment_lines(lines: Column, srow: Column, erow: Column) -> Column:
@@ -53,10 +40,15 @@ def delete_chars(text: Column, chars: str) -> Column:
 
 def treebank_words(text: Column) -> Column:
     """Split into words by the Treebank rules (for text already freed of periods,
-    quotes and brackets, where sentence boundaries no longer matter)."""
-    spaced = text
-    for pattern, replacement in TREEBANK_RULES:
-        spaced = F.regexp_replace(spaced, pattern, replacement)
+    quotes and brackets, where sentence boundaries no longer matter). Colons and commas
+    stay inside numbers, double dashes are words."""
+    singles = "[" + "".join("\\" + c for c in SINGLE_CHARS) + "]"
+    halves = [pair.split(" ") for pair in CONTRACTIONS]
+    first_half = "|".join(rf"{a}(?={b}\b)" for a, b in halves)
+    spaced = F.regexp_replace(text, f"({singles})", " $1 ")
+    spaced = F.regexp_replace(spaced, r"([:,])([^0-9])|([:,])$", " $1$3 $2")
+    spaced = F.regexp_replace(spaced, "--", " -- ")
+    spaced = F.regexp_replace(spaced, rf"\b({first_half})", "$1 ")
     return F.filter(F.split(spaced, r"\s+"), lambda word: word != "")
 
 

@@ -64,25 +64,20 @@ def assign_repos(repos: DataFrame, budgets: DataFrame, seed: str = SEED) -> Data
     Repositories are taken in shuffled order while the lines taken so far do not
     exceed the budget, so a split can overshoot by one repository and an empty budget
     still takes one. With ``before`` as the lines of all earlier repositories, that
-    is a comparison against the budget plus the lines of the finished splits, and
-    these are one-row aggregates.
+    is a comparison against the budget plus the lines of the finished splits. The
+    repository table is kept once; only the three budgets and two sums reach the driver.
     """
     keyed = repos.withColumn("order_key", shuffle_key(F.col("repo"), seed))
-    placed = running_total(keyed, ["order_key", "repo"], {"before": F.col("num_lines")}, hex_key=True)
-    # one row per repository, read once per split below
-    ordered = cut_lineage(placed)
-
-    taken = F.lit(0).cast("bigint")
+    ordered = cut_lineage(
+        running_total(keyed, ["order_key", "repo"], {"before": F.col("num_lines")}, hex_key=True)
+    )
     split = F.when(F.lit(False), F.lit(""))
-    left = F.lit(True)
-    for name, budget in zip(SPLITS, ["exclude_lines", "test_lines", "train_lines"]):
-        limit = taken + budgets.select(budget).scalar()
-        fits = left & (F.col("before") <= limit)
-        split = split.when(fits, F.lit(name))
-        left = F.col("before") > limit
-        if name != "train":
-            reached = ordered.where(F.col("before") <= limit)
-            taken = reached.agg(F.coalesce(F.sum("num_lines"), F.lit(0)).alias("n")).scalar()
+    taken = 0
+    for name, budget in zip(SPLITS, budgets.select("exclude_lines", "test_lines", "train_lines").first()):
+        within = F.col("before") <= taken + (budget or 0)
+        split = split.when(within, F.lit(name))
+        if name != SPLITS[2]:
+            taken = ordered.where(within).agg(F.coalesce(F.sum("num_lines"), F.lit(0))).first()[0]
     return ordered.withColumn("split", split.otherwise(F.lit(SPLITS[3]))).drop("before")
 
 

@@ -51,10 +51,12 @@ def _list_lookup(keys: pa.Array, values: pa.Array, missing) -> object:
     return F.arrow_udf(run, T.ArrayType(item)).asNondeterministic()
 
 
-def _sent_pieces(vocab: DataFrame) -> list | None:
-    """Rows of a vocabulary small enough to send, otherwise None."""
-    rows = vocab.select("piece", "id").limit(MAX_SENT_PIECES + 1).collect()
-    return rows if len(rows) <= MAX_SENT_PIECES else None
+def _sent_pieces(vocab: DataFrame) -> tuple[pa.Array, pa.Array] | None:
+    """Pieces and ids of a vocabulary small enough to send, otherwise None."""
+    rows = vocab.select("piece", F.col("id").cast("int")).limit(MAX_SENT_PIECES + 1).toArrow()
+    if rows.num_rows > MAX_SENT_PIECES:
+        return None
+    return rows["piece"].combine_chunks().cast(pa.string()), rows["id"].combine_chunks()
 
 
 def _map_by_join(df: DataFrame, column: str, out: str, table: DataFrame, key: str, value: str, missing) -> DataFrame:
@@ -81,21 +83,19 @@ def _map_by_join(df: DataFrame, column: str, out: str, table: DataFrame, key: st
 def pieces_to_ids(df: DataFrame, vocab: DataFrame, column: str = "tokens", out: str = "ids") -> DataFrame:
     """Add the ids of an array of pieces; unknown pieces get the unknown id."""
     unknown = CONTROL_IDS[UNKNOWN]
-    rows = _sent_pieces(vocab)
-    if rows is None:
+    sent = _sent_pieces(vocab)
+    if sent is None:
         return _map_by_join(df, column, out, vocab, "piece", "id", unknown)
-    pieces = pa.array([r["piece"] for r in rows], pa.string())
-    ids = pa.array([r["id"] for r in rows], pa.int32())
+    pieces, ids = sent
     return df.withColumn(out, _list_lookup(pieces, ids, unknown)(F.col(column)))
 
 
 def ids_to_pieces(df: DataFrame, vocab: DataFrame, column: str = "ids", out: str = "tokens") -> DataFrame:
     """Add the pieces of an array of ids; ids outside the vocabulary become unknown."""
-    rows = _sent_pieces(vocab)
-    if rows is None:
+    sent = _sent_pieces(vocab)
+    if sent is None:
         return _map_by_join(df, column, out, vocab, "id", "piece", UNKNOWN)
-    pieces = pa.array([r["piece"] for r in rows], pa.string())
-    ids = pa.array([r["id"] for r in rows], pa.int32())
+    pieces, ids = sent
     return df.withColumn(out, _list_lookup(ids, pieces, UNKNOWN)(F.col(column)))
 
 
