@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+# Python objects are made for this many rows at a time, whatever the batch size.
+ROWS_AT_ONCE = 64
+
 
 def row_function(result: T.DataType, prepare: Callable[[], Callable[..., Any]]) -> Callable:
     """An Arrow function that calls ``prepare()`` once per task and the function it
@@ -22,8 +25,9 @@ def row_function(result: T.DataType, prepare: Callable[[], Callable[..., Any]])
         each_row = prepare()
         for batch in batches:
             columns = batch if isinstance(batch, tuple) else (batch,)
-            rows = zip(*[column.to_pylist() for column in columns])
-            yield pa.array([each_row(*row) for row in rows], arrow_type)
+            for start in range(0, len(columns[0]), ROWS_AT_ONCE):
+                part = [column.slice(start, ROWS_AT_ONCE).to_pylist() for column in columns]
+                yield pa.array([each_row(*row) for row in zip(*part)], arrow_type)
 
     def declare(width: int):
         def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -21,8 +21,10 @@ from tarnmill.markers import WORD_START, reserved_symbols
 from tarnmill.operators.subword import MAX_PIECE, best_path
 from tarnmill.session import cut_lineage
 
-# Default size, seeds per final piece, rounds and share kept per pruning.
+# Default size and sample limit, seeds per final piece, rounds and share
+# kept per pruning.
 VOCAB_SIZE = 50000
+MAX_LINES = 40_000_000
 SEED_FACTOR = 4
 EM_ROUNDS = 2
 KEEP_SHARE = 0.75
@@ -31,6 +33,17 @@ SEGMENT = 4096
 NATS_PER_CHAR = 3.0
 
 
+def sampled_lines(files: DataFrame, max_lines: int, lines: str = "lines") -> DataFrame:
+    """A uniform sample of about ``max_lines`` lines, for a trainer with a sample limit;
+    all lines when there are fewer. The choice depends on the line and its place only."""
+    total = files.agg(F.coalesce(F.sum(F.size(lines)), F.lit(0))).first()[0]
+    if total <= max_lines:
+        return files
+    share = int(max_lines / total * (1 << 32))
+    chosen = F.filter(lines, lambda line, i: F.pmod(F.xxhash64(line, i), F.lit(1 << 32)) < share)
+    return files.withColumn(lines, chosen)
+
+
 def word_counts(files: DataFrame, lines: str = "lines", num_reserved: int = 0) -> DataFrame:
     """``word, n`` over all lines; words carry the word mark, reserved symbols are left out."""
     words = files.select(F.explode(lines).alias("line")).select(F.explode(F.split("line", r"\s+")).alias("w"))

@@ -66,8 +66,16 @@ class CorpusBuild:
         write_splits(splits.split_files(unique, assigned), self._path("splits"))
         return tokenised.sparkSession.read.parquet(self._path("splits"))
 
-    def vocabulary(self, tokenised: DataFrame, vocab_size: int = vocab.VOCAB_SIZE, num_reserved: int = 0) -> DataFrame:
+    def vocabulary(
+        self,
+        tokenised: DataFrame,
+        vocab_size: int = vocab.VOCAB_SIZE,
+        num_reserved: int = 0,
+        max_lines: int = vocab.MAX_LINES,
+    ) -> DataFrame:
+        """``piece, id, score`` from all lines, or a sample of about ``max_lines``."""
         lines = tokenised.select(F.transform("code", lambda line: F.array_join(line, " ")).alias("lines"))
+        lines = vocab.sampled_lines(lines, max_lines)
         return self._store("vocabulary", vocab.fit_vocabulary(vocab.word_counts(lines), vocab_size, num_reserved))
 
     def token_dataset(self, tokenised: DataFrame, vocabulary: DataFrame, split: str) -> DataFrame:

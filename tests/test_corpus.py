@@ -223,3 +223,10 @@ def test_seed_limit_keeps_the_best(spark):
     best = everything.orderBy(F.desc(F.col("n") * F.length("piece")), "piece").limit(20)
     limited = vocab.seed_pieces(words, 20).where(F.length("piece") > 1)
     assert {r["piece"] for r in limited.collect()} == {r["piece"] for r in best.collect()}
+
+
+def test_sampled_lines(spark):
+    files = spark.createDataFrame([(i, [f"line {i} {k}" for k in range(100)]) for i in range(50)], "i int, lines array<string>")
+    count = F.sum(F.size("lines"))
+    assert vocab.sampled_lines(files, 5000).agg(count).first()[0] == 5000
+    assert 800 < vocab.sampled_lines(files, 1000).agg(count).first()[0] < 1200
