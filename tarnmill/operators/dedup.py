@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from hashlib import md5
 
@@ -14,29 +15,61 @@ from tarnmill.functions.tasks import row_function
 
 # Gram width of the similarity hash and the characters it leaves out.
 GRAM_WIDTH = 4
-NOT_WORD = r"[^\p{L}\p{N}_]+"
+NOT_WORD = re.compile(r"\W+")
 
 MEMO_GRAMS = 1 << 18
 _BIT_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 
 
-def _vote(text: str, memo: dict[str, int]) -> int:
+def _low_digest(gram: str) -> int:
+    return int.from_bytes(md5(gram.encode()).digest()[8:], "big")
+
+
+class _Digests:
+    """Digests of packed grams already seen by this task, sorted by gram."""
+
+    def __init__(self):
+        self.grams = np.zeros(1, np.uint64)
+        self.digests = np.zeros(1, np.uint64)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        if len(self.grams) > MEMO_GRAMS:
+            self.__init__()
+        place = np.searchsorted(self.grams, grams)
+        missing = self.grams[np.minimum(place, len(self.grams) - 1)] != grams
+        if missing.any():
+            unseen = grams[missing]
+            letters = unseen.astype(">u8").tobytes().decode("utf-16-be")
+            fresh = [_low_digest(letters[i : i + GRAM_WIDTH]) for i in range(0, len(letters), GRAM_WIDTH)]
+            self.digests = np.insert(self.digests, place[missing], np.array(fresh, np.uint64))
+            self.grams = np.insert(self.grams, place[missing], unseen)
+            place = np.searchsorted(self.grams, grams)
+        return self.digests[place]
+
+
+def _weighted_digests(text: str, memo: _Digests) -> tuple[np.ndarray, np.ndarray]:
+    """Digest and count of every distinct gram."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if len(codes) < GRAM_WIDTH or codes.max() > 0xFFFF or ((codes >= 0xD800) & (codes < 0xE000)).any():
+        grams = Counter(text[i : i + GRAM_WIDTH] for i in range(max(len(text) - GRAM_WIDTH + 1, 1)))
+        return np.array([_low_digest(g) for g in grams], np.uint64), np.array([*grams.values()])
+    # four 16-bit characters pack into one integer
+    packed = codes[:-3] << np.uint64(48) | codes[1:-2] << np.uint64(32) | codes[2:-1] << np.uint64(16) | codes[3:]
+    grams, counts = np.unique(packed, return_counts=True)
+    return memo.of(grams), counts
+
+
+def _vote(text: str, memo: _Digests) -> int:
     """Weighted bit vote over the grams of one file, as a signed 64-bit pattern."""
-    shifted = [text[k:] for k in range(GRAM_WIDTH)]
-    grams = Counter(map("".join, zip(*shifted))) if shifted[-1] else Counter([text])
-    if len(memo) > MEMO_GRAMS:
-        memo.clear()
-    for gram in [g for g in grams if g not in memo]:
-        memo[gram] = int.from_bytes(md5(gram.encode()).digest()[8:], "big")
-    hashes = np.fromiter(map(memo.__getitem__, grams), ">u8", len(grams)).view(np.uint8).reshape(-1, 8)
-    counts = np.fromiter(grams.values(), np.float64, len(grams))
-    ones = [np.bincount(hashes[:, k], counts, 256) @ _BIT_OF_BYTE for k in range(8)]
+    digests, counts = _weighted_digests(NOT_WORD.sub("", text.lower()), memo)
+    octets = digests.astype(">u8").view(np.uint8).reshape(-1, 8)
+    ones = [np.bincount(octets[:, k], counts, 256) @ _BIT_OF_BYTE for k in range(8)]
     majority = np.packbits(2 * np.concatenate(ones) > counts.sum())
     return int.from_bytes(majority.tobytes(), "big", signed=True)
 
 
 def _voter():
-    memo: dict[str, int] = {}
+    memo = _Digests()
     return lambda text: None if text is None else _vote(text, memo)
 
 
@@ -49,10 +82,10 @@ def simhash(text: Column) -> Column:
     Overlapping four-character grams of the lower-cased word characters vote on each
     bit with the low half of their MD5 digest; a bit is set when more than half of the
     grams have it. Runs inside each row, so it needs no shuffle. Counting distinct
-    grams first and remembering digests per task is about three times faster than exploding the
-    grams into rows and hashing each with built-in functions (see README).
+    grams first and remembering digests per task is several times faster than exploding
+    the grams into rows and hashing each with built-in functions (see README).
     """
-    return _simhash(F.regexp_replace(F.lower(text), NOT_WORD, ""))
+    return _simhash(text)
 
 
 def unique_files(meta: DataFrame, key: str = "file_id") -> DataFrame:
