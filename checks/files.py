@@ -114,15 +114,15 @@ def upserted_repos(spark, sf):
 
 
 _MERGED = f"""WITH {s.REPOS},
-old AS (SELECT url, arg_max(stars, seq) AS stars FROM repos WHERE seq % 2 = 0 GROUP BY url),
-new AS (SELECT url, arg_max(stars, seq) AS stars FROM repos WHERE seq % 2 = 1 GROUP BY url),
+old AS (SELECT url, arg_max(stars, seq) AS stars FROM repos WHERE NOT secure GROUP BY url),
+new AS (SELECT url, arg_max(stars, seq) AS stars FROM repos WHERE secure GROUP BY url),
 merged AS (SELECT coalesce(new.url, old.url) AS url, coalesce(new.stars, old.stars) AS stars FROM old FULL JOIN new ON old.url = new.url)"""
 
 
 def _merged(spark, sf):
+    """Pages without TLS as the existing catalog, those with it as the later crawl."""
     items = s.repos(spark, sf)
-    old = catalog.upsert_repos(items.where("seq % 2 = 0"))
-    return catalog.merge_catalogs(old, items.where("seq % 2 = 1"))
+    return catalog.merge_catalogs(catalog.upsert_repos(items.where("NOT secure")), items.where("secure"))
 
 
 @query("merged_catalog", f"{_MERGED} SELECT url, stars FROM merged")

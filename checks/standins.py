@@ -146,6 +146,7 @@ def repos(spark: SparkSession, sf: str) -> DataFrame:
         F.concat_ws("/", F.lit("https:"), F.lit(""), F.lit("code.example"), F.get(F.split(host, r"\."), F.lit(0)), host).alias("url"),
         F.length("html").cast("bigint").alias("stars"),
         F.col("page_id").alias("seq"),
+        F.col("url").startswith("https:").alias("secure"),
     )
 
 
@@ -286,7 +287,7 @@ blocks AS (
 
 REPOS = """repos AS (
   SELECT 'https://code.example/' || string_split(string_split(url, '/')[3], '.')[1] || '/' || string_split(url, '/')[3] AS url,
-         length(html) AS stars, page_id AS seq FROM pages)"""
+         length(html) AS stars, page_id AS seq, url LIKE 'https:%' AS secure FROM pages)"""
 
 PREDICTIONS = """scores AS (
   SELECT d.doc_id, source, text, quality, CAST(n_chars * 7 % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS score

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 MAX_BUCKETS = 1024
 SAMPLES_PER_BUCKET = 20
+SMALL_BUCKET = 1000
 
 
 def _bucket_count(df: DataFrame) -> int:
@@ -22,33 +23,39 @@ def _bucket_count(df: DataFrame) -> int:
     return max(8, min(MAX_BUCKETS, partitions))
 
 
-def _literal(row, fields: list[T.StructField]) -> Column:
-    values = [F.lit(value).cast(field.dataType).alias(field.name) for value, field in zip(row, fields)]
-    return values[0] if len(values) == 1 else F.struct(*values)
+def _literal(row: tuple, fields: list[T.StructField]) -> str:
+    """SQL text of a key; strings in hexadecimal, so that no character needs quoting."""
+
+    def one(value, kind: T.DataType) -> str:
+        if isinstance(kind, T.StringType):
+            return f"CAST(X'{value.encode().hex()}' AS STRING)"
+        return f"CAST('{value}' AS {kind.simpleString()})"
+
+    values = [f"{one(value, field.dataType)} AS `{field.name}`" for value, field in zip(row, fields)]
+    return f"struct({', '.join(values)})"
 
 
 def _range_bounds(df: DataFrame, keys: list[str], buckets: int) -> list:
     """At most ``buckets - 1`` split points. The keys with the smallest hashes are a
-    uniform sample of fixed size; it only balances the buckets, rows are all kept."""
-    sample = (
-        df.select(*keys)
-        .orderBy(F.xxhash64(*keys))
-        .limit(buckets * SAMPLES_PER_BUCKET)
-        .collect()
-    )
+    uniform sample of fixed size; it only balances the buckets, rows are all kept. A
+    table that the sample holds completely needs few buckets or one."""
+    wanted = buckets * SAMPLES_PER_BUCKET
+    sample = df.select(*keys).orderBy(F.xxhash64(*keys)).limit(wanted).collect()
     ordered = sorted(tuple(row) for row in sample)
+    if len(ordered) < wanted:
+        buckets = min(buckets, len(ordered) // SMALL_BUCKET + 1)
     step = max(1, len(ordered) // buckets)
     return ordered[step::step][: buckets - 1]
 
 
-def _bucket_of(key: Column, bounds: list, fields: list[T.StructField], low: int = 0) -> Column:
-    """Number of bounds at or below the key, as a balanced comparison tree."""
+def _bucket_of(key: str, bounds: list, fields: list[T.StructField], low: int = 0) -> str:
+    """Number of bounds at or below the key, as SQL text of a balanced comparison tree."""
     if not bounds:
-        return F.lit(low)
+        return str(low)
     middle = len(bounds) // 2
-    return F.when(
-        key < _literal(bounds[middle], fields), _bucket_of(key, bounds[:middle], fields, low)
-    ).otherwise(_bucket_of(key, bounds[middle + 1 :], fields, low + middle + 1))
+    below = _bucket_of(key, bounds[:middle], fields, low)
+    above = _bucket_of(key, bounds[middle + 1 :], fields, low + middle + 1)
+    return f"CASE WHEN {key} < {_literal(bounds[middle], fields)} THEN {below} ELSE {above} END"
 
 
 def running_total(
@@ -60,14 +67,16 @@ def running_total(
     """Add, for each entry ``name: value``, the sum of ``value`` over all rows with a
     smaller key.
 
-    ``keys`` must be unique and not NULL. ``hex_key`` says that the first key is a
+    ``keys`` must be unique and not NULL. ``df`` is read for the bounds, the bucket sums
+    and the rows, so costly input is best stored first. ``hex_key`` says that the first key is a
     hexadecimal digest, whose leading digits are even buckets without sampling.
     """
     if hex_key:
         bucket = F.substring(F.col(keys[0]), 1, 3)
     else:
-        key = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
-        bucket = _bucket_of(key, _range_bounds(df, keys, _bucket_count(df)), df.select(*keys).schema.fields)
+        fields = df.select(*keys).schema.fields
+        key = f"struct({', '.join(f'`{name}`' for name in keys)})"
+        bucket = F.expr(_bucket_of(key, _range_bounds(df, keys, _bucket_count(df)), fields))
     values = {f"__value_{name}": value.cast("bigint") for name, value in totals.items()}
     tagged = df.withColumns({"__bucket": bucket, **values})
     sums = tagged.groupBy("__bucket").agg(*[F.sum(value).alias(value) for value in values])

@@ -30,19 +30,21 @@ class CorpusBuild:
         return df.sparkSession.read.parquet(self._path(name))
 
     def comments(self, files: DataFrame, keep: Callable | None = None) -> DataFrame:
-        """``file_id, repo, blocks`` of files with comments (``file_id, repo, text`` in)."""
+        """``file_id, repo, text, blocks`` of files with comments (``file_id, repo, text``
+        in). The text stays with its comments: sources are read once, and later stages
+        that do not need it do not read the column."""
         found = comments.filter_blocks(comments.comment_blocks(lexing.lex_files(files)), keep)
-        return self._store("comments", found.where(F.size("blocks") > 0).select("file_id", "repo", "blocks"))
+        kept = found.select("file_id", "repo", "text", "blocks")
+        return self._store("comments", kept.where(F.size("blocks") > 0))
 
     def classified(self, commented: DataFrame, model: PipelineModel) -> DataFrame:
         """One scored row per comment."""
         rows = comments.comment_rows(commented, "file_id", "repo")
         return self._store("classified", classify.predict(model, rows).drop("lines"))
 
-    def selected(self, files: DataFrame, commented: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
+    def selected(self, commented: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
         """Files with at least one suitable comment, with text and comment blocks."""
-        suitable = classify.suitable_files(commented.select("file_id", "blocks"), scored, threshold)
-        return self._store("selected", files.join(suitable, "file_id"))
+        return self._store("selected", classify.suitable_files(commented, scored, threshold))
 
     def tokenised(self, selected: DataFrame) -> DataFrame:
         """``file_id, repo, code, hash, num_lines, positions, num_comments``."""
@@ -110,7 +112,7 @@ def build_corpus(
     build = CorpusBuild(folder)
     commented = build.comments(files)
     scored = build.classified(commented, model)
-    tokenised = build.tokenised(build.selected(files, commented, scored, threshold))
+    tokenised = build.tokenised(build.selected(commented, scored, threshold))
     build.split(tokenised, **(shares or {}))
     vocabulary = build.vocabulary(tokenised, vocab_size)
     result = {}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tarnmill.operators import classify, lexing, metrics, sequences
 from tarnmill.operators.prefix import take_fraction
 from tarnmill.operators.tokens import decode_lines, decode_pieces, ids_to_pieces, pieces_to_ids
+from tarnmill.session import cut_lineage
 
 
 def finetune_batches(
@@ -29,11 +30,12 @@ def finetune_batches(
     pairs = sequences.comment_pairs(token_dataset, **lengths)
     if model is not None:
         pairs = sequences.keep_suitable(pairs, partial(classify.predict, model), threshold)
-    examples = sequences.with_labels(sequences.finetune_examples(pairs, vocabulary))
+    # positions need several passes over the examples, so they are stored once
+    examples = cut_lineage(sequences.finetune_examples(pairs, vocabulary))
     keys = ["file_id", "comment_no"]
     if fraction < 1.0:
-        examples = take_fraction(examples, keys, fraction)
-    return sequences.padded_batches(examples, keys, batch_size, pad_left)
+        examples = cut_lineage(take_fraction(examples, keys, fraction))
+    return sequences.padded_batches(sequences.with_labels(examples), keys, batch_size, pad_left)
 
 
 def score_predictions(

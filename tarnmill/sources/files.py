@@ -27,8 +27,9 @@ def decode(content: Column) -> Column:
 
 
 def _binary(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """Files that vanish or cannot be read while a job runs are left out."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    return reader.load(folder)
+    return reader.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(folder)
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.py") -> DataFrame:
