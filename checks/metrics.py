@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import standins as s
 from tarnmill.operators import metrics
+from tarnmill.operators.tokens import ids_to_pieces, pieces_to_ids
 
 QUERIES, ORACLES, query = s.registry()
 
@@ -36,8 +37,6 @@ def aligned_pairs(spark, sf):
     FROM ids GROUP BY file_id""",
 )
 def generated_pieces(spark, sf):
-    from tarnmill.operators.tokens import ids_to_pieces, pieces_to_ids
-
     vocab = s.vocabulary(spark, sf)
     ids = pieces_to_ids(s.token_files(spark, sf), vocab).select("file_id", "ids")
     pieces = ids_to_pieces(ids, vocab, "ids", "pieces")
@@ -95,7 +94,7 @@ def rouge_averages(spark, sf):
 
 
 def _word_rows(side: str) -> str:
-    return f"string_split({_SPACED.format(side)}, ' ')"
+    return f"list_filter(string_split({_SPACED.format(side)}, ' '), lambda w: w <> '')"
 
 
 _BLEU = f"""WITH {_NORMAL},

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def relative_path(path: Column, base: str) -> Column:
-    """``path`` without the leading ``base`` folder and slashes."""
-    trimmed = F.when(F.startswith(path, F.lit(base)), F.substr(path, F.lit(len(base) + 1))).otherwise(path)
-    return F.ltrim(trimmed, F.lit("/"))
+    """``path`` without the leading ``base`` folder and slashes. Scheme and host are
+    dropped first when the base folder is given without them."""
+    folder = base.rstrip("/") + "/"
+    located = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "") if base.startswith("/") else path
+    inside = F.startswith(located, F.lit(folder))
+    return F.ltrim(F.when(inside, F.substr(located, F.lit(len(folder) + 1))).otherwise(located), F.lit("/"))
 
 
 def repo_of_path(relative: Column) -> Column:

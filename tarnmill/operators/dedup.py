@@ -29,12 +29,16 @@ class _Digests:
     """Digests of packed grams already seen by this task, sorted by gram."""
 
     def __init__(self):
+        self.forget()
+
+    def forget(self):
+        # the empty gram never occurs packed, so it can stand in front
         self.grams = np.zeros(1, np.uint64)
         self.digests = np.zeros(1, np.uint64)
 
     def of(self, grams: np.ndarray) -> np.ndarray:
         if len(self.grams) > MEMO_GRAMS:
-            self.__init__()
+            self.forget()
         place = np.searchsorted(self.grams, grams)
         missing = self.grams[np.minimum(place, len(self.grams) - 1)] != grams
         if missing.any():

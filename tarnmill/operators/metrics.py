@@ -45,6 +45,10 @@ def _single_spaced(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+", " ")
 
 
+def _plain_words(text: Column) -> Column:
+    return F.filter(F.split(_single_spaced(text), " "), lambda word: word != "")
+
+
 def ngrams(words: Column, n: int) -> Column:
     return let(
         words,
@@ -66,7 +70,7 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 
 def rouge_n(hypothesis: Column, reference: Column, n: int) -> Column:
-    """Struct ``p, r, f`` over the sets of word n-grams."""
+    """Struct ``p, r, f`` over the sets of word n-grams; 0 where a side has none."""
     hyp = F.array_distinct(ngrams(rouge_words(hypothesis), n))
     ref = F.array_distinct(ngrams(rouge_words(reference), n))
 
@@ -143,7 +147,7 @@ def bleu_counts(pairs: DataFrame, key: str, hypothesis: str = "hypothesis", refe
     """
 
     def grams(text: str, side: str) -> list[Column]:
-        words = F.split(_single_spaced(F.col(text)), " ")
+        words = _plain_words(F.col(text))
         return [
             F.transform(
                 ngrams(words, n),
@@ -166,11 +170,15 @@ def corpus_bleu(pairs: DataFrame, key: str, hypothesis: str = "hypothesis", refe
     """Token BLEU-4 of the corpus, one row; n-gram precisions above one word are
     smoothed by adding one to both counts."""
     sums = bleu_counts(pairs, key, hypothesis, reference).agg(
-        *[F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}{n}") for n in range(1, 5) for c in ("matched", "total")]
+        *[
+            F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}{n}")
+            for n in range(1, BLEU_ORDER + 1)
+            for c in ("matched", "total")
+        ]
     )
     lengths = pairs.agg(
-        F.sum(F.size(F.split(_single_spaced(F.col(hypothesis)), " "))).alias("h"),
-        F.sum(F.size(F.split(_single_spaced(F.col(reference)), " "))).alias("r"),
+        F.sum(F.size(_plain_words(F.col(hypothesis)))).alias("h"),
+        F.sum(F.size(_plain_words(F.col(reference)))).alias("r"),
     )
     h, r = lengths.select("h").scalar(), lengths.select("r").scalar()
     logs = F.log(_ratio(F.col("matched1"), F.col("total1")))
@@ -221,11 +229,13 @@ def evaluate(pairs: DataFrame, metrics: Sequence[str], key: str) -> DataFrame:
     parts = []
     if "rouge" in metrics:
         scores = rouge(pairs)
-        parts.append(scores.select(F.expr("stack(3, concat(metric, '-p'), p, concat(metric, '-r'), r, concat(metric, '-f'), f)").alias("metric", "value")))
+        stacked = "stack(3, concat(metric, '-p'), p, concat(metric, '-r'), r, concat(metric, '-f'), f)"
+        parts.append(scores.select(F.expr(stacked).alias("metric", "value")))
     if "bleu" in metrics:
         parts.append(corpus_bleu(pairs, key).select(F.lit("bleu").alias("metric"), F.col("bleu").alias("value")))
     if "levenshtein" in metrics:
-        parts.append(mean_edit_similarity(pairs).select(F.lit("levenshtein").alias("metric"), F.col("levenshtein").alias("value")))
+        mean = mean_edit_similarity(pairs)
+        parts.append(mean.select(F.lit("levenshtein").alias("metric"), F.col("levenshtein").alias("value")))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

@@ -177,6 +177,7 @@ def _maximise(words: DataFrame, scores: dict[str, float]) -> dict[str, float]:
     sent = words.sparkSession.sparkContext.broadcast(scaled)
     longest = max(map(len, scores))
     sums = _piece_sums(words, lambda word: expected_counts(word, sent.value, longest)).collect()
+    sent.unpersist()
     counts = {row["piece"]: row["c"] for row in sums if row["c"] >= 0.5}
     for piece in scores:
         if len(piece) == 1:
@@ -204,6 +205,7 @@ def _prune(words: DataFrame, scores: dict[str, float], size: int) -> dict[str, f
             yield pd.DataFrame({"piece": batch["piece"], "cost": batch["c"] * lost})
 
     costs = {row["piece"]: row["cost"] for row in used.mapInPandas(cost, "piece string, cost double").collect()}
+    sent.unpersist()
     singles = [piece for piece in scores if len(piece) == 1]
     longer = sorted((p for p in scores if len(p) > 1), key=lambda p: (-costs.get(p, 0.0), p))
     kept = singles + longer[: max(0, size - len(singles))]

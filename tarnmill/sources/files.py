@@ -39,8 +39,8 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.py") -> DataF
 
 def with_repo(files: DataFrame, base: str) -> DataFrame:
     """Add ``filename`` relative to the base folder and ``repo``, from ``path``."""
-    plain = F.regexp_replace("path", "^file:/*", "/")
-    return files.withColumn("filename", relative_path(plain, base)).withColumn("repo", repo_of_path(F.col("filename")))
+    named = files.withColumn("filename", relative_path(F.col("path"), base))
+    return named.withColumn("repo", repo_of_path(F.col("filename")))
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*.py") -> DataFrame:
