@@ -18,6 +18,7 @@ GRAM_WIDTH = 4
 NOT_WORD = re.compile(r"\W+")
 
 MEMO_GRAMS = 1 << 18
+PIECE_CHARS = 1 << 20
 _BIT_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 
 
@@ -64,12 +65,18 @@ def _weighted_digests(text: str, memo: _Digests) -> tuple[np.ndarray, np.ndarray
 
 
 def _vote(text: str, memo: _Digests) -> int:
-    """Weighted bit vote over the grams of one file, as a signed 64-bit pattern."""
-    digests, counts = _weighted_digests(NOT_WORD.sub("", text.lower()), memo)
-    octets = digests.astype(">u8").view(np.uint8).reshape(-1, 8)
-    ones = [np.bincount(octets[:, k], counts, 256) @ _BIT_OF_BYTE for k in range(8)]
-    majority = np.packbits(2 * np.concatenate(ones) > counts.sum())
-    return int.from_bytes(majority.tobytes(), "big", signed=True)
+    """Weighted bit vote over the grams of one file, as a signed 64-bit pattern.
+
+    Votes add up, so a long text goes through in pieces; each gram starts in one piece.
+    """
+    kept = NOT_WORD.sub("", text.lower())
+    ones, total = np.zeros(64), 0
+    for start in range(0, max(len(kept) - GRAM_WIDTH + 1, 1), PIECE_CHARS):
+        digests, counts = _weighted_digests(kept[start : start + PIECE_CHARS + GRAM_WIDTH - 1], memo)
+        octets = digests.astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.concatenate([np.bincount(octets[:, k], counts, 256) @ _BIT_OF_BYTE for k in range(8)])
+        total += counts.sum()
+    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big", signed=True)
 
 
 def _voter():

@@ -27,6 +27,14 @@ def test_simhash(spark):
     assert got == {i: naive_simhash(t) for i, t in enumerate(texts)}
 
 
+def test_simhash_of_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(12)
+    text = "".join(rng.choice("abcdefg \n😀") for _ in range(3000))
+    for piece in (1, 7, 100, 2999):
+        monkeypatch.setattr(dedup, "PIECE_CHARS", piece)
+        assert dedup._vote(text, dedup._Digests()) == naive_simhash(text)
+
+
 def test_unique_files_with_a_hot_group(spark):
     rows = [(f"f{i:04d}", "r", 7 if i % 3 == 0 else i) for i in range(900)]
     meta = spark.createDataFrame(rows, "file_id string, repo string, hash bigint")
