@@ -162,7 +162,7 @@ def reserved_symbols(spark, sf):
 
 @query("framed_files", f"WITH {s.TOKENS} SELECT file_id, string_agg(tok, ' ' ORDER BY pos) AS tokens FROM tok GROUP BY file_id")
 def framed_files(spark, sf):
-    return s.token_files(spark, sf).select("file_id", s.text_of("tokens").alias("tokens"))
+    return tokens.frame_files(s.code_lines(spark, sf)).select("file_id", s.text_of("tokens").alias("tokens"))
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tarnmill.markers import BEGIN_COMMENT, DEDENT, END_COMMENT, INDENT, reserved_symbols
 from tarnmill.operators.prefix import with_position
 from tarnmill.operators.sequences import comment_pairs
-from tarnmill.operators.tokens import frame_files, reserved_table
+from tarnmill.operators.tokens import frame_lines, reserved_table
 from tarnmill.session import checkpoint_dir, cut_lineage, spread
 
 
@@ -71,7 +71,8 @@ def code_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, sf: str) -> DataFrame:
-    return frame_files(code_lines(spark, sf)).select("file_id", "tokens")
+    # split() always yields a line, so no file is empty and none needs filtering
+    return code_lines(spark, sf).select("file_id", frame_lines(F.col("lines")).alias("tokens"))
 
 
 def function_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,8 +89,7 @@ def function_files(spark: SparkSession, sf: str) -> DataFrame:
         body = F.concat(F.array(F.lit(BEGIN_COMMENT)), words(line), F.array(F.lit(END_COMMENT)))
         return F.concat(mark, F.when(is_comment(line), body).otherwise(words(line)))
 
-    shaped = files(spark, sf).select("file_id", F.transform("lines", tokens).alias("lines"))
-    return frame_files(shaped)
+    return files(spark, sf).select("file_id", frame_lines(F.transform("lines", tokens)).alias("tokens"))
 
 
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:

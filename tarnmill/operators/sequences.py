@@ -29,6 +29,8 @@ _BLOCKS_TYPE = T.ArrayType(
     T.StructType([T.StructField(n, T.IntegerType()) for n in ("head_start", "head_end", "body_start", "body_end", "saved")])
 )
 
+COMMENTS_AT_ONCE = 1024
+
 
 def comment_ends(tokens: Column) -> Column:
     """Array of ``begin, end, next_line`` for every end-of-comment marker.
@@ -171,21 +173,29 @@ def comment_pairs(
 
     The target is the next complete lines after the comment. With ``max_target_length``
     -1 an empty target drops the pair; otherwise the target must be shorter than the
-    maximum and may be empty. Slices are taken next to the token array, so the whole
-    array is never repeated per comment.
+    maximum and may be empty. Slices are taken next to the token array, which is only
+    repeated once per ``COMMENTS_AT_ONCE`` comments, so that no row grows without bound.
     """
-    source = files.select(key, "tokens")
+    held = files.select(
+        key,
+        "tokens",
+        comment_ends(F.col("tokens")).alias("comments"),
+        positions_of(F.col("tokens"), END_LINE).alias("line_ends"),
+    )
     if fold_functions:
-        source = source.withColumn("blocks", function_blocks(F.col("tokens"), start_token))
+        held = held.withColumn("blocks", function_blocks(F.col("tokens"), start_token))
+    last_part = F.floor((F.size("comments") - 1) / COMMENTS_AT_ONCE).cast("int")
+    parts = F.when(F.size("comments") > 0, F.sequence(F.lit(0), last_part))
+    split = held.select("*", F.explode(parts).alias("part"))
 
-    def pair(comment: Column, number: Column, held: Column) -> Column:
-        tokens, line_ends = held["tokens"], held["line_ends"]
+    def pair(comment: Column, number: Column, file: Column) -> Column:
+        tokens, line_ends = file["tokens"], file["line_ends"]
         end = comment["end"] + 2
         last_line = F.least(comment["next_line"] + num_target_lines, F.size(line_ends)) - 1
         has_line = comment["next_line"] < F.size(line_ends)
-        target = F.when(has_line, cut(tokens, end, F.get(line_ends, last_line) + 1)).otherwise(cut(tokens, end, F.lit(0)))
+        target_end = F.when(has_line, F.get(line_ends, last_line) + 1).otherwise(F.lit(0))
         context = (
-            folded_context(tokens, held["blocks"], end, max_context_length)
+            folded_context(tokens, file["blocks"], end, max_context_length)
             if fold_functions
             else truncated_context(tokens, end, max_context_length)
         )
@@ -193,16 +203,16 @@ def comment_pairs(
             number.alias("comment_no"),
             cut(tokens, comment["begin"] + 1, comment["end"]).alias("comment"),
             context.alias("context"),
-            target.alias("target"),
+            cut(tokens, end, target_end).alias("target"),
         )
 
-    def pairs(held: Column) -> Column:
-        return F.transform(comment_ends(held["tokens"]), lambda c, i: pair(c, i, held))
+    def pairs(file: Column) -> Column:
+        first = file["part"] * COMMENTS_AT_ONCE
+        some = F.slice(file["comments"], first + 1, F.lit(COMMENTS_AT_ONCE))
+        return F.transform(some, lambda comment, i: pair(comment, first + i, file))
 
-    fields = [F.col("tokens"), positions_of(F.col("tokens"), END_LINE).alias("line_ends")]
-    if fold_functions:
-        fields.append(F.col("blocks"))
-    rows = source.select(key, F.inline(let(F.struct(*fields), pairs)))
+    fields = [c for c in split.columns if c != key]
+    rows = split.select(key, F.inline(let(F.struct(*fields), pairs)))
     length = F.size("target")
     gate = (length > 0) if max_target_length == -1 else (length < max_target_length)
     return rows.where(gate)

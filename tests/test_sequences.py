@@ -92,7 +92,8 @@ def random_file(rng, well_formed):
 @pytest.mark.parametrize("well_formed", [True, False])
 @pytest.mark.parametrize("fold", [False, True])
 @pytest.mark.parametrize("max_target, lines", [(80, 2), (6, 1), (-1, 3)])
-def test_pairs_match_naive_reading(spark, fold, max_target, lines, well_formed):
+def test_pairs_match_naive_reading(spark, monkeypatch, fold, max_target, lines, well_formed):
+    monkeypatch.setattr(sequences, "COMMENTS_AT_ONCE", 2 if well_formed else 1024)
     rng = random.Random(11)
     files = {i: random_file(rng, well_formed) for i in range(150)}
     if fold and not well_formed:
