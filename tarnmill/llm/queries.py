@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnmill.llm import lines, packing, quality, token_files
+from tarnmill.llm import lines, packing, quality, sharding, token_files, urls
 from tarnmill.session import checkpoint_dir
 
 
@@ -90,10 +90,60 @@ def op6_nnls_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
 
 
+def op9_histogram_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.shard(table(spark, sf, "documents"))
+
+
+def op10_url_reputation(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf, "pages"))
+
+
+def _case(value: str) -> str:
+    """The longest rule first, as SQL."""
+    longest = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+    return " ".join(
+        f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN '{host + path if value == 'rule' else action}'"
+        for action, host, path in longest
+    )
+
+
+_RHO = f"least(greatest(CASE WHEN coalesce(sum(p * (1 - p) * (n - 1)), 0) = 0 THEN {urls.LEAST_RHO} ELSE sum(n * pow(good / n - p, 2) - p * (1 - p)) / sum(p * (1 - p) * (n - 1)) END, {urls.LEAST_RHO}), {urls.MOST_RHO})"
+
+OP10_SQL = f"""
+WITH parts AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host,
+         coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+judged AS (SELECT *, CASE {_case('rule')} END AS rule, CASE {_case('action')} END AS action FROM parts),
+counted AS (
+  SELECT host, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS parts, CAST(count(action) AS DOUBLE) AS n,
+         CAST(count(*) FILTER (action = 'allow') AS DOUBLE) AS good FROM judged GROUP BY host),
+levels AS (
+  SELECT *, CASE WHEN len(parts) >= 3 AND length(parts[-1]) = 2 AND parts[-2] IN ({", ".join(f"'{x}'" for x in urls.SECOND_LABELS)}) THEN 2 ELSE 1 END AS k
+  FROM counted),
+hosts AS (
+  SELECT host, n, good, array_to_string(parts[greatest(len(parts) - k + 1, 1):], '.') AS suffix,
+         array_to_string(parts[greatest(len(parts) - k, 1):], '.') AS domain FROM levels),
+p0 AS (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) AS p FROM hosts),
+s1 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(p) AS p FROM hosts, p0 GROUP BY suffix),
+r1 AS (SELECT 1 / {_RHO} - 1 AS s FROM s1 WHERE n > 0),
+m1 AS (SELECT suffix, (good + s * p) / (n + s) AS mean FROM s1, r1),
+s2 AS (SELECT h.suffix, domain, sum(n) AS n, sum(good) AS good, any_value(mean) AS p FROM hosts h JOIN m1 USING (suffix) GROUP BY h.suffix, domain),
+r2 AS (SELECT 1 / {_RHO} - 1 AS s FROM s2 WHERE n > 0),
+m2 AS (SELECT suffix, domain, (good + s * p) / (n + s) AS mean FROM s2, r2),
+s3 AS (SELECT h.*, mean AS p FROM hosts h JOIN m2 USING (suffix, domain)),
+r3 AS (SELECT 1 / {_RHO} - 1 AS s FROM s3 WHERE n > 0),
+m3 AS (SELECT host, (good + s * p) / (n + s) AS mean, n + s + 1 AS size FROM s3, r3),
+blocked AS (SELECT host, true AS blocked FROM m3 WHERE mean + {urls.BOUND} * sqrt(mean * (1 - mean) / size) < {urls.THRESHOLD})
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged LEFT JOIN blocked USING (host)"""
+
+
 QUERIES = {
     "op2_repetition_quality": op2_repetition_quality,
     "op4_line_dedup": op4_line_dedup,
     "op5_rans_token_files": op5_rans_token_files,
     "op6_nnls_packing": op6_nnls_packing,
+    "op9_histogram_shards": op9_histogram_shards,
+    "op10_url_reputation": op10_url_reputation,
 }
-ORACLES = {"op2_repetition_quality": OP2_SQL, "op4_line_dedup": OP4_SQL}
+ORACLES = {"op2_repetition_quality": OP2_SQL, "op4_line_dedup": OP4_SQL, "op10_url_reputation": OP10_SQL}
