@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnmill.llm import lines, packing, quality, sharding, token_files, urls
+from tarnmill.llm import lines, near_dup, packing, quality, sharding, token_files, urls
 from tarnmill.session import checkpoint_dir
 
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_bagminhash_near_dup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf, "documents"))
+
+
 def op2_repetition_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality(table(spark, sf, "documents"))
 
@@ -139,6 +143,7 @@ FROM judged LEFT JOIN blocked USING (host)"""
 
 
 QUERIES = {
+    "op1_bagminhash_near_dup": op1_bagminhash_near_dup,
     "op2_repetition_quality": op2_repetition_quality,
     "op4_line_dedup": op4_line_dedup,
     "op5_rans_token_files": op5_rans_token_files,
