@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnmill.llm import decontaminate, lines, near_dup, packing, quality, sharding, token_files, urls
+from tarnmill.llm import decontaminate, lines, near_dup, packing, quality, sharding, token_files, toxicity, urls
 from tarnmill.session import checkpoint_dir
 
 
@@ -94,6 +94,10 @@ def op6_nnls_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
 
 
+def op7_nearest_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op8_latent_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -152,6 +156,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_rans_token_files": op5_rans_token_files,
     "op6_nnls_packing": op6_nnls_packing,
+    "op7_nearest_toxicity": op7_nearest_toxicity,
     "op8_latent_decontamination": op8_latent_decontamination,
     "op9_histogram_shards": op9_histogram_shards,
     "op10_url_reputation": op10_url_reputation,
