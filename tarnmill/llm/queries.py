@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnmill.llm import decontaminate, lines, near_dup, packing, quality, sharding, token_files, toxicity, urls
+from tarnmill.llm import decontaminate, lines, near_dup, packing, pii, quality, sharding, token_files, toxicity, urls
 from tarnmill.session import checkpoint_dir
 
 
@@ -66,6 +66,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, dup_
 FROM judged"""
 
 
+def op3_weak_supervision_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     done = lines.drop_repeated_lines(table(spark, sf, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -153,6 +157,7 @@ FROM judged LEFT JOIN blocked USING (host)"""
 QUERIES = {
     "op1_bagminhash_near_dup": op1_bagminhash_near_dup,
     "op2_repetition_quality": op2_repetition_quality,
+    "op3_weak_supervision_pii": op3_weak_supervision_pii,
     "op4_line_dedup": op4_line_dedup,
     "op5_rans_token_files": op5_rans_token_files,
     "op6_nnls_packing": op6_nnls_packing,

@@ -33,7 +33,7 @@ from tarnmill.llm.common import ALNUM, bytes_of, chunks, span_hashes, staged, wo
 
 EXAMPLES = 8192
 TERMS = 4096
-EVIDENCE = 40.0
+EVIDENCE = 25.0
 LEAST_DOCS = 5
 BLOCK = 64
 NEIGHBOURS = 15
