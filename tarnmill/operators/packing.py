@@ -32,7 +32,7 @@ def pack_blocks(
         placed = running_total(files, [key], {"start": length})
     else:
         order = F.md5(F.concat_ws(":", F.lit(seed), F.lit(epoch), F.col(key).cast("string")))
-        placed = running_total(files.withColumn("order_key", order), ["order_key", key], {"start": length}, hex_key=True)
+        placed = running_total(files.withColumn("order_key", order), ["order_key", key], {"start": length})
     kept = dataset.agg(F.floor(F.coalesce(F.sum(length), F.lit(0)) * F.lit(fraction)).alias("n")).scalar()
     usable = kept - F.pmod(kept, F.lit(block_size))
 

@@ -1,100 +1,66 @@
 """Distributed running totals.
 
-A window ordered over a whole table would put all rows into one task. Here rows are
-spread over ordered buckets: one small window runs over the bucket sums, and one
-window per bucket over its rows.
+A window ordered over a whole table would put all rows into one task. Here the rows are
+range-partitioned by their key, every partition sums its own rows in one pass, and the
+sums of the partitions ahead of it are added afterwards.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_BUCKETS = 1024
-SAMPLES_PER_BUCKET = 20
-SMALL_BUCKET = 1000
+from tarnmill.session import stored
 
 
-def _bucket_count(df: DataFrame) -> int:
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(MAX_BUCKETS, partitions))
+def _sums_within(batches: Iterator[pa.RecordBatch], values: list[str]) -> Iterator[pa.RecordBatch]:
+    """Each row's partition and the sums of ``values`` over the rows before it there."""
+    part, so_far = TaskContext.get().partitionId(), dict.fromkeys(values, 0)
+    for batch in batches:
+        columns, names = [pa.array(np.full(batch.num_rows, part, np.int32))], ["__part"]
+        for name, column in zip(batch.schema.names, batch.columns):
+            columns.append(column)
+            names.append(name)
+        for name in values:
+            own = pc.fill_null(batch.column(name), 0).to_numpy(zero_copy_only=False)
+            until = np.cumsum(own) + so_far[name]
+            columns.append(pa.array(until - own))
+            names.append(f"__before{name}")
+            so_far[name] = int(until[-1]) if len(until) else so_far[name]
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def _literal(row: tuple, fields: list[T.StructField]) -> str:
-    """SQL text of a key; strings in hexadecimal, so that no character needs quoting."""
-
-    def one(value, kind: T.DataType) -> str:
-        if isinstance(kind, T.StringType):
-            return f"CAST(X'{value.encode().hex()}' AS STRING)"
-        return f"CAST('{value}' AS {kind.simpleString()})"
-
-    values = [f"{one(value, field.dataType)} AS `{field.name}`" for value, field in zip(row, fields)]
-    return f"struct({', '.join(values)})"
-
-
-def _range_bounds(df: DataFrame, keys: list[str], buckets: int) -> list:
-    """At most ``buckets - 1`` split points. The keys with the smallest hashes are a
-    uniform sample of fixed size; it only balances the buckets, rows are all kept. A
-    table that the sample holds completely needs few buckets or one."""
-    wanted = buckets * SAMPLES_PER_BUCKET
-    sample = df.select(*keys).orderBy(F.xxhash64(*keys)).limit(wanted).collect()
-    ordered = sorted(tuple(row) for row in sample)
-    if len(ordered) < wanted:
-        buckets = min(buckets, len(ordered) // SMALL_BUCKET + 1)
-    step = max(1, len(ordered) // buckets)
-    return ordered[step::step][: buckets - 1]
-
-
-def _bucket_of(key: str, bounds: list, fields: list[T.StructField], low: int = 0) -> str:
-    """Number of bounds at or below the key, as SQL text of a balanced comparison tree."""
-    if not bounds:
-        return str(low)
-    middle = len(bounds) // 2
-    below = _bucket_of(key, bounds[:middle], fields, low)
-    above = _bucket_of(key, bounds[middle + 1 :], fields, low + middle + 1)
-    return f"CASE WHEN {key} < {_literal(bounds[middle], fields)} THEN {below} ELSE {above} END"
-
-
-def running_total(
-    df: DataFrame,
-    keys: list[str],
-    totals: Mapping[str, Column],
-    hex_key: bool = False,
-) -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], totals: Mapping[str, Column]) -> DataFrame:
     """Add, for each entry ``name: value``, the sum of ``value`` over all rows with a
     smaller key.
 
-    ``keys`` must be unique and not NULL. ``df`` is read for the bounds, the bucket sums
-    and the rows, so costly input is best stored first. ``hex_key`` says that the first key is a
-    hexadecimal digest, whose leading digits are even buckets without sampling.
+    ``keys`` must be unique and not NULL. ``df`` is read for the range bounds and for the
+    rows, so costly input is best stored first. The ranged rows are stored once: a partition's
+    number and its rows stay as they are for the sums that follow.
     """
-    if hex_key:
-        bucket = F.substring(F.col(keys[0]), 1, 3)
-    else:
-        fields = df.select(*keys).schema.fields
-        key = f"struct({', '.join(f'`{name}`' for name in keys)})"
-        bucket = F.expr(_bucket_of(key, _range_bounds(df, keys, _bucket_count(df)), fields))
     values = {f"__value_{name}": value.cast("bigint") for name, value in totals.items()}
-    tagged = df.withColumns({"__bucket": bucket, **values})
-    sums = tagged.groupBy("__bucket").agg(*[F.sum(value).alias(value) for value in values])
-    # over at most 4096 rows
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        "__bucket",
-        *[F.coalesce(F.sum(f"__value_{n}").over(before), F.lit(0)).alias(f"__offset_{n}") for n in totals],
-    )
-    inside = Window.partitionBy("__bucket").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    # the offsets have one row per bucket, so their size is bounded
-    placed = tagged.join(F.broadcast(offsets), "__bucket")
-    added = {
-        name: F.col(f"__offset_{name}") + F.coalesce(F.sum(f"__value_{name}").over(inside), F.lit(0))
-        for name in totals
-    }
-    helpers = ["__bucket", *values, *[f"__offset_{name}" for name in totals]]
-    return placed.withColumns(added).drop(*helpers)
+    ranged = df.withColumns(values).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    fields = [T.StructField("__part", T.IntegerType()), *ranged.schema.fields, *[T.StructField(f"__before{name}", T.LongType()) for name in values]]
+    names = list(values)
+    placed = stored(ranged.mapInArrow(lambda batches: _sums_within(batches, names), T.StructType(fields)), "ranged")
+    # one row for each partition, in partition order
+    sums = sorted(tuple(row) for row in placed.groupBy("__part").agg(*[F.sum(name) for name in names]).collect())
+    ahead, so_far = [], [0] * len(names)
+    for part, *own in sums:
+        ahead.append((part, *so_far))
+        so_far = [a + (b or 0) for a, b in zip(so_far, own)]
+    schema = ", ".join(["__part int", *[f"__ahead{name} bigint" for name in names]])
+    # as many rows as partitions
+    met = placed.join(F.broadcast(df.sparkSession.createDataFrame(ahead, schema)), "__part")
+    added = {name: F.col(f"__ahead__value_{name}") + F.col(f"__before__value_{name}") for name in totals}
+    return met.withColumns(added).select(*[c for c in df.columns if c not in totals], *totals)
 
 
 def with_position(df: DataFrame, keys: list[str], name: str = "position") -> DataFrame:
@@ -106,5 +72,3 @@ def take_fraction(df: DataFrame, keys: list[str], fraction: float) -> DataFrame:
     """The first ``floor(count * fraction)`` rows in key order."""
     count = df.agg(F.floor(F.count(F.lit(1)) * F.lit(fraction)).alias("n")).scalar()
     return with_position(df, keys, "__position").where(F.col("__position") < count).drop("__position")
-
-

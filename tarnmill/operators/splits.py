@@ -69,7 +69,7 @@ def assign_repos(repos: DataFrame, budgets: DataFrame, seed: str = SEED) -> Data
     """
     keyed = repos.withColumn("order_key", shuffle_key(F.col("repo"), seed))
     ordered = cut_lineage(
-        running_total(keyed, ["order_key", "repo"], {"before": F.col("num_lines")}, hex_key=True)
+        running_total(keyed, ["order_key", "repo"], {"before": F.col("num_lines")})
     )
     split = F.when(F.lit(False), F.lit(""))
     taken = 0
