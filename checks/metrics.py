@@ -109,12 +109,15 @@ grams AS (
   SELECT pair_id, side, 1 AS n, g1 AS g FROM shifted UNION ALL SELECT pair_id, side, 2, g2 FROM shifted WHERE g2 IS NOT NULL
   UNION ALL SELECT pair_id, side, 3, g3 FROM shifted WHERE g3 IS NOT NULL UNION ALL SELECT pair_id, side, 4, g4 FROM shifted WHERE g4 IS NOT NULL),
 gram_counts AS (SELECT pair_id, n, g, count_if(side = 'h') AS h, count_if(side = 'r') AS r FROM grams GROUP BY pair_id, n, g),
-sums AS (SELECT n, CAST(sum(least(h, r)) AS BIGINT) AS matched, CAST(sum(h) AS BIGINT) AS total FROM gram_counts GROUP BY n)"""
+totals AS (
+  SELECT n, CAST(sum(greatest(len(words) - n + 1, 1)) AS BIGINT) AS total FROM sides, (VALUES (1), (2), (3), (4)) AS orders(n) WHERE side = 'h' GROUP BY n),
+matches AS (SELECT n, CAST(sum(least(h, r)) AS BIGINT) AS matched FROM gram_counts GROUP BY n),
+sums AS (SELECT n, coalesce(matched, 0) AS matched, total FROM totals LEFT JOIN matches USING (n))"""
 
 
 @query("bleu_counts", f"{_BLEU} SELECT CAST(n AS INTEGER) AS n, matched, total FROM sums")
 def bleu_counts(spark, sf):
-    return metrics.bleu_counts(_lower_pairs(spark, sf), "pair_id")
+    return metrics.bleu_counts(_lower_pairs(spark, sf)).select("n", F.col("matched").cast("bigint").alias("matched"), "total")
 
 
 @query(
@@ -125,7 +128,7 @@ def bleu_counts(spark, sf):
     SELECT round(CASE WHEN h > r THEN 1 ELSE exp(1 - CAST(r AS DOUBLE) / h) END * exp(s / 4), 6) AS bleu FROM lengths, logs""",
 )
 def corpus_bleu(spark, sf):
-    return metrics.corpus_bleu(_lower_pairs(spark, sf), "pair_id").select(F.round("bleu", 6).alias("bleu"))
+    return metrics.corpus_bleu(_lower_pairs(spark, sf)).select(F.round("bleu", 6).alias("bleu"))
 
 
 @query(
@@ -166,6 +169,29 @@ def mean_edit_similarity(spark, sf):
     return metrics.mean_edit_similarity(_lower_pairs(spark, sf)).select(F.round("levenshtein", 6).alias("levenshtein"))
 
 
-@query("chosen_metrics")
+_CHOSEN = f"""{_BLEU},
+lengths AS (SELECT sum(CASE WHEN side = 'h' THEN len(words) ELSE 0 END) AS h, sum(CASE WHEN side = 'r' THEN len(words) ELSE 0 END) AS r FROM sides),
+logs AS (SELECT sum(ln(CASE WHEN n = 1 THEN CAST(matched AS DOUBLE) / total ELSE CAST(matched + 1 AS DOUBLE) / (total + 1) END)) AS s FROM sums),
+chars AS (SELECT len(list_intersect(list_distinct(string_split(hypothesis, '')), list_distinct(string_split(reference, '')))) AS m, length(hypothesis) AS n FROM normal),
+char_sums AS (SELECT sum(m) AS m, sum(n) AS t1, sum(greatest(n - 1, 1)) AS t2, sum(greatest(n - 2, 1)) AS t3, sum(greatest(n - 3, 1)) AS t4 FROM chars)
+SELECT 'bleu' AS metric, round(CASE WHEN h > r THEN 1 ELSE exp(1 - CAST(r AS DOUBLE) / h) END * exp(s / 4), 6) AS value FROM lengths, logs
+UNION ALL
+SELECT 'character_bleu', round(exp((ln(CAST(m AS DOUBLE) / t1) + ln(CAST(1 AS DOUBLE) / (t2 + 1)) + ln(CAST(1 AS DOUBLE) / (t3 + 1)) + ln(CAST(1 AS DOUBLE) / (t4 + 1))) / 4), 6) FROM char_sums
+UNION ALL
+SELECT 'levenshtein', round(avg(1 - CAST({_distance('hypothesis', 'reference')} AS DOUBLE) / greatest(length(hypothesis), length(reference))), 6) FROM normal"""
+
+
+@query("chosen_metrics", _CHOSEN)
 def chosen_metrics(spark, sf):
-    return metrics.evaluate(_lower_pairs(spark, sf), ["rouge", "bleu", "levenshtein"], "pair_id")
+    found = metrics.evaluate(_lower_pairs(spark, sf), ["bleu", "character_bleu", "levenshtein"])
+    return found.select("metric", F.round("value", 6).alias("value"))
+
+
+def _rouge_average(n: int) -> str:
+    return f"(SELECT 'rouge-{n}' AS metric, round(avg(p), 5) AS p, round(avg(r), 5) AS r, round(avg(f), 5) AS f FROM ({_rouge_sql(n)}))"
+
+
+@query("rouge_n_averages", f"{_rouge_average(1)} UNION ALL {_rouge_average(2)}")
+def rouge_n_averages(spark, sf):
+    rows = metrics.rouge(_lower_pairs(spark, sf)).where(F.col("metric") != "rouge-l")
+    return rows.select("metric", *[F.round(c, 5).alias(c) for c in "prf"])

@@ -15,7 +15,8 @@ from tarnmill.markers import END_LINE, UNKNOWN
 # Smoothing term of the F score and the longest n-gram of BLEU.
 F_EPSILON = 1e-8
 BLEU_ORDER = 4
-METRICS = ("rouge", "bleu", "levenshtein")
+METRICS = ("rouge", "bleu", "character_bleu", "levenshtein")
+DEFAULT_METRICS = ("rouge", "bleu", "levenshtein")
 
 
 def generated_pieces(pieces: Column, prompt_length: Column) -> Column:
@@ -139,52 +140,50 @@ def rouge(pairs: DataFrame, hypothesis: str = "hypothesis", reference: str = "re
     return row.select(F.inline(F.array(*built)))
 
 
-def bleu_counts(pairs: DataFrame, key: str, hypothesis: str = "hypothesis", reference: str = "reference") -> DataFrame:
-    """Corpus sums per n-gram length: ``n, matched, total``.
+def _bleu_row(words: Column) -> Column:
+    """Counts of one pair, given as struct of word arrays ``h`` and ``r``: per n-gram length the
+    clipped matches and the n-grams of the hypothesis, at least one; and both lengths."""
 
-    The n-grams of both sides of a pair leave one row together, so counts per pair
-    and n-gram are complete before the shuffle.
-    """
+    def counts(n: int) -> list[Column]:
+        def clipped(pair: Column) -> Column:
+            def times(side: str, gram: Column) -> Column:
+                return F.size(F.filter(pair[side], lambda g: g == gram))
+
+            shared = F.array_intersect(pair["h"], pair["r"])
+            return F.aggregate(shared, F.lit(0), lambda total, gram: total + F.least(times("h", gram), times("r", gram)))
+
+        grams = F.struct(ngrams(words["h"], n).alias("h"), ngrams(words["r"], n).alias("r"))
+        total = F.greatest(F.size(words["h"]) - (n - 1), F.lit(1))
+        return [let(grams, clipped).alias(f"matched{n}"), total.alias(f"total{n}")]
+
+    lengths = [F.size(words["h"]).alias("h"), F.size(words["r"]).alias("r")]
+    return F.struct(*[c for n in range(1, BLEU_ORDER + 1) for c in counts(n)], *lengths)
 
-    def grams(text: str, side: str) -> list[Column]:
-        words = _plain_words(F.col(text))
-        return [
-            F.transform(
-                ngrams(words, n),
-                lambda g: F.struct(
-                    F.lit(n).alias("n"),
-                    g.alias("gram"),
-                    F.lit(int(side == "h")).alias("h"),
-                    F.lit(int(side == "r")).alias("r"),
-                ),
-            )
-            for n in range(1, BLEU_ORDER + 1)
-        ]
 
-    both = pairs.select(key, F.inline(F.concat(*grams(hypothesis, "h"), *grams(reference, "r"))))
-    counted = both.groupBy(key, "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    return counted.groupBy("n").agg(F.sum(F.least("h", "r")).alias("matched"), F.sum("h").alias("total"))
+def _bleu_sums(pairs: DataFrame, hypothesis: str, reference: str) -> DataFrame:
+    """One row with the corpus sums of ``_bleu_row``, from one pass over the pairs."""
+    words = F.struct(_plain_words(F.col(hypothesis)).alias("h"), _plain_words(F.col(reference)).alias("r"))
+    rows = pairs.select(let(words, _bleu_row).alias("c"))
+    names = [f"{kind}{n}" for n in range(1, BLEU_ORDER + 1) for kind in ("matched", "total")] + ["h", "r"]
+    return rows.agg(*[F.coalesce(F.sum(f"c.{name}"), F.lit(0)).alias(name) for name in names])
 
 
-def corpus_bleu(pairs: DataFrame, key: str, hypothesis: str = "hypothesis", reference: str = "reference") -> DataFrame:
+def bleu_counts(pairs: DataFrame, hypothesis: str = "hypothesis", reference: str = "reference") -> DataFrame:
+    """Corpus sums per n-gram length: ``n, matched, total``. A hypothesis counts for at
+    least one n-gram, also if it is shorter than that."""
+    sums = _bleu_sums(pairs, hypothesis, reference)
+    rows = [F.struct(F.lit(n).alias("n"), F.col(f"matched{n}").alias("matched"), F.col(f"total{n}").alias("total")) for n in range(1, BLEU_ORDER + 1)]
+    return sums.select(F.inline(F.array(*rows)))
+
+
+def corpus_bleu(pairs: DataFrame, hypothesis: str = "hypothesis", reference: str = "reference") -> DataFrame:
     """Token BLEU-4 of the corpus, one row; n-gram precisions above one word are
     smoothed by adding one to both counts."""
-    sums = bleu_counts(pairs, key, hypothesis, reference).agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}{n}")
-            for n in range(1, BLEU_ORDER + 1)
-            for c in ("matched", "total")
-        ]
-    )
-    lengths = pairs.agg(
-        F.sum(F.size(_plain_words(F.col(hypothesis)))).alias("h"),
-        F.sum(F.size(_plain_words(F.col(reference)))).alias("r"),
-    )
-    h, r = lengths.select("h").scalar(), lengths.select("r").scalar()
+    sums = _bleu_sums(pairs, hypothesis, reference)
     logs = F.log(_ratio(F.col("matched1"), F.col("total1")))
     for n in range(2, BLEU_ORDER + 1):
         logs = logs + F.log((F.col(f"matched{n}") + 1) / (F.col(f"total{n}") + 1))
-    penalty = F.when(h > r, F.lit(1.0)).otherwise(F.exp(1 - r / h))
+    penalty = F.when(F.col("h") > F.col("r"), F.lit(1.0)).otherwise(F.exp(1 - F.col("r") / F.col("h")))
     score = F.when(F.col("matched1") == 0, F.lit(0.0)).otherwise(penalty * F.exp(logs / BLEU_ORDER))
     return sums.select(score.alias("bleu"))
 
@@ -221,8 +220,11 @@ def mean_edit_similarity(pairs: DataFrame, hypothesis: str = "hypothesis", refer
     return pairs.agg(F.avg(edit_similarity(F.col(hypothesis), F.col(reference))).alias("levenshtein"))
 
 
-def evaluate(pairs: DataFrame, metrics: Sequence[str], key: str) -> DataFrame:
-    """Long table ``metric, value`` of the chosen metrics; unknown names are rejected."""
+def evaluate(pairs: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """Long table ``metric, value`` of the chosen metrics; unknown names are rejected.
+
+    ``bleu`` is over words, ``character_bleu`` what the same call makes of plain strings.
+    """
     unknown = set(metrics) - set(METRICS)
     if unknown or not metrics:
         raise ValueError(f"metrics must be chosen from {METRICS}, not {sorted(unknown)}")
@@ -232,7 +234,9 @@ def evaluate(pairs: DataFrame, metrics: Sequence[str], key: str) -> DataFrame:
         stacked = "stack(3, concat(metric, '-p'), p, concat(metric, '-r'), r, concat(metric, '-f'), f)"
         parts.append(scores.select(F.expr(stacked).alias("metric", "value")))
     if "bleu" in metrics:
-        parts.append(corpus_bleu(pairs, key).select(F.lit("bleu").alias("metric"), F.col("bleu").alias("value")))
+        parts.append(corpus_bleu(pairs).select(F.lit("bleu").alias("metric"), F.col("bleu").alias("value")))
+    if "character_bleu" in metrics:
+        parts.append(character_bleu(pairs).select(F.lit("character_bleu").alias("metric"), F.col("bleu").alias("value")))
     if "levenshtein" in metrics:
         mean = mean_edit_similarity(pairs)
         parts.append(mean.select(F.lit("levenshtein").alias("metric"), F.col("levenshtein").alias("value")))

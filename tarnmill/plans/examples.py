@@ -42,7 +42,7 @@ def score_predictions(
     predictions: DataFrame,
     targets: DataFrame,
     key: str,
-    chosen: Sequence[str] = metrics.METRICS,
+    chosen: Sequence[str] = metrics.DEFAULT_METRICS,
     case_sensitive: bool = False,
     untokenise: bool = False,
 ) -> DataFrame:
@@ -56,7 +56,7 @@ def score_predictions(
 
     pairs = metrics.align(text(predictions, "hypothesis"), text(targets, "reference"), key)
     sides = {side: metrics.normalise(F.col(side), case_sensitive) for side in ("hypothesis", "reference")}
-    return metrics.evaluate(pairs.withColumns(sides), chosen, key)
+    return metrics.evaluate(pairs.withColumns(sides), chosen)
 
 
 def generated_pieces(generated: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:

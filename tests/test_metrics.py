@@ -73,10 +73,16 @@ def test_corpus_bleu(pairs):
         for n in range(1, 5):
             hs, rs = (Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) for w in (h, r))
             matched[n] += sum((hs & rs).values())
-            total[n] += sum(hs.values())
+            total[n] += max(1, sum(hs.values()))
     logs = math.log(matched[1] / total[1]) + sum(math.log((matched[n] + 1) / (total[n] + 1)) for n in (2, 3, 4))
     penalty = 1.0 if h_len > r_len else math.exp(1 - r_len / h_len)
-    assert metrics.corpus_bleu(pairs, "k").first()[0] == pytest.approx(penalty * math.exp(logs / 4))
+    assert metrics.corpus_bleu(pairs).first()[0] == pytest.approx(penalty * math.exp(logs / 4))
+
+
+def test_short_hypotheses_count_one_ngram(spark):
+    df = spark.createDataFrame([("a", "a"), ("a b c d e", "a b c d e")], "hypothesis string, reference string")
+    rows = {r["n"]: (r["matched"], r["total"]) for r in metrics.bleu_counts(df).collect()}
+    assert rows == {1: (6, 6), 2: (4, 5), 3: (3, 4), 4: (2, 3)}
 
 
 def test_character_bleu(spark, pairs):
@@ -103,8 +109,8 @@ def test_normalise(spark):
 def test_unknown_metric_names_are_rejected(pairs):
     for names in (["xrougex"], [], ["bleu", "meteor"]):
         with pytest.raises(ValueError):
-            metrics.evaluate(pairs, names, "k")
-    assert {r["metric"] for r in metrics.evaluate(pairs, ["levenshtein", "bleu"], "k").collect()} == {"levenshtein", "bleu"}
+            metrics.evaluate(pairs, names)
+    assert {r["metric"] for r in metrics.evaluate(pairs, ["levenshtein", "character_bleu"]).collect()} == {"levenshtein", "character_bleu"}
 
 
 def test_generated_pieces_and_scores(spark):
@@ -113,6 +119,7 @@ def test_generated_pieces_and_scores(spark):
     answer = examples.generated_pieces(generated, vocab, "k")
     assert answer.first()["pieces"] == ["▁y", "<EOL>", "▁x"]
     same = examples.score_predictions(answer, answer, "k", ["levenshtein", "bleu"])
-    assert {r["metric"]: round(r["value"], 6) for r in same.collect()} == {"levenshtein": 1.0, "bleu": 1.0}
+    # two words have no trigram, but count as one that is missed
+    assert {r["metric"]: round(r["value"], 6) for r in same.collect()} == {"levenshtein": 1.0, "bleu": round(0.25**0.25, 6)}
     source = examples.score_predictions(answer, answer, "k", ["levenshtein"], untokenise=True)
     assert source.first()["value"] == 1.0
