@@ -106,7 +106,7 @@ def line_budgets(spark, sf):
 @query("shuffled_repos", f"WITH {_SPLIT} SELECT repo, row_number() OVER (ORDER BY md5('RANDOMSEED' || repo)) - 1 AS position FROM repo_sums")
 def shuffled_repos(spark, sf):
     repos = splits.repo_totals(_unique(spark, sf)).withColumn("order_key", splits.shuffle_key(F.col("repo")))
-    placed = running_total(repos, ["order_key", "repo"], {"position": F.lit(1)}, hex_key=True)
+    placed = running_total(repos, ["order_key", "repo"], {"position": F.lit(1)})
     return placed.select("repo", "position")
 
 
@@ -200,12 +200,12 @@ def decoded_pieces(spark, sf):
 
 @query("fitted_vocabulary")
 def fitted_vocabulary(spark, sf):
-    return vocab.fit_vocabulary(vocab.word_counts(s.files(spark, sf)), 1000)
+    return vocab.fit_vocabulary(vocab.word_counts(s.files(spark, sf)))
 
 
 @query("encoded_lines")
 def encoded_lines(spark, sf):
-    fitted = vocab.fit_vocabulary(vocab.word_counts(s.files(spark, sf)), 1000, rounds=1)
+    fitted = vocab.fit_vocabulary(vocab.word_counts(s.files(spark, sf)))
     encoded = s.code_lines(spark, sf).select("file_id", F.transform("lines", lambda line: F.array_join(line, " ")).alias("lines"))
     pieces = encoded.withColumn("lines", subword.encode_lines(F.col("lines"), vocab.piece_scores(fitted)))
     return tokens.frame_files(pieces).select("file_id", F.size("tokens").alias("num_pieces"), F.md5(s.text_of("tokens")).alias("digest"))

@@ -13,17 +13,19 @@ from tarnmill.functions.tasks import row_function
 from tarnmill.markers import WORD_START, reserved_symbols
 
 MEMO_WORDS = 1 << 17
+# pieces that a new vocabulary may learn; encoding takes the vocabulary's own longest
 MAX_PIECE = 16
 # Fixed value: score of a character outside the vocabulary, below the worst piece.
 UNKNOWN_PENALTY = 10.0
 
 
-def best_path(word: str, scores: Mapping[str, float], floor: float, banned: str = "") -> tuple[list[str], float]:
-    """Most probable segmentation of a word, optionally without one piece."""
+def best_path(word: str, scores: Mapping[str, float], floor: float, longest: int, banned: str = "") -> tuple[list[str], float]:
+    """Most probable segmentation of a word into pieces of at most ``longest`` characters,
+    optionally without one piece."""
     best = [0.0] + [-math.inf] * len(word)
     back = [0] * (len(word) + 1)
     for end in range(1, len(word) + 1):
-        for start in range(max(0, end - MAX_PIECE), end):
+        for start in range(max(0, end - longest), end):
             piece = word[start:end]
             score = scores.get(piece)
             if score is None or piece == banned:
@@ -48,7 +50,7 @@ def encode_lines(lines: Column, scores: Mapping[str, float], num_reserved: int =
     symbols = frozenset(reserved_symbols(num_reserved))
 
     def prepare():
-        floor = min(scores.values(), default=0.0)
+        floor, longest = min(scores.values(), default=0.0), max(map(len, scores), default=1)
         memo: dict[str, list[str]] = {}
 
         def encode_word(word: str) -> list[str]:
@@ -57,7 +59,7 @@ def encode_lines(lines: Column, scores: Mapping[str, float], num_reserved: int =
             if word not in memo:
                 if len(memo) > MEMO_WORDS:
                     memo.clear()
-                memo[word] = best_path(WORD_START + word, scores, floor)[0]
+                memo[word] = best_path(WORD_START + word, scores, floor, longest)[0]
             return memo[word]
 
         def encode_line(line: str) -> list[str]:

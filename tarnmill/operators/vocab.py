@@ -21,29 +21,17 @@ from tarnmill.markers import WORD_START, reserved_symbols
 from tarnmill.operators.subword import MAX_PIECE, best_path
 from tarnmill.session import cut_lineage
 
-# Default size and sample limit, seeds per final piece, rounds and share
-# kept per pruning.
+# Default size, seeds per final piece, rounds and share kept per pruning.
 VOCAB_SIZE = 50000
-MAX_LINES = 40_000_000
 SEED_FACTOR = 4
 EM_ROUNDS = 2
 KEEP_SHARE = 0.75
 SEGMENT = 4096
+MOST_PIECES = 1 << 21
 # Fixed value: scale that keeps word probabilities in the range of a double.
 NATS_PER_CHAR = 3.0
 
 
-def sampled_lines(files: DataFrame, max_lines: int, lines: str = "lines") -> DataFrame:
-    """A uniform sample of about ``max_lines`` lines, for a trainer with a sample limit;
-    all lines when there are fewer. The choice depends on the line and its place only."""
-    total = files.agg(F.coalesce(F.sum(F.size(lines)), F.lit(0))).first()[0]
-    if total <= max_lines:
-        return files
-    share = int(max_lines / total * (1 << 32))
-    chosen = F.filter(lines, lambda line, i: F.pmod(F.xxhash64(line, i), F.lit(1 << 32)) < share)
-    return files.withColumn(lines, chosen)
-
-
 def word_counts(files: DataFrame, lines: str = "lines", num_reserved: int = 0) -> DataFrame:
     """``word, n`` over all lines; words carry the word mark, reserved symbols are left out."""
     words = files.select(F.explode(lines).alias("line")).select(F.explode(F.split("line", r"\s+")).alias("w"))
@@ -83,13 +71,16 @@ def seed_pieces(words: DataFrame, limit: int, max_piece: int = MAX_PIECE) -> Dat
         .where((F.col("size") == 1) | (F.col("n") > 1))
     )
     longer = counted.where(F.col("size") > 1).withColumn("gain", F.col("n") * F.col("size"))
-    # A cut value found by approximate quantile leaves little more than ``limit`` rows
-    # to sort, whatever the number of candidates.
-    total = longer.count()
-    if total > limit:
-        share = max(0.0, 1.0 - 1.05 * limit / total)
-        floor = longer.agg(F.percentile_approx("gain", F.lit(share), 1_000_000).alias("g")).scalar()
-        longer = longer.where(F.col("gain") >= floor).orderBy(F.desc("gain"), "piece").limit(limit)
+    # Exact counts per gain class (sixteen to each doubling) tell which classes can be
+    # among the best, so that few more than ``limit`` rows are sorted.
+    longer = longer.withColumn("class", F.floor(F.log2(F.col("gain").cast("double")) * 16).cast("int"))
+    left, floor = limit, None
+    for row in longer.groupBy("class").count().orderBy(F.desc("class")).collect():
+        floor, left = row["class"], left - row["count"]
+        if left <= 0:
+            break
+    if left < 0:
+        longer = longer.where(F.col("class") >= floor).orderBy(F.desc("gain"), "piece").limit(limit)
     return counted.where(F.col("size") == 1).select("piece", "n").unionByName(longer.select("piece", "n"))
 
 
@@ -97,7 +88,8 @@ def expected_counts(word: str, weights: Mapping[str, float], longest: int) -> di
     """Posterior count of each piece over all segmentations of a word (forward-backward).
 
     ``weights`` are piece probabilities scaled per character, so that products over a
-    word stay near one; a word for which they still leave the number range is cut in two.
+    word stay near one; words for which they still near the limits of a double are
+    summed in logarithms. A word that the pieces cannot spell counts nothing.
     """
     n = len(word)
     ahead = [1.0] + [0.0] * n
@@ -108,10 +100,11 @@ def expected_counts(word: str, weights: Mapping[str, float], longest: int) -> di
             if weight is not None:
                 ahead[end] += ahead[start] * weight
                 spans.append((start, end, weight))
+    reached = [value for value in ahead if value > 0]
+    # every place needs a value, as a product that got lost is zero too
+    if len(reached) <= n or min(reached) < 1e-280 or max(reached) > 1e280:
+        return _expected_in_logs(word, spans)
     total = ahead[n]
-    if n > 1 and not 1e-280 < total < 1e280:
-        halves = [expected_counts(part, weights, longest) for part in (word[: n // 2], word[n // 2 :])]
-        return dict(sum(map(Counter, halves), Counter()))
     behind = [0.0] * n + [1.0]
     counts: dict[str, float] = {}
     for start, end, weight in reversed(spans):
@@ -122,6 +115,29 @@ def expected_counts(word: str, weights: Mapping[str, float], longest: int) -> di
     return counts
 
 
+def _log_add(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
+def _expected_in_logs(word: str, spans: list[tuple[int, int, float]]) -> dict[str, float]:
+    n = len(word)
+    ahead = [0.0] + [-math.inf] * n
+    for start, end, weight in spans:
+        ahead[end] = _log_add(ahead[end], ahead[start] + math.log(weight))
+    if ahead[n] == -math.inf:
+        return {}
+    behind = [-math.inf] * n + [0.0]
+    counts: dict[str, float] = {}
+    for start, end, weight in reversed(spans):
+        share = math.log(weight) + behind[end]
+        behind[start] = _log_add(behind[start], share)
+        piece = word[start:end]
+        counts[piece] = counts.get(piece, 0.0) + math.exp(min(0.0, ahead[start] + share - ahead[n]))
+    return counts
+
+
 def _per_partition(measure):
     """Sum ``measure(word)`` times the word count per partition; at most one row per piece."""
 
@@ -131,7 +147,8 @@ def _per_partition(measure):
             for word, n in zip(batch["word"], batch["n"]):
                 for piece, count in measure(word).items():
                     total[piece] += count * n
-        yield pd.DataFrame({"piece": list(total.keys()), "c": [float(c) for c in total.values()]})
+        if total:
+            yield pd.DataFrame({"piece": list(total.keys()), "c": [float(c) for c in total.values()]})
 
     return run
 
@@ -147,16 +164,21 @@ def fit_vocabulary(
     num_reserved: int = 0,
     seed_factor: int = SEED_FACTOR,
     rounds: int = EM_ROUNDS,
+    character_coverage: float = 1.0,
 ) -> DataFrame:
     """``piece, id, score`` with the reserved symbols first, then pieces by score.
 
     Alternates expectation steps (``rounds`` per size) with pruning of the pieces whose
-    removal costs least, until ``vocab_size`` is reached. Single characters always stay.
+    removal costs least, until ``vocab_size`` is reached. The most frequent single
+    characters that make up ``character_coverage`` of the text always stay; rarer ones
+    are left out with all pieces that hold them, and split words.
     """
     spark = words.sparkSession
     cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     words = cut_lineage(words.repartition(cores, "word"))
     wanted = vocab_size - len(reserved_symbols(num_reserved))
+    if character_coverage < 1.0:
+        words = cut_lineage(_covered(words, character_coverage))
     seeds = seed_pieces(words, seed_factor * vocab_size).collect()
     total = sum(row["n"] for row in seeds)
     scores = {row["piece"]: math.log(row["n"] / total) for row in seeds}
@@ -172,6 +194,22 @@ def fit_vocabulary(
     return spark.createDataFrame(fixed + learned, "piece string, id int, score double")
 
 
+def _covered(words: DataFrame, coverage: float) -> DataFrame:
+    """``words`` cut at the characters beyond the most frequent ``coverage`` of the text."""
+    letters = words.select(F.explode(F.split("word", "")).alias("c"), "n").groupBy("c").agg(F.sum("n").alias("n"))
+    # one row for each character that occurs
+    rows = sorted(letters.collect(), key=lambda row: (-row["n"], row["c"]))
+    left, kept = coverage * sum(row["n"] for row in rows), []
+    for row in rows:
+        if left <= 0:
+            break
+        kept.append(row["c"])
+        left -= row["n"]
+    others = "".join(f"\\x{{{ord(c):x}}}" for c in kept)
+    parts = words.select(F.explode(F.split("word", f"[^{others}]+")).alias("word"), "n").where("word <> ''")
+    return parts.groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def _maximise(words: DataFrame, scores: dict[str, float]) -> dict[str, float]:
     scaled = {piece: math.exp(score + NATS_PER_CHAR * len(piece)) for piece, score in scores.items()}
     sent = words.sparkSession.sparkContext.broadcast(scaled)
@@ -191,13 +229,13 @@ def _prune(words: DataFrame, scores: dict[str, float], size: int) -> dict[str, f
     often the best segmentations use a piece, times the score lost by writing it with
     other pieces."""
     sent = words.sparkSession.sparkContext.broadcast(scores)
-    floor = min(scores.values())
-    used = _piece_sums(words, lambda word: Counter(best_path(word, sent.value, floor)[0]))
+    floor, longest = min(scores.values()), max(map(len, scores))
+    used = _piece_sums(words, lambda word: Counter(best_path(word, sent.value, floor, longest)[0]))
 
     def cost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             lost = [
-                sent.value[piece] - best_path(piece, sent.value, floor, banned=piece)[1]
+                sent.value[piece] - best_path(piece, sent.value, floor, longest, banned=piece)[1]
                 if len(piece) > 1 and piece in sent.value
                 else 0.0
                 for piece in batch["piece"]
@@ -213,5 +251,11 @@ def _prune(words: DataFrame, scores: dict[str, float], size: int) -> dict[str, f
 
 
 def piece_scores(vocab: DataFrame) -> dict[str, float]:
-    """Learned pieces and their scores, for ``subword.encode_lines``."""
-    return {row["piece"]: row["score"] for row in vocab.where(F.col("score") < 0).select("piece", "score").collect()}
+    """Learned pieces and their scores, for ``subword.encode_lines``.
+
+    The table goes to every task, so one of more than ``MOST_PIECES`` rows is refused."""
+    learned = vocab.where(F.col("score") < 0).select("piece", "score")
+    rows = learned.limit(MOST_PIECES + 1).collect()
+    if len(rows) > MOST_PIECES:
+        raise ValueError(f"a vocabulary has at most {MOST_PIECES} pieces")
+    return {row["piece"]: row["score"] for row in rows}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tarnmill.functions.arrays import join_lines, lines_containing
 from tarnmill.markers import BEGIN_COMMENT, BLOCK_SIZE
 from tarnmill.operators import classify, comments, dedup, lexing, packing, splits, subword, tokens, vocab
-from tarnmill.sources.records import read_split, write_csv, write_splits
+from tarnmill.sources.records import write_csv, write_splits
 
 
 class CorpusBuild:
@@ -73,20 +73,25 @@ class CorpusBuild:
         tokenised: DataFrame,
         vocab_size: int = vocab.VOCAB_SIZE,
         num_reserved: int = 0,
-        max_lines: int = vocab.MAX_LINES,
+        character_coverage: float = 1.0,
     ) -> DataFrame:
-        """``piece, id, score`` from all lines, or a sample of about ``max_lines``."""
+        """``piece, id, score`` from all lines."""
         lines = tokenised.select(F.transform("code", lambda line: F.array_join(line, " ")).alias("lines"))
-        lines = vocab.sampled_lines(lines, max_lines)
-        return self._store("vocabulary", vocab.fit_vocabulary(vocab.word_counts(lines), vocab_size, num_reserved))
-
-    def token_dataset(self, tokenised: DataFrame, vocabulary: DataFrame, split: str) -> DataFrame:
-        """``file_id, tokens`` of one split."""
-        wanted = read_split(tokenised.sparkSession, self._path("splits"), split).select("file_id")
-        lines = tokenised.join(wanted, "file_id", "left_semi").select(
-            "file_id", F.transform("code", lambda line: F.array_join(line, " ")).alias("lines")
-        )
-        pieces = lines.withColumn("lines", subword.encode_lines(F.col("lines"), vocab.piece_scores(vocabulary)))
+        words = vocab.word_counts(lines, num_reserved=num_reserved)
+        return self._store("vocabulary", vocab.fit_vocabulary(words, vocab_size, num_reserved, character_coverage=character_coverage))
+
+    def split_lines(self, tokenised: DataFrame) -> DataFrame:
+        """``file_id, lines, split``: the texts meet their split once and are stored by it."""
+        wanted = tokenised.sparkSession.read.parquet(self._path("splits")).select("file_id", "split")
+        lines = F.transform("code", lambda line: F.array_join(line, " ")).alias("lines")
+        path = self._path("split_lines")
+        tokenised.select("file_id", lines).join(wanted, "file_id").write.mode("overwrite").partitionBy("split").parquet(path)
+        return tokenised.sparkSession.read.parquet(path)
+
+    def token_dataset(self, split_lines: DataFrame, vocabulary: DataFrame, split: str, num_reserved: int = 0) -> DataFrame:
+        """``file_id, tokens`` of one split; reads that split's partition only."""
+        lines = split_lines.where(F.col("split") == split).select("file_id", "lines")
+        pieces = lines.withColumn("lines", subword.encode_lines(F.col("lines"), vocab.piece_scores(vocabulary), num_reserved))
         return self._store(f"tokens_{split}", tokens.frame_files(pieces))
 
     def id_dataset(self, token_dataset: DataFrame, vocabulary: DataFrame, split: str) -> DataFrame:
@@ -107,6 +112,7 @@ def build_corpus(
     shares: Mapping[str, float] | None = None,
     chosen: tuple[str, ...] = ("train", "validation", "test"),
     block_size: int = BLOCK_SIZE,
+    num_reserved: int = 0,
 ) -> dict[str, DataFrame]:
     """All stages in order; returns the packed blocks per chosen split."""
     build = CorpusBuild(folder)
@@ -114,9 +120,10 @@ def build_corpus(
     scored = build.classified(commented, model)
     tokenised = build.tokenised(build.selected(commented, scored, threshold))
     build.split(tokenised, **(shares or {}))
-    vocabulary = build.vocabulary(tokenised, vocab_size)
+    vocabulary = build.vocabulary(tokenised, vocab_size, num_reserved)
+    lines = build.split_lines(tokenised)
     result = {}
     for split in chosen:
-        ids = build.id_dataset(build.token_dataset(tokenised, vocabulary, split), vocabulary, split)
+        ids = build.id_dataset(build.token_dataset(lines, vocabulary, split, num_reserved), vocabulary, split)
         result[split] = build.blocks(ids, split, block_size=block_size)
     return result
