@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import lzma
 import tarfile
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -15,6 +17,7 @@ from tarnmill.functions.paths import relative_path, repo_of_path
 from tarnmill.functions.tasks import row_function
 
 MEMBERS_PER_BATCH = 256
+BYTES_PER_BATCH = 32 << 20
 
 _ignore_undecodable = row_function(
     T.StringType(), lambda: lambda raw: None if raw is None else bytes(raw).decode("utf-8", "ignore")
@@ -22,14 +25,17 @@ _ignore_undecodable = row_function(
 
 
 def decode(content: Column) -> Column:
-    """Text of a file: undecodable bytes dropped, line ends unified."""
-    return F.regexp_replace(_ignore_undecodable(content), "\r\n?", "\n")
+    """Text of a file: undecodable bytes dropped, line ends unified. Only content that is
+    not valid UTF-8 leaves the JVM."""
+    raw = content.cast("string")
+    valid = F.is_valid_utf8(raw)
+    repaired = _ignore_undecodable(F.when(~valid, content))
+    return F.regexp_replace(F.when(valid, raw).otherwise(repaired), "\r\n?", "\n")
 
 
-def _binary(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """Files that vanish or cannot be read while a job runs are left out."""
+def _binary(spark: SparkSession, folder: str, pattern: str, skip_unreadable: bool = False) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    return reader.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(folder)
+    return reader.option("ignoreMissingFiles", skip_unreadable).option("ignoreCorruptFiles", skip_unreadable).load(folder)
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.py") -> DataFrame:
@@ -43,13 +49,23 @@ def with_repo(files: DataFrame, base: str) -> DataFrame:
     return named.withColumn("repo", repo_of_path(F.col("filename")))
 
 
-def read_files(spark: SparkSession, folder: str, pattern: str = "*.py") -> DataFrame:
+def read_files(spark: SparkSession, folder: str, pattern: str = "*.py", skip_unreadable: bool = False) -> DataFrame:
     """``file_id, repo, text`` of all files under ``folder/org/name``; the id is the
-    relative path. Files outside a repository have no repo (see ``misplaced``)."""
-    located = with_repo(_binary(spark, folder, pattern), folder)
+    relative path. Files outside a repository have no repo (see ``misplaced``).
+
+    A file that cannot be read ends the job. With ``skip_unreadable`` it has no row here and
+    one in ``unread_files``.
+    """
+    located = with_repo(_binary(spark, folder, pattern, skip_unreadable), folder)
     return located.select(F.col("filename").alias("file_id"), "repo", decode(F.col("content")).alias("text"))
 
 
+def unread_files(spark: SparkSession, folder: str, files: DataFrame, pattern: str = "*.py") -> DataFrame:
+    """``file_id, repo, error`` of the listed files that have no row in the stored ``files``."""
+    listed = with_repo(list_files(spark, folder, pattern), folder).select(F.col("filename").alias("file_id"), "repo")
+    return listed.join(files.select("file_id"), "file_id", "left_anti").withColumn("error", F.lit("unreadable"))
+
+
 def misplaced(files: DataFrame) -> DataFrame:
     """Files that do not lie in a repository folder."""
     return files.where(F.col("repo").isNull())
@@ -58,26 +74,38 @@ def misplaced(files: DataFrame) -> DataFrame:
 def read_archives(
     spark: SparkSession, folder: str, suffixes: Sequence[str] = (".py",), pattern: str = "*.tar.gz"
 ) -> DataFrame:
-    """``archive, member, content`` of the regular files in tar archives whose lower-cased
-    name ends with one of the suffixes; no suffixes keep all. Nothing is written to disk."""
+    """``archive, member, content, error`` of the regular files in tar archives whose
+    lower-cased name ends with one of the suffixes; no suffixes keep all. An archive that
+    breaks off gives the members before the fault and one row with the error. Nothing is
+    written to disk."""
     wanted = tuple(suffixes)
 
+    columns = ["archive", "member", "content", "error"]
+
+    def members(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as archive:
+                for member in archive:
+                    if member.isfile() and (not wanted or member.name.lower().endswith(wanted)):
+                        yield path, member.name, archive.extractfile(member).read(), None
+        except (tarfile.TarError, EOFError, OSError, zlib.error, lzma.LZMAError) as error:
+            yield path, None, None, f"{type(error).__name__}: {error}"
+
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                rows = []
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as archive:
-                    for member in archive:
-                        if member.isfile() and (not wanted or member.name.lower().endswith(wanted)):
-                            rows.append((path, member.name, archive.extractfile(member).read()))
-                        if len(rows) == MEMBERS_PER_BATCH:
-                            yield pd.DataFrame(rows, columns=["archive", "member", "content"])
-                            rows = []
+                rows, held = [], 0
+                for row in members(path, content):
+                    rows.append(row)
+                    held += len(row[2] or b"")
+                    if len(rows) == MEMBERS_PER_BATCH or held >= BYTES_PER_BATCH:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
                 if rows:
-                    yield pd.DataFrame(rows, columns=["archive", "member", "content"])
+                    yield pd.DataFrame(rows, columns=columns)
 
     archives = _binary(spark, folder, pattern).select("path", "content")
-    return archives.mapInPandas(expand, "archive string, member string, content binary")
+    return archives.mapInPandas(expand, "archive string, member string, content binary, error string")
 
 
 def write_selected(files: DataFrame, folder: str, key: str = "file_id") -> None:

@@ -40,6 +40,24 @@ def test_archives(spark, tmp_path):
     kept = files.read_archives(spark, str(tmp_path))
     assert {(r["member"], bytes(r["content"])) for r in kept.collect()} == {("r-main/A.PY", b"x"), ("r-main/c.py", b"z")}
     assert files.read_archives(spark, str(tmp_path), ()).count() == 3
+    # a cut-off archive next to it costs one row with the error, not the job
+    whole = (tmp_path / "r.tar.gz").read_bytes()
+    (tmp_path / "bad.tar.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "none.tar.gz").write_bytes(b"no archive")
+    rows = files.read_archives(spark, str(tmp_path), ()).collect()
+    assert sum(r["error"] is None and r["archive"].endswith("/r.tar.gz") for r in rows) == 3
+    assert sorted(r["archive"].rsplit("/", 1)[1] for r in rows if r["error"]) == ["bad.tar.gz", "none.tar.gz"]
+
+
+def test_unread_files_have_a_row(spark, tmp_path):
+    for name in ("o/r/a.py", "o/r/b.py"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x = 1\r\n")
+    read = files.read_files(spark, str(tmp_path)).where("file_id like '%a.py'")
+    unread = files.unread_files(spark, str(tmp_path), read).collect()
+    assert len(unread) == 1 and unread[0]["file_id"].endswith("b.py") and unread[0]["error"] == "unreadable"
+    assert read.first()["text"] == "x = 1\n"
 
 
 def test_write_selected_skips_existing(spark, tmp_path):
