@@ -1,6 +1,7 @@
 """Hashing, splits, prefix sums, tokens, vocabulary and packing."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -43,18 +44,10 @@ def test_unique_files_with_a_hot_group(spark):
     assert dedup.duplicate_count(dedup.unique_files(meta)).first()[0] == 300
 
 
-def naive_assign(repos, budgets):
-    left, out = list(repos), {}
-    for name, budget in zip(splits.SPLITS, budgets):
-        lines, taken = 0, 0
-        for _, n in left:
-            if lines > budget:
-                break
-            lines += n
-            taken += 1
-        out.update({repo: name for repo, _ in left[:taken]})
-        left = left[taken:]
-    return {**out, **{repo: "validation" for repo, _ in left}}
+def takes_its_share(rows, budget):
+    """The lines of a split pass its budget with the last repository and not before."""
+    lines = [n for _, n in rows]
+    return not rows or sum(lines[:-1]) <= budget
 
 
 @pytest.mark.parametrize("budgets", [(4, 4, 4), (5, 0, 0), (0, 0, 0), (17, 30, 200), (10**6, 1, 1)])
@@ -67,7 +60,17 @@ def test_assign_repos(spark, budgets):
     limits = spark.createDataFrame([budgets], "exclude_lines bigint, test_lines bigint, train_lines bigint")
     order = sorted(((r[0], r[2]) for r in repos), key=lambda r: hashlib.md5((splits.SEED + r[0]).encode()).hexdigest())
     got = {r["repo"]: r["split"] for r in splits.assign_repos(df, limits).collect()}
-    assert got == naive_assign(order, budgets)
+    names = [got[repo] for repo, _ in order]
+    # the splits follow each other in shuffled order
+    assert names == sorted(names, key=[*splits.SPLITS, "validation"].index)
+    for place, (name, budget) in enumerate(zip(splits.SPLITS, budgets)):
+        own = [row for row in order if got[row[0]] == name]
+        earlier = set([*splits.SPLITS][:place])
+        left = [row for row in order if got[row[0]] not in earlier]
+        assert takes_its_share(own, budget)
+        # it goes on until the budget is passed or nothing is left; an empty one takes one
+        assert sum(n for _, n in own) > budget or own == left
+        assert own or not left
 
 
 def test_split_statistics_have_all_rows(spark):
@@ -87,18 +90,31 @@ def test_split_files_with_a_hot_repo(spark):
     assert got.where("repo = 'hot' and split <> 'train'").count() == 0
 
 
-@pytest.mark.parametrize("partitions", [1, 8])
-def test_running_total(spark, partitions):
+@pytest.mark.parametrize("partitions", [1, 8, 1024])
+def test_running_total(spark, partitions, tmp_path):
     rng = random.Random(3)
     rows = [(f"k{rng.randint(0, 9)}", i, rng.randint(0, 50)) for i in range(2000)]
     expected, total = {}, 0
     for k, i, n in sorted(rows):
         expected[k, i] = total
         total += n
-    df = spark.createDataFrame(rows, "k string, i int, n int").repartition(partitions)
-    got = prefix.running_total(df, ["k", "i"], {"before": F.col("n")})
-    assert {(r["k"], r["i"]): r["before"] for r in got.collect()} == expected
-    assert got.columns == ["k", "i", "n", "before"]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.createDataFrame(rows, "k string, i int, n int")
+        got = prefix.running_total(df, ["k", "i"], {"before": F.col("n")})
+        assert {(r["k"], r["i"]): r["before"] for r in got.collect()} == expected
+        assert got.columns == ["k", "i", "n", "before"]
+        # one key column, as numbers and as strings, from a range and from a file
+        numbers = spark.range(3000).withColumn("s", F.concat(F.lit("key "), F.lpad("id", 6, "0")))
+        numbers.write.parquet(str(tmp_path / "n"))
+        for source in (numbers, spark.read.parquet(str(tmp_path / "n"))):
+            for key in ("id", "s"):
+                placed = prefix.running_total(source, [key], {"place": F.lit(1), "sum": F.col("id")})
+                assert placed.where("place <> id or sum <> id * (id - 1) / 2").isEmpty() and placed.count() == 3000
+        assert prefix.running_total(numbers.limit(0), ["id"], {"place": F.lit(1)}).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_take_fraction(spark):
@@ -174,8 +190,6 @@ def all_segmentations(word, scores):
 
 
 def test_expected_counts_and_best_path():
-    import math
-
     scores = {p: math.log(w) for p, w in {"a": 0.3, "b": 0.2, "ab": 0.25, "ba": 0.1, "aba": 0.15}.items()}
     scaled = {p: math.exp(s + vocab.NATS_PER_CHAR * len(p)) for p, s in scores.items()}
     for word in ["a", "ab", "abab", "ababa"]:
@@ -188,7 +202,7 @@ def test_expected_counts_and_best_path():
         counts = vocab.expected_counts(word, scaled, 3)
         assert {p: round(c, 9) for p, c in counts.items() if c} == {p: round(c, 9) for p, c in expected.items()}
         best = max(ways, key=lambda w: w[1])
-        assert math.isclose(subword.best_path(word, scores, -3.0)[1], best[1])
+        assert math.isclose(subword.best_path(word, scores, -3.0, 3)[1], best[1])
     long = vocab.expected_counts("ab" * 3000, {p: s * 1e9 for p, s in scaled.items()}, 3)
     assert abs(sum(len(p) * c for p, c in long.items()) - 6000) < 1
 
@@ -233,8 +247,42 @@ def test_seed_limit_keeps_the_best(spark):
     assert {r["piece"] for r in limited.collect()} == {r["piece"] for r in best.collect()}
 
 
-def test_sampled_lines(spark):
-    files = spark.createDataFrame([(i, [f"line {i} {k}" for k in range(100)]) for i in range(50)], "i int, lines array<string>")
-    count = F.sum(F.size("lines"))
-    assert vocab.sampled_lines(files, 5000).agg(count).first()[0] == 5000
-    assert 800 < vocab.sampled_lines(files, 1000).agg(count).first()[0] < 1200
+@pytest.mark.parametrize("times", [151, 1000])
+def test_expected_counts_of_long_words(times):
+    scores = {"a": -12.0, "b": -12.0, "abb": -13.0, "bab": -20.0}
+    word = "bbabb" * times
+    n = len(word)
+
+    def add(values):
+        top = max(values, default=-math.inf)
+        return top if top == -math.inf else top + math.log(sum(math.exp(v - top) for v in values))
+
+    until, after = [0.0] * (n + 1), [0.0] * (n + 1)
+    for i in range(1, n + 1):
+        until[i] = add([until[i - len(p)] + s for p, s in scores.items() if word[:i].endswith(p, max(0, i - 3))])
+    for i in range(n - 1, -1, -1):
+        after[i] = add([after[i + len(p)] + s for p, s in scores.items() if word.startswith(p, i)])
+    want = {p: sum(math.exp(until[i] + s + after[i + len(p)] - until[n]) for i in range(n) if word.startswith(p, i)) for p, s in scores.items()}
+    weights = {p: math.exp(s + vocab.NATS_PER_CHAR * len(p)) for p, s in scores.items()}
+    got = vocab.expected_counts(word, weights, 3)
+    assert {p: pytest.approx(c, rel=1e-6, abs=1e-9) for p, c in want.items()} == {p: got.get(p, 0.0) for p in scores}
+
+
+def test_words_that_cannot_be_spelled_count_nothing():
+    assert vocab.expected_counts("axb", {"a": 1.0, "b": 1.0}, 2) == {}
+
+
+def test_character_coverage(spark):
+    words = spark.createDataFrame([("▁aaab", 1000), ("▁a]é", 1)], "word string, n bigint")
+    pieces = {r["piece"] for r in vocab.fit_vocabulary(words, 60, character_coverage=0.999).collect()}
+    assert {"▁", "a", "b"} <= pieces and not any(c in p for p in pieces - set(reserved_symbols()) for c in "é]")
+    assert "é" in {r["piece"] for r in vocab.fit_vocabulary(words, 60).collect()}
+
+
+def test_encoding_takes_the_longest_piece(spark):
+    piece = "▁" + "long" * 10
+    df = spark.createDataFrame([([piece[1:]],)], "lines array<string>")
+    assert df.select(subword.encode_lines(F.col("lines"), {piece: -1.0, "l": -2.0})).first()[0] == [[piece]]
+    reserved = spark.createDataFrame([(["<RES0> <RES3>"],)], "lines array<string>")
+    got = reserved.select(subword.encode_lines(F.col("lines"), {"<": -1.0, "▁": -1.0}, 3)).first()[0][0]
+    assert got[0] == "<RES0>" and "<RES3>" not in got

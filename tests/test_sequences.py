@@ -1,4 +1,4 @@
-"""Sequence construction against a naive per-file reading of the rules."""
+"""Sequence construction on files whose places are known from how they are built."""
 
 import random
 
@@ -12,111 +12,116 @@ from tarnmill.operators.tokens import reserved_table
 DEF = "▁def"
 
 
-def naive_blocks(tokens):
-    """Relative indent levels with a stack, one level per open function."""
-    outer, stack, level, body, head = [], [], 0, None, False
-    for i, token in enumerate(tokens):
-        if token == DEF:
-            stack.append((body, level))
-            body, level, head = [0, 0], 0, True
-        elif token == INDENT:
-            level += 1
-        elif token == DEDENT:
-            level -= 1
-            if level == 0 and stack:
-                body[1] = i
-                done = body
-                body, level = stack.pop()
-                if not stack:
-                    outer.append(tuple(done))
-        elif head and token == END_LINE:
-            if body is not None:
-                body[0] = i + 1
-            head = False
-    return outer
-
-
-def naive_pairs(tokens, max_context, max_target, lines, fold):
-    blocks = naive_blocks(tokens) if fold else []
-    out = []
-    number = -1
-    for i, token in enumerate(tokens):
-        if token != END_COMMENT:
-            continue
-        number += 1
-        end = i + 2
-        target, at = [], end
-        for _ in range(lines):
-            if END_LINE in tokens[at:]:
-                stop = tokens.index(END_LINE, at) + 1
-                target += tokens[at:stop]
-                at = stop
-        if (len(target) == 0) if max_target == -1 else (len(target) >= max_target):
-            continue
-        if fold and end > max_context:
-            shown, length = list(tokens[:end]), end
-            for start, stop in blocks:
-                if length <= max_context or stop >= end:
-                    break
-                shown[start:stop] = [None] * (stop - start - 1) + [MISSING]
-                length -= stop - start - 1
-            context = [t for t in shown if t is not None][-max_context:]
-        else:
-            context = tokens[max(0, end - max_context) : end]
-        out.append((number, context, target))
-    return out
-
-
-def random_file(rng, well_formed):
-    tokens = ["<BOF>"]
-    depth = 0
-    for _ in range(rng.randint(0, 25)):
-        if depth and rng.random() < 0.3:
-            tokens.append(DEDENT)
-            depth -= 1
+class Source:
+    """A file built from nested functions, comments and lines, which knows its places."""
+
+    def __init__(self, rng):
+        self.rng, self.tokens = rng, ["<BOF>"]
+        self.comments, self.line_stops, self.bodies = [], [], []
+        for _ in range(rng.randint(0, 7)):
+            self.item(0)
+        self.tokens.append("<EOF>")
+
+    def line(self, *tokens):
+        self.tokens += [*tokens, END_LINE]
+        self.line_stops.append(len(self.tokens))
+
+    def item(self, depth):
+        rng = self.rng
         kind = rng.random()
-        if kind < 0.25:
-            tokens += [DEF, "f", ":", END_LINE, INDENT]
-            depth += 1
-        elif kind < 0.45:
-            tokens += [BEGIN_COMMENT, *rng.choices("abc", k=rng.randint(0, 3)), END_COMMENT]
-        tokens += rng.choices("uvwxyz", k=rng.randint(0, 5)) + [END_LINE]
-    if well_formed:
-        tokens += [DEDENT] * depth + ["<EOF>"]
-    else:
-        for _ in range(rng.randint(0, 6)):
-            tokens.insert(rng.randint(0, len(tokens)), rng.choice([BEGIN_COMMENT, END_COMMENT, END_LINE, INDENT, DEDENT]))
-    return tokens
+        words = rng.choices("uvwxyz", k=rng.randint(0, 5))
+        if kind < 0.35 and depth < 3:
+            self.line(DEF, "f", ":")
+            start = len(self.tokens)
+            self.tokens.append(INDENT)
+            for _ in range(rng.randint(1, 4)):
+                self.item(depth + 1)
+            if depth == 0:
+                self.bodies.append((start, len(self.tokens)))
+            self.tokens.append(DEDENT)
+        elif kind < 0.65:
+            self.tokens += [BEGIN_COMMENT, *rng.choices("abc", k=rng.randint(0, 3)), END_COMMENT]
+            self.comments.append(len(self.tokens) - 1)
+            self.line(*words)
+        else:
+            self.line(*words)
+
+    def target(self, cut, lines):
+        following = [stop for stop in self.line_stops if stop > cut][:lines]
+        return self.tokens[cut : following[-1]] if following else []
+
+    def context(self, cut, most, fold):
+        """The last ``most`` tokens; the fewest first functions that make the text fit
+        have their bodies replaced by the marker."""
+        whole = [body for body in self.bodies if body[1] < cut] if fold else []
+        saved = [sum(b - a - 1 for a, b in whole[:k]) for k in range(len(whole) + 1)]
+        folds = next((k for k, s in enumerate(saved) if cut - s <= most), len(whole))
+        edges = [0, *[x for body in whole[:folds] for x in body], cut]
+        shown = [self.tokens[a:b] for a, b in zip(edges[::2], edges[1::2])]
+        text = [t for k, part in enumerate(shown) for t in ([MISSING] if k else []) + part]
+        return text[-most:]
+
+    def pairs(self, most, max_target, lines, fold):
+        rows = []
+        for number, at in enumerate(self.comments):
+            target = self.target(at + 2, lines)
+            if (0 < len(target)) if max_target == -1 else len(target) < max_target:
+                rows.append((number, self.context(at + 2, most, fold), target))
+        return rows
+
+
+def found_pairs(df, *settings):
+    found = {}
+    for row in sequences.comment_pairs(df, *settings).collect():
+        found.setdefault(row["file_id"], []).append((row["comment_no"], row["context"], row["target"]))
+    return {i: sorted(rows) for i, rows in found.items()}
 
 
-@pytest.mark.parametrize("well_formed", [True, False])
 @pytest.mark.parametrize("fold", [False, True])
 @pytest.mark.parametrize("max_target, lines", [(80, 2), (6, 1), (-1, 3)])
-def test_pairs_match_naive_reading(spark, monkeypatch, fold, max_target, lines, well_formed):
-    monkeypatch.setattr(sequences, "COMMENTS_AT_ONCE", 2 if well_formed else 1024)
+def test_pairs_of_built_files(spark, monkeypatch, fold, max_target, lines):
+    monkeypatch.setattr(sequences, "COMMENTS_AT_ONCE", 2)
     rng = random.Random(11)
-    files = {i: random_file(rng, well_formed) for i in range(150)}
-    if fold and not well_formed:
-        files = {i: t for i, t in files.items() if all(a < b for a, b in naive_blocks(t)) and ordered(naive_blocks(t))}
-    df = spark.createDataFrame(list(files.items()), "file_id int, tokens array<string>")
-    got = sequences.comment_pairs(df, 12, max_target, lines, fold)
-    found = {}
-    for row in got.collect():
-        found.setdefault(row["file_id"], []).append((row["comment_no"], row["context"], row["target"]))
-    for i, tokens in files.items():
-        assert sorted(found.get(i, [])) == naive_pairs(tokens, 12, max_target, lines, fold), tokens
+    files = {i: Source(rng) for i in range(150)}
+    df = spark.createDataFrame([(i, f.tokens) for i, f in files.items()], "file_id int, tokens array<string>")
+    got = found_pairs(df, 12, max_target, lines, fold)
+    for i, source in files.items():
+        assert got.get(i, []) == source.pairs(12, max_target, lines, fold), source.tokens
 
 
-def ordered(blocks):
-    return all(a[1] <= b[0] and a[0] > 0 for a, b in zip(blocks, blocks[1:])) and all(b[0] > 0 for b in blocks)
+def broken(rng):
+    tokens = Source(rng).tokens[:-1]
+    for _ in range(rng.randint(1, 6)):
+        tokens.insert(rng.randint(0, len(tokens)), rng.choice([BEGIN_COMMENT, END_COMMENT, END_LINE, INDENT, DEDENT]))
+    return tokens
 
 
-def test_function_blocks_match_naive_reading(spark):
-    rng = random.Random(5)
-    files = {i: random_file(rng, i % 2 == 0) for i in range(300)}
+@pytest.mark.parametrize("fold", [False, True])
+def test_pairs_of_malformed_files(spark, fold):
+    rng = random.Random(12)
+    files = {i: broken(rng) for i in range(150)}
     df = spark.createDataFrame(list(files.items()), "file_id int, tokens array<string>")
+    plain, got = found_pairs(df, 12, -1, 2, False), found_pairs(df, 12, -1, 2, fold)
+    for i, rows in got.items():
+        ends = [k for k, token in enumerate(files[i]) if token == END_COMMENT]
+        # folding changes contexts only
+        assert [(n, target) for n, _, target in rows] == [(n, target) for n, _, target in plain[i]]
+        for number, context, target in rows:
+            text = files[i][: ends[number] + 2]
+            assert len(context) <= 12 and target and target[-1] == END_LINE and target.count(END_LINE) <= 2
+            assert files[i][len(text) : len(text) + len(target)] == target
+            if not fold or MISSING not in context:
+                assert not fold or len(text) > 12 or context == text
+            if not fold:
+                assert context == text[-12:]
+
+
+def test_function_blocks_of_built_files(spark):
+    rng = random.Random(5)
+    files = {i: Source(rng) for i in range(300)}
+    df = spark.createDataFrame([(i, f.tokens) for i, f in files.items()], "file_id int, tokens array<string>")
     for row in df.select("file_id", sequences.function_blocks(F.col("tokens"), DEF).alias("b")).collect():
-        assert [(b["body_start"], b["body_end"]) for b in row["b"]] == naive_blocks(files[row["file_id"]])
+        assert [(b["body_start"], b["body_end"]) for b in row["b"]] == files[row["file_id"]].bodies
 
 
 def test_comment_words_start_after_the_last_begin(spark):
