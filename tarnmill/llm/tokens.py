@@ -2,7 +2,7 @@
 
 White space separates pieces before any merging in the tokenizer used here, so a text's ids
 are those of its white-space separated parts. Every task keeps the ids of parts it has
-seen (up to ``MEMORY`` parts, then it starts anew) and sends only new parts to the
+seen (up to ``MEMORY`` parts) and sends only new parts to the
 library. Texts whose part borders could matter are encoded whole.
 """
 
@@ -38,30 +38,28 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         # letters, then signs: the tokenizer splits such a part between the two
         self.shape = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}']*)")
-        self.forget()
-
-    def forget(self) -> None:
         # where the ids of a part begin and end
         self.known: dict[str, int] = {}
         self.begin, self.end = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.letters: dict[str, list[int]] = {}
-        self.signs: dict[str, list[int]] = {"": []}
+        # packed ids (little-endian u32) of the letters and the signs of parts
+        self.letters: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {"": b""}
         self.ids = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def whole(self, text: str) -> bytes:
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def spell(self, words: list[str]) -> None:
         """Remember the ids of words of letters only, many words to a call."""
         for at in range(0, len(words), 4000):
             some = words[at : at + 4000]
             encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, owners = encoded.ids, np.array(encoded.word_ids, np.int64)
+            ids, owners = packed(encoded.ids), np.array(encoded.word_ids, np.int64)
             if owners[-1] + 1 != len(some):
                 self.letters.update((word, self.whole(word)) for word in some)
                 continue
-            cuts = np.searchsorted(owners, np.arange(len(some) + 1)).tolist()
+            cuts = (4 * np.searchsorted(owners, np.arange(len(some) + 1))).tolist()
             self.letters.update(zip(some, [ids[a:b] for a, b in zip(cuts, cuts[1:])]))
 
     def learn(self, parts: list[str]) -> None:
@@ -72,12 +70,12 @@ class Encoder:
         self.spell(list({m[0] for m in shapes if m}.difference(letters)))
         signs.update((tail, self.whole(tail)) for tail in {m[1] for m in shapes if m}.difference(signs))
         pieces = [letters[m[0]] + signs[m[1]] if m else self.whole(part) for part, m in zip(parts, shapes)]
-        n, sizes = len(self.known), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        n, sizes = len(self.known), np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
         stops = self.used + np.cumsum(sizes)
         self.begin, self.end = grown(self.begin, n + len(parts)), grown(self.end, n + len(parts))
         self.begin[n : n + len(parts)], self.end[n : n + len(parts)] = stops - sizes, stops
         self.ids = grown(self.ids, int(stops[-1]))
-        self.ids[self.used : stops[-1]] = np.fromiter(chain.from_iterable(pieces), np.uint32, int(stops[-1]) - self.used)
+        self.ids[self.used : stops[-1]] = np.frombuffer(b"".join(pieces), "<u4")
         self.used = int(stops[-1])
         self.known.update(zip(parts, range(n, n + len(parts))))
 
@@ -88,19 +86,25 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds of every text in them); null texts have no ids."""
-        if len(self.known) > MEMORY:
-            self.forget()
-        whole = {k: np.array(self.whole(text), np.uint32) for k, text in enumerate(texts) if text and any(c in text for c in _ODD)}
+        whole = {k: np.frombuffer(self.whole(text), "<u4") for k, text in enumerate(texts) if text and any(c in text for c in _ODD)}
         parts_of = [[] if k in whole else (text or "").split() for k, text in enumerate(texts)]
-        new = set().union(*parts_of).difference(self.known)
+        new = list(set().union(*parts_of).difference(self.known))
+        used = self.used
         if new:
-            self.learn(list(new))
+            self.learn(new)
         per_text = np.cumsum([len(parts) for parts in parts_of])
         flat = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts_of)), np.int64, int(per_text[-1]) if len(texts) else 0)
         begins, lengths = self.begin[flat], self.end[flat] - self.begin[flat]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.repeat(begins - (ends - lengths), lengths) + np.arange(total)]
+        if len(self.known) > MEMORY:
+            # what was learned last is forgotten first: frequent parts came early
+            for part in new:
+                del self.known[part]
+            self.used = used
+        if len(self.letters) > MEMORY:
+            self.letters.clear()
         bounds = np.zeros(len(texts) + 1, np.int64)
         if len(texts):
             bounds[1:] = np.append(0, ends)[per_text]
@@ -111,6 +115,10 @@ class Encoder:
         return ids, bounds
 
 
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
 def grown(array: np.ndarray, size: int) -> np.ndarray:
     if len(array) >= size:
         return array
