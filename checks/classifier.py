@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import standins as s
 from tarnmill.functions.text import clean_comment
 from tarnmill.operators import classify
+from tarnmill.session import stored
 from tarnmill.sources import records
 
 QUERIES, ORACLES, query = s.registry()
@@ -120,38 +121,34 @@ def prediction_report(spark, sf):
 
 # ---------------------------------------------------------------- learners (no SQL)
 
-# few labelled rows need few hash buckets
-SMALL = {"num_features": 1 << 14, "max_iter": 20}
-
-
 def _labelled(spark, sf):
     """Cleaned labelled documents with three folds of training and validation rows."""
     rows = s.predictions(spark, sf).select("file_id", "label", clean_comment(F.col("text")).alias("text"))
     folds = rows.withColumn("fold", F.explode(F.array(*[F.lit(i) for i in range(3)])))
     held_out = F.pmod(F.xxhash64("file_id", "fold"), F.lit(5)) == 0
-    return folds.withColumn("part", F.when(held_out, "valid").otherwise("train")).cache()
+    return stored(folds.withColumn("part", F.when(held_out, "valid").otherwise("train")))
 
 
 @query("word_vectors")
 def word_vectors(spark, sf):
     cleaned = s.files(spark, sf).select(clean_comment(F.col("text")).alias("text"))
-    vectors = records.vector_table(classify.word_vectors(cleaned, 100, min_count=20))
+    vectors = records.vector_table(classify.word_vectors(cleaned, 100))
     return vectors.select("word", F.size("vector").alias("dim"))
 
 
 @query("fold_predictions")
 def fold_predictions(spark, sf):
-    return classify.predict_folds(_labelled(spark, sf), SMALL, 3)
+    return classify.predict_folds(_labelled(spark, sf), classify.DEFAULTS, 3)
 
 
 @query("grid_results")
 def grid_results(spark, sf):
-    grid = {"word_ngrams": [1, 2], "reg": [0.001, 0.01], "num_features": [1 << 14], "max_iter": [20]}
+    grid = {"word_ngrams": [1, 2], "num_features": [1 << 16], "reg": [0.001, 0.01], "max_iter": [25]}
     return classify.grid_search(_labelled(spark, sf), 3, grid)
 
 
 @query("predicted_comments")
 def predicted_comments(spark, sf):
-    model = classify.fit_classifier(_labelled(spark, sf).where("fold = 0 AND part = 'train'"), SMALL)
+    model = classify.fit_classifier(_labelled(spark, sf).where("fold = 0 AND part = 'train'"), classify.DEFAULTS)
     comments = s.files(spark, sf).select("file_id", F.posexplode("lines").alias("block_no", "text"))
     return classify.predict(model, comments).select("file_id", "block_no", "label", "prob")

@@ -40,9 +40,43 @@ def split_partition(spark, sf):
     return records.read_split(spark, folder, "train").select("file_id", "repo")
 
 
+def _text_files(spark, sf):
+    """A folder with one text file for each document."""
+    folder = s.scratch(spark)
+    s.files(spark, sf).select(F.col("file_id").alias("doc"), "text").repartition("doc").write.partitionBy("doc").text(folder)
+    return folder
+
+
+def _doc_of(path):
+    return F.regexp_extract(path, "/doc=([0-9]+)/", 1).cast("bigint").alias("file_id")
+
+
 @query("lines_in_order", f"WITH {s.LINES} SELECT file_id, CAST(line_no - 1 AS INTEGER) AS line_no, line FROM line_rows")
 def lines_in_order(spark, sf):
-    return s.files(spark, sf).select("file_id", F.posexplode("lines").alias("line_no", "line"))
+    return records.read_lines(spark, _text_files(spark, sf)).select(_doc_of(F.col("path")), "line_no", "line")
+
+
+@query("listed_files", "SELECT doc_id AS file_id, CAST(strlen(text) + 1 AS BIGINT) AS length FROM documents")
+def listed_files(spark, sf):
+    return file_source.list_files(spark, _text_files(spark, sf), "*.txt").select(_doc_of(F.col("path")), "length")
+
+
+@query("files_as_text", "SELECT doc_id AS file_id, md5(replace(text, chr(13), chr(10)) || chr(10)) AS digest FROM documents")
+def files_as_text(spark, sf):
+    read = file_source.read_files(spark, _text_files(spark, sf), "*.txt")
+    return read.select(_doc_of(F.concat(F.lit("/"), "file_id")), F.md5("text").alias("digest"))
+
+
+@query(
+    "vector_text",
+    "SELECT 'v' || vec_id AS word, CAST(len(embedding) AS INTEGER) AS dim, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total FROM embeddings",
+)
+def vector_text(spark, sf):
+    folder = s.scratch(spark)
+    vectors = s.table(spark, sf, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("word"), F.col("embedding").alias("vector"))
+    records.write_vectors(vectors, folder)
+    total = F.aggregate("vector", F.lit(0.0), lambda t, x: t + x.cast("double"))
+    return records.read_vectors(spark, folder).select("word", F.size("vector").alias("dim"), F.round(total, 5).alias("total"))
 
 
 @query("id_table", f"WITH {s.IDS} SELECT file_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS ids FROM ids GROUP BY file_id")

@@ -116,8 +116,10 @@ def folded_contexts(spark, sf):
 @query(
     "suitable_pairs",
     f"""WITH {s.TOKENS},{s.PAIRS},
-    texts AS (SELECT g.file_id, comment_no, length(replace(r.line, ' ', '')) AS n
-      FROM gated g JOIN tok t ON t.file_id = g.file_id AND t.pos = g.pos JOIN line_rows r ON r.file_id = t.file_id AND r.line_no = t.line_no)
+    spoken AS (
+      SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY line_no) - 1 AS comment_no, length(replace(line, ' ', '')) AS n
+      FROM code WHERE is_comment),
+    texts AS (SELECT g.file_id, g.comment_no, n FROM gated g JOIN spoken USING (file_id, comment_no))
     SELECT file_id, CAST(comment_no AS INTEGER) AS comment_no FROM texts WHERE n % 2 = 0 AND CAST(n % 10 AS DOUBLE) / CAST(10 AS DOUBLE) >= CAST(0.5 AS DOUBLE)""",
 )
 def suitable_pairs(spark, sf):

@@ -39,11 +39,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
-    """``fold, part, label, text`` from files named ``*_<fold>.train`` and ``*_<fold>.valid``."""
+    """``fold, part, label, text`` from files named ``*_<fold>.train`` and ``*_<fold>.valid``.
+
+    Lines without a label, blank ones among them, are skipped."""
     lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value")
     name = r"_(\d+)\.(train|valid)$"
     line = r"^__label__(\S+) ?(.*)$"
-    return lines.select(
+    return lines.where(F.col("value").rlike(line)).select(
         F.regexp_extract("file", name, 1).cast("int").alias("fold"),
         F.regexp_extract("file", name, 2).alias("part"),
         F.regexp_extract("value", line, 1).alias("label"),
@@ -67,7 +69,9 @@ def write_vectors(vectors: DataFrame, path: str) -> None:
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    parts = spark.read.text(path).select(F.split("value", " ").alias("p")).where(F.size("p") > 2)
+    # the header has two whole numbers; written vector values always have a point
+    lines = spark.read.text(path).where(~F.col("value").rlike("^[0-9]+ [0-9]+$"))
+    parts = lines.select(F.split("value", " ").alias("p")).where(F.size("p") > 1)
     return parts.select(
         F.element_at("p", 1).alias("word"),
         F.slice("p", F.lit(2), F.size("p") - 1).cast("array<float>").alias("vector"),
