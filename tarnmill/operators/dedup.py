@@ -18,6 +18,7 @@ GRAM_WIDTH = 4
 NOT_WORD = re.compile(r"\W+")
 
 MEMO_GRAMS = 1 << 18
+NEW_GRAMS = 1 << 13
 PIECE_CHARS = 1 << 20
 _BIT_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 
@@ -27,29 +28,43 @@ def _low_digest(gram: str) -> int:
 
 
 class _Digests:
-    """Digests of packed grams already seen by this task, sorted by gram."""
+    """Digests of packed grams already seen by this task, sorted by gram.
 
-    def __init__(self):
-        self.forget()
+    New grams go to a small table first, which joins the large one when it is full, so that
+    no file copies the large one.
+    """
 
-    def forget(self):
+    def __init__(self):
         # the empty gram never occurs packed, so it can stand in front
-        self.grams = np.zeros(1, np.uint64)
-        self.digests = np.zeros(1, np.uint64)
+        self.grams, self.digests = np.zeros(1, np.uint64), np.zeros(1, np.uint64)
+        self.new_grams, self.new_digests = self.grams, self.digests
 
     def of(self, grams: np.ndarray) -> np.ndarray:
-        if len(self.grams) > MEMO_GRAMS:
-            self.forget()
-        place = np.searchsorted(self.grams, grams)
-        missing = self.grams[np.minimum(place, len(self.grams) - 1)] != grams
-        if missing.any():
-            unseen = grams[missing]
+        found = np.zeros(len(grams), np.uint64)
+        left = np.arange(len(grams))
+        for known, digests in ((self.grams, self.digests), (self.new_grams, self.new_digests)):
+            place = np.minimum(np.searchsorted(known, grams[left]), len(known) - 1)
+            hit = known[place] == grams[left]
+            found[left[hit]] = digests[place[hit]]
+            left = left[~hit]
+        if len(left):
+            unseen = grams[left]
             letters = unseen.astype(">u8").tobytes().decode("utf-16-be")
-            fresh = [_low_digest(letters[i : i + GRAM_WIDTH]) for i in range(0, len(letters), GRAM_WIDTH)]
-            self.digests = np.insert(self.digests, place[missing], np.array(fresh, np.uint64))
-            self.grams = np.insert(self.grams, place[missing], unseen)
-            place = np.searchsorted(self.grams, grams)
-        return self.digests[place]
+            found[left] = [_low_digest(letters[i : i + GRAM_WIDTH]) for i in range(0, len(letters), GRAM_WIDTH)]
+            self.new_grams, self.new_digests = self._merged(self.new_grams, self.new_digests, unseen, found[left])
+        if len(self.new_grams) > NEW_GRAMS:
+            if len(self.grams) > MEMO_GRAMS:
+                self.grams, self.digests = self.new_grams, self.new_digests
+            else:
+                self.grams, self.digests = self._merged(self.grams, self.digests, self.new_grams[1:], self.new_digests[1:])
+            self.new_grams, self.new_digests = self.grams[:1], self.digests[:1]
+        return found
+
+    @staticmethod
+    def _merged(grams, digests, more_grams, more_digests):
+        every = np.concatenate([grams, more_grams])
+        order = np.argsort(every, kind="stable")
+        return every[order], np.concatenate([digests, more_digests])[order]
 
 
 def _weighted_digests(text: str, memo: _Digests) -> tuple[np.ndarray, np.ndarray]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 64
+# least number of tasks that share the rows of a hot key
 HOT_SPREAD = 32
 
 
@@ -21,15 +22,17 @@ def join_on_skewed_key(
 ) -> DataFrame:
     """Join ``big`` to ``small`` (unique on ``key``) with the rows of hot keys spread.
 
-    Rows of a hot key get one of 32 salts from ``spread_by``, and only the hot rows of
-    the small side are repeated, so at most 64 x 32 rows are added. Whether the small
-    side is broadcast is left to its measured size.
+    Rows of a hot key get one of as many salts from ``spread_by`` as a shuffle has
+    partitions (32 at least), and only the hot rows of the small side are repeated, so at
+    most 64 rows for each salt are added. Whether the small side is broadcast is left to
+    its measured size.
     """
     if not hot:
         return big.join(small, key, how)
+    spread = max(HOT_SPREAD, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     is_hot = F.col(key).isin(hot)
-    salt = F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(HOT_SPREAD))).otherwise(F.lit(0))
+    salt = F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(spread))).otherwise(F.lit(0))
     salted = big.withColumn("__salt", salt.cast("int"))
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
     repeated = small.withColumn("__salt", F.explode(salts))
     return salted.join(repeated, [key, "__salt"], how).drop("__salt")

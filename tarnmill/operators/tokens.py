@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnmill.markers import BEGIN_FILE, CONTROL_IDS, END_FILE, END_LINE, UNKNOWN, WORD_START, reserved_symbols
+from tarnmill.operators.skew import hot_keys, join_on_skewed_key
 from tarnmill.session import cut_lineage
 
 # A vocabulary up to this size is sent to every task; a larger one is joined.
@@ -60,19 +61,16 @@ def _sent_pieces(vocab: DataFrame) -> tuple[pa.Array, pa.Array] | None:
 
 
 def _map_by_join(df: DataFrame, column: str, out: str, table: DataFrame, key: str, value: str, missing) -> DataFrame:
-    """Map array elements by an equi-join of the distinct elements of each row.
+    """Map array elements by an equi-join of all elements with the table.
 
-    Rows of frequent elements are spread by a salt; the table is repeated to match.
+    Elements that hold more than their share of all places, such as the end of a line, are
+    counted first; their rows are spread and the table repeats only them.
     """
-    salts = 16
-    tagged = df.withColumn("__row", F.monotonically_increasing_id())
-    # the row numbers must not change between the two readings below
-    tagged = cut_lineage(tagged)
-    parts = tagged.select("__row", F.posexplode(column).alias("__at", key)).withColumn(
-        "__salt", F.pmod(F.xxhash64("__row"), F.lit(salts)).cast("int")
-    )
-    repeated = table.select(key, value).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    mapped = parts.join(repeated, [key, "__salt"], "left").groupBy("__row").agg(
+    # the row numbers must not change between the readings below
+    tagged = cut_lineage(df.withColumn("__row", F.monotonically_increasing_id()))
+    parts = tagged.select("__row", F.posexplode(column).alias("__at", key))
+    hot = [found for found in hot_keys(parts.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, "n") if found is not None]
+    mapped = join_on_skewed_key(parts, table.select(key, value), key, "__row", hot, "left").groupBy("__row").agg(
         F.array_sort(F.collect_list(F.struct("__at", F.coalesce(value, F.lit(missing)).alias("v")))).alias("__m")
     )
     joined = tagged.join(mapped, "__row", "left")

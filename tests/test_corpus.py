@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +37,31 @@ def test_simhash_of_long_texts_in_pieces(monkeypatch):
         assert dedup._vote(text, dedup._Digests()) == naive_simhash(text)
 
 
+def test_digests_are_the_same_whatever_is_remembered(monkeypatch):
+    rng = np.random.default_rng(4)
+    letters = np.array([ord(c) for c in "abcdefghij"], np.uint64)
+    batches = []
+    for _ in range(30):
+        four = rng.choice(letters, (50, 4))
+        batches.append(np.unique(four[:, 0] << np.uint64(48) | four[:, 1] << np.uint64(32) | four[:, 2] << np.uint64(16) | four[:, 3]))
+    want = [dedup._Digests().of(grams).tolist() for grams in batches]
+    for new, most in ((1 << 13, 1 << 18), (60, 200), (0, 0)):
+        monkeypatch.setattr(dedup, "NEW_GRAMS", new)
+        monkeypatch.setattr(dedup, "MEMO_GRAMS", most)
+        memo = dedup._Digests()
+        assert [memo.of(grams).tolist() for grams in batches] == want
+
+
+def test_lookup_by_join_with_a_hot_piece(spark, monkeypatch):
+    rows = [(i, ["<EOL>"] * 18 + [f"p{i % 7}", "zzz"]) for i in range(200)] + [(900, []), (901, None)]
+    df = spark.createDataFrame(rows, "file_id int, tokens array<string>")
+    vocab_table = spark.createDataFrame([("<EOL>", 5), *[(f"p{k}", 10 + k) for k in range(7)]], "piece string, id int")
+    sent = {r["file_id"]: r["ids"] for r in tokens.pieces_to_ids(df, vocab_table).collect() if r["ids"]}
+    monkeypatch.setattr(tokens, "MAX_SENT_PIECES", 2)
+    joined = {r["file_id"]: r["ids"] for r in tokens.pieces_to_ids(df, vocab_table).collect() if r["ids"]}
+    assert joined == sent and len(joined) == 200
+
+
 def test_unique_files_with_a_hot_group(spark):
     rows = [(f"f{i:04d}", "r", 7 if i % 3 == 0 else i) for i in range(900)]
     meta = spark.createDataFrame(rows, "file_id string, repo string, hash bigint")
