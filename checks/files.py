@@ -21,12 +21,23 @@ def decoded_text(spark, sf):
     return raw.select("file_id", F.md5(file_source.decode(F.col("content"))).alias("digest"))
 
 
-@query("json_records", f"WITH {s.FILES} SELECT path AS file_path, CAST(len(lines) AS INTEGER) AS num_comments, repo FROM files")
+@query(
+    "json_records",
+    f"""WITH {s.FILES} SELECT path AS file_path, CAST(len(lines) AS INTEGER) AS num_comments, repo,
+    array_to_string(list_transform(lines, lambda x, i: (i - 1) || ':0:' || (i - 1) || ':' || length(x)), ',') AS positions FROM files""",
+)
 def json_records(spark, sf):
     folder = s.scratch(spark)
-    lines = s.files(spark, sf).select(F.col("path").alias("file_path"), F.size("lines").alias("num_comments"), "repo")
+
+    def span(line, i):
+        return F.struct(i.alias("srow"), F.lit(0).alias("scol"), i.alias("erow"), F.length(line).alias("ecol"))
+
+    positions = F.transform("lines", span).alias("positions")
+    lines = s.files(spark, sf).select(F.col("path").alias("file_path"), F.size("lines").alias("num_comments"), positions, "repo")
     records.write_records(lines, folder)
-    return records.read_records(spark, folder, schemas.FILE_COMMENTS).select("file_path", "num_comments", "repo")
+    shown = F.array_join(F.transform("positions", lambda p: F.concat_ws(":", *[p[c].cast("string") for c in ("srow", "scol", "erow", "ecol")])), ",")
+    read = records.read_records(spark, folder, schemas.FILE_COMMENTS)
+    return read.select("file_path", "num_comments", "repo", shown.alias("positions"))
 
 
 @query(
