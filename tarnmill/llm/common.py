@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tarnmill.session import checkpoint_dir
 
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 # a table may be sent to every task up to this many narrow rows; beyond it a shuffle join runs
 SMALL_ROWS = 1 << 20
 
@@ -115,14 +115,14 @@ def worker_cache() -> dict:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2 ** 64."""
+    """base ** 0 .. base ** n modulo 2 ** 64; those that a chunk needs are kept."""
     cache = worker_cache()
     known = cache.get(("powers", base))
     if known is None or len(known) <= n:
-        factors = np.full(max(n, 4096) + 1, U64(base))
+        factors = np.full(max(n, CHUNK) + 1, U64(base))
         factors[0] = 1
         known = np.cumprod(factors, dtype=np.uint64)
-        if n <= 4 * CHUNK:
+        if n <= CHUNK:
             cache[("powers", base)] = known
     return known[: n + 1]
 
@@ -137,6 +137,8 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 def word_bounds(data: np.ndarray, bounds: np.ndarray, member: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every run of member bytes, and the row that holds it."""
+    # a worker that has moved on to words needs no tokens; they are its largest part
+    worker_cache().pop("encoder", None)
     inside = member[data]
     before = np.empty_like(inside)
     before[1:] = inside[:-1]
