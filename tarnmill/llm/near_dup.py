@@ -230,21 +230,31 @@ class Verifier:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Stored (node, label): the smallest node reachable by the stored links (a, b).
+    """(node, label) of the nodes of the stored links (a, b): the smallest node reachable.
 
-    Every round takes the smallest label among neighbours, then the label of that label;
-    each is a sum-like aggregate and two joins on narrow rows.
+    Every round hooks each node to its smallest smaller neighbour, follows the hooks to
+    their roots and contracts the links to those between roots, which soon leaves none.
     """
-    edges = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = staged(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("before"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        new = staged(lower.join(jump, "label", "left").select("node", F.least("label", "root").alias("label"), "before"), "labels")
-        labels = new.select("node", "label")
-        if new.where("label <> before").isEmpty():
-            return labels
+    first = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    edges, steps = staged(first, "edges"), []
+    while not edges.isEmpty():
+        hooks = staged(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")), "hooks")
+        moved = True
+        while moved:
+            up = hooks.select(F.col("node").alias("label"), F.col("label").alias("root"))
+            jumped = staged(hooks.join(up, "label", "left").select("node", F.coalesce("root", "label").alias("label"), "root"), "hooks")
+            moved = not jumped.where("root is not null").isEmpty()
+            hooks = jumped.select("node", "label")
+        steps.append(hooks)
+        low = hooks.select(F.col("node").alias("a"), F.col("label").alias("x"))
+        high = hooks.select(F.col("node").alias("b"), F.col("label").alias("y"))
+        ends = edges.join(low, "a", "left").join(high, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+        edges = staged(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    labels = nodes.withColumn("label", F.col("node"))
+    for step in steps:
+        labels = labels.join(step.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    return staged(labels, "labels")
 
 
 def open_rows(shared: DataFrame, labels: DataFrame, name: str) -> DataFrame:
