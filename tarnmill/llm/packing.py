@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnmill.llm.common import chunks
-from tarnmill.llm.tokens import encode_with_end, tokenizer_path
+from tarnmill.llm.tokens import TOKEN_CHUNK, encode_with_end, tokenizer_path
 
 WINDOW = 4096
 END_ID = 2
@@ -196,9 +196,9 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, tokenizer:
         def flush() -> Iterator[pa.RecordBatch]:
             yield from rows(packer.pack(group, np.array([len(d[1]) for d in group], np.int64)))
 
-        for part in chunks(batches):
+        for part in chunks(batches, limit=TOKEN_CHUNK):
             arrow_id = part.schema.field("doc_id").type
-            ids, bounds = ids_of(part.column("text").to_pylist())
+            ids, bounds = ids_of(part.column("text"))
             for doc_id, a, b in zip(part.column("doc_id").to_pylist(), bounds, bounds[1:]):
                 group.append((doc_id, ids[a:b]))
             held += len(ids)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tarnmill.llm.common import chunks, staged
 from tarnmill.llm.rans import Table, crc_of, decode_block, encode_block, frequency_table
-from tarnmill.llm.tokens import encode_with_end, tokenizer_path
+from tarnmill.llm.tokens import TOKEN_CHUNK, encode_with_end, tokenizer_path
 
 END_ID = 1
 BLOCK_IDS = 1 << 18
@@ -39,8 +39,8 @@ def tokenised(docs: DataFrame, end_id: int = END_ID, path: str | None = None) ->
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, part_no, before = encode_with_end(path, end_id), TaskContext.get().partitionId(), 0
-        for part in chunks(batches):
-            ids, bounds = ids_of(part.column("text").to_pylist())
+        for part in chunks(batches, limit=TOKEN_CHUNK):
+            ids, bounds = ids_of(part.column("text"))
             sizes = np.diff(bounds)
             packed = pack_ids(ids, bounds)
             columns = [pa.array([part_no] * len(sizes), pa.int32()), part.column("doc_id"), pa.array(before + bounds[:-1]), pa.array(sizes), packed]

@@ -2,7 +2,7 @@
 
 White space separates pieces before any merging in the tokenizer used here, so a text's ids
 are those of its white-space separated parts. Every task keeps the ids of parts it has
-seen (up to ``MEMORY`` parts) and sends only new parts to the
+seen first (up to ``MEMORY`` parts) and sends only new parts to the
 library. Texts whose part borders could matter are encoded whole.
 """
 
@@ -10,17 +10,22 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from tarnmill.llm.common import worker_cache
 
 TOKENIZER = "word_bpe_49k.json"
-MEMORY = 600_000
-# characters that str.split() takes as white space and the tokenizer does not
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+MEMORY = 400_000
+LETTERS = 200_000
+# text bytes encoded at once; a part that occurs again within them is looked up once
+TOKEN_CHUNK = 2_000_000
+# characters that count as white space when splitting and not for the tokenizer
+ODD = "[\x1c-\x1f]"
 
 
 def tokenizer_path() -> str:
@@ -50,26 +55,30 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def spell(self, words: list[str]) -> None:
-        """Remember the ids of words of letters only, many words to a call."""
+    def spell(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words of letters only, many words to a call."""
+        found: dict[str, bytes] = {}
         for at in range(0, len(words), 4000):
             some = words[at : at + 4000]
             encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ids, owners = packed(encoded.ids), np.array(encoded.word_ids, np.int64)
             if owners[-1] + 1 != len(some):
-                self.letters.update((word, self.whole(word)) for word in some)
+                found.update((word, self.whole(word)) for word in some)
                 continue
             cuts = (4 * np.searchsorted(owners, np.arange(len(some) + 1))).tolist()
-            self.letters.update(zip(some, [ids[a:b] for a, b in zip(cuts, cuts[1:])]))
+            found.update(zip(some, [ids[a:b] for a, b in zip(cuts, cuts[1:])]))
+        return found
 
     def learn(self, parts: list[str]) -> None:
-        """Remember the ids of new parts."""
+        """Put the ids of new parts behind those of the known ones."""
         letters, signs, fullmatch = self.letters, self.signs, self.shape.fullmatch
         shapes = [fullmatch(part) for part in parts]
         shapes = [m and (m[1], m[2]) if part.isascii() or m is None or self.plain(part, m[1]) else None for part, m in zip(parts, shapes)]
-        self.spell(list({m[0] for m in shapes if m}.difference(letters)))
+        spelt = self.spell(list({m[0] for m in shapes if m}.difference(letters)))
         signs.update((tail, self.whole(tail)) for tail in {m[1] for m in shapes if m}.difference(signs))
-        pieces = [letters[m[0]] + signs[m[1]] if m else self.whole(part) for part, m in zip(parts, shapes)]
+        pieces = [(spelt.get(m[0]) or letters[m[0]]) + signs[m[1]] if m else self.whole(part) for part, m in zip(parts, shapes)]
+        if len(letters) + len(spelt) <= LETTERS:
+            letters.update(spelt)
         n, sizes = len(self.known), np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
         stops = self.used + np.cumsum(sizes)
         self.begin, self.end = grown(self.begin, n + len(parts)), grown(self.end, n + len(parts))
@@ -77,40 +86,40 @@ class Encoder:
         self.ids = grown(self.ids, int(stops[-1]))
         self.ids[self.used : stops[-1]] = np.frombuffer(b"".join(pieces), "<u4")
         self.used = int(stops[-1])
-        self.known.update(zip(parts, range(n, n + len(parts))))
 
     @staticmethod
     def plain(part: str, letters: str) -> bool:
         """Normalising and lower-casing move no border of ``part``."""
         return unicodedata.is_normalized("NFC", part) and len(letters.lower()) == len(letters)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds of every text in them); null texts have no ids."""
-        whole = {k: np.frombuffer(self.whole(text), "<u4") for k, text in enumerate(texts) if text and any(c in text for c in _ODD)}
-        parts_of = [[] if k in whole else (text or "").split() for k, text in enumerate(texts)]
-        new = list(set().union(*parts_of).difference(self.known))
-        used = self.used
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pc.match_substring_regex(texts, ODD)
+        whole = {k: np.frombuffer(self.whole(texts[k].as_py()), "<u4") for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
+        lists = pc.utf8_split_whitespace(pc.if_else(odd, "", texts) if whole else texts)
+        # every distinct part is looked up once
+        coded = lists.flatten().dictionary_encode()
+        parts, per_text = coded.dictionary.to_pylist(), lists.offsets.to_numpy()
+        place = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int64, len(parts))
+        missing, used = np.flatnonzero(place < 0), self.used
+        new = [parts[k] for k in missing.tolist()]
         if new:
             self.learn(new)
-        per_text = np.cumsum([len(parts) for parts in parts_of])
-        flat = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts_of)), np.int64, int(per_text[-1]) if len(texts) else 0)
+            place[missing] = len(self.known) + np.arange(len(new))
+        flat = place[coded.indices.to_numpy()]
         begins, lengths = self.begin[flat], self.end[flat] - self.begin[flat]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(begins - (ends - lengths), lengths) + np.arange(total)]
-        if len(self.known) > MEMORY:
-            # what was learned last is forgotten first: frequent parts came early
-            for part in new:
-                del self.known[part]
+        ends = np.append(0, np.cumsum(lengths))
+        ids = self.ids[np.repeat(begins - ends[:-1], lengths) + np.arange(ends[-1])]
+        if len(self.known) + len(new) <= MEMORY:
+            self.known.update(zip(new, place[missing].tolist()))
+        else:
+            # frequent parts came early and are kept; these will be overwritten
             self.used = used
-        if len(self.letters) > MEMORY:
-            self.letters.clear()
-        bounds = np.zeros(len(texts) + 1, np.int64)
-        if len(texts):
-            bounds[1:] = np.append(0, ends)[per_text]
+        bounds = ends[per_text]
         if whole:
             pieces = [whole.get(k, ids[bounds[k] : bounds[k + 1]]) for k in range(len(texts))]
-            bounds[1:] = np.cumsum([len(p) for p in pieces])
+            bounds = np.append(0, np.cumsum([len(p) for p in pieces]))
             ids = np.concatenate(pieces)
         return ids, bounds
 
@@ -128,18 +137,18 @@ def grown(array: np.ndarray, size: int) -> np.ndarray:
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file."""
+    """The worker's encoder for a tokenizer file; it keeps one."""
     cache = worker_cache()
-    if ("encoder", path) not in cache:
-        cache[("encoder", path)] = Encoder(path)
-    return cache[("encoder", path)]
+    if cache.get("encoder", ("", None))[0] != path:
+        cache["encoder"] = (path, Encoder(path))
+    return cache["encoder"][1]
 
 
-def encode_with_end(path: str, end: int) -> Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]:
+def encode_with_end(path: str, end: int) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """A function from texts to (ids, bounds) with the id ``end`` after every text."""
     of = encoder(path)
 
-    def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         ids, bounds = of.encode(texts)
         with_end = np.insert(ids, bounds[1:], end).astype(np.uint32)
         return with_end, bounds + np.arange(len(bounds))

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from support import empty, table, texts
 from tokenizers import Tokenizer
@@ -22,11 +23,11 @@ def plain_ids(tokenizer, text, end):
 
 def test_cached_encoding_is_the_tokenizers(tokenizer, monkeypatch):
     rows = ODD + [t for _, t in texts() if t is None or len(t) < 5000]
-    for memory in (600_000, 10):
+    for memory in (400_000, 10):
         monkeypatch.setattr("tarnmill.llm.tokens.MEMORY", memory)
         encoder = Encoder(tokenizer_path())
         for _ in range(2):
-            ids, bounds = encoder.encode(rows)
+            ids, bounds = encoder.encode(pa.array(rows, pa.string()))
             for k, text in enumerate(rows):
                 assert ids[bounds[k] : bounds[k + 1]].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
 
