@@ -1,15 +1,15 @@
 """Toxicity scores from the nearest labelled examples.
 
 Fit: at most ``EXAMPLES`` labelled rows (those with the smallest id hashes) are the
-examples. Terms whose presence depends on the label among them (log-likelihood ratio of
-``EVIDENCE`` or more, at most ``TERMS``) span the vectors; their document frequencies are
-counted over all documents. Examples become unit TF-IDF vectors in an inverted index: postings per term, cut
-into blocks of ``BLOCK`` examples with the largest weight of every term in every block.
-
-Score: block maxima bound the cosine of any example in a block; blocks are opened in
-falling order of their bounds until no closed block can hold a nearer example, so the
-``NEIGHBOURS`` found are the exact nearest (ties: the smaller place). They vote with weight cosine
-squared, and the share of toxic votes is calibrated by a monotone step function fitted on the examples,
+examples. Every term of every example spans the vectors; document frequencies are counted
+over all documents for all of them. A term weighs log(1 + count) times its inverse document
+frequency times sqrt(1 + its log-likelihood ratio with the label): a term that does not depend on
+the label has its plain TF-IDF weight, and none is left out. Examples become unit vectors in an
+inverted index: dense rows for terms in a ``DENSE``-th of the examples or more, postings for the rest.
+
+Score: the cosines with all examples are taken, so the ``NEIGHBOURS`` found are the exact
+nearest (ties: the smaller place). They vote with weight cosine squared, and the share of
+toxic votes is calibrated by a monotone step function fitted on the examples,
 each scored without itself. Texts without a term of the index get the rate of such examples.
 
 Result per row: doc_id, held_out, score, predicted and evidence (the nearest three examples as
@@ -22,6 +22,7 @@ copies of one text are one example, with the label of the smallest id. Other col
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +33,11 @@ from pyspark.sql import functions as F
 from tarnmill.llm.common import ALNUM, bytes_of, chunks, span_hashes, staged, word_bounds
 
 EXAMPLES = 8192
-TERMS = 4096
-EVIDENCE = 25.0
-LEAST_DOCS = 5
-BLOCK = 64
+DENSE = 16
 NEIGHBOURS = 15
 FOLDS, HELD_OUT = 5, 0
+# terms in a slice of the document frequencies, texts scored at once
+SLICE, BATCH = 4096, 64
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -59,7 +59,7 @@ def term_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def examples_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Stored (doc_id, toxic, term, n): the terms of the examples; textless ones have a null term."""
+    """Stored (doc_id, toxic, terms, n): each example with its distinct terms and their counts as 64-bit numbers."""
     known = labels.where("doc_id is not null and toxic is not null").where(~is_held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -69,48 +69,56 @@ def examples_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             rows, hashes, n = term_counts(part.column("text"))
-            bare = np.setdiff1d(np.arange(len(part)), rows)
-            at = pa.array(np.concatenate([rows, bare]).astype(np.int64))
-            columns = [part.column("doc_id").take(at), part.column("toxic").take(at), pa.array(hashes.tolist() + [None] * len(bare), pa.int64()), pa.array(np.concatenate([n, np.zeros(len(bare), np.int64)]))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "term", "n"])
+            cuts = np.searchsorted(rows, np.arange(len(part) + 1))
+            lists = [pa.array([values[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for values in (hashes, n)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *lists], ["doc_id", "toxic", "terms", "n"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return staged(texts.select("doc_id", "text", "toxic").mapInArrow(terms, f"doc_id {kind}, toxic int, term bigint, n bigint"), "toxicity-examples")
+    return staged(texts.select("doc_id", "text", "toxic").mapInArrow(terms, f"doc_id {kind}, toxic int, terms binary, n binary"), "toxicity-examples")
 
 
-def chosen_terms(examples: DataFrame, toxic: int, clean: int) -> list[int]:
-    """Terms whose presence depends on the label, by the log-likelihood ratio."""
-    rows, n = toxic + clean, F.col("a") + F.col("b")
+def evidence_of(rows: np.ndarray, places: np.ndarray, labels: np.ndarray, n_terms: int) -> np.ndarray:
+    """Log-likelihood ratio between each term's presence and the label."""
+    toxic, clean = labels.sum(), len(labels) - labels.sum()
+    n = np.bincount(places, minlength=n_terms).astype(float)
+    a = np.bincount(places, weights=labels[rows], minlength=n_terms)
 
-    def part(observed: Column, expected: Column) -> Column:
-        return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
+    def part(observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return observed * np.log(np.where(observed > 0, observed, 1) / np.where(observed > 0, expected, 1))
 
-    a, b = F.col("a"), F.col("b")
-    ratio = 2 * (
-        part(a, n * toxic / rows) + part(b, n * clean / rows) + part(toxic - a, (rows - n) * toxic / rows) + part(clean - b, (rows - n) * clean / rows)
-    )
-    counted = examples.where("term is not null").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    best = counted.where(n >= LEAST_DOCS).select("term", ratio.alias("ratio")).where(F.col("ratio") >= EVIDENCE)
-    return sorted(r["term"] for r in best.orderBy(F.desc("ratio"), "term").limit(TERMS).collect())
+    share, rest = toxic / len(labels), len(labels) - n
+    ratio = part(a, n * share) + part(n - a, n * (1 - share)) + part(toxic - a, rest * share) + part(clean - n + a, rest * (1 - share))
+    return np.maximum(2 * ratio, 0)
 
 
 def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
     """Documents that hold each term, and all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros(len(terms) + 1, np.int64), 0
+        terms = shared.value
+        seen = np.zeros(len(terms) + 1, np.int64)
         for part in chunks(batches):
-            rows, at = terms_in(part.column("text"), terms)[:2]
+            at = terms_in(part.column("text"), terms)[1]
             seen[:-1] += np.bincount(at, minlength=len(terms))
             seen[-1] += len(part)
-        used = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(seen[used], pa.int64())], ["place", "n"])
+        for number in range(0, len(seen), SLICE):
+            some = seen[number : number + SLICE]
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array([number // SLICE], pa.int32()), pa.array([some.tobytes()], pa.binary())], ["slice", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for number, n in zip(*(c.to_pylist() for c in batch.columns)):
+                sums[number] = sums.get(number, 0) + np.frombuffer(n, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([n.tobytes() for n in sums.values()], pa.binary())], ["slice", "n"])
 
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    rows = texts.mapInArrow(count, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    kind = "slice int, n binary"
     found = np.zeros(len(terms) + 1, np.int64)
-    for r in rows:
-        found[r["place"]] = r["n"]
+    for r in texts.mapInArrow(count, kind).repartition("slice").mapInArrow(add, kind).toLocalIterator():
+        found[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["n"], np.int64)
     return found[:-1], int(found[-1])
 
 
@@ -126,48 +134,67 @@ def terms_in(column: pa.Array, terms: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Index:
-    """Unit TF-IDF vectors of the examples as block-max postings."""
+    """Unit vectors of the examples: dense rows for frequent terms, postings for the rest."""
 
     def __init__(self, idf: np.ndarray, rows: np.ndarray, places: np.ndarray, counts: np.ndarray, labels: np.ndarray, ids: list):
         self.idf, self.labels, self.ids = idf, labels, ids
         weights = np.log1p(counts) * idf[places]
         norms = np.sqrt(np.bincount(rows, weights=weights**2, minlength=len(labels)))
         weights = weights / norms[rows]
-        self.blocks = max(1, -(-len(labels) // BLOCK))
+        often = np.bincount(places, minlength=len(idf)) * DENSE >= len(labels)
+        self.dense_row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        self.dense = np.zeros((int(often.sum()), len(labels)))
+        thick = often[places]
+        self.dense[self.dense_row[places[thick]], rows[thick]] = weights[thick]
+        rows, places, weights = rows[~thick], places[~thick], weights[~thick]
         order = np.lexsort((rows, places))
-        self.example, self.weight = rows[order], weights[order]
-        # the postings of a term in a block lie between two neighbouring cuts
-        cell = places[order].astype(np.int64) * self.blocks + self.example // BLOCK
-        self.cuts = np.searchsorted(cell, np.arange(len(idf) * self.blocks + 1))
-        self.most = np.zeros(len(idf) * self.blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(len(idf), self.blocks)
+        self.example, self.weight = rows[order].astype(np.int32), weights[order]
+        # the postings of a term lie between two neighbouring cuts
+        self.cuts = np.searchsorted(places[order], np.arange(len(idf) + 1))
+
+    def cosines(self, cuts: np.ndarray, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Cosines of some texts, whose terms lie between neighbouring cuts, with all examples."""
+        n = len(cuts) - 1
+        text = np.repeat(np.arange(n), np.diff(cuts))
+        query = np.log1p(counts) * self.idf[places]
+        query = query / np.sqrt(np.bincount(text, weights=query**2, minlength=n))[text]
+        at = self.dense_row[places]
+        thick = at >= 0
+        weights = np.zeros((n, len(self.dense)))
+        weights[text[thick], at[thick]] = query[thick]
+        out = weights @ self.dense
+        text, places, query = text[~thick], places[~thick], query[~thick]
+        begins, lengths = self.cuts[places], self.cuts[places + 1] - self.cuts[places]
+        bounds = np.searchsorted(text, np.arange(n + 1))
+        for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            size = lengths[a:b]
+            post = np.repeat(begins[a:b] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            out[k] += np.bincount(self.example[post], weights=self.weight[post] * np.repeat(query[a:b], size), minlength=out.shape[1])
+        return out
+
+    def best(self, cosines: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the nearest examples with a cosine above 0."""
+        if without >= 0:
+            cosines[without] = 0
+        found = np.arange(len(cosines))
+        if len(cosines) > NEIGHBOURS:
+            least = np.partition(cosines, len(cosines) - NEIGHBOURS)[len(cosines) - NEIGHBOURS]
+            found = np.flatnonzero(cosines >= least - 1e-8)
+        found = found[cosines[found] > 0]
+        order = np.lexsort((found, -np.round(cosines[found], 9)))[:NEIGHBOURS]
+        return found[order], np.minimum(cosines[found[order]], 1.0)
 
     def nearest(self, places: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the exact nearest examples with a cosine above 0."""
-        query = np.log1p(counts) * self.idf[places]
-        query = query / np.sqrt((query**2).sum())
-        bounds = query @ self.most[places]
-        order = np.argsort(-bounds, kind="stable")
-        found, cosines = np.zeros(0, int), np.zeros(0)
-        at, width = 0, 4
-        while at < len(order) and bounds[order[at]] > 0:
-            if len(cosines) == NEIGHBOURS and cosines[-1] > bounds[order[at]] + 1e-12:
-                break
-            some = order[at : at + width]
-            begins = self.cuts[places[:, None] * self.blocks + some].ravel()
-            ends = self.cuts[places[:, None] * self.blocks + some + 1].ravel()
-            n = ends - begins
-            post = np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            value = self.weight[post] * np.repeat(np.repeat(query, len(some)), n)
-            own, where = np.unique(self.example[post], return_inverse=True)
-            sums = np.bincount(where, weights=value)
-            keep = own != without
-            found, cosines = np.concatenate([found, own[keep]]), np.concatenate([cosines, sums[keep]])
-            best = np.lexsort((found, -np.round(cosines, 9)))[:NEIGHBOURS]
-            found, cosines = found[best], cosines[best]
-            at, width = at + width, width * 2
-        return found, np.minimum(cosines, 1.0)
+        """(examples, cosines) of the exact nearest examples of one text."""
+        return self.best(self.cosines(np.array([0, len(places)]), places, counts)[0], without)
+
+    def nearest_of(self, cuts: np.ndarray, places: np.ndarray, counts: np.ndarray, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of each text whose terms lie between neighbouring cuts."""
+        for at in range(0, len(cuts) - 1, BATCH):
+            some = cuts[at : at + BATCH + 1]
+            part = slice(some[0], some[-1])
+            for k, row in enumerate(self.cosines(some - some[0], places[part], counts[part])):
+                yield self.best(row, -1 if without is None else int(without[at + k]))
 
     def share(self, found: np.ndarray, cosines: np.ndarray) -> float:
         votes = cosines**2
@@ -188,25 +215,25 @@ def monotone(raw: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Model:
-    """What the scoring tasks need; its size is bounded by EXAMPLES and TERMS."""
+    """What the scoring tasks need; its size is bounded by the texts of EXAMPLES rows."""
 
     def __init__(self, terms: np.ndarray, index: Index | None, bare: float):
         self.terms, self.index, self.bare = terms, index, bare
         self.froms, self.values = np.zeros(1), np.array([bare])
 
     def calibrate(self, rows: np.ndarray, places: np.ndarray, counts: np.ndarray) -> None:
-        cuts = np.searchsorted(rows, np.unique(rows))
+        own = np.unique(rows)
+        cuts = np.append(np.searchsorted(rows, own), len(rows))
         raw, labels = [], []
-        for a, b in zip(cuts, [*cuts[1:], len(rows)]):
-            found, cosines = self.index.nearest(places[a:b], counts[a:b], int(rows[a]))
+        for row, (found, cosines) in zip(own, self.index.nearest_of(cuts, places, counts, own)):
             if len(found):
                 raw.append(self.index.share(found, cosines))
-                labels.append(self.index.labels[rows[a]])
+                labels.append(self.index.labels[row])
         if raw:
             self.froms, self.values = monotone(np.array(raw), np.array(labels))
 
-    def score(self, places: np.ndarray, counts: np.ndarray) -> tuple[float, str]:
-        found, cosines = self.index.nearest(places, counts)
+    def score(self, found: np.ndarray, cosines: np.ndarray) -> tuple[float, str]:
+        """Score and evidence of a text with these nearest examples."""
         if not len(found):
             return self.bare, ""
         # a hair of the raw share keeps the order of rows within a step
@@ -217,25 +244,24 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    examples = examples_of(docs, labels)
-    people = {r["doc_id"]: r["toxic"] for r in examples.select("doc_id", "toxic").distinct().collect()}
-    ids = sorted(people)
-    toxic = sum(people.values())
-    none = Model(np.zeros(1, np.int64), None, toxic / len(ids) if ids else 0.5)
-    if toxic in (0, len(ids)):
-        return none
-    terms = np.array(chosen_terms(examples, toxic, len(ids) - toxic), np.int64)
-    if not len(terms):
-        return none
+    examples = sorted(examples_of(docs, labels).toLocalIterator(), key=lambda r: r["doc_id"])
+    ids, y = [r["doc_id"] for r in examples], np.array([r["toxic"] for r in examples], np.int64)
+    if y.sum() in (0, len(ids)):
+        return Model(np.zeros(1, np.int64), None, float(y.mean()) if ids else 0.5)
+    held = [np.frombuffer(r["terms"], np.int64) for r in examples]
+    counts = np.concatenate([np.frombuffer(r["n"], np.int64) for r in examples])
+    rows = np.repeat(np.arange(len(ids)), [len(h) for h in held])
+    if not len(rows):
+        return Model(np.zeros(1, np.int64), None, float(y.mean()))
+    terms, places = np.unique(np.concatenate(held), return_inverse=True)
+    # by place within a row, as the texts come
+    order = np.lexsort((places, rows))
+    places, counts = places[order], counts[order]
     df, n = document_frequencies(docs, terms)
-    shared = docs.sparkSession.createDataFrame([(int(t), k) for k, t in enumerate(terms)], "term bigint, place int")
-    rows = examples.join(F.broadcast(shared), "term").select("doc_id", "place", "n").collect()
-    place_of = {doc_id: k for k, doc_id in enumerate(ids)}
-    found = np.array(sorted((place_of[r["doc_id"]], r["place"], r["n"]) for r in rows), np.int64).reshape(-1, 3)
-    y = np.array([people[doc_id] for doc_id in ids])
-    bare = np.setdiff1d(np.arange(len(ids)), found[:, 0])
-    model = Model(terms, Index(np.log1p((n + 1) / (df + 1)), found[:, 0], found[:, 1], found[:, 2], y, ids), float((y[bare].sum() + 0.5) / (len(bare) + 1)))
-    model.calibrate(found[:, 0], found[:, 1], found[:, 2])
+    weights = np.log1p((n + 1) / (df + 1)) * np.sqrt(1 + evidence_of(rows, places, y, len(terms)))
+    bare = np.setdiff1d(np.arange(len(ids)), rows)
+    model = Model(terms, Index(weights, rows, places, counts, y, ids), float((y[bare].sum() + 0.5) / (len(bare) + 1)))
+    model.calibrate(rows, places, counts)
     return model
 
 
@@ -252,12 +278,18 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 rows, places, counts = terms_in(part.column("text"), model.terms)
                 own = np.unique(rows)
                 cuts = np.append(np.searchsorted(rows, own), len(rows))
-                for row, a, b in zip(own.tolist(), cuts, cuts[1:]):
-                    key = places[a:b].tobytes() + counts[a:b].tobytes()
-                    if key not in known:
-                        if len(known) >= 100_000:
-                            known.clear()
-                        known[key] = model.score(places[a:b], counts[a:b])
+                # equal texts are scored once
+                keys = [hashlib.blake2b(places[a:b].tobytes() + counts[a:b].tobytes(), digest_size=16).digest() for a, b in zip(cuts, cuts[1:])]
+                if len(known) >= 100_000:
+                    known.clear()
+                first = {key: k for k, key in enumerate(keys) if key not in known}
+                new = np.array(list(first.values()), np.int64)
+                if len(new):
+                    sizes = np.diff(cuts)[new]
+                    at = np.repeat(cuts[new] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                    for key, near in zip(first, model.index.nearest_of(np.append(0, np.cumsum(sizes)), places[at], counts[at])):
+                        known[key] = model.score(*near)
+                for row, key in zip(own.tolist(), keys):
                     score[row], evidence[row] = known[key]
             columns = [part.column("doc_id"), part.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(evidence, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "evidence"])

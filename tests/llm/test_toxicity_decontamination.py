@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,16 @@ def test_without_labels(spark):
     assert toxicity.toxicity(empty(spark), none).count() == 0
 
 
+def test_every_term_of_the_examples_counts(spark):
+    # no word depends on the label enough to be chosen, yet each text has a nearest example
+    rows = [(k, prose(3000 + k, 30)) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    learned = [k for k in range(60) if zlib.crc32(str(k).encode()) % toxicity.FOLDS != toxicity.HELD_OUT]
+    copies = [(1000 + k, rows[k][1]) for k in learned]
+    got = {r["doc_id"]: r["evidence"] for r in toxicity.toxicity(table(spark, rows + copies), labels).collect()}
+    assert [got[1000 + k].split(",")[0] for k in learned] == [f"{k}:{k % 2}:1.0000" for k in learned]
+
+
 def test_calibration_is_monotone():
     froms, values = toxicity.monotone(np.array([0.1, 0.2, 0.2, 0.5, 0.9, 0.9]), np.array([0, 1, 0, 0, 1, 1]))
     assert (np.diff(values) >= 0).all() and (np.diff(froms) > 0).all()
