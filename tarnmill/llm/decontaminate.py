@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Terms are the benchmark's words except those in many items. One pass over all documents
+1. Terms are all words of the benchmark, whose equal texts are one item. One pass over all documents
    counts in how many passages (24 words) each term occurs and accumulates the sketch
    C W of the terms' co-occurrence C = T'T with a fixed random W, summed over tasks. Scaled by the inverse
    document frequencies D it is the sketch (DCD)(W/D) of a randomised eigendecomposition,
@@ -41,8 +41,6 @@ COSINE = 0.6
 COVER = 0.6
 ANSWER = 0.6
 SHORT = 8
-# terms in more of the items than this are left out
-COMMON_SHARE, COMMON_LEAST = 0.04, 3
 BLOCK_ITEMS = 4096
 SLICE = 256
 
@@ -55,17 +53,16 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Block:
-    """A block of benchmark items: their words, terms and answers."""
+    """A block of benchmark items, each with all its ids: their words, terms and answers."""
 
-    def __init__(self, item_ids: list, texts: list[str], answers: list[str | None]):
+    def __init__(self, item_ids: list[list], texts: list[str], answers: list[str | None]):
         hashes, rows = words_of(pa.array([t.lower() for t in texts], pa.string()))
         bounds = np.searchsorted(rows, np.arange(len(texts) + 1))
         keep = [k for k in range(len(texts)) if bounds[k + 1] > bounds[k]]
         self.ids = [item_ids[k] for k in keep]
         self.words = [hashes[bounds[k] : bounds[k + 1]] for k in keep]
         self.answers = [answer_words(texts[k].lower(), answers[k]) for k in keep]
-        every, counts = np.unique(np.concatenate([np.unique(w) for w in self.words]) if keep else np.zeros(0, np.uint64), return_counts=True)
-        self.terms = every[counts <= max(COMMON_LEAST, COMMON_SHARE * len(keep))]
+        self.terms = np.unique(np.concatenate(self.words) if keep else np.zeros(0, np.uint64))
 
     def term_of(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each word among the terms, or -1."""
@@ -279,8 +276,10 @@ def search(column: pa.Array, block: Block, basis: np.ndarray, items: np.ndarray)
 def blocks_of(benchmark: DataFrame) -> Iterator[Block]:
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     held: list[tuple] = []
-    for r in benchmark.select("item_id", F.col("text").cast("string").alias("text"), answer.alias("answer")).toLocalIterator():
-        held.append((r["item_id"], r["text"] or "", r["answer"]))
+    rows = benchmark.select(F.struct("item_id").alias("item"), F.col("text").cast("string").alias("text"), answer.alias("answer"))
+    # structs, because null ids are ids too
+    for r in rows.groupBy("text", "answer").agg(F.collect_list("item").alias("items")).toLocalIterator():
+        held.append(([item["item_id"] for item in r["items"]], r["text"] or "", r["answer"]))
         if len(held) == BLOCK_ITEMS:
             yield Block(*map(list, zip(*held)))
             held = []
@@ -304,12 +303,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block, basis, items = shared.value
             for part in chunks(batches):
-                found = search(part.column("text"), block, basis, items)
+                found = [(row, item_id, item, n) for row, item, n in search(part.column("text"), block, basis, items) for item_id in block.ids[item]]
                 columns = [
                     part.column("doc_id").take(pa.array([f[0] for f in found], pa.int64())),
-                    pa.array([block.ids[f[1]] for f in found]).cast(ids_type(item_type)),
-                    pa.array([len(block.words[f[1]]) for f in found], pa.int32()),
-                    pa.array([f[2] for f in found], pa.int32()),
+                    pa.array([f[1] for f in found]).cast(ids_type(item_type)),
+                    pa.array([len(block.words[f[2]]) for f in found], pa.int32()),
+                    pa.array([f[3] for f in found], pa.int32()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "item_words", "lcs_words"])
 

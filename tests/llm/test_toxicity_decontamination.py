@@ -99,6 +99,13 @@ def test_planted_items_are_found_and_clean_documents_are_not(spark):
     assert decontaminate.contaminated(table(spark, rows), benchmark.limit(0)).count() == 0
 
 
+def test_repeated_items_are_found_under_every_id(spark):
+    rows = [(k, f"{prose(8000 + k, 60)} {prose(7000, 30)} {prose(8100 + k, 60)}") for k in range(3)]
+    benchmark = spark.createDataFrame([(k, prose(7000, 30)) for k in range(12)], "item_id long, text string")
+    got = decontaminate.contaminated(table(spark, rows), benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, k) for d in range(3) for k in range(12)} and len(got) == 36
+
+
 def test_answers_decide(spark):
     text = prose(77, 40)
     words = text.split()
