@@ -9,8 +9,8 @@
 2. A second pass projects overlapping windows and the items to the leading singular
    directions; windows with a cosine of ``COSINE`` to an item are candidates.
 3. A candidate counts if the longest common subsequence of words with the text around it
-   covers ``COVER`` of the item and the item's answer (its own column, or its last
-   sentence) occurs there to ``ANSWER``. Items under ``SHORT`` words must occur in full.
+   covers ``COVER`` of the item and the item's answer, where the benchmark has one,
+   occurs there to ``ANSWER``. Items under ``SHORT`` words must occur in full.
 
 The benchmark is the query set: it is read in blocks of ``BLOCK_ITEMS`` items, and each block is
 compared with all documents. What a task holds is bounded by a block's terms.
@@ -24,7 +24,6 @@ give no rows. Other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,7 +60,7 @@ class Block:
         keep = [k for k in range(len(texts)) if bounds[k + 1] > bounds[k]]
         self.ids = [item_ids[k] for k in keep]
         self.words = [hashes[bounds[k] : bounds[k + 1]] for k in keep]
-        self.answers = [answer_words(texts[k].lower(), answers[k]) for k in keep]
+        self.answers = [answer_words(answers[k]) for k in keep]
         self.terms = np.unique(np.concatenate(self.words) if keep else np.zeros(0, np.uint64))
 
     def term_of(self, hashes: np.ndarray) -> np.ndarray:
@@ -72,10 +71,8 @@ class Block:
         return np.where(self.terms[at] == hashes, at, -1)
 
 
-def answer_words(text: str, answer: str | None) -> np.ndarray:
-    sentences = [s for s in re.split(r"[.!?\n]+", text) if re.search(r"\w", s)]
-    chosen = answer.lower() if answer else (sentences[-1] if sentences else "")
-    return np.unique(words_of(pa.array([chosen], pa.string()))[0])
+def answer_words(answer: str | None) -> np.ndarray:
+    return np.unique(words_of(pa.array([(answer or "").lower()], pa.string()))[0])
 
 
 def half_blocks(rows: np.ndarray) -> np.ndarray:

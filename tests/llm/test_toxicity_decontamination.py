@@ -114,6 +114,13 @@ def test_answers_decide(spark):
     assert [r["doc_id"] for r in decontaminate.contaminated(table(spark, rows), benchmark).collect()] == [1]
 
 
+def test_items_without_an_answer_need_no_last_sentence(spark):
+    words = prose(79, 40).split()
+    benchmark = spark.createDataFrame([(1, " ".join(words[:34]) + ". " + " ".join(words[34:]))], "item_id long, text string")
+    rows = [(1, f"{prose(81, 60)} {' '.join(words[:34])} {prose(82, 60)}")]
+    assert [r["doc_id"] for r in decontaminate.contaminated(table(spark, rows), benchmark).collect()] == [1]
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(50):
