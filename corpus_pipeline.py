@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which the caller stores
 as Parquet and hands to the next stage. All stages but the last return the columns of ``docs``
-and keep the rows they were given, apart from those they reject. Rows with null ids pass
-the stages that compare documents, as nothing can be said about them by id.
+and keep the rows they were given, apart from those they reject. The stages that compare
+documents store their input with row numbers and judge rows by these, so that null and
+repeated ids are judged like any other.
 """
 
 from __future__ import annotations
@@ -34,25 +35,32 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.select(*docs.columns)
 
 
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The stored rows of ``docs`` with a row number, and the name of its column."""
+    row = fresh(docs, "row")
+    return staged(docs.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, the one with the smallest id.
 
-    Of repeated rows with one id the first copy by its text stays.
+    Of copies with one id the first by its text's hash stays, different texts under one id
+    both stay. A class also keeps one of its rows with null ids.
     """
-    classes = staged(near_dup.near_duplicates(docs.select("doc_id", "text")), "classes")
-    copies = classes.where("doc_id <> class_id").select("doc_id")
-    kept = without_ids(docs, copies)
-    if classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    named = kept.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("first"))
-    return named.select("doc_id", "first.*").select(*docs.columns).unionByName(kept.where(F.col("doc_id").isNull()))
+    rows, row = numbered(docs, "near-dedup-rows")
+    classes = staged(near_dup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "class_id"), "classes")
+    placed = rows.select(row, "doc_id", F.md5(F.col("text").cast("string")).alias("digest")).join(classes, row)
+    first = placed.groupBy("class_id", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "digest", row)).alias("first"))
+    copies = staged(classes.select(row).join(first.select(F.col(f"first.{row}").alias(row)), row, "left_anti"), "copies")
+    return without_ids(rows, copies, row).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = staged(decontaminate.contaminated(docs, benchmark).select("doc_id"), "contaminated")
-    return without_ids(docs, found)
+    rows, row = numbered(docs, "decontamination-rows")
+    found = decontaminate.contaminated(rows.select(F.col(row).alias("doc_id"), "text"), benchmark)
+    return without_ids(rows, staged(found.select(F.col("doc_id").alias(row)), "contaminated"), row).select(*docs.columns)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

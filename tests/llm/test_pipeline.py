@@ -54,6 +54,17 @@ def test_repeated_rows_and_missing_columns(spark):
     assert lines.MIN_DOCS == 10 and quality.MIN_WORDS == 20
 
 
+def test_rows_without_ids_are_judged_too(spark, tmp_path):
+    item, text = prose(4243, 30), prose(6, 60)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    dirty = f"{prose(7, 60)} {item} {prose(8, 60)}"
+    docs = spark.createDataFrame([(None, text), (None, text), (None, text), (None, dirty), (3, prose(9, 60)), (3, prose(10, 60))], "doc_id long, text string")
+    clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert len(clean) == 5 and all(r["text"] != dirty for r in clean)
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(r["text"] for r in kept) == sorted([text, dirty, prose(9, 60), prose(10, 60)])
+
+
 def test_run_over_given_tables(spark):
     sf = "/root/testdata/sf0.001"
     if not os.path.exists(sf):
