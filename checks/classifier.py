@@ -143,8 +143,7 @@ def fold_predictions(spark, sf):
 
 @query("grid_results")
 def grid_results(spark, sf):
-    grid = {"word_ngrams": [1, 2], "num_features": [1 << 16], "reg": [0.001, 0.01], "max_iter": [25]}
-    return classify.grid_search(_labelled(spark, sf), 3, grid)
+    return classify.grid_search(_labelled(spark, sf), 3)
 
 
 @query("predicted_comments")

@@ -109,3 +109,13 @@ def test_selection(spark):
     assert flags == {"a": True, "b": False, "c": True}
     assert gathered.where("file_id = 'a'").first()["predictions"][0]["label"] == "negative"
     assert classify.suitable_comments(scored, 0.75).count() == 1
+
+
+def test_grid_results_runs_every_setting(monkeypatch):
+    from checks import classifier
+
+    monkeypatch.setattr(classifier, "_labelled", lambda spark, sf: None)
+    asked = []
+    monkeypatch.setattr(classify, "grid_search", lambda folds, num_folds, grid=classify.GRID: asked.append((num_folds, grid)))
+    classifier.grid_results(None, "")
+    assert asked == [(3, classify.GRID)]
