@@ -11,6 +11,11 @@
 3. A candidate counts if the longest common subsequence of words with the text around it
    covers ``COVER`` of the item and the item's answer, where the benchmark has one,
    occurs there to ``ANSWER``. Items under ``SHORT`` words must occur in full.
+4. The same pass searches exactly, whatever the cosines are. Short items are looked up by the hashes of
+   all word n-grams of their lengths. A longer item of n words that shares t = ``COVER`` n of them
+   with a stretch of text (2 n words and a window) shares at least k of its n - t + k rarest
+   words, so each stretch that holds k of these (k a third of n) is compared. So every
+   item is found that some stretch covers.
 
 The benchmark is the query set: it is read in blocks of ``BLOCK_ITEMS`` items, and each block is
 compared with all documents. What a task holds is bounded by a block's terms.
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnmill.llm.common import ALNUM, bytes_of, chunks, span_hashes, word_bounds
+from tarnmill.llm.common import ALNUM, bytes_of, chunks, span_hashes, window_hashes, word_bounds
 
 HALF = 12
 DIMENSIONS = 128
@@ -41,6 +46,10 @@ COVER = 0.6
 ANSWER = 0.6
 SHORT = 8
 BLOCK_ITEMS = 4096
+# word occurrences of items compared at once
+PAIRS = 2_000_000
+# texts of at most so many words are compared whole before their stretches
+WHOLE = 4096
 SLICE = 256
 
 
@@ -71,6 +80,87 @@ class Block:
         return np.where(self.terms[at] == hashes, at, -1)
 
 
+class Exact:
+    """Tables for the exact search: n-gram hashes of short items, rare words of the others."""
+
+    def __init__(self, block: Block, df: np.ndarray):
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        sizes = np.array([len(words) for words in block.words], np.int64)
+        for width in np.unique(sizes[sizes < SHORT]).tolist():
+            items = np.flatnonzero(sizes == width)
+            grams = np.array([window_hashes(block.words[k], width)[0] for k in items], np.uint64)
+            order = np.argsort(grams, kind="stable")
+            self.short[width] = grams[order], items[order]
+        self.least = np.ceil(COVER * sizes - 1e-9).astype(np.int64)
+        self.hits = (sizes + 2) // 3
+        self.stretch = 2 * sizes + 2 * HALF
+        rare = [np.zeros(0, np.int64)] * len(sizes)
+        for k in np.flatnonzero(sizes >= SHORT):
+            term = block.term_of(block.words[k])
+            rare[k] = np.unique(term[np.argsort(df[term], kind="stable")][: sizes[k] - self.least[k] + self.hits[k]])
+        self.term = np.concatenate(rare) if len(rare) else np.zeros(0, np.int64)
+        self.bounds = np.append(0, np.cumsum([len(r) for r in rare])).astype(np.int64)
+        self.item = np.repeat(np.arange(len(rare)), np.diff(self.bounds))
+
+    def short_items(self, hashes: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(row, item, words) of the short items that occur in full."""
+        for width, (grams, items) in self.short.items():
+            own = window_hashes(hashes, width)
+            own_rows = rows[: len(own)]
+            begin = np.searchsorted(grams, own)
+            hit = np.flatnonzero((grams[np.minimum(begin, len(grams) - 1)] == own) & (own_rows == rows[width - 1 :][: len(own)]))
+            n = np.searchsorted(grams, own[hit], "right") - begin[hit]
+            at = np.repeat(begin[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            pairs = np.unique(np.repeat(own_rows[hit], n).astype(np.int64) * len(self.least) + items[at])
+            for pair in pairs.tolist():
+                yield pair // len(self.least), pair % len(self.least), width
+
+    def places(self, term: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, first, last) of the places with enough of an item's rare words in a stretch."""
+        known = np.flatnonzero(term >= 0)
+        known = known[np.argsort(term[known], kind="stable")]
+        if not len(self.term) or not len(known):
+            return
+        cuts = np.searchsorted(term[known], np.arange(int(self.term.max()) + 2))
+        sizes = np.diff(cuts)[self.term]
+        total = np.append(0, np.cumsum(sizes))[self.bounds]
+        i = 0
+        while i < len(total) - 1:
+            j = max(i + 1, int(np.searchsorted(total, total[i] + PAIRS, side="right")) - 1)
+            part = slice(self.bounds[i], self.bounds[j])
+            i, n = j, sizes[part]
+            spots = known[np.repeat(cuts[self.term[part]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            key = np.repeat(self.item[part], n) * len(term) + spots
+            key.sort()
+            item, spot = key // len(term), key % len(term)
+            last = np.arange(len(key)) + self.hits[item] - 1
+            live = np.flatnonzero(last < len(key))
+            last = last[live]
+            near = (item[last] == item[live]) & (rows[spot[last]] == rows[spot[live]]) & (spot[last] - spot[live] < self.stretch[item[live]])
+            live, last = live[near], last[near]
+            yield item[live], spot[live], spot[last]
+
+
+def covered(block: Block, exact: Exact, item: int, hashes: np.ndarray, start: int, stop: int, first: int, last: int) -> int:
+    """Words of the longest common subsequence with a stretch of ``hashes[start:stop]`` that
+    holds the words ``first`` to ``last`` and the item's answer, or 0 below the least cover."""
+    words, answer, least, size = block.words[item], block.answers[item], int(exact.least[item]), int(exact.stretch[item])
+    a, b = max(start, last - size + 1), min(stop, first + size)
+    own = set(words.tolist())
+    inside = [k for k, word in enumerate(hashes[a:b].tolist()) if word in own]
+    if len(inside) < least or common_subsequence(words, hashes[a:b]) < least:
+        return 0
+    best = 0
+    for begin in sorted({a, *(a + k for k in inside if a + k <= first)}):
+        text = hashes[begin : min(stop, begin + size)]
+        n = common_subsequence(words, text)
+        if n > best and n >= least and np.isin(answer, text).sum() >= ANSWER * len(answer):
+            best = n
+            if n == len(words):
+                break
+    return best
+
+
 def answer_words(answer: str | None) -> np.ndarray:
     return np.unique(words_of(pa.array([(answer or "").lower()], pa.string()))[0])
 
@@ -245,13 +335,28 @@ def holds(item: np.ndarray, answer: np.ndarray, text: np.ndarray) -> int:
     return found if not len(answer) or np.isin(answer, text).sum() >= ANSWER * len(answer) else 0
 
 
-def search(column: pa.Array, block: Block, basis: np.ndarray, items: np.ndarray) -> list[tuple[int, int, int]]:
+def search(column: pa.Array, block: Block, basis: np.ndarray, items: np.ndarray, exact: Exact) -> list[tuple[int, int, int]]:
     """(row, item, common words) of the items found in a chunk of texts."""
     hashes, rows = words_of(column)
-    first, stop, vectors = windows(block.term_of(hashes), rows, basis)
+    term = block.term_of(hashes)
+    first, stop, vectors = windows(term, rows, basis)
     live = np.flatnonzero(np.abs(vectors).sum(axis=1) > 0)
     row_start, row_stop = np.searchsorted(rows, np.arange(len(column))), np.searchsorted(rows, np.arange(len(column)), side="right")
-    found: dict[tuple[int, int], int] = {}
+    found = {(row, item): n for row, item, n in exact.short_items(hashes, rows)}
+    # pairs whose whole texts have too little in common
+    apart: dict[tuple[int, int], bool] = {}
+    for some in exact.places(term, rows):
+        for item, low, high in zip(*(x.tolist() for x in some)):
+            row = int(rows[low])
+            if (row, item) not in found:
+                if (row, item) not in apart:
+                    whole = hashes[row_start[row] : row_stop[row]]
+                    apart[row, item] = len(whole) <= WHOLE and common_subsequence(block.words[item], whole) < exact.least[item]
+                if apart[row, item]:
+                    continue
+                n = covered(block, exact, item, hashes, row_start[row], row_stop[row], low, high)
+                if n:
+                    found[row, item] = n
     step = max(1, 8_000_000 // max(1, len(items)))
     for at in range(0, len(live), step):
         some = live[at : at + step]
@@ -294,13 +399,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for block in blocks_of(benchmark):
         if not len(block.terms):
             continue
-        basis = directions(block, *corpus_sketch(texts, block))
-        shared = spark.sparkContext.broadcast((block, basis, item_vectors(block, basis)))
+        z, df, passages = corpus_sketch(texts, block)
+        basis = directions(block, z, df, passages)
+        shared = spark.sparkContext.broadcast((block, basis, item_vectors(block, basis), Exact(block, df)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block, basis, items = shared.value
+            block, basis, items, exact = shared.value
             for part in chunks(batches):
-                found = [(row, item_id, item, n) for row, item, n in search(part.column("text"), block, basis, items) for item_id in block.ids[item]]
+                found = [(row, item_id, item, n) for row, item, n in search(part.column("text"), block, basis, items, exact) for item_id in block.ids[item]]
                 columns = [
                     part.column("doc_id").take(pa.array([f[0] for f in found], pa.int64())),
                     pa.array([f[1] for f in found]).cast(ids_type(item_type)),

@@ -106,6 +106,37 @@ def test_repeated_items_are_found_under_every_id(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, k) for d in range(3) for k in range(12)} and len(got) == 36
 
 
+def test_short_and_edited_items_among_thousands_are_found(spark):
+    rng = random.Random(11)
+    places = [int(6000 ** rng.random() * 3) for _ in range(100_000)]
+    words = iter(f"v{k}" for k in places)
+
+    def some(n):
+        return [next(words) for _ in range(n)]
+
+    items = [some((3, 5, 8, 10, 15, 30, 60, 100)[k % 8]) for k in range(2400)]
+    rows, want = [], set()
+    for k in range(0, 2400, 41):
+        copy = list(items[k])
+        if len(copy) >= 8 and k % 2:
+            for at in rng.sample(range(len(copy)), len(copy) * 3 // 10):
+                copy[at] = "other"
+        rows.append((k, " ".join(some(60) + copy + some(60))))
+        want.add((k, k))
+    benchmark = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["lcs_words"] for r in decontaminate.contaminated(table(spark, rows), benchmark).collect()}
+    assert want <= set(got)
+    # some stretch of the text really covers what was found, and nothing that a stretch covers is missing
+    code = {w: n for n, w in enumerate({w for i in items for w in i} | {w for _, t in rows for w in t.split()})}
+    for k, text in rng.sample(rows, 6):
+        text = np.array([code[w] for w in text.split()], np.uint64)
+        for number in rng.sample(range(2400), 60):
+            item = np.array([code[w] for w in items[number]], np.uint64)
+            size = 2 * len(item) + 24 if len(item) >= decontaminate.SHORT else len(item)
+            best = max(decontaminate.common_subsequence(item, text[a : a + size]) for a in range(max(1, len(text) - size + 1)))
+            assert ((k, number) in got) == (best >= (0.6 * len(item) if len(item) >= decontaminate.SHORT else len(item)))
+
+
 def test_answers_decide(spark):
     text = prose(77, 40)
     words = text.split()
