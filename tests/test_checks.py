@@ -39,3 +39,10 @@ def test_query_matches_its_sql(spark, tables, name):
 def test_entry(spark):
     rows = entry_module.entry(spark).collect()
     assert [r["split"] for r in rows] == ["Excludes", "Test", "Train", "Validation", "Total"]
+
+
+def test_headline_is_without_the_tokenizer_wrappers():
+    import bench
+
+    assert not {"code_token_lines", "restored_source"} & set(bench.HEADLINE)
+    assert set(bench.HEADLINE) <= set(entry_module.queries())
