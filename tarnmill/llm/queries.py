@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnmill.llm import decontaminate, lines, near_dup, packing, pii, quality, sharding, token_files, toxicity, urls
+from tarnmill.llm import decontaminate, lines, near_dup, packing, phrases, pii, quality, sharding, token_files, toxicity, urls
 from tarnmill.session import checkpoint_dir
 
 
@@ -154,6 +154,40 @@ SELECT page_id, host, path, rule, coalesce(action, CASE WHEN blocked THEN 'block
 FROM judged LEFT JOIN blocked USING (host)"""
 
 
+def op11_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+_ASCII_LOWER = f"'{urls.UPPER}', '{urls.LOWER}'"
+
+OP11_SQL = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), {_ASCII_LOWER}), '[^.,;:!?\\x0A-\\x0D]+')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws)) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, m, list_slice(ws, i, i + m - 1) AS g
+  FROM (SELECT lang, ws, m, unnest(generate_series(1, len(ws) - m + 1)) AS i FROM words, (SELECT unnest(generate_series(1, {phrases.LONGEST})) AS m) WHERE len(ws) >= m)),
+f AS (SELECT lang, m, g, count(*) AS f FROM grams GROUP BY lang, m, g HAVING count(*) >= {phrases.MIN_COUNT}),
+inner_parts AS (
+  SELECT DISTINCT lang, f, list_slice(g, i, i + w - 1) AS g
+  FROM (SELECT lang, f, g, m, w, unnest(generate_series(1, m - w + 1)) AS i FROM f, (SELECT unnest(generate_series(2, {phrases.LONGEST - 1})) AS w) WHERE w < m)),
+kept AS (
+  SELECT * FROM f c WHERE m >= 2 AND NOT EXISTS (SELECT 1 FROM inner_parts p WHERE p.lang = c.lang AND p.g = c.g AND p.f >= c.f)),
+cuts AS (SELECT lang, m, g, f AS a, unnest(generate_series(1, m - 1)) AS k FROM kept),
+scored AS (
+  SELECT c.lang, c.g, c.a, c.k, x.f AS l, y.f AS r, t.n,
+         CAST((1000 * CAST(c.a AS HUGEINT) * CAST(t.n AS HUGEINT)) // (CAST(x.f AS HUGEINT) * CAST(y.f AS HUGEINT)) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, c.k)
+  JOIN f y ON y.lang = c.lang AND y.g = list_slice(c.g, c.k + 1, c.m) JOIN totals t ON t.lang = c.lang),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+ranked AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM worst)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked WHERE rank <= {phrases.FIRST}"""
+
+
 QUERIES = {
     "op1_bagminhash_near_dup": op1_bagminhash_near_dup,
     "op2_repetition_quality": op2_repetition_quality,
@@ -165,5 +199,6 @@ QUERIES = {
     "op8_latent_decontamination": op8_latent_decontamination,
     "op9_histogram_shards": op9_histogram_shards,
     "op10_url_reputation": op10_url_reputation,
+    "op11_phrase_collocations": op11_phrase_collocations,
 }
-ORACLES = {"op2_repetition_quality": OP2_SQL, "op4_line_dedup": OP4_SQL, "op10_url_reputation": OP10_SQL}
+ORACLES = {"op2_repetition_quality": OP2_SQL, "op4_line_dedup": OP4_SQL, "op10_url_reputation": OP10_SQL, "op11_phrase_collocations": OP11_SQL}
