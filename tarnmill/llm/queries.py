@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnmill.llm import decontaminate, lines, near_dup, packing, phrases, pii, quality, sharding, token_files, toxicity, urls
+from tarnmill.llm import decontaminate, lattice, lines, near_dup, packing, phrases, pii, quality, search, sharding, token_files, toxicity, urls
 from tarnmill.session import checkpoint_dir
 
 
@@ -188,6 +188,37 @@ ranked AS (
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked WHERE rank <= {phrases.FIRST}"""
 
 
+def op12_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return search.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+OP12_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ASCII_LOWER}), '{_TERM}') AS ts FROM documents),
+totals AS (SELECT count(*) FILTER (len(ts) > 0) AS big_n, sum(len(ts)) AS big_l FROM docs),
+items AS (SELECT DISTINCT item_id, text FROM benchmark),
+query_terms AS (
+  SELECT item_id, text, term FROM (SELECT item_id, text, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), {_ASCII_LOWER}), '{_TERM}'))) AS term FROM items)),
+tfs AS (
+  SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(ts) AS n, unnest(ts) AS term FROM docs)
+  WHERE term IN (SELECT term FROM query_terms) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, totals GROUP BY term),
+valued AS (
+  SELECT row, doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // CAST(big_l AS BIGINT))) AS value FROM tfs, totals),
+scored AS (
+  SELECT item_id, text, row, doc_id, CAST(sum(w * value) AS BIGINT) AS score
+  FROM query_terms JOIN valued USING (term) JOIN weights USING (term) GROUP BY item_id, text, row, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= {search.BEST}"""
+
+
+def op13_lattice_likelihood(spark: SparkSession, sf: str) -> DataFrame:
+    return lattice.scored(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_bagminhash_near_dup": op1_bagminhash_near_dup,
     "op2_repetition_quality": op2_repetition_quality,
@@ -200,5 +231,7 @@ QUERIES = {
     "op9_histogram_shards": op9_histogram_shards,
     "op10_url_reputation": op10_url_reputation,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_lattice_likelihood": op13_lattice_likelihood,
 }
-ORACLES = {"op2_repetition_quality": OP2_SQL, "op4_line_dedup": OP4_SQL, "op10_url_reputation": OP10_SQL, "op11_phrase_collocations": OP11_SQL}
+ORACLES = {"op2_repetition_quality": OP2_SQL, "op4_line_dedup": OP4_SQL, "op10_url_reputation": OP10_SQL, "op11_phrase_collocations": OP11_SQL, "op12_ranked_search": OP12_SQL}
