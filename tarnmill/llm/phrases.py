@@ -43,7 +43,7 @@ FIRST = 2000
 FILTER_BITS = 1 << 27
 SEGMENT_BITS = 1 << 21
 # fingerprints that a task adds up before it hands them on
-HELD = 3_000_000
+HELD = 1_000_000
 REPRESENTATIVES = 1 << 19
 
 _BYTES = np.arange(256)
@@ -142,7 +142,7 @@ class Sums:
             self.parts, self.held, self.settled = [], 0, 0
             for at in range(0, len(columns[0]), 100_000):
                 fp, n, row, word, width = (c[at : at + 100_000] for c in columns)
-                arrays = [fp.view(np.int64), n, row, word.astype(np.int32), width.astype(np.int32)]
+                arrays = [fp.view(np.int64), n, row, word, width.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["fp", "n", "row", "word", "width"])
 
 
@@ -171,7 +171,7 @@ def counted(rows: DataFrame, widths: list[int], keep: int, bits=None, part: int
                     for k in range(width - part + 1):
                         first = first[good[first + k]]
                 own = words.rows[first]
-                sums.add(words.fingerprints(first, width, keep), np.ones(len(first), np.int64), ids[own], first - words.first_word[own], np.full(len(first), width))
+                sums.add(words.fingerprints(first, width, keep), np.ones(len(first), np.int64), ids[own], (first - words.first_word[own]).astype(np.int32), np.full(len(first), width, np.int8))
             # beyond this many different ones memory would grow with the task's input
             if sums.settled > HELD:
                 yield from sums.batches()
