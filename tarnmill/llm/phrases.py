@@ -10,11 +10,11 @@
    (``FILTER_BITS``): a wrong bit lets a rare fingerprint through and costs shuffle alone.
 3. ``materialised``: the pointers of frequent fingerprints, and only these, are followed to
    their texts.
-4. ``verified``: one more scan compares every occurrence of a frequent fingerprint with that
-   text, byte by byte, and counts those that agree. Occurrences that differ (a collision, or
-   another language) are emitted with their own text and counted by it. Up to
-   ``REPRESENTATIVES`` texts are sent to the tasks; beyond, none is sent, and all occurrences
-   count by their texts in a shuffle. Counts are exact either way.
+4. ``verified``: one more scan compares every counted occurrence of a frequent fingerprint with
+   that text, byte by byte. Those that differ (a collision, or another language) are emitted
+   with their own text, counted by it and taken off. Up to ``REPRESENTATIVES`` texts are
+   sent to the tasks; beyond, none is sent, and all occurrences count by their texts in
+   a shuffle. Counts are exact either way.
 
 Collocations are ranked per language. Null languages count as ``und``, null texts as empty.
 Texts without words give nothing. Rows are counted one by one, repeated rows and ids
@@ -152,24 +152,29 @@ def has(bits: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return (bits[place >> U64(3)] >> (place & U64(7)).astype(np.uint8)) & 1 == 1
 
 
+def candidates(words: Words, widths: list[int], keep: int, bits: np.ndarray | None, part: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(width, first words) of the n-grams all of whose parts of ``part`` words are in ``bits``."""
+    if bits is not None:
+        parts = words.grams(part)
+        good = np.zeros(len(words.starts) + 1, bool)
+        good[parts] = has(bits, words.fingerprints(parts, part, keep))
+    for width in widths:
+        first = words.grams(width)
+        if bits is not None:
+            for k in range(width - part + 1):
+                first = first[good[first + k]]
+        yield width, first
+
+
 def counted(rows: DataFrame, widths: list[int], keep: int, bits=None, part: int = 0) -> DataFrame:
-    """Partial counts of all n-grams of these widths whose parts of ``part`` words are in ``bits``."""
+    """Partial counts of the ``candidates`` of these widths."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums()
-        frequent = bits.value if bits is not None else None
         for chunk in chunks(batches):
             words = Words(chunk.column("text"), chunk.column("lang"))
             ids = chunk.column("row").to_numpy()
-            if frequent is not None:
-                parts = words.grams(part)
-                good = np.zeros(len(words.starts) + 1, bool)
-                good[parts] = has(frequent, words.fingerprints(parts, part, keep))
-            for width in widths:
-                first = words.grams(width)
-                if frequent is not None:
-                    for k in range(width - part + 1):
-                        first = first[good[first + k]]
+            for width, first in candidates(words, widths, keep, bits.value if bits is not None else None, part):
                 own = words.rows[first]
                 sums.add(words.fingerprints(first, width, keep), np.ones(len(first), np.int64), ids[own], (first - words.first_word[own]).astype(np.int32), np.full(len(first), width, np.int8))
             # beyond this many different ones memory would grow with the task's input
@@ -183,7 +188,7 @@ def counted(rows: DataFrame, widths: list[int], keep: int, bits=None, part: int
 def frequent(parts: DataFrame, least: int) -> DataFrame:
     """Fingerprints that occur ``least`` times or more, with one pointer each."""
     total = parts.groupBy("fp").agg(F.sum("n").alias("n"), F.min(F.struct("row", "word", "width")).alias("at"))
-    return staged(total.where(F.col("n") >= least).select("fp", "at.*"), "frequent")
+    return staged(total.where(F.col("n") >= least).select("fp", "n", "at.*"), "frequent")
 
 
 def bit_table(found: DataFrame) -> np.ndarray:
@@ -206,7 +211,7 @@ def bit_table(found: DataFrame) -> np.ndarray:
 
 
 def materialised(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(fp, lang, phrase, width) from the texts that the pointers name."""
+    """(fp, lang, phrase, n, width) from the texts that the pointers name."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,81 +219,84 @@ def materialised(rows: DataFrame, found: DataFrame) -> DataFrame:
                 row = batch.slice(at, 1)
                 words = Words(row.column("text"), row.column("lang"))
                 points = row.column("points")[0].values
-                fp, word, width = (points.field(k).to_numpy() for k in range(3))
+                fp, n, word, width = (points.field(k).to_numpy() for k in range(4))
                 for w in np.unique(width):
                     own = width == w
                     lang = pa.array([words.langs[0].as_py()] * int(own.sum()))
-                    arrays = [pa.array(fp[own]), lang, words.texts(word[own].astype(np.int64), int(w)).cast(pa.string()), pa.array(width[own])]
-                    yield pa.RecordBatch.from_arrays(arrays, ["fp", "lang", "phrase", "width"])
+                    arrays = [pa.array(fp[own]), lang, words.texts(word[own].astype(np.int64), int(w)).cast(pa.string()), pa.array(n[own]), pa.array(width[own])]
+                    yield pa.RecordBatch.from_arrays(arrays, ["fp", "lang", "phrase", "n", "width"])
+
+    points = found.groupBy("row").agg(F.collect_list(F.struct("fp", "n", "word", "width")).alias("points"))
+    return rows.join(small(points), "row").mapInArrow(cut, "fp bigint, lang string, phrase string, n bigint, width int")
 
-    points = found.groupBy("row").agg(F.collect_list(F.struct("fp", "word", "width")).alias("points"))
-    return rows.join(small(points), "row").mapInArrow(cut, "fp bigint, lang string, phrase string, width int")
 
+def verified(rows: DataFrame, found: DataFrame, levels: list, keep: int, least: int) -> DataFrame:
+    """(lang, phrase, width, f) of all phrases that occur ``least`` times or more, exactly counted.
 
-def verified(rows: DataFrame, found: DataFrame, keep: int, least: int) -> DataFrame:
-    """(lang, phrase, width, f) of all phrases that occur ``least`` times or more, exactly counted."""
+    ``levels``: the (widths, bits, part) by which the fingerprints in ``found`` were counted.
+    """
     spark = rows.sparkSession
     known = staged(materialised(rows, found), "materialised") if found.count() <= REPRESENTATIVES else None
-    bits = spark.sparkContext.broadcast(bit_table(found))
-    fps, texts, langs = np.zeros(0, np.uint64), pa.array([], pa.large_string()), pa.array([], pa.string())
+    fps, texts, langs, table = np.zeros(0, np.uint64), pa.array([], pa.large_string()), [], None
     if known is not None:
-        table = known.select("fp", "lang", "phrase").toArrow().sort_by("fp").combine_chunks()
-        fps = table.column("fp").to_numpy().view(np.uint64)
+        columns = known.select("fp", "lang", "phrase").toArrow().combine_chunks()
+        fps = columns.column("fp").to_numpy().view(np.uint64)
         order = np.argsort(fps)
-        fps, table = fps[order], table.take(pa.array(order))
-        texts, langs = table.column("phrase").cast(pa.large_string()).combine_chunks(), table.column("lang").combine_chunks()
-    sent = spark.sparkContext.broadcast((fps, *bytes_of(texts), langs.to_pylist()))
+        fps, columns = fps[order], columns.take(pa.array(order))
+        texts, langs = columns.column("phrase").cast(pa.large_string()).combine_chunks(), columns.column("lang").to_pylist()
+    else:
+        table = spark.sparkContext.broadcast(bit_table(found))
+    names: dict[str, int] = {}
+    codes = np.array([names.setdefault(lang, len(names)) for lang in langs], np.int32)
+    sent = spark.sparkContext.broadcast((fps, *bytes_of(texts), codes, names))
+
+    def agree(words: Words, first: np.ndarray, width: int, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(those with a frequent fingerprint, whether their text is its representative's)."""
+        fps, data, bounds, codes, names = sent.value
+        if table is not None:
+            hit = np.flatnonzero(has(table.value, fp))
+            return hit, np.zeros(len(hit), bool)
+        if not len(fps):
+            return np.zeros(0, np.int64), np.zeros(0, bool)
+        place = np.minimum(np.searchsorted(fps, fp), len(fps) - 1)
+        hit = np.flatnonzero(fps[place] == fp)
+        place, first = place[hit], first[hit]
+        own_codes = np.array([names.get(lang, -1) for lang in words.langs.to_pylist()], np.int32)
+        start, size = words.starts[first], words.stops[first + width - 1] - words.starts[first]
+        same = (bounds[place + 1] - bounds[place] == size) & (codes[place] == own_codes[words.lang_of[words.rows[first]]])
+        at = np.flatnonzero(same)
+        for some in np.array_split(at, 1 + len(at) // 50_000):
+            if len(some):
+                ends = np.append(0, np.cumsum(size[some]))
+                step = np.arange(ends[-1])
+                equal = words.bytes[np.repeat(start[some] - ends[:-1], size[some]) + step] == data[np.repeat(bounds[place[some]] - ends[:-1], size[some]) + step]
+                same[some] = np.logical_and.reduceat(equal, ends[:-1])
+        return hit, same
 
     def differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fps, data, bounds, langs = sent.value
-        agreeing = np.zeros(len(fps), np.int64)
-        names = {}
-        codes = np.array([names.setdefault(lang, len(names)) for lang in langs], np.int64)
         for chunk in chunks(batches):
             words = Words(chunk.column("text"), chunk.column("lang"))
-            own_codes = np.array([names.get(lang, -1) for lang in words.langs.to_pylist()], np.int64)
-            for width in range(1, LONGEST + 1):
-                first = words.grams(width)
-                fp = words.fingerprints(first, width, keep)
-                hit = has(bits.value, fp)
-                first, fp = first[hit], fp[hit]
-                place = np.searchsorted(fps, fp)
-                same = np.zeros(len(first), bool)
-                if len(fps):
-                    place = np.minimum(place, len(fps) - 1)
-                    same = fps[place] == fp
-                    start, size = words.starts[first], words.stops[first + width - 1] - words.starts[first]
-                    same &= (bounds[place + 1] - bounds[place] == size) & (codes[place] == own_codes[words.lang_of[words.rows[first]]])
-                    at = np.flatnonzero(same)
-                    for some in np.array_split(at, 1 + len(at) // 50_000):
-                        if len(some):
-                            ends = np.append(0, np.cumsum(size[some]))
-                            step = np.arange(ends[-1])
-                            equal = words.bytes[np.repeat(start[some] - ends[:-1], size[some]) + step] == data[np.repeat(bounds[place[some]] - ends[:-1], size[some]) + step]
-                            same[some] = np.logical_and.reduceat(equal, ends[:-1])
-                    agreeing += np.bincount(place[same], minlength=len(fps))
-                first, fp = first[~same], fp[~same]
-                if len(first):
-                    lang = words.langs.take(pa.array(words.lang_of[words.rows[first]]))
-                    table = pa.table([pa.array(fp.view(np.int64)), lang.cast(pa.string()), words.texts(first, width)], ["fp", "lang", "phrase"])
-                    summed = table.group_by(["fp", "lang", "phrase"]).aggregate([([], "count_all")])
-                    arrays = [summed.column(c).combine_chunks() for c in ("fp", "lang")]
-                    arrays += [summed.column("phrase").combine_chunks().cast(pa.string()), summed.column("count_all").combine_chunks(), pa.array(np.full(summed.num_rows, width, np.int32))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["fp", "lang", "phrase", "n", "width"])
-
-        at = np.flatnonzero(agreeing)
-        nothing = pa.nulls(len(at), pa.string())
-        arrays = [pa.array(fps[at].view(np.int64)), nothing, nothing, pa.array(agreeing[at]), pa.nulls(len(at), pa.int32())]
-        yield pa.RecordBatch.from_arrays(arrays, ["fp", "lang", "phrase", "n", "width"])
-
-    seen = rows.mapInArrow(differing, "fp bigint, lang string, phrase string, n bigint, width int")
-    seen = staged(seen.groupBy("fp", "lang", "phrase", "width").agg(F.sum("n").alias("f")), "seen")
-    # fingerprints that only the bit table let through belong to rare phrases and fail the threshold
-    counts = seen.where("phrase is not null").select("lang", "phrase", "width", "f")
+            for widths, bits, part in levels:
+                for width, first in candidates(words, widths, keep, bits.value if bits is not None else None, part):
+                    fp = words.fingerprints(first, width, keep)
+                    hit, same = agree(words, first, width, fp)
+                    first, fp = first[hit[~same]], fp[hit[~same]]
+                    if len(first):
+                        lang = words.langs.take(pa.array(words.lang_of[words.rows[first]]))
+                        texts = pa.table([pa.array(fp.view(np.int64)), lang.cast(pa.string()), words.texts(first, width)], ["fp", "lang", "phrase"])
+                        summed = texts.group_by(["fp", "lang", "phrase"]).aggregate([([], "count_all")]).combine_chunks()
+                        arrays = [summed.column("fp"), summed.column("lang"), summed.column("phrase").cast(pa.string()), summed.column("count_all")]
+                        arrays = [a.combine_chunks() for a in arrays] + [pa.array(np.full(summed.num_rows, width, np.int32))]
+                        yield pa.RecordBatch.from_arrays(arrays, ["fp", "lang", "phrase", "n", "width"])
+
+    others = rows.mapInArrow(differing, "fp bigint, lang string, phrase string, n bigint, width int")
+    # a rare phrase among them may have been counted in part; it fails the threshold all the same
+    others = staged(others.groupBy("fp", "lang", "phrase", "width").agg(F.sum("n").alias("f")), "others")
+    counts = others.select("lang", "phrase", "width", "f")
     if known is not None:
-        counts = counts.union(known.join(seen.where("phrase is null").select("fp", "f"), "fp").select("lang", "phrase", "width", "f"))
+        wrong = others.groupBy("fp").agg(F.sum("f").alias("wrong"))
+        counts = counts.union(known.join(wrong, "fp", "left").select("lang", "phrase", "width", (F.col("n") - F.coalesce("wrong", F.lit(0))).alias("f")))
     out = staged(counts.where(F.col("f") >= least), "phrases")
-    bits.unpersist()
     sent.unpersist()
     return out
 
@@ -321,16 +329,16 @@ def phrase_counts(docs: DataFrame, least: int = MIN_COUNT, keep: int = 64) -> tu
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     rows = staged(rows, "rows")
     words = frequent(counted(rows, [1], keep), least)
-    first = spark.sparkContext.broadcast(bit_table(words))
-    pairs = frequent(counted(rows, [2], keep, first, 1), least)
-    first.unpersist()
-    second = spark.sparkContext.broadcast(bit_table(pairs))
-    longer = frequent(counted(rows, list(range(3, LONGEST + 1)), keep, second, 2), least)
-    second.unpersist()
+    levels = [([1], None, 0), ([2], spark.sparkContext.broadcast(bit_table(words)), 1)]
+    pairs = frequent(counted(rows, [2], keep, *levels[1][1:]), least)
+    levels.append((list(range(3, LONGEST + 1)), spark.sparkContext.broadcast(bit_table(pairs)), 2))
+    longer = frequent(counted(rows, levels[2][0], keep, *levels[2][1:]), least)
     # phrases of several widths may share a fingerprint; one of them represents it
-    found = words.union(pairs).union(longer).groupBy("fp").agg(F.min(F.struct("row", "word", "width")).alias("at")).select("fp", "at.*")
-    found = staged(found, "found")
-    return verified(rows, found, keep, least), staged(word_totals(rows), "totals")
+    found = words.union(pairs).union(longer).groupBy("fp").agg(F.sum("n").alias("n"), F.min(F.struct("row", "word", "width")).alias("at"))
+    counts = verified(rows, staged(found.select("fp", "n", "at.*"), "found"), levels, keep, least)
+    for _, bits, _ in levels[1:]:
+        bits.unpersist()
+    return counts, staged(word_totals(rows), "totals")
 
 
 def collocations(docs: DataFrame, least: int = MIN_COUNT, first: int = FIRST, keep: int = 64) -> DataFrame:
