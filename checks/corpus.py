@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import standins as s
 from tarnmill.functions import arrays
 from tarnmill.markers import BEGIN_COMMENT
-from tarnmill.operators import dedup, packing, splits, subword, tokens, vocab
+from tarnmill.operators import dedup, packing, repeats, splits, subword, tokens, vocab
 from tarnmill.operators.prefix import running_total
 from tarnmill.session import cut_lineage
 from tarnmill.sources.records import write_csv
@@ -198,6 +198,21 @@ def decoded_pieces(spark, sf):
     return lines.select("file_id", "line_no", tokens.decode_pieces(marked).alias("text"))
 
 
+@query(
+    "maximal_repeats",
+    f"""WITH {s.LINES}, words AS (
+      SELECT w, count(*) AS n FROM (SELECT unnest(string_split(line, ' ')) AS w FROM line_rows) WHERE w <> '' GROUP BY w),
+    starts AS (SELECT w, n, unnest(generate_series(1, len(w))) AS i FROM words),
+    cuts AS (SELECT w[i:k] AS piece, n FROM (SELECT w, n, i, unnest(generate_series(i, len(w))) AS k FROM starts)),
+    counts AS (SELECT piece, sum(n) AS n FROM cuts GROUP BY piece HAVING sum(n) > 1),
+    grown AS (SELECT left(piece, len(piece) - 1) AS piece, n FROM counts UNION SELECT piece[2:], n FROM counts)
+    SELECT piece, CAST(n AS BIGINT) AS n FROM (SELECT piece, n FROM counts WHERE len(piece) > 1 EXCEPT SELECT piece, n FROM grown)""",
+)
+def maximal_repeats(spark, sf):
+    split = s.files(spark, sf).select(F.explode("lines").alias("line")).select(F.explode(s.words(F.col("line"))).alias("word"))
+    return repeats.maximal_repeats(split.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+
+
 @query("fitted_vocabulary")
 def fitted_vocabulary(spark, sf):
     return vocab.fit_vocabulary(vocab.word_counts(s.files(spark, sf)))

@@ -1,44 +1,228 @@
-"""Subword encoding of lines with a fitted vocabulary."""
+"""Subword encoding of lines with a fitted vocabulary.
+
+A ``Segmenter`` holds the vocabulary as a trie in flat arrays. It takes all words of a batch at
+once: the trie finds every piece in every word, and the recursions go over positions, each step
+for all words together.
+"""
 
 from __future__ import annotations
 
-import math
-import unicodedata
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnmill.functions.tasks import row_function
 from tarnmill.markers import WORD_START, reserved_symbols
+from tarnmill.operators.trie import Trie
 
-MEMO_WORDS = 1 << 17
-# pieces that a new vocabulary may learn; encoding takes the vocabulary's own longest
-MAX_PIECE = 16
+# word bytes and lines taken at once; a word that occurs again within them is cut once
+BYTES_AT_ONCE = 400_000
+LINES_AT_ONCE = 20_000
 # Fixed value: score of a character outside the vocabulary, below the worst piece.
 UNKNOWN_PENALTY = 10.0
 
 
-def best_path(word: str, scores: Mapping[str, float], floor: float, longest: int, banned: str = "") -> tuple[list[str], float]:
-    """Most probable segmentation of a word into pieces of at most ``longest`` characters,
-    optionally without one piece."""
-    best = [0.0] + [-math.inf] * len(word)
-    back = [0] * (len(word) + 1)
-    for end in range(1, len(word) + 1):
-        for start in range(max(0, end - longest), end):
-            piece = word[start:end]
-            score = scores.get(piece)
-            if score is None or piece == banned:
-                if end - start > 1:
-                    continue
-                score = floor - UNKNOWN_PENALTY
-            if best[start] + score > best[end]:
-                best[end], back[end] = best[start] + score, start
-    pieces, end = [], len(word)
-    while end:
-        pieces.append(word[back[end] : end])
-        end = back[end]
-    return pieces[::-1], best[-1]
+def slices(words: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of the words with about ``BYTES_AT_ONCE`` bytes each."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(words):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + BYTES_AT_ONCE, side="right")))
+        yield at, stop
+        at = stop
+
+
+class Paths:
+    """All pieces of a batch of words, as arcs between places.
+
+    A word of n bytes has the places 0 to n; those of all words are numbered through.
+    """
+
+    def __init__(self, words: pa.Array):
+        column = words.cast(pa.large_string())
+        self.bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        raw = column.buffers()[2] if len(column) else None
+        self.data = np.frombuffer(raw, np.uint8)[self.bounds[0] : self.bounds[-1]] if raw is not None and self.bounds[-1] > self.bounds[0] else np.zeros(0, np.uint8)
+        self.bounds = self.bounds - self.bounds[0]
+        self.sizes = np.diff(self.bounds)
+        self.word = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.limits = self.bounds[1:][self.word]
+        # the first and last place of every word
+        self.first = self.bounds[:-1] + np.arange(len(self.sizes))
+        self.last = self.first + self.sizes
+        self.size = int(self.bounds[-1]) + len(self.sizes)
+        self.offset = np.arange(self.size) - np.repeat(self.first, self.sizes + 1)
+
+    def steps(self, due: np.ndarray, to: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(arcs, where each target's arcs begin) for one step after the other; the arcs into
+        a place are in rising order of ``at``."""
+        order = np.lexsort((at, to, due))
+        due, to = due[order], to[order]
+        heads = np.append(True, to[1:] != to[:-1]) if len(to) else np.zeros(0, bool)
+        cuts = np.flatnonzero(np.append(True, due[1:] != due[:-1])) if len(due) else np.zeros(0, np.int64)
+        for low, high in zip(cuts, np.append(cuts[1:], len(due))):
+            yield order[low:high], np.flatnonzero(heads[low:high])
+
+
+class Segmenter:
+    """A vocabulary with log probabilities, ready to cut words."""
+
+    def __init__(self, scores: Mapping[str, float]):
+        self.pieces = list(scores)
+        self.scores = np.array([scores[p] for p in self.pieces], float)
+        self.trie = Trie.of([p.encode() for p in self.pieces])
+        self.unknown = (float(self.scores.min()) if self.pieces else 0.0) - UNKNOWN_PENALTY
+
+    def arcs(self, paths: Paths, spare: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(from, to, piece, score); with ``spare``, characters that are no piece get an arc (-1)."""
+        start, stop, piece = self.trie.matches(paths.data, paths.limits)
+        score = self.scores[piece]
+        if spare:
+            head = np.flatnonzero((paths.data & 0xC0) != 0x80)
+            after = np.append(head[1:], len(paths.data))
+            # a piece that starts here and ends with this character
+            ends = np.zeros(len(paths.data) + 1, np.int64)
+            ends[head] = after
+            known = np.zeros(len(paths.data) + 1, bool)
+            known[start[ends[start] == stop]] = True
+            lone = head[~known[head]]
+            start, stop = np.append(start, lone), np.append(stop, ends[lone])
+            piece, score = np.append(piece, np.full(len(lone), -1)), np.append(score, np.full(len(lone), self.unknown))
+        own = paths.word[start]
+        return start + own, stop + own, piece, score
+
+    def best(self, words: pa.Array, banned: np.ndarray | None = None) -> tuple[Paths, np.ndarray, np.ndarray, np.ndarray]:
+        """(paths, score of every place, and the arc by which the best path reaches it: from, piece).
+
+        Of equal paths the one whose last piece is longest counts. ``banned`` names a piece for
+        each word that it must not use.
+        """
+        paths = Paths(words)
+        source, target, piece, score = self.arcs(paths, True)
+        if banned is not None:
+            word = np.searchsorted(paths.first, source, side="right") - 1
+            ok = piece != banned[word]
+            source, target, piece, score = source[ok], target[ok], piece[ok], score[ok]
+        total = np.full(paths.size, -np.inf)
+        total[paths.first] = 0.0
+        back, by = np.zeros(paths.size, np.int64), np.full(paths.size, -1, np.int64)
+        for arcs, heads in paths.steps(paths.offset[target], target, source):
+            value = total[source[arcs]] + score[arcs]
+            top = np.maximum.reduceat(value, heads)
+            sizes = np.diff(np.append(heads, len(arcs)))
+            hit = np.flatnonzero(value == np.repeat(top, sizes))
+            # the first of the best arcs into each place
+            owner = np.repeat(np.arange(len(heads)), sizes)[hit]
+            hit = hit[np.append(True, owner[1:] != owner[:-1])]
+            to = target[arcs[heads]]
+            total[to], back[to], by[to] = top, source[arcs[hit]], piece[arcs[hit]]
+        return paths, total, back, by
+
+    def cut(self, words: pa.Array) -> pa.ListArray:
+        """The pieces of every word on its best path."""
+        paths, _, back, _ = self.best(words)
+        at, word = paths.last.copy(), np.arange(len(paths.sizes))
+        starts, stops, owners = [], [], []
+        while len(at):
+            open_ = at > paths.first[word]
+            at, word = at[open_], word[open_]
+            before = back[at]
+            starts.append(before - word)
+            stops.append(at - word)
+            owners.append(word)
+            at = before
+        start, stop, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, stops, owners))
+        order = np.lexsort((start, owner))
+        start, stop, owner = start[order], stop[order], owner[order]
+        # pieces of one word lie side by side, so the bytes need no copy
+        text = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(np.append(start, stop[-1:] if len(stop) else [0]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(paths.data))])
+        bounds = np.searchsorted(owner, np.arange(len(paths.sizes) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds), text.cast(pa.string()))
+
+    def used(self, words: pa.Array, counts: np.ndarray) -> np.ndarray:
+        """How often the best paths use each piece."""
+        paths, _, back, by = self.best(words)
+        at, word = paths.last.copy(), np.arange(len(paths.sizes))
+        out = np.zeros(len(self.pieces))
+        while len(at):
+            open_ = at > paths.first[word]
+            at, word = at[open_], word[open_]
+            known = by[at] >= 0
+            out += np.bincount(by[at][known], weights=counts[word][known], minlength=len(out))
+            at = back[at]
+        return out
+
+    def loss(self) -> np.ndarray:
+        """The score lost by writing each piece with others; 0 for single characters."""
+        lost = np.zeros(len(self.pieces))
+        words = pa.array(self.pieces, pa.large_string())
+        for start, stop in slices(words):
+            paths, total, _, _ = self.best(words.slice(start, stop - start), np.arange(start, stop))
+            lost[start:stop] = self.scores[start:stop] - total[paths.last]
+        lost[[len(p) == 1 for p in self.pieces]] = 0.0
+        return lost
+
+    def expected(self, words: pa.Array, counts: np.ndarray) -> np.ndarray:
+        """Expected count of each piece over all segmentations, words taken ``counts`` times;
+        a word that the pieces cannot spell counts nothing."""
+        paths = Paths(words)
+        source, target, piece, score = self.arcs(paths, False)
+        ahead, behind = np.full(paths.size, -np.inf), np.full(paths.size, -np.inf)
+        ahead[paths.first], behind[paths.last] = 0.0, 0.0
+        for arcs, heads in paths.steps(paths.offset[target], target, source):
+            ahead[target[arcs[heads]]] = np.logaddexp.reduceat(ahead[source[arcs]] + score[arcs], heads)
+        left = np.repeat(paths.sizes, paths.sizes + 1) - paths.offset
+        for arcs, heads in paths.steps(left[source], source, target):
+            behind[source[arcs[heads]]] = np.logaddexp.reduceat(behind[target[arcs]] + score[arcs], heads)
+        word = np.searchsorted(paths.first, source, side="right") - 1
+        total = ahead[paths.last][word]
+        spelt = total > -np.inf
+        source, target, piece, score, word, total = (a[spelt] for a in (source, target, piece, score, word, total))
+        share = np.exp(ahead[source] + score + behind[target] - total)
+        return np.bincount(piece, weights=share * counts[word], minlength=len(self.pieces)) if len(piece) else np.zeros(len(self.pieces))
+
+
+class Encoder:
+    """Pieces of whole lines."""
+
+    def __init__(self, segmenter: Segmenter, symbols: list[str]):
+        self.segmenter, self.symbols = segmenter, pa.array(symbols, pa.large_string())
+
+    def words(self, words: pa.Array) -> pa.ListArray:
+        """The pieces of distinct words."""
+        whole = pc.is_in(words, self.symbols)
+        plain = words.filter(pc.invert(whole))
+        parts = []
+        marked = pc.binary_join_element_wise(pa.scalar(WORD_START, pa.large_string()), plain, pa.scalar("", pa.large_string()))
+        for start, stop in slices(marked):
+            parts.append(self.segmenter.cut(marked.slice(start, stop - start)))
+        lone = words.filter(whole).cast(pa.string())
+        parts.append(pa.ListArray.from_arrays(pa.array(np.arange(len(lone) + 1, dtype=np.int32)), lone))
+        # back to the order of the words
+        number = np.append(np.flatnonzero(~whole.to_numpy(zero_copy_only=False)), np.flatnonzero(whole.to_numpy(zero_copy_only=False)))
+        return pa.concat_arrays(parts).take(pa.array(np.argsort(number)))
+
+    def lines(self, lines: pa.Array) -> pa.ListArray:
+        """The pieces of every line; a null line has none."""
+        texts = pc.utf8_normalize(pc.fill_null(lines.cast(pa.large_string()), ""), "NFKC")
+        split = pc.utf8_split_whitespace(texts)
+        words, offsets = split.flatten(), split.offsets.to_numpy().astype(np.int64)
+        coded = words.dictionary_encode()
+        number = coded.indices.to_numpy()
+        # a line that begins or ends with white space yields an empty word there
+        filled = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) > 0
+        distinct = self.words(coded.dictionary)
+        kept = filled[number] if len(number) else np.zeros(0, bool)
+        before = np.append(0, np.cumsum(kept))
+        pieces = distinct.take(pa.array(number[kept]))
+        # pieces of a line: those of its words in a row
+        word_ends = pieces.offsets.to_numpy().astype(np.int64)
+        bounds = word_ends[before[offsets]]
+        return pa.ListArray.from_arrays(pa.array((bounds - word_ends[0]).astype(np.int32)), pieces.flatten())
 
 
 def encode_lines(lines: Column, scores: Mapping[str, float], num_reserved: int = 0) -> Column:
@@ -47,25 +231,26 @@ def encode_lines(lines: Column, scores: Mapping[str, float], num_reserved: int =
 
     Words are normalised (NFKC) and start with a word mark; reserved symbols stay whole.
     """
-    symbols = frozenset(reserved_symbols(num_reserved))
-
-    def prepare():
-        floor, longest = min(scores.values(), default=0.0), max(map(len, scores), default=1)
-        memo: dict[str, list[str]] = {}
+    symbols = list(reserved_symbols(num_reserved))
+    segmenter = Segmenter(scores)
 
-        def encode_word(word: str) -> list[str]:
-            if word in symbols:
-                return [word]
-            if word not in memo:
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                memo[word] = best_path(WORD_START + word, scores, floor, longest)[0]
-            return memo[word]
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = Encoder(segmenter, symbols)
+        for column in batches:
+            for start, stop in line_slices(column):
+                part = column.slice(start, stop - start)
+                flat = encoder.lines(part.flatten())
+                bounds = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(bounds), flat, mask=part.is_null())
 
-        def encode_line(line: str) -> list[str]:
-            words = line.split() if line.isascii() else unicodedata.normalize("NFKC", line).split()
-            return [piece for word in words for piece in encode_word(word)]
+    return F.arrow_udf(encode, T.ArrayType(T.ArrayType(T.StringType()))).asNondeterministic()(lines)
 
-        return lambda texts: None if texts is None else [encode_line(line or "") for line in texts]
 
-    return row_function(T.ArrayType(T.ArrayType(T.StringType())), prepare)(lines)
+def line_slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``LINES_AT_ONCE`` lines each."""
+    total = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(column):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + LINES_AT_ONCE, side="right")))
+        yield at, stop
+        at = stop

@@ -26,11 +26,14 @@ class Trie:
         """The trie of distinct, non-empty byte strings."""
         order = sorted(range(len(pieces)), key=pieces.__getitem__)
         texts = [pieces[k] for k in order]
-        size = max(1 << 12, 2 * sum(map(len, texts)) // 3 + 512)
+        size = 3 * sum(map(len, texts)) + (1 << 13)
         base, owner, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
-        used = np.zeros(size, bool)
-        used[0] = True
-        free_from = 1
+        flags = bytearray(size)
+        used = np.frombuffer(flags, np.uint8)
+        flags[0] = 1
+        # slots up to here are full; nodes with one child fill the holes behind it, and
+        # nodes with more look where there is more room
+        free_from = roomy_from = 257
         # (node, first text, text behind the last one) of one level
         level = [(0, 0, len(texts))]
         depth = 0
@@ -54,28 +57,28 @@ class Trie:
                         step += 1
                     at = step
                 cuts.append(high)
-                children = np.array(firsts)
-                start = max(free_from - firsts[0], 1)
-                while True:
-                    if start + TRIED + 256 >= len(used):
-                        more = len(used)
-                        base, owner, value = (np.concatenate([a, np.full(more, fill, np.int32)]) for a, fill in ((base, 0), (owner, -1), (value, -1)))
-                        used = np.concatenate([used, np.zeros(more, bool)])
-                    tried = start + np.arange(TRIED)
-                    fit = ~used[tried[:, None] + children].any(axis=1)
-                    if fit.any():
-                        place = start + int(np.argmax(fit))
-                        break
-                    start += TRIED
+                if len(firsts) == 1:
+                    while flags[free_from]:
+                        free_from += 1
+                    place = free_from - firsts[0]
+                    slots = [free_from]
+                    flags[free_from] = 1
+                else:
+                    children = np.array(firsts)
+                    while True:
+                        fit = ~used[(roomy_from + np.arange(TRIED))[:, None] + children].any(axis=1)
+                        if fit.any():
+                            break
+                        roomy_from += TRIED // 2
+                    place = roomy_from + int(np.argmax(fit))
+                    slots = (place + children).tolist()
+                    used[place + children] = 1
                 base[node] = place
-                slots = place + children
-                used[slots] = True
                 owner[slots] = node
-                while used[free_from]:
-                    free_from += 1
-                following.extend(zip(slots.tolist(), cuts, cuts[1:]))
+                following.extend(zip(slots, cuts, cuts[1:]))
             level = following
             depth += 1
+        # a step may look 255 slots beyond the last child
         last = int(np.flatnonzero(used)[-1]) + 257
         return cls(base[:last].copy(), owner[:last].copy(), value[:last].copy())
 

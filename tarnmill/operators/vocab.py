@@ -8,17 +8,18 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnmill.functions.tasks import row_function
 from tarnmill.markers import WORD_START, reserved_symbols
-from tarnmill.operators.subword import MAX_PIECE, best_path
+from tarnmill.operators.repeats import maximal_repeats
+from tarnmill.operators.subword import Segmenter, slices
 from tarnmill.session import cut_lineage
 
 # Default size, seeds per final piece, rounds and share kept per pruning.
@@ -26,10 +27,7 @@ VOCAB_SIZE = 50000
 SEED_FACTOR = 4
 EM_ROUNDS = 2
 KEEP_SHARE = 0.75
-SEGMENT = 4096
 MOST_PIECES = 1 << 21
-# Fixed value: scale that keeps word probabilities in the range of a double.
-NATS_PER_CHAR = 3.0
 
 
 def word_counts(files: DataFrame, lines: str = "lines", num_reserved: int = 0) -> DataFrame:
@@ -48,113 +46,40 @@ _nfkc = row_function(
 )
 
 
-def seed_pieces(words: DataFrame, limit: int, max_piece: int = MAX_PIECE) -> DataFrame:
-    """All single characters and the substrings with the highest count times length.
-
-    Long words are cut into overlapping segments first, so one word cannot make one
-    oversized row.
-    """
-    segments = words.select(
-        "n",
-        F.explode(F.sequence(F.lit(1), F.length("word"), F.lit(SEGMENT))).alias("from"),
-        "word",
-    ).select("n", F.expr(f"substring(word, from, {SEGMENT + max_piece - 1})").alias("s"))
-    cuts = F.expr(
-        f"""flatten(transform(sequence(1, least(length(s), {SEGMENT})),
-              i -> transform(sequence(1, least({max_piece}, length(s) - i + 1)), k -> substring(s, i, k))))"""
-    )
-    counted = cut_lineage(
-        segments.select(F.explode(cuts).alias("piece"), "n")
-        .groupBy("piece")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("size", F.length("piece"))
-        .where((F.col("size") == 1) | (F.col("n") > 1))
-    )
-    longer = counted.where(F.col("size") > 1).withColumn("gain", F.col("n") * F.col("size"))
+def seed_pieces(words: DataFrame, limit: int) -> DataFrame:
+    """All single characters and the maximal repeats (of any length) with the highest count
+    times length."""
+    letters = words.select(F.explode(F.split("word", "")).alias("piece"), "n").where("piece <> ''")
+    singles = cut_lineage(letters.groupBy("piece").agg(F.sum("n").alias("n")))
+    longer = cut_lineage(maximal_repeats(words)).withColumn("gain", F.col("n") * F.length("piece"))
     # Exact counts per gain class (sixteen to each doubling) tell which classes can be
     # among the best, so that few more than ``limit`` rows are sorted.
     longer = longer.withColumn("class", F.floor(F.log2(F.col("gain").cast("double")) * 16).cast("int"))
-    left, floor = limit, None
+    left = limit
     for row in longer.groupBy("class").count().orderBy(F.desc("class")).collect():
         floor, left = row["class"], left - row["count"]
         if left <= 0:
+            longer = longer.where(F.col("class") >= floor).orderBy(F.desc("gain"), "piece").limit(limit)
             break
-    if left < 0:
-        longer = longer.where(F.col("class") >= floor).orderBy(F.desc("gain"), "piece").limit(limit)
-    return counted.where(F.col("size") == 1).select("piece", "n").unionByName(longer.select("piece", "n"))
-
-
-def expected_counts(word: str, weights: Mapping[str, float], longest: int) -> dict[str, float]:
-    """Posterior count of each piece over all segmentations of a word (forward-backward).
-
-    ``weights`` are piece probabilities scaled per character, so that products over a
-    word stay near one; words for which they still near the limits of a double are
-    summed in logarithms. A word that the pieces cannot spell counts nothing.
-    """
-    n = len(word)
-    ahead = [1.0] + [0.0] * n
-    spans = []
-    for end in range(1, n + 1):
-        for start in range(max(0, end - longest), end):
-            weight = weights.get(word[start:end])
-            if weight is not None:
-                ahead[end] += ahead[start] * weight
-                spans.append((start, end, weight))
-    reached = [value for value in ahead if value > 0]
-    # every place needs a value, as a product that got lost is zero too
-    if len(reached) <= n or min(reached) < 1e-280 or max(reached) > 1e280:
-        return _expected_in_logs(word, spans)
-    total = ahead[n]
-    behind = [0.0] * n + [1.0]
-    counts: dict[str, float] = {}
-    for start, end, weight in reversed(spans):
-        share = weight * behind[end]
-        behind[start] += share
-        piece = word[start:end]
-        counts[piece] = counts.get(piece, 0.0) + ahead[start] * share / total
-    return counts
+    return singles.unionByName(longer.select("piece", "n"))
 
 
-def _log_add(a: float, b: float) -> float:
-    if a < b:
-        a, b = b, a
-    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
-
-
-def _expected_in_logs(word: str, spans: list[tuple[int, int, float]]) -> dict[str, float]:
-    n = len(word)
-    ahead = [0.0] + [-math.inf] * n
-    for start, end, weight in spans:
-        ahead[end] = _log_add(ahead[end], ahead[start] + math.log(weight))
-    if ahead[n] == -math.inf:
-        return {}
-    behind = [-math.inf] * n + [0.0]
-    counts: dict[str, float] = {}
-    for start, end, weight in reversed(spans):
-        share = math.log(weight) + behind[end]
-        behind[start] = _log_add(behind[start], share)
-        piece = word[start:end]
-        counts[piece] = counts.get(piece, 0.0) + math.exp(min(0.0, ahead[start] + share - ahead[n]))
-    return counts
-
-
-def _per_partition(measure):
-    """Sum ``measure(word)`` times the word count per partition; at most one row per piece."""
+def _piece_sums(words: DataFrame, measure) -> DataFrame:
+    """``piece, c``: the sums of ``measure(segmenter, words, counts)`` over all words, by
+    piece number; one row for each piece that a task has seen."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
         for batch in batches:
-            for word, n in zip(batch["word"], batch["n"]):
-                for piece, count in measure(word).items():
-                    total[piece] += count * n
-        if total:
-            yield pd.DataFrame({"piece": list(total.keys()), "c": [float(c) for c in total.values()]})
-
-    return run
-
-
-def _piece_sums(words: DataFrame, measure) -> DataFrame:
-    partial = words.mapInPandas(_per_partition(measure), "piece string, c double")
+            counts = batch.column("n").to_numpy()
+            for start, stop in slices(batch.column("word")):
+                own = measure(batch.column("word").slice(start, stop - start), counts[start:stop])
+                total = own if total is None else total + own
+        if total is not None:
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["piece", "c"])
+
+    partial = words.select("word", "n").mapInArrow(run, "piece bigint, c double")
     return partial.groupBy("piece").agg(F.sum("c").alias("c"))
 
 
@@ -210,42 +135,34 @@ def _covered(words: DataFrame, coverage: float) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _maximise(words: DataFrame, scores: dict[str, float]) -> dict[str, float]:
-    scaled = {piece: math.exp(score + NATS_PER_CHAR * len(piece)) for piece, score in scores.items()}
-    sent = words.sparkSession.sparkContext.broadcast(scaled)
-    longest = max(map(len, scores))
-    sums = _piece_sums(words, lambda word: expected_counts(word, sent.value, longest)).collect()
+def _sums(words: DataFrame, segmenter: Segmenter, measure) -> np.ndarray:
+    """The sums by piece number as one array of the vocabulary's size."""
+    sent = words.sparkSession.sparkContext.broadcast(segmenter)
+    table = _piece_sums(words, lambda some, counts: measure(sent.value, some, counts)).toArrow()
     sent.unpersist()
-    counts = {row["piece"]: row["c"] for row in sums if row["c"] >= 0.5}
-    for piece in scores:
-        if len(piece) == 1:
-            counts.setdefault(piece, 0.5)
-    total = sum(counts.values())
-    return {piece: math.log(count / total) for piece, count in counts.items()}
+    sums = np.zeros(len(segmenter.pieces))
+    sums[table.column("piece").to_numpy()] = table.column("c").to_numpy()
+    return sums
+
+
+def _maximise(words: DataFrame, scores: dict[str, float]) -> dict[str, float]:
+    segmenter = Segmenter(scores)
+    sums = _sums(words, segmenter, lambda own, some, counts: own.expected(some, counts))
+    kept = {p: max(c, 0.5) for p, c in zip(segmenter.pieces, sums.tolist()) if c >= 0.5 or len(p) == 1}
+    total = sum(kept.values())
+    return {piece: math.log(count / total) for piece, count in kept.items()}
 
 
 def _prune(words: DataFrame, scores: dict[str, float], size: int) -> dict[str, float]:
     """Keep the single characters and the pieces with the highest cost of removal: how
     often the best segmentations use a piece, times the score lost by writing it with
     other pieces."""
-    sent = words.sparkSession.sparkContext.broadcast(scores)
-    floor, longest = min(scores.values()), max(map(len, scores))
-    used = _piece_sums(words, lambda word: Counter(best_path(word, sent.value, floor, longest)[0]))
-
-    def cost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            lost = [
-                sent.value[piece] - best_path(piece, sent.value, floor, longest, banned=piece)[1]
-                if len(piece) > 1 and piece in sent.value
-                else 0.0
-                for piece in batch["piece"]
-            ]
-            yield pd.DataFrame({"piece": batch["piece"], "cost": batch["c"] * lost})
-
-    costs = {row["piece"]: row["cost"] for row in used.mapInPandas(cost, "piece string, cost double").collect()}
-    sent.unpersist()
+    segmenter = Segmenter(scores)
+    used = _sums(words, segmenter, lambda own, some, counts: own.used(some, counts))
+    lost = segmenter.loss()
+    costs = dict(zip(segmenter.pieces, (used * lost).tolist()))
     singles = [piece for piece in scores if len(piece) == 1]
-    longer = sorted((p for p in scores if len(p) > 1), key=lambda p: (-costs.get(p, 0.0), p))
+    longer = sorted((p for p in scores if len(p) > 1), key=lambda p: (-costs[p], p))
     kept = singles + longer[: max(0, size - len(singles))]
     return {piece: scores[piece] for piece in kept}
 

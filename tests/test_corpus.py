@@ -6,12 +6,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tarnmill.functions import arrays
 from tarnmill.markers import reserved_symbols
-from tarnmill.operators import dedup, packing, prefix, skew, splits, subword, tokens, vocab
+from tarnmill.operators import dedup, packing, prefix, repeats, skew, splits, subword, tokens, vocab
 
 
 def naive_simhash(text):
@@ -215,9 +216,21 @@ def all_segmentations(word, scores):
                 yield (word[:k], *rest), scores[word[:k]] + score
 
 
-def test_expected_counts_and_best_path():
+def plain_path(word, scores, unknown):
+    """The best way to cut a word; of equal ones that with the longest last piece, and so on."""
+    best = {0: (0.0, [])}
+    for end in range(1, len(word) + 1):
+        for start in range(end):
+            piece = word[start:end]
+            score = scores.get(piece, unknown if len(piece) == 1 else None)
+            if score is not None and (end not in best or best[start][0] + score > best[end][0]):
+                best[end] = (best[start][0] + score, best[start][1] + [piece])
+    return best[len(word)][1]
+
+
+def test_expected_counts_and_best_paths():
     scores = {p: math.log(w) for p, w in {"a": 0.3, "b": 0.2, "ab": 0.25, "ba": 0.1, "aba": 0.15}.items()}
-    scaled = {p: math.exp(s + vocab.NATS_PER_CHAR * len(p)) for p, s in scores.items()}
+    segmenter = subword.Segmenter(scores)
     for word in ["a", "ab", "abab", "ababa"]:
         ways = list(all_segmentations(word, scores))
         total = sum(math.exp(s) for _, s in ways)
@@ -225,14 +238,33 @@ def test_expected_counts_and_best_path():
         for pieces, s in ways:
             for p in pieces:
                 expected[p] = expected.get(p, 0) + math.exp(s) / total
-        counts = vocab.expected_counts(word, scaled, 3)
+        counts = dict(zip(segmenter.pieces, segmenter.expected(pa.array([word]), np.array([1]))))
         assert {p: round(c, 9) for p, c in counts.items() if c} == {p: round(c, 9) for p, c in expected.items()}
         best = max(ways, key=lambda w: w[1])
-        assert math.isclose(subword.best_path(word, scores, -3.0, 3)[1], best[1])
-    long = vocab.expected_counts("ab" * 3000, {p: s * 1e9 for p, s in scaled.items()}, 3)
+        assert math.isclose(segmenter.best(pa.array([word]))[1][-1], best[1])
+    long = dict(zip(segmenter.pieces, segmenter.expected(pa.array(["ab" * 3000]), np.array([1]))))
     assert abs(sum(len(p) * c for p, c in long.items()) - 6000) < 1
 
 
+def test_cut_words_equal_plain_paths_ties_too():
+    rng = random.Random(4)
+    letters = "abé▁🙂"
+    pieces = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 4))) for _ in range(60)} - {"🙂"}
+    # few different scores make many ties
+    scores = {p: -float(rng.randint(1, 3)) * len(p) for p in sorted(pieces)}
+    words = ["".join(rng.choice(letters + "x") for _ in range(rng.randint(0, 14))) for _ in range(300)]
+    got = subword.Segmenter(scores).cut(pa.array(words, pa.string())).to_pylist()
+    assert got == [plain_path(w, scores, min(scores.values()) - subword.UNKNOWN_PENALTY) if w else [] for w in words]
+
+
+def test_pieces_cost_what_others_add():
+    scores = {"a": -1.0, "b": -2.0, "ab": -2.5, "aba": -9.0, "c": -1.0, "cc": -1.5}
+    segmenter = subword.Segmenter(scores)
+    assert dict(zip(segmenter.pieces, segmenter.loss().tolist())) == {"a": 0.0, "b": 0.0, "ab": 0.5, "aba": -5.5, "c": 0.0, "cc": 0.5}
+    used = segmenter.used(pa.array(["abcc", "aba", "x"]), np.array([2, 3, 7]))
+    assert dict(zip(segmenter.pieces, used.tolist())) == {"a": 3.0, "b": 0.0, "ab": 5.0, "aba": 0.0, "c": 0.0, "cc": 2.0}
+
+
 def test_fit_encode_and_decode(spark):
     lines = ["def read_file ( path ) :", "<INDENT> return open ( path ) . read ( )", "def read_files ( paths ) :", "ﬁle ½"]
     files = spark.createDataFrame([(i, lines) for i in range(5)], "file_id int, lines array<string>")
@@ -252,17 +284,38 @@ def test_fit_encode_and_decode(spark):
     assert decoded[0] == lines[0] and decoded[3] == "file 1⁄2"
 
 
-def test_long_words_are_cut_into_segments(spark, monkeypatch):
-    monkeypatch.setattr(vocab, "SEGMENT", 8)
-    words = spark.createDataFrame([("▁" + "abcdefghij" * 5, 3)], "word string, n bigint")
-    seeds = {r["piece"]: r["n"] for r in vocab.seed_pieces(words, 1000, 4).collect()}
-    word = "▁" + "abcdefghij" * 5
-    expected = {}
-    for i in range(len(word)):
-        for k in range(1, 5):
-            if i + k <= len(word):
-                expected[word[i : i + k]] = expected.get(word[i : i + k], 0) + 3
-    assert seeds == expected
+def brute_repeats(words):
+    counts = {}
+    for word, n in words:
+        for i in range(len(word)):
+            for k in range(i + 1, len(word) + 1):
+                counts[word[i:k]] = counts.get(word[i:k], 0) + n
+    letters = {c for w, _ in words for c in w}
+
+    def grows(p, n):
+        return any(counts.get(p + c) == n or counts.get(c + p) == n for c in letters)
+
+    return {p: n for p, n in counts.items() if len(p) > 1 and n > 1 and not grows(p, n)}
+
+
+@pytest.mark.parametrize("key,slice_size,parts", [(32, 4096, 1), (4, 3, 7), (2, 1, 3)])
+def test_maximal_repeats_equal_brute_force(spark, monkeypatch, key, slice_size, parts):
+    monkeypatch.setattr(repeats, "FIRST_KEY", key)
+    monkeypatch.setattr(repeats, "SUFFIXES_PER_ROW", slice_size)
+    rng = random.Random(11)
+    words = [("▁" + "".join(rng.choice("abé🙂") for _ in range(rng.randint(0, 9))), rng.randint(1, 3)) for _ in range(60)]
+    words += [("▁" + "abcdefghij" * 5, 3), ("▁" + "abcdefghij" * 4 + "x", 1), ("▁aaaaaaaaaaaa", 1)]
+    words = sorted(dict(words).items())
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(words, "word string, n bigint")
+        got = {r["piece"]: r["n"] for r in repeats.maximal_repeats(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == brute_repeats(words)
+    assert repeats.maximal_repeats(df.limit(0)).count() == 0
 
 
 def test_seed_limit_keeps_the_best(spark):
@@ -289,13 +342,14 @@ def test_expected_counts_of_long_words(times):
     for i in range(n - 1, -1, -1):
         after[i] = add([after[i + len(p)] + s for p, s in scores.items() if word.startswith(p, i)])
     want = {p: sum(math.exp(until[i] + s + after[i + len(p)] - until[n]) for i in range(n) if word.startswith(p, i)) for p, s in scores.items()}
-    weights = {p: math.exp(s + vocab.NATS_PER_CHAR * len(p)) for p, s in scores.items()}
-    got = vocab.expected_counts(word, weights, 3)
+    segmenter = subword.Segmenter(scores)
+    got = dict(zip(segmenter.pieces, segmenter.expected(pa.array([word]), np.array([1])).tolist()))
     assert {p: pytest.approx(c, rel=1e-6, abs=1e-9) for p, c in want.items()} == {p: got.get(p, 0.0) for p in scores}
 
 
 def test_words_that_cannot_be_spelled_count_nothing():
-    assert vocab.expected_counts("axb", {"a": 1.0, "b": 1.0}, 2) == {}
+    segmenter = subword.Segmenter({"a": -1.0, "b": -1.0})
+    assert segmenter.expected(pa.array(["axb", "", "ab"]), np.array([5, 1, 2])).tolist() == [2.0, 2.0]
 
 
 def test_character_coverage(spark):
