@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from checks import standins as s
@@ -11,6 +16,7 @@ from tarnmill.operators import catalog, prefix
 from tarnmill.operators.tokens import pieces_to_ids
 from tarnmill.sources import files as file_source
 from tarnmill.sources import records
+from tarnmill.sources.archives import located
 
 QUERIES, ORACLES, query = s.registry()
 
@@ -67,6 +73,57 @@ def lines_in_order(spark, sf):
     return records.read_lines(spark, _text_files(spark, sf)).select(_doc_of(F.col("path")), "line_no", "line")
 
 
+def _tar_files(spark, sf):
+    """A folder with a tar archive from each task: every document, and a note beside it."""
+    folder = s.scratch(spark)
+
+    def pack(batches):
+        system, root = located(folder)
+        system.create_dir(root, recursive=True)
+        with system.open_output_stream(f"{root}/a{TaskContext.get().partitionId()}.tar.gz", compression="gzip") as stream:
+            with tarfile.open(fileobj=stream, mode="w|") as archive:
+                for batch in batches:
+                    for doc, text in zip(batch.column("file_id").to_pylist(), batch.column("text").to_pylist()):
+                        for name, content in ((f"r/{doc}.PY", (text or "").encode()), (f"r/{doc}.txt", b"note")):
+                            info = tarfile.TarInfo(name)
+                            info.size = len(content)
+                            archive.addfile(info, io.BytesIO(content))
+        yield pa.RecordBatch.from_arrays([pa.array([1])], ["done"])
+
+    s.files(spark, sf).select("file_id", "text").mapInArrow(pack, "done bigint").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query("archive_members", "SELECT doc_id AS file_id, md5(coalesce(text, '')) AS digest FROM documents")
+def archive_members(spark, sf):
+    found = file_source.read_archives(spark, _tar_files(spark, sf))
+    return found.select(F.regexp_extract("member", r"/(\d+)\.PY$", 1).cast("bigint").alias("file_id"), F.md5("content").alias("digest"))
+
+
+_FOLDS = f"""WITH {s.PREDICTIONS}, thirds AS (SELECT unnest([0, 1, 2]) AS k)
+  SELECT CAST(k AS INTEGER) AS fold, CASE WHEN (file_id + k) % 5 = 0 THEN 'valid' ELSE 'train' END AS part, label, file_id FROM predictions, thirds"""
+
+
+def _folds(spark, sf):
+    rows = s.predictions(spark, sf).select("file_id", "label").withColumn("fold", F.explode(F.array(*[F.lit(k) for k in range(3)])))
+    part = F.when((F.col("file_id") + F.col("fold")) % 5 == 0, "valid").otherwise("train")
+    return rows.select("fold", part.alias("part"), "label", F.concat(F.lit("doc "), F.col("file_id").cast("string")).alias("text"))
+
+
+@query("labelled_folds", f"SELECT fold, part, label, 'doc ' || file_id AS text FROM ({_FOLDS}) f")
+def labelled_folds(spark, sf):
+    folder = s.scratch(spark)
+    records.write_labelled(_folds(spark, sf), folder)
+    return records.read_labelled(spark, folder)
+
+
+@query("labelled_counts", f"SELECT fold, part, label, count(*) AS n FROM ({_FOLDS}) f GROUP BY fold, part, label")
+def labelled_counts(spark, sf):
+    folder = s.scratch(spark)
+    records.write_labelled(_folds(spark, sf), folder)
+    return records.read_labelled(spark, folder).groupBy("fold", "part", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("listed_files", "SELECT doc_id AS file_id, CAST(strlen(text) + 1 AS BIGINT) AS length FROM documents")
 def listed_files(spark, sf):
     return file_source.list_files(spark, _text_files(spark, sf), "*.txt").select(_doc_of(F.col("path")), "length")

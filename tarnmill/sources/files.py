@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import io
-import lzma
-import tarfile
-import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnmill.functions.paths import relative_path, repo_of_path
 from tarnmill.functions.tasks import row_function
-
-MEMBERS_PER_BATCH = 256
-BYTES_PER_BATCH = 32 << 20
+from tarnmill.sources import archives
 
 _ignore_undecodable = row_function(
     T.StringType(), lambda: lambda raw: None if raw is None else bytes(raw).decode("utf-8", "ignore")
@@ -77,35 +70,10 @@ def read_archives(
     """``archive, member, content, error`` of the regular files in tar archives whose
     lower-cased name ends with one of the suffixes; no suffixes keep all. An archive that
     breaks off gives the members before the fault and one row with the error. Nothing is
-    written to disk."""
-    wanted = tuple(suffixes)
-
-    columns = ["archive", "member", "content", "error"]
-
-    def members(path: str, content: bytes) -> Iterator[tuple]:
-        try:
-            with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as archive:
-                for member in archive:
-                    if member.isfile() and (not wanted or member.name.lower().endswith(wanted)):
-                        yield path, member.name, archive.extractfile(member).read(), None
-        except (tarfile.TarError, EOFError, OSError, zlib.error, lzma.LZMAError) as error:
-            yield path, None, None, f"{type(error).__name__}: {error}"
-
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                rows, held = [], 0
-                for row in members(path, content):
-                    rows.append(row)
-                    held += len(row[2] or b"")
-                    if len(rows) == MEMBERS_PER_BATCH or held >= BYTES_PER_BATCH:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows, held = [], 0
-                if rows:
-                    yield pd.DataFrame(rows, columns=columns)
-
-    archives = _binary(spark, folder, pattern).select("path", "content")
-    return archives.mapInPandas(expand, "archive string, member string, content binary, error string")
+    written to disk; each archive is streamed by one task, see ``archives``."""
+    archives.register(spark)
+    reader = spark.read.format("tar_members").option("pattern", pattern).option("suffixes", ",".join(suffixes))
+    return reader.load(folder)
 
 
 def write_selected(files: DataFrame, folder: str, key: str = "file_id") -> None:

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import Word2VecModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnmill.session import stored
+from tarnmill.sources.archives import located
+
+# ranges behind the first of their files that are sent to every task
+MOST_RANGES = 1 << 20
+
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """One JSON object per line, with an explicit schema."""
@@ -32,10 +43,66 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``path, line_no, line`` of text files, with the position of each line."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = whole.select("path", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")))
-    return lines.select("path", F.col("pos").alias("line_no"), F.col("col").alias("line"))
+    """``path, line_no, line`` of text files, with the position of each line (from 0).
+
+    A file is read in byte ranges by many tasks; a line belongs to the range in which it begins.
+    Lines are numbered within their range, and a range's first number is the number of lines in
+    the ranges before it. Only files of several ranges have such rows, and few of them.
+    """
+    meta = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")]
+    rows = spark.read.option("lineSep", "\n").text(path).select(*meta, F.col("value").alias("line"))
+    numbered = rows.mapInArrow(_number_in_range, "path string, start bigint, line string, line_no bigint")
+    # without texts; the splitting into ranges is the same as long as the files are
+    ranges = stored(numbered.groupBy("path", "start").agg((F.max("line_no") + 1).alias("n")), "ranges")
+    ahead = F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    later = ranges.withColumn("ahead", ahead).where("ahead is not null").select("path", "start", "ahead")
+    later = stored(later, "offsets")
+    if later.count() <= MOST_RANGES:
+        later = F.broadcast(later)
+    placed = numbered.join(later, ["path", "start"], "left")
+    return placed.select("path", (F.col("line_no") + F.coalesce("ahead", F.lit(0))).cast("int").alias("line_no"), "line")
+
+
+def _number_in_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add each row's place in its range; a task reads its ranges one after the other."""
+    last, so_far = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        path, start = batch.column("path").dictionary_encode(), batch.column("start").to_numpy()
+        code = path.indices.to_numpy()
+        heads = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (start[1:] != start[:-1])))
+        place = np.arange(batch.num_rows) - np.repeat(heads, np.diff(np.append(heads, batch.num_rows)))
+        if (path.dictionary[int(code[0])].as_py(), int(start[0])) == last:
+            place[: heads[1] if len(heads) > 1 else None] += so_far
+        last, so_far = (path.dictionary[int(code[-1])].as_py(), int(start[-1])), int(place[-1]) + 1
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "start", "line")), pa.array(place)], ["path", "start", "line", "line_no"])
+
+
+def write_labelled(folds: DataFrame, path: str) -> None:
+    """Rows ``fold, part, label, text`` as lines ``__label__<label> <text>`` in files named
+    ``part<task>_<fold>.<part>``, readable by ``read_labelled``.
+
+    A task writes its own files whole, so one that runs again writes the same names again.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = located(path)
+        system.create_dir(root, recursive=True)
+        task, streams = TaskContext.get().partitionId(), {}
+        try:
+            for batch in batches:
+                for fold, part, label, text in zip(*(batch.column(c).to_pylist() for c in ("fold", "part", "label", "text"))):
+                    name = f"{root}/part{task}_{fold}.{part}"
+                    if name not in streams:
+                        streams[name] = system.open_output_stream(name)
+                    streams[name].write(f"__label__{label} {text}\n".encode())
+        finally:
+            for stream in streams.values():
+                stream.close()
+        yield pa.RecordBatch.from_arrays([pa.array([len(streams)], pa.int64())], ["files"])
+
+    folds.select("fold", "part", "label", "text").mapInArrow(write, "files bigint").write.format("noop").mode("overwrite").save()
 
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import io
 import tarfile
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,50 @@ def test_lines_keep_their_order(spark, tmp_path):
     assert [(r["line_no"], r["line"]) for r in rows] == [(0, "b"), (1, ""), (2, "a")]
 
 
+@pytest.mark.parametrize("size", ["1", "7", "4096"])
+def test_lines_by_byte_ranges(spark, tmp_path, size):
+    texts = {"a": "one\r\ntwo\n\n\nfünf 🙂 sechs", "b": "\n", "c": "x" * 40 + "\n" + "y\n" * 9, "d": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        lines = records.read_lines(spark, str(tmp_path))
+        assert size == "4096" or lines.rdd.getNumPartitions() > 4
+        got = {(r["path"][-1], r["line_no"], r["line"]) for r in lines.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64m")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = {(name, k, line) for name, text in texts.items() if text for k, line in enumerate(text.removesuffix("\n").split("\n"))}
+    assert got == want
+
+
+def test_archives_are_streamed(tmp_path, monkeypatch):
+    """Reading holds one batch: a long archive never lies in memory."""
+    from tarnmill.sources import archives
+
+    monkeypatch.setattr(archives, "BYTES_PER_BATCH", 1 << 20)
+    with tarfile.open(tmp_path / "long.tar", "w") as archive:
+        for k in range(64):
+            info = tarfile.TarInfo(f"m{k}.py")
+            info.size = 1 << 20
+            archive.addfile(info, io.BytesIO(bytes(1 << 20)))
+    reader = archives._Reader({"path": str(tmp_path), "pattern": "*.tar"})
+    (partition,) = reader.partitions()
+    tracemalloc.start()
+    sizes = [sum(map(len, batch.column("content").to_pylist())) for batch in reader.read(partition)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes == [1 << 20] * 64 and peak < 24 << 20
+
+
+def test_written_folds_read_back(spark, tmp_path):
+    rows = [(k % 3, "train" if k % 4 else "valid", "positive" if k % 2 else "negative", f"text {k} é") for k in range(40)]
+    df = spark.createDataFrame(rows, "fold int, part string, label string, text string").repartition(3)
+    records.write_labelled(df, str(tmp_path / "f"))
+    assert sorted(tuple(r) for r in records.read_labelled(spark, str(tmp_path / "f")).collect()) == sorted(rows)
+
+
 def test_labelled_folds(spark, tmp_path):
     (tmp_path / "c_0.train").write_text("__label__positive a b c\n__label__negative x")
     (tmp_path / "c_0.valid").write_text("__label__negative only\n")
