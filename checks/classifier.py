@@ -125,7 +125,7 @@ def _labelled(spark, sf):
     """Cleaned labelled documents with three folds of training and validation rows."""
     rows = s.predictions(spark, sf).select("file_id", "label", clean_comment(F.col("text")).alias("text"))
     folds = rows.withColumn("fold", F.explode(F.array(*[F.lit(i) for i in range(3)])))
-    held_out = F.pmod(F.xxhash64("file_id", "fold"), F.lit(5)) == 0
+    held_out = (F.col("file_id") + F.col("fold")) % 5 == 0
     return stored(folds.withColumn("part", F.when(held_out, "valid").otherwise("train")))
 
 
@@ -141,6 +141,16 @@ def fold_predictions(spark, sf):
     return classify.predict_folds(_labelled(spark, sf), classify.DEFAULTS, 3)
 
 
+@query(
+    "fold_label_counts",
+    f"""WITH {s.PREDICTIONS}, thirds AS (SELECT unnest([0, 1, 2]) AS k)
+    SELECT CAST(k AS INTEGER) AS fold, label, count(*) AS n FROM predictions, thirds WHERE (file_id + k) % 5 = 0 GROUP BY k, label""",
+)
+def fold_label_counts(spark, sf):
+    scored = classify.predict_folds(_labelled(spark, sf), {**classify.DEFAULTS, "epochs": 1}, 3)
+    return scored.where("prob >= 0.5").groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("grid_results")
 def grid_results(spark, sf):
     return classify.grid_search(_labelled(spark, sf), 3)

@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from itertools import product
-from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, SQLTransformer, VectorAssembler, Word2Vec, Word2VecModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnmill.functions.text import clean_comment
+from tarnmill.operators import textmodel
 from tarnmill.operators.prefix import running_total
+from tarnmill.operators.textmodel import TextModel
 
 # Labels, the label of an empty comment, and the digits a probability
 # is rounded to in a report.
@@ -23,8 +21,8 @@ NEGATIVE = "negative"
 NO_LABEL = "NA"
 REPORT_DIGITS = 4
 
-DEFAULTS = {"word_ngrams": 2, "num_features": 1 << 18, "reg": 0.001, "max_iter": 50}
-GRID = {"word_ngrams": [1, 2, 3], "num_features": [1 << 16, 1 << 18], "reg": [0.0001, 0.001, 0.01], "max_iter": [25, 50]}
+DEFAULTS = {"word_ngrams": 2, "buckets": 1 << 13, "dim": 10, "lr": 3.0, "epochs": 25}
+GRID = {"word_ngrams": [1, 2, 3], "buckets": [1 << 12], "dim": [10, 20], "lr": [1.0, 3.0, 10.0], "epochs": [10, 25]}
 
 
 def word_vectors(cleaned: DataFrame, dim: int = 100, text: str = "text", partitions: int | None = None, min_count: int = 5) -> Word2VecModel:
@@ -40,54 +38,36 @@ def word_vectors(cleaned: DataFrame, dim: int = 100, text: str = "text", partiti
     ).fit(words)
 
 
-def classifier_stages(params: Mapping[str, float] = DEFAULTS, vectors: Word2VecModel | None = None) -> Pipeline:
-    """Logistic regression on hashed word n-grams, optionally with averaged word vectors."""
+def fit_classifier(labelled: DataFrame, params: Mapping[str, float] = DEFAULTS, vectors: DataFrame | None = None) -> TextModel:
+    """Fit on ``label, text`` with text already cleaned, from zero knowledge or from
+    pre-trained ``vectors`` (word, vector) of the model's dimension."""
     params = {**DEFAULTS, **params}
-    orders = range(2, int(params["word_ngrams"]) + 1)
-    grams = [NGram(n=n, inputCol="words", outputCol=f"grams_{n}") for n in orders]
-    merged = ", ".join(["words", *[f"grams_{n}" for n in orders]])
-    stages = [
-        RegexTokenizer(inputCol="text", outputCol="words", pattern=" +", toLowercase=False),
-        *grams,
-        SQLTransformer(statement=f"SELECT *, concat({merged}) AS grams FROM __THIS__"),
-        HashingTF(inputCol="grams", outputCol="counts", numFeatures=int(params["num_features"])),
-    ]
-    features = "counts"
-    if vectors is not None:
-        stages.append(vectors.copy().setInputCol("words").setOutputCol("vector"))
-        stages.append(VectorAssembler(inputCols=["counts", "vector"], outputCol="features"))
-        features = "features"
-    stages.append(
-        LogisticRegression(
-            featuresCol=features, labelCol="target", regParam=float(params["reg"]), maxIter=int(params["max_iter"])
-        )
-    )
-    return Pipeline(stages=stages)
-
-
-def fit_classifier(labelled: DataFrame, params: Mapping[str, float] = DEFAULTS, vectors: Word2VecModel | None = None) -> PipelineModel:
-    """Fit on ``label, text`` with text already cleaned."""
-    target = (F.col("label") == POSITIVE).cast("double")
-    return classifier_stages(params, vectors).fit(labelled.withColumn("target", target))
+    rows = labelled.select("label", "text", F.lit(0).alias("fold"), F.lit("train").alias("part"))
+    blocks = textmodel.new_blocks([params], [0], vectors)
+    return TextModel(textmodel.fit(textmodel.prepared(rows, [params], POSITIVE), blocks, int(params["epochs"]))[0])
 
 
-def predict(model: PipelineModel, comments: DataFrame, clean: bool = True) -> DataFrame:
+def predict(model: TextModel, comments: DataFrame, clean: bool = True) -> DataFrame:
     """Add ``label`` and ``prob`` to rows with ``text``; an empty comment gets ``NA`` and 0."""
     source = comments.withColumn("__raw", F.col("text"))
     if clean:
         source = source.withColumn("text", clean_comment(F.col("text")))
-    scored = model.transform(source).withColumn("__p", vector_to_array("probability")[1])
-    positive = F.col("__p") >= 0.5
+    scored = model.chance(source, "__p")
+    label, prob = _decision(F.col("__p"))
     empty = F.col("__raw") == ""
-    label = F.when(empty, NO_LABEL).when(positive, POSITIVE).otherwise(NEGATIVE)
-    prob = F.when(empty, 0.0).when(positive, F.col("__p")).otherwise(1 - F.col("__p"))
     return scored.select(
         *[F.col("__raw").alias("text") if c == "text" else F.col(c) for c in comments.columns],
-        label.alias("label"),
-        prob.alias("prob"),
+        F.when(empty, NO_LABEL).otherwise(label).alias("label"),
+        F.when(empty, 0.0).otherwise(prob).alias("prob"),
     )
 
 
+def _decision(chance: Column) -> tuple[Column, Column]:
+    """The likelier label and its probability."""
+    positive = chance >= 0.5
+    return F.when(positive, POSITIVE).otherwise(NEGATIVE), F.when(positive, chance).otherwise(1 - chance)
+
+
 def gather_predictions(scored: DataFrame, key: str = "file_id") -> DataFrame:
     """Predictions of each file in block order. A group is one file, whose whole text
     was one row before, so it stays as small as that row."""
@@ -127,42 +107,38 @@ def mean_accuracy(predictions: DataFrame) -> DataFrame:
     return fold_accuracy(predictions).agg(F.avg("accuracy").alias("avg_accuracy"))
 
 
-def predict_folds(folds: DataFrame, params: Mapping[str, float], num_folds: int, vectors: Word2VecModel | None = None) -> DataFrame:
+def predict_folds(folds: DataFrame, params: Mapping[str, float], num_folds: int, vectors: DataFrame | None = None) -> DataFrame:
     """Predictions for the validation part of each fold from a model fitted on its
-    training part: ``fold, label, predicted_label, prob``."""
-    result = None
-    for fold in range(num_folds):
-        rows = folds.where(F.col("fold") == fold)
-        model = fit_classifier(rows.where(F.col("part") == "train"), params, vectors)
-        valid = rows.where(F.col("part") == "valid").withColumnRenamed("label", "truth")
-        scored = predict(model, valid, clean=False).select(
-            "fold", F.col("truth").alias("label"), F.col("label").alias("predicted_label"), "prob"
-        )
-        result = scored if result is None else result.unionByName(scored)
-    return result
-
-
-def grid_search(
-    folds: DataFrame,
-    num_folds: int,
-    grid: Mapping[str, Sequence[float]] = GRID,
-    vectors: Word2VecModel | None = None,
-    parallelism: int = 4,
-) -> DataFrame:
-    """Mean validation accuracy of every parameter setting: ``setting``, the parameters
-    and ``avg_accuracy``. Settings are independent Spark jobs, a few at a time."""
-    names = sorted(grid)
-    settings = [dict(zip(names, values)) for values in product(*[grid[name] for name in names])]
+    training part: ``fold, label, predicted_label, prob``. All folds are fitted together."""
+    params = {**DEFAULTS, **params}
+    rows = textmodel.prepared(folds.where(F.col("fold") < num_folds), [params], POSITIVE, ["label"])
+    blocks = textmodel.new_blocks([params], range(num_folds), vectors)
+    scored = textmodel.predicted(rows, textmodel.fit(rows, blocks, int(params["epochs"])))
+    label, prob = _decision(F.col("chance"))
+    return scored.select("fold", "label", label.alias("predicted_label"), prob.alias("prob"))
+
 
-    def measure(numbered):
-        number, params = numbered
-        accuracy = mean_accuracy(predict_folds(folds, params, num_folds, vectors)).first()[0]
-        return (number, *[float(params[name]) for name in names], float(accuracy))
+def grid_search(folds: DataFrame, num_folds: int, grid: Mapping[str, Sequence[float]] = GRID, vectors: DataFrame | None = None) -> DataFrame:
+    """Mean validation accuracy of every parameter setting: ``setting``, the parameters
+    and ``avg_accuracy``.
 
-    with ThreadPool(parallelism) as pool:
-        rows = pool.map(measure, enumerate(settings))
+    All settings and folds are fitted together: one pass over the stored features for each
+    epoch of the longest setting, and one over the validation rows for each number of epochs.
+    """
+    names = sorted(grid)
+    settings = [{**DEFAULTS, **dict(zip(names, values))} for values in product(*[grid[name] for name in names])]
+    rows = textmodel.prepared(folds.where(F.col("fold") < num_folds), settings, POSITIVE)
+    blocks, done, found = textmodel.new_blocks(settings, range(num_folds), vectors), 0, {}
+    for epochs in sorted({int(s["epochs"]) for s in settings}):
+        blocks = textmodel.fit(rows, blocks, epochs - done)
+        found[epochs], done = textmodel.validated(rows, blocks), epochs
+    results = []
+    for number, s in enumerate(settings):
+        run = ((int(s["word_ngrams"]), int(s["buckets"])), float(s["lr"]), int(s["dim"]))
+        own = [found[int(s["epochs"])][fold, *run] for fold in range(num_folds)]
+        results.append((number, *[float(s[name]) for name in names], sum(own) / len(own)))
     schema = ", ".join(["setting int", *[f"{name} double" for name in names], "avg_accuracy double"])
-    return folds.sparkSession.createDataFrame(rows, schema)
+    return folds.sparkSession.createDataFrame(results, schema)
 
 
 def best_setting(results: DataFrame) -> DataFrame:
@@ -170,7 +146,7 @@ def best_setting(results: DataFrame) -> DataFrame:
     return results.orderBy(F.desc("avg_accuracy"), "setting").limit(1)
 
 
-def fit_best(folds: DataFrame, results: DataFrame, vectors: Word2VecModel | None = None) -> PipelineModel:
+def fit_best(folds: DataFrame, results: DataFrame, vectors: DataFrame | None = None) -> TextModel:
     """The best setting fitted on all labelled rows of one fold (train and validation)."""
     params = {k: v for k, v in best_setting(results).first().asDict().items() if k not in ("setting", "avg_accuracy")}
     return fit_classifier(folds.where(F.col("fold") == 0), params, vectors)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnmill.functions.text import CLASSIFIER_DELETED, clean_comment
 from tarnmill.operators import classify
+from tarnmill.operators.textmodel import TextModel
 from tarnmill.sources import records
 
 
@@ -25,16 +25,16 @@ def search_classifier(
     folder: str,
     grid: Mapping[str, Sequence[float]] = classify.GRID,
     vectors=None,
-) -> PipelineModel:
+) -> TextModel:
     """Grid search over the folds; writes the results as CSV and the best model."""
     results = classify.grid_search(folds, num_folds, grid, vectors)
     records.write_csv(results, f"{folder}/grid")
     model = classify.fit_best(folds, results, vectors)
-    model.write().overwrite().save(f"{folder}/model")
+    model.save(folds.sparkSession, f"{folder}/model")
     return model
 
 
-def evaluate_classifier(model: PipelineModel, labelled: DataFrame, folder: str) -> DataFrame:
+def evaluate_classifier(model: TextModel, labelled: DataFrame, folder: str) -> DataFrame:
     """Confusion metrics and AUC of cleaned ``label, text`` rows; writes the predictions."""
     truth = labelled.withColumnRenamed("label", "truth")
     scored = classify.predict(model, truth, clean=False).select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.ml import PipelineModel
+from tarnmill.operators.textmodel import TextModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ class CorpusBuild:
         kept = found.select("file_id", "repo", "text", "blocks")
         return self._store("comments", kept.where(F.size("blocks") > 0))
 
-    def classified(self, commented: DataFrame, model: PipelineModel) -> DataFrame:
+    def classified(self, commented: DataFrame, model: TextModel) -> DataFrame:
         """One scored row per comment."""
         rows = comments.comment_rows(commented, "file_id", "repo")
         return self._store("classified", classify.predict(model, rows).drop("lines"))
@@ -106,7 +106,7 @@ class CorpusBuild:
 def build_corpus(
     files: DataFrame,
     folder: str,
-    model: PipelineModel,
+    model: TextModel,
     threshold: float,
     vocab_size: int = vocab.VOCAB_SIZE,
     shares: Mapping[str, float] | None = None,

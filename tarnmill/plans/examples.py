@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import partial
 
-from pyspark.ml import PipelineModel
+from tarnmill.operators.textmodel import TextModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +19,7 @@ def finetune_batches(
     token_dataset: DataFrame,
     vocabulary: DataFrame,
     batch_size: int,
-    model: PipelineModel | None = None,
+    model: TextModel | None = None,
     threshold: float = 0.5,
     fraction: float = 1.0,
     pad_left: bool = True,

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnmill.operators import classify
+from tarnmill.operators import classify, textmodel
 from tarnmill.plans import comment_model
 from tarnmill.sources import records
 
@@ -24,7 +25,7 @@ def folds(spark):
     return spark.createDataFrame(rows, "fold int, part string, label string, text string").cache()
 
 
-SMALL = {"num_features": 1 << 10, "max_iter": 10}
+SMALL = {"buckets": 1 << 10, "epochs": 12}
 
 
 def test_predict(spark, folds):
@@ -36,23 +37,69 @@ def test_predict(spark, folds):
     assert all(r["prob"] >= 0.5 for r in rows[:2])
 
 
-def test_vectors_as_features(folds):
-    vectors = classify.word_vectors(folds.select("text"), 8, partitions=2, min_count=1)
-    assert records.vector_table(vectors).select(F.size("vector")).distinct().collect()[0][0] == 8
+def test_start_from_vectors(folds):
+    vectors = records.vector_table(classify.word_vectors(folds.select("text"), 10, partitions=2, min_count=1))
+    assert vectors.select(F.size("vector")).distinct().collect()[0][0] == 10
+    start = textmodel.start_vectors(vectors, 1 << 10)
+    block = textmodel.new_blocks([{**classify.DEFAULTS, **SMALL}], [0], vectors)[0]
+    assert start and all((block.table[k] == v).all() for k, v in start.items())
     model = classify.fit_classifier(folds.where("part = 'train'"), SMALL, vectors)
     predicted = classify.predict(model, folds.where("part = 'valid'").withColumnRenamed("label", "truth"), clean=False)
     assert predicted.where("label = truth").count() == 80
 
 
 def test_grid_search_and_report(spark, folds, tmp_path):
-    grid = {"word_ngrams": [1, 2], "reg": [0.001], "num_features": [1 << 10], "max_iter": [5]}
+    grid = {"word_ngrams": [1, 2], "lr": [3.0], "buckets": [1 << 10], "epochs": [4, 8]}
     results = classify.grid_search(folds, 2, grid)
-    assert results.count() == 2 and classify.best_setting(results).first()["setting"] == 0
+    assert results.count() == 4 and classify.best_setting(results).first()["setting"] == 0
     model = comment_model.search_classifier(folds, 2, str(tmp_path), grid)
     report = comment_model.evaluate_classifier(model, folds.where("part = 'valid'").select("label", "text"), str(tmp_path)).first()
     assert report["total"] == 80 and report["accuracy"] == 1.0 and report["auc"] == 1.0
     written = spark.read.option("header", True).csv(str(tmp_path / "predictions"))
     assert written.columns == ["entry", "label", "predicted_label", "correct", "probability"]
+    again = textmodel.TextModel.load(spark, str(tmp_path / "model"))
+    rows = folds.where("part = 'valid'").select("text")
+    assert sorted(map(tuple, classify.predict(again, rows).collect())) == sorted(map(tuple, classify.predict(model, rows).collect()))
+
+
+def noisy(spark, seed, n=700):
+    """Comments of the shape of the shipped folds: 65 % negative, 1 to 20 words, labels that
+    follow some words most of the time."""
+    rng = random.Random(seed)
+    common = [f"w{k}" for k in range(400)]
+    rows = []
+    for fold in range(2):
+        for k in range(n):
+            label = "positive" if rng.random() < 0.35 else "negative"
+            own = [f"{label[:3]}{rng.randrange(40)}" for _ in range(rng.choice([0, 1, 2, 2]))]
+            words = own + [rng.choice(common) for _ in range(rng.randint(1, 18))]
+            rng.shuffle(words)
+            rows.append((fold, "valid" if k % 5 == 0 else "train", label, " ".join(words)))
+    return spark.createDataFrame(rows, "fold int, part string, label string, text string")
+
+
+def test_accuracy_beats_the_larger_class_and_partitions_do_not_matter(spark):
+    rows = noisy(spark, 5)
+    params = {**classify.DEFAULTS, "buckets": 1 << 11}
+    few = classify.predict_folds(rows.repartition(4), params, 2)
+    assert classify.mean_accuracy(few).first()[0] > 0.72
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        models = [classify.fit_classifier(rows.where("fold = 0 and part = 'train'").repartition(n), params).block for n in (4, 64)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert np.abs(models[0].table - models[1].table).max() < 1e-6 and np.abs(models[0].out - models[1].out).max() < 1e-6
+
+
+def test_every_row_of_the_grid_equals_a_single_fit(spark):
+    rows = noisy(spark, 6, 200)
+    grid = {"word_ngrams": [1, 2], "buckets": [1 << 9], "dim": [3, 5], "lr": [0.5, 3.0], "epochs": [2, 6]}
+    results = classify.grid_search(rows, 2, grid).collect()
+    assert len(results) == 16
+    for row in results[::5]:
+        params = {name: row[name] for name in grid}
+        alone = classify.mean_accuracy(classify.predict_folds(rows, params, 2)).first()[0]
+        assert abs(row["avg_accuracy"] - alone) < 1e-9
 
 
 def test_best_setting_keeps_the_first(spark):
