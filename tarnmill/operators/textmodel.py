@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnmill.functions.arrays import let
 from tarnmill.session import stored
 
 ROWS_AT_ONCE = 64
@@ -36,15 +37,16 @@ EPSILON = 1e-12
 
 def features(text: Column, word_ngrams: int, buckets: int) -> Column:
     """Bucket numbers of the words of a cleaned text and of its n-grams up to a length."""
-    words = F.filter(F.split(text, " +"), lambda w: w != "")
 
-    def grams(n: int) -> Column:
-        last = F.size(words) - (n - 1)
-        places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.array_join(F.slice(words, i, n), " "))
+    def hashed(words: Column) -> Column:
+        def grams(n: int) -> Column:
+            last = F.size(words) - (n - 1)
+            places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+            return F.transform(places, lambda i: F.pmod(F.xxhash64(F.array_join(F.slice(words, i, n), " ")), F.lit(buckets)).cast("int"))
 
-    every = F.concat(*[grams(n) for n in range(1, word_ngrams + 1)])
-    return F.transform(every, lambda g: F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int"))
+        return F.concat(*[grams(n) for n in range(1, word_ngrams + 1)])
+
+    return let(F.filter(F.split(text, " +"), lambda w: w != ""), hashed)
 
 
 class Block:
