@@ -24,12 +24,12 @@ Then, with every step on classes of equal multisets instead of their copies:
 
 The chance that a pair of similarity 0.8 shares no bucket is about 1 in 10,000, less above.
 
-Result: one row per row of ``docs``: doc_id, class_id (the smallest id of its class) and
-n_shingles. Words are runs of code points outside
+Result: one row per row of ``docs``: doc_id, class_id (the smallest id of its class, null if
+no row of it has one) and n_shingles. Words are runs of code points outside
 space and U+0009 to U+000D; texts of one to four words are one shingle. Null, empty and
-wordless texts have no shingles and stay a class of their own. Rows with a null id get a
-null class and take no part. Repeated rows and ids each keep a row. An empty table gives
-no rows. Other columns are not read.
+wordless texts have no shingles and stay a class of their own. Rows are compared by row numbers: repeated
+rows each keep a row, different texts under one id are compared apart, and rows with a null id like
+any other. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnmill.llm.common import NOT_SPACE, U64, bytes_of, chunks, mixed, span_hashes, staged, window_hashes, with_ids, word_bounds
+from tarnmill.llm.common import bytes_of, chunks, mixed, NOT_SPACE, small, span_hashes, staged, U64, window_hashes, with_ids, word_bounds
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -177,7 +177,7 @@ def digests(elements: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """Stored (doc_id, digest, n_shingles, bands) per row with a non-null id."""
+    """Stored (doc_id, digest, n_shingles, bands) per row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
@@ -188,7 +188,7 @@ def sketched(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, buckets.size + 1, BANDS), pa.int32()), pa.array(buckets.ravel()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests(elements, bounds), pa.binary()), pa.array(np.diff(bounds)), lists], ["doc_id", "digest", "n_shingles", "bands"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull())
+    texts = docs.select("doc_id", "text")
     return staged(texts.mapInArrow(sketch, "doc_id bigint, digest binary, n_shingles bigint, bands array<bigint>"), "sketches")
 
 
@@ -198,9 +198,8 @@ def sketched(docs: DataFrame) -> DataFrame:
 class Verifier:
     """Exact multiset overlap of pairs of class representatives (a, b)."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame):
-        self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.nodes = nodes
+    def __init__(self, docs: DataFrame):
+        self.docs = docs.select("doc_id", "text")
 
     def elements(self, ids: DataFrame) -> DataFrame:
         """Stored (node, elements) of the given representatives."""
@@ -209,13 +208,11 @@ class Verifier:
             for part in chunks(batches):
                 values, bounds = multisets(part.column("text"))
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests(values, bounds), pa.binary()), lists], ["node", "digest", "elements"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["node", "elements"])
 
         wanted = with_ids(self.docs, ids.select(F.col("node").alias("doc_id")))
-        found = wanted.mapInArrow(gather, "node bigint, digest binary, elements array<bigint>")
-        # an id that several rows share stands for the text its class was formed by
-        own = found.join(self.nodes.select("node", "digest"), ["node", "digest"]).dropDuplicates(["node"])
-        return staged(own.select("node", "elements"), "elements")
+        found = wanted.mapInArrow(gather, "node bigint, elements array<bigint>")
+        return staged(found.select("node", "elements"), "elements")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The stored pairs (a, b) that are similar enough."""
@@ -319,7 +316,22 @@ def compare_blocks(table: pa.Table) -> pa.Table:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, class_id, n_shingles."""
+    """Per row of ``docs`` (doc_id, text): doc_id, class_id, n_shingles.
+
+    Rows are compared by row numbers, so rows with one id may hold different texts and rows without
+    an id are compared like any other. ``class_id`` is the smallest id of the class, null if
+    none of its rows has one.
+    """
+    numbered = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = staged(numbered, "rows")
+    found = staged(classes_of_rows(rows.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row"), "row-classes")
+    placed = staged(rows.select("row", "doc_id").join(found, "row"), "placed")
+    named = staged(placed.groupBy("class_id").agg(F.min("doc_id").alias("name")), "class-names")
+    return placed.join(small(named), "class_id").select("doc_id", F.col("name").alias("class_id"), "n_shingles")
+
+
+def classes_of_rows(docs: DataFrame) -> DataFrame:
+    """The same for rows whose ids are unique and not null (doc_id bigint, text)."""
     sketches = sketched(docs)
     with_text = sketches.where(F.col("digest").isNotNull())
     # a class of equal multisets, known by its smallest id; copies are counted per task first
@@ -328,7 +340,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     heads = members.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket", "head")
     # only members of shared buckets go on
     shared = staged(members.join(heads, "bucket"), "shared-buckets")
-    verifier = Verifier(docs, nodes)
+    verifier = Verifier(docs)
 
     def fitting(pairs: DataFrame) -> DataFrame:
         # sizes alone rule out a similarity of 0.8
@@ -355,6 +367,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = of_node.select("digest", F.coalesce("label", "node").alias("class_id"))
     known = with_text.select("doc_id", "digest", "n_shingles").join(classes, "digest").select("doc_id", "class_id", "n_shingles")
     wordless = sketches.where(F.col("digest").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), "n_shingles")
-    null = F.lit(None).cast("bigint")
-    nameless = docs.where(F.col("doc_id").isNull()).select(null.alias("doc_id"), null.alias("class_id"), null.alias("n_shingles"))
-    return known.unionByName(wordless).unionByName(nameless)
+    return known.unionByName(wordless)

@@ -8,6 +8,8 @@ library. Texts whose part borders could matter are encoded whole.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import unicodedata
 from collections.abc import Callable
 from itertools import repeat
@@ -140,10 +142,23 @@ def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file; it keeps one."""
     cache = worker_cache()
     if cache.get("encoder", ("", None))[0] != path:
+        # a worker that has moved on to tokens needs no tables for words
+        for name in [key for key in cache if isinstance(key, tuple) and key[0] == "powers"]:
+            del cache[name]
+        give_back()
         cache["encoder"] = (path, Encoder(path))
     return cache["encoder"][1]
 
 
+def give_back() -> None:
+    """Return to the system what earlier tasks of this worker have freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def encode_with_end(path: str, end: int) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """A function from texts to (ids, bounds) with the id ``end`` after every text."""
     of = encoder(path)

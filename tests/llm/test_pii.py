@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from support import empty, table, texts
 
@@ -69,6 +70,24 @@ def test_credentials_are_added_and_words_are_not(spark):
             assert spans == {} and r["n_added"] == 0
 
 
+def test_many_matches_in_one_text_end_soon(spark):
+    n = 200_000
+    rows = [(1, "12, " * n), (2, "1.2.3.4 " * 50_000), (3, "x@y.z " * 130)]
+    started = time.time()
+    got = {r["doc_id"]: r for r in pii.personal_data(table(spark, rows)).collect()}
+    assert time.time() - started < 90
+    assert got[1]["spans"] == "" and got[2]["n_ip"] == 50_000 and got[3]["n_email"] == 130
+    assert got[2]["spans"].split(",")[-1] == f"ip:{8 * 49_999}:{8 * 49_999 + 7}"
+    assert got[3]["spans"].split(",")[64:66] == ["email:384:389", "email:390:395"]
+
+
+def test_a_digit_behind_many_letters(spark):
+    key = "ghp_" + "aB" * 30 + "9x8y7z6w5v4u3t"
+    rows = [(k, f"the token is {key}{k} here") for k in range(40)] + [(100 + k, "plain words " * 5) for k in range(5)]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(table(spark, rows)).collect()}
+    assert got[7] == f"secret:13:{13 + len(key) + 1}"
+
+
 def test_main_path_has_no_python(spark):
     plan = pii.personal_data(table(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
