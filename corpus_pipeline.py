@@ -44,13 +44,14 @@ def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, the one with the smallest id.
 
-    Of copies with one id the first by its text's hash stays, different texts under one id
-    both stay. A class also keeps one of its rows with null ids.
+    Of copies with one id the first by its text's hash stays. A class of rows without ids keeps
+    one of them.
     """
     rows, row = numbered(docs, "near-dedup-rows")
-    classes = staged(near_dup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "class_id"), "classes")
+    found = near_dup.classes_of_rows(rows.select(F.col(row).alias("doc_id"), F.col("text").cast("string").alias("text")))
+    classes = staged(found.select(F.col("doc_id").alias(row), "class_id"), "classes")
     placed = rows.select(row, "doc_id", F.md5(F.col("text").cast("string")).alias("digest")).join(classes, row)
-    first = placed.groupBy("class_id", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "digest", row)).alias("first"))
+    first = placed.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", row)).alias("first"))
     copies = staged(classes.select(row).join(first.select(F.col(f"first.{row}").alias(row)), row, "left_anti"), "copies")
     return without_ids(rows, copies, row).select(*docs.columns)
 
