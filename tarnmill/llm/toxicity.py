@@ -3,13 +3,15 @@
 Fit: at most ``EXAMPLES`` labelled rows (those with the smallest id hashes) are the
 examples. Every term of every example spans the vectors; document frequencies are counted
 over all documents for all of them. A term weighs log(1 + count) times its inverse document
-frequency times sqrt(1 + its log-likelihood ratio with the label): a term that does not depend on
-the label has its plain TF-IDF weight, and none is left out. Examples become unit vectors in an
-inverted index: dense rows for terms in a ``DENSE``-th of the examples or more, postings for the rest.
-
-Score: the cosines with all examples are taken, so the ``NEIGHBOURS`` found are the exact
-nearest (ties: the smaller place). They vote with weight cosine squared, and the share of
-toxic votes is calibrated by a monotone step function fitted on the examples,
+frequency, whatever its label. Examples become unit vectors in an inverted index. They are
+ordered so that similar ones share a block of ``BLOCK``, and the index holds the largest weight of every
+term in every block: dense rows for terms in a ``DENSE``-th of the examples or more, postings for the rest.
+
+Score: the block maxima bound a text's cosines with each block. Blocks are opened in falling order of
+their bounds, in waves, until no unopened block can reach the text's ``NEIGHBOURS``-th cosine, so the neighbours found
+are the exact nearest (ties: the smaller place). They vote with their cosine times the sum of what the
+common terms add to it, each weighed by (1 + its log-likelihood ratio with the label) squared. The
+share of toxic votes is calibrated by a monotone step function fitted on the examples,
 each scored without itself. Texts without a term of the index get the rate of such examples.
 
 Result per row: doc_id, held_out, score, predicted and evidence (the nearest three examples as
@@ -30,16 +32,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnmill.llm.common import ALNUM, bytes_of, chunks, span_hashes, staged, word_bounds
+from tarnmill.llm.common import ALNUM, bytes_of, chunks, mixed, span_hashes, staged, word_bounds
 
 EXAMPLES = 8192
 DENSE = 16
-NEIGHBOURS = 15
+NEIGHBOURS = 48
 FOLDS, HELD_OUT = 5, 0
+# examples in a block, blocks opened first, signs that a vector is projected to when ordering
+BLOCK, FIRST_BLOCKS, AXES = 64, 32, 48
+# cosines this close count as equal when blocks are passed over
+NEAR = 1e-8
 # terms in a slice of the document frequencies, texts scored at once
 SLICE, BATCH = 4096, 64
 
 
+def expanded(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, member) of all members of the ranges, one range after the other."""
+    sizes = ends - begins
+    owner = np.repeat(np.arange(len(begins)), sizes)
+    return owner, np.arange(len(owner)) + (begins - (np.cumsum(sizes) - sizes))[owner]
+
+
 def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
@@ -133,71 +146,148 @@ def terms_in(column: pa.Array, terms: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return pairs // len(terms), pairs % len(terms), n
 
 
+def neighbourly(rows: np.ndarray, places: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """The examples in an order that puts similar ones next to each other: halves by the
+    main direction of the vectors, projected to ``AXES`` signs, down to a block."""
+    bits = mixed(places.astype(np.uint64))
+    vectors = np.zeros((n, AXES))
+    for axis in range(AXES):
+        signs = ((bits >> np.uint64(axis)) & np.uint64(1)).astype(float) * 2 - 1
+        vectors[:, axis] = np.bincount(rows, weights=weights * signs, minlength=n)
+    order, done = [np.arange(n)], []
+    while order:
+        own = order.pop()
+        if len(own) <= BLOCK:
+            done.append(own)
+            continue
+        centred = vectors[own] - vectors[own].mean(axis=0)
+        main = np.linalg.eigh(centred.T @ centred)[1][:, -1]
+        own = own[np.argsort(centred @ main, kind="stable")]
+        half = BLOCK * ((len(own) // BLOCK + 1) // 2)
+        order += [own[half:], own[:half]]
+    return np.concatenate(done)
+
+
 class Index:
-    """Unit vectors of the examples: dense rows for frequent terms, postings for the rest."""
+    """Unit vectors of the examples in blocks, with the largest weight of every term in every block.
 
-    def __init__(self, idf: np.ndarray, rows: np.ndarray, places: np.ndarray, counts: np.ndarray, labels: np.ndarray, ids: list):
+    Terms in a ``DENSE``-th of the examples or more are dense rows, the others postings; both
+    have their block maxima beside them.
+    """
+
+    def __init__(self, idf: np.ndarray, rows: np.ndarray, places: np.ndarray, counts: np.ndarray, labels: np.ndarray, ids: list, evidence: np.ndarray | None = None):
         self.idf, self.labels, self.ids = idf, labels, ids
+        evidence = np.ones(len(idf)) if evidence is None else evidence
+        n, self.blocks = len(labels), -(-len(labels) // BLOCK)
         weights = np.log1p(counts) * idf[places]
-        norms = np.sqrt(np.bincount(rows, weights=weights**2, minlength=len(labels)))
+        norms = np.sqrt(np.bincount(rows, weights=weights**2, minlength=n))
         weights = weights / norms[rows]
-        often = np.bincount(places, minlength=len(idf)) * DENSE >= len(labels)
+        # the vectors by example, for the votes
+        self.own_cuts, self.own_places, self.own_votes = np.searchsorted(rows, np.arange(n + 1)), places.astype(np.int32), weights * evidence[places]
+        self.order = neighbourly(rows, places, weights, n)
+        spot = np.empty(n, np.int64)
+        spot[self.order] = np.arange(n)
+        self.spot, spots = spot, spot[rows]
+        often = np.bincount(places, minlength=len(idf)) * DENSE >= n
         self.dense_row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
-        self.dense = np.zeros((int(often.sum()), len(labels)))
+        self.dense = np.zeros((int(often.sum()), self.blocks * BLOCK))
         thick = often[places]
-        self.dense[self.dense_row[places[thick]], rows[thick]] = weights[thick]
-        rows, places, weights = rows[~thick], places[~thick], weights[~thick]
-        order = np.lexsort((rows, places))
-        self.example, self.weight = rows[order].astype(np.int32), weights[order]
-        # the postings of a term lie between two neighbouring cuts
-        self.cuts = np.searchsorted(places[order], np.arange(len(idf) + 1))
-
-    def cosines(self, cuts: np.ndarray, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Cosines of some texts, whose terms lie between neighbouring cuts, with all examples."""
+        self.dense[self.dense_row[places[thick]], spots[thick]] = weights[thick]
+        self.dense_most = self.dense.reshape(len(self.dense), self.blocks, BLOCK).max(axis=2)
+        spots, places, weights = spots[~thick], places[~thick], weights[~thick]
+        order = np.lexsort((spots, places))
+        spots, places, self.weight = spots[order], places[order], weights[order]
+        self.at = spots.astype(np.int32)
+        # postings of one term within one block lie together and are an entry
+        pair = places * self.blocks + spots // BLOCK
+        begins = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+        self.entry_begin = np.append(begins, len(pair))
+        self.entry_block = (pair[begins] % self.blocks).astype(np.int32)
+        self.entry_most = np.maximum.reduceat(self.weight, begins) if len(begins) else np.zeros(0)
+        # the entries of a term lie between two neighbouring cuts
+        self.cuts = np.searchsorted(places[begins], np.arange(len(idf) + 1))
+
+    def unit(self, cuts: np.ndarray, places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, weight) of every term of some texts whose terms lie between neighbouring cuts."""
         n = len(cuts) - 1
         text = np.repeat(np.arange(n), np.diff(cuts))
         query = np.log1p(counts) * self.idf[places]
-        query = query / np.sqrt(np.bincount(text, weights=query**2, minlength=n))[text]
+        return text, query / np.sqrt(np.bincount(text, weights=query**2, minlength=n))[text]
+
+    def search(self, text: np.ndarray, places: np.ndarray, query: np.ndarray, n: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines by text and spot, opened by text and block): blocks are opened in falling order of
+        their bounds, four times as many each time, until no bound reaches a text's k-th cosine."""
         at = self.dense_row[places]
         thick = at >= 0
         weights = np.zeros((n, len(self.dense)))
         weights[text[thick], at[thick]] = query[thick]
-        out = weights @ self.dense
         text, places, query = text[~thick], places[~thick], query[~thick]
-        begins, lengths = self.cuts[places], self.cuts[places + 1] - self.cuts[places]
-        bounds = np.searchsorted(text, np.arange(n + 1))
-        for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
-            size = lengths[a:b]
-            post = np.repeat(begins[a:b] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            out[k] += np.bincount(self.example[post], weights=self.weight[post] * np.repeat(query[a:b], size), minlength=out.shape[1])
-        return out
-
-    def best(self, cosines: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        owner, entry = expanded(self.cuts[places], self.cuts[places + 1])
+        text, query = text[owner], query[owner]
+        block = self.entry_block[entry]
+        bounds = weights @ self.dense_most
+        bounds += np.bincount(text * self.blocks + block, weights=query * self.entry_most[entry], minlength=bounds.size).reshape(bounds.shape)
+        rank = np.argsort(np.argsort(-bounds, axis=1, kind="stable"), axis=1)
+        out, opened = np.zeros((n, self.blocks, BLOCK)), np.zeros(bounds.shape, bool)
+        least, limit = np.zeros(n), FIRST_BLOCKS
+        while True:
+            wave = (rank < limit) & ~opened & (bounds > 0) & (bounds >= least[:, None] - NEAR)
+            for b in np.flatnonzero(wave.any(axis=0)):
+                own = np.flatnonzero(wave[:, b])
+                out[own, b] = weights[own] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK]
+            some = np.flatnonzero(wave[text, block])
+            owner, post = expanded(self.entry_begin[entry[some]], self.entry_begin[entry[some] + 1])
+            where = text[some][owner] * (self.blocks * BLOCK) + self.at[post]
+            out += np.bincount(where, weights=query[some][owner] * self.weight[post], minlength=out.size).reshape(out.shape)
+            opened |= wave
+            if without is not None:
+                out.reshape(n, -1)[np.arange(n), self.spot[without]] = 0
+            if limit >= self.blocks:
+                return out.reshape(n, -1), opened
+            if out[0].size > NEIGHBOURS:
+                least = np.partition(out.reshape(n, -1), -NEIGHBOURS, axis=1)[:, -NEIGHBOURS]
+            if not (~opened & (bounds > 0) & (bounds >= least[:, None] - NEAR)).any():
+                return out.reshape(n, -1), opened
+            limit *= 4
+
+    def best(self, cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the nearest examples with a cosine above 0."""
-        if without >= 0:
-            cosines[without] = 0
         found = np.arange(len(cosines))
         if len(cosines) > NEIGHBOURS:
             least = np.partition(cosines, len(cosines) - NEIGHBOURS)[len(cosines) - NEIGHBOURS]
-            found = np.flatnonzero(cosines >= least - 1e-8)
+            found = np.flatnonzero(cosines >= least - NEAR)
         found = found[cosines[found] > 0]
-        order = np.lexsort((found, -np.round(cosines[found], 9)))[:NEIGHBOURS]
-        return found[order], np.minimum(cosines[found[order]], 1.0)
+        example, cosines = self.order[found], cosines[found]
+        order = np.lexsort((example, -np.round(cosines, 9)))[:NEIGHBOURS]
+        return example[order], np.minimum(cosines[order], 1.0)
 
     def nearest(self, places: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the exact nearest examples of one text."""
-        return self.best(self.cosines(np.array([0, len(places)]), places, counts)[0], without)
+        found = self.nearest_of(np.array([0, len(places)]), places, counts, None if without < 0 else np.array([without]))
+        return next(found)[:2]
 
-    def nearest_of(self, cuts: np.ndarray, places: np.ndarray, counts: np.ndarray, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """``nearest`` of each text whose terms lie between neighbouring cuts."""
+    def nearest_of(self, cuts: np.ndarray, places: np.ndarray, counts: np.ndarray, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+        """(nearest examples, their cosines, share of toxic votes) of each text whose terms lie between neighbouring cuts."""
+        held = np.zeros(len(self.idf))
         for at in range(0, len(cuts) - 1, BATCH):
             some = cuts[at : at + BATCH + 1]
             part = slice(some[0], some[-1])
-            for k, row in enumerate(self.cosines(some - some[0], places[part], counts[part])):
-                yield self.best(row, -1 if without is None else int(without[at + k]))
-
-    def share(self, found: np.ndarray, cosines: np.ndarray) -> float:
-        votes = cosines**2
+            text, query = self.unit(some - some[0], places[part], counts[part])
+            cosines, _ = self.search(text, places[part], query, len(some) - 1, None if without is None else without[at : at + BATCH])
+            for k, row in enumerate(cosines):
+                found, near = self.best(row)
+                own = slice(some[k] - some[0], some[k + 1] - some[0])
+                held[places[part][own]] = query[own]
+                yield found, near, self.share(found, near, held)
+                held[places[part][own]] = 0
+
+    def share(self, found: np.ndarray, cosines: np.ndarray, query: np.ndarray) -> float:
+        """Share of toxic votes: cosine squared, weighed by the evidence of what text and example have in common."""
+        if not len(found):
+            return 0.0
+        own = [slice(a, b) for a, b in zip(self.own_cuts[found].tolist(), self.own_cuts[found + 1].tolist())]
+        common = np.array([query[self.own_places[part]] @ self.own_votes[part] for part in own])
+        votes = cosines * common
         return float((votes * self.labels[found]).sum() / votes.sum())
 
 
@@ -225,19 +315,18 @@ class Model:
         own = np.unique(rows)
         cuts = np.append(np.searchsorted(rows, own), len(rows))
         raw, labels = [], []
-        for row, (found, cosines) in zip(own, self.index.nearest_of(cuts, places, counts, own)):
+        for row, (found, _, share) in zip(own, self.index.nearest_of(cuts, places, counts, own)):
             if len(found):
-                raw.append(self.index.share(found, cosines))
+                raw.append(share)
                 labels.append(self.index.labels[row])
         if raw:
             self.froms, self.values = monotone(np.array(raw), np.array(labels))
 
-    def score(self, found: np.ndarray, cosines: np.ndarray) -> tuple[float, str]:
+    def score(self, found: np.ndarray, cosines: np.ndarray, raw: float) -> tuple[float, str]:
         """Score and evidence of a text with these nearest examples."""
         if not len(found):
             return self.bare, ""
         # a hair of the raw share keeps the order of rows within a step
-        raw = self.index.share(found, cosines)
         step = self.values[max(0, int(np.searchsorted(self.froms, raw, side="right")) - 1)]
         evidence = ",".join(f"{self.index.ids[e]}:{self.index.labels[e]}:{c:.4f}" for e, c in zip(found[:3], cosines[:3]))
         return float(min(1.0, max(0.0, step * 0.999 + raw * 0.001))), evidence
@@ -258,9 +347,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     order = np.lexsort((places, rows))
     places, counts = places[order], counts[order]
     df, n = document_frequencies(docs, terms)
-    weights = np.log1p((n + 1) / (df + 1)) * np.sqrt(1 + evidence_of(rows, places, y, len(terms)))
+    idf = np.log1p((n + 1) / (df + 1))
     bare = np.setdiff1d(np.arange(len(ids)), rows)
-    model = Model(terms, Index(weights, rows, places, counts, y, ids), float((y[bare].sum() + 0.5) / (len(bare) + 1)))
+    model = Model(terms, Index(idf, rows, places, counts, y, ids, (1 + evidence_of(rows, places, y, len(terms))) ** 2), float((y[bare].sum() + 0.5) / (len(bare) + 1)))
     model.calibrate(rows, places, counts)
     return model
 

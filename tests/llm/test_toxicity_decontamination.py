@@ -43,6 +43,54 @@ def test_nearest_is_exact():
         assert np.allclose(want[found], cosines)
 
 
+def topical(rng, groups=64, size=40, terms=30):
+    """Examples of clearly different topics, ``size`` each, that share a few common terms."""
+    rows = np.repeat(np.arange(groups * size), 12)
+    places = []
+    for k in range(groups * size):
+        topic = rng.choice(terms, 10, replace=False) + 5 + k % groups * terms
+        places.append(np.sort(np.append(rng.choice(5, 2, replace=False), topic)))
+    return rows, np.concatenate(places), rng.integers(1, 4, len(rows)), 5 + groups * terms
+
+
+def test_blocks_are_skipped_and_nothing_is_lost(monkeypatch):
+    monkeypatch.setattr(toxicity, "FIRST_BLOCKS", 2)
+    rng = np.random.default_rng(11)
+    rows, places, counts, n_terms = topical(rng)
+    n = rows[-1] + 1
+    # every third example is a copy of its neighbour: ties across blocks
+    for k in range(1, n, 3):
+        places[12 * k : 12 * k + 12], counts[12 * k : 12 * k + 12] = places[12 * k - 12 : 12 * k], counts[12 * k - 12 : 12 * k]
+    idf = np.append(np.full(5, 0.2), rng.random(n_terms - 5) + 2)
+    index = toxicity.Index(idf, rows, places, counts, rng.integers(0, 2, n), list(range(n)))
+    dense = np.zeros((n, n_terms))
+    dense[rows, places] = np.log1p(counts) * idf[places]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    chosen = np.arange(0, n, 37)
+    cuts = np.arange(len(chosen) + 1) * 12
+    at = (chosen[:, None] * 12 + np.arange(12)).ravel()
+    text, query = index.unit(cuts, places[at], counts[at])
+    cosines, opened = index.search(text, places[at], query, len(chosen))
+    assert sorted(index.order) == list(range(n))
+    assert opened.mean() < 0.3 and opened.any(axis=1).all()
+    exact = dense[chosen] @ dense.T
+    for k, (found, near, _) in enumerate(index.nearest_of(cuts, places[at], counts[at])):
+        rounded = np.round(exact[k], 9)
+        want = np.lexsort((np.arange(n), -rounded))[: toxicity.NEIGHBOURS]
+        assert found.tolist() == want[rounded[want] > 0].tolist() and np.allclose(near, exact[k][found])
+        spots = np.repeat(opened[k], toxicity.BLOCK)[:n]
+        assert np.allclose(cosines[k][:n][spots], exact[k][index.order][spots])
+
+
+def test_votes_are_weighed_by_evidence():
+    # both neighbours are as near; only the term in common with the first depends on the label
+    rows, places, counts = np.array([0, 0, 1, 1]), np.array([0, 2, 1, 3]), np.ones(4, int)
+    even = toxicity.Index(np.ones(4), rows, places, counts, np.array([1, 0]), [7, 8])
+    led = toxicity.Index(np.ones(4), rows, places, counts, np.array([1, 0]), [7, 8], np.array([3.0, 1, 1, 1]))
+    shares = [next(i.nearest_of(np.array([0, 2]), np.array([0, 1]), np.ones(2, int)))[2] for i in (even, led)]
+    assert np.allclose(shares, [0.5, 0.75])
+
+
 def test_held_out_accuracy_and_odd_rows(spark):
     rows, labels = labelled()
     label_table = spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int")
