@@ -175,8 +175,10 @@ class Index:
     have their block maxima beside them.
     """
 
-    def __init__(self, idf: np.ndarray, rows: np.ndarray, places: np.ndarray, counts: np.ndarray, labels: np.ndarray, ids: list, evidence: np.ndarray | None = None):
+    def __init__(self, idf: np.ndarray, rows: np.ndarray, places: np.ndarray, counts: np.ndarray, labels: np.ndarray, ids: list, evidence: np.ndarray | None = None, order: np.ndarray | None = None):
         self.idf, self.labels, self.ids = idf, labels, ids
+        slim = np.min_scalar_type(int(counts.max(initial=0)))
+        self.made_from = (idf, rows.astype(np.int32), places.astype(np.int32), counts.astype(slim), labels, ids, evidence)
         evidence = np.ones(len(idf)) if evidence is None else evidence
         n, self.blocks = len(labels), -(-len(labels) // BLOCK)
         weights = np.log1p(counts) * idf[places]
@@ -184,7 +186,7 @@ class Index:
         weights = weights / norms[rows]
         # the vectors by example, for the votes
         self.own_cuts, self.own_places, self.own_votes = np.searchsorted(rows, np.arange(n + 1)), places.astype(np.int32), weights * evidence[places]
-        self.order = neighbourly(rows, places, weights, n)
+        self.order = neighbourly(rows, places, weights, n) if order is None else order
         spot = np.empty(n, np.int64)
         spot[self.order] = np.arange(n)
         self.spot, spots = spot, spot[rows]
@@ -199,7 +201,7 @@ class Index:
         spots, places, self.weight = spots[order], places[order], weights[order]
         self.at = spots.astype(np.int32)
         # postings of one term within one block lie together and are an entry
-        pair = places * self.blocks + spots // BLOCK
+        pair = places.astype(np.int64) * self.blocks + spots // BLOCK
         begins = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
         self.entry_begin = np.append(begins, len(pair))
         self.entry_block = (pair[begins] % self.blocks).astype(np.int32)
@@ -207,6 +209,10 @@ class Index:
         # the entries of a term lie between two neighbouring cuts
         self.cuts = np.searchsorted(places[begins], np.arange(len(idf) + 1))
 
+    def __reduce__(self) -> tuple:
+        # what is sent to the tasks is a fraction of the index; they build it again
+        return Index, (*self.made_from, self.order)
+
     def unit(self, cuts: np.ndarray, places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text, weight) of every term of some texts whose terms lie between neighbouring cuts."""
         n = len(cuts) - 1

@@ -1,3 +1,4 @@
+import pickle
 import random
 import zlib
 
@@ -43,7 +44,7 @@ def test_nearest_is_exact():
         assert np.allclose(want[found], cosines)
 
 
-def topical(rng, groups=64, size=40, terms=30):
+def topical(rng, groups=32, size=80, terms=30):
     """Examples of clearly different topics, ``size`` each, that share a few common terms."""
     rows = np.repeat(np.arange(groups * size), 12)
     places = []
@@ -89,6 +90,9 @@ def test_votes_are_weighed_by_evidence():
     led = toxicity.Index(np.ones(4), rows, places, counts, np.array([1, 0]), [7, 8], np.array([3.0, 1, 1, 1]))
     shares = [next(i.nearest_of(np.array([0, 2]), np.array([0, 1]), np.ones(2, int)))[2] for i in (even, led)]
     assert np.allclose(shares, [0.5, 0.75])
+    # an index travels as what it was made from
+    sent = pickle.loads(pickle.dumps(led))
+    assert np.allclose(next(sent.nearest_of(np.array([0, 2]), np.array([0, 1]), np.ones(2, int)))[2], 0.75)
 
 
 def test_held_out_accuracy_and_odd_rows(spark):
