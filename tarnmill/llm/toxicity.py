@@ -39,18 +39,18 @@ DENSE = 16
 NEIGHBOURS = 48
 FOLDS, HELD_OUT = 5, 0
 # examples in a block, blocks opened first, signs that a vector is projected to when ordering
-BLOCK, FIRST_BLOCKS, AXES = 64, 32, 48
+BLOCK, FIRST_BLOCKS, AXES = 128, 32, 48
 # cosines this close count as equal when blocks are passed over
 NEAR = 1e-8
 # terms in a slice of the document frequencies, texts scored at once
-SLICE, BATCH = 4096, 64
+SLICE, BATCH = 4096, 128
 
 
 def expanded(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(which range, member) of all members of the ranges, one range after the other."""
+    """(sizes, members) of ranges, one range after the other."""
     sizes = ends - begins
-    owner = np.repeat(np.arange(len(begins)), sizes)
-    return owner, np.arange(len(owner)) + (begins - (np.cumsum(sizes) - sizes))[owner]
+    stops = np.cumsum(sizes)
+    return sizes, np.arange(stops[-1] if len(stops) else 0) + np.repeat(begins - (stops - sizes), sizes)
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -185,7 +185,7 @@ class Index:
         norms = np.sqrt(np.bincount(rows, weights=weights**2, minlength=n))
         weights = weights / norms[rows]
         # the vectors by example, for the votes
-        self.own_cuts, self.own_places, self.own_votes = np.searchsorted(rows, np.arange(n + 1)), places.astype(np.int32), weights * evidence[places]
+        self.own_cuts, self.own_places, self.own_votes = np.searchsorted(rows, np.arange(n + 1)), places.astype(np.int32), (weights * evidence[places]).astype(np.float32)
         self.order = neighbourly(rows, places, weights, n) if order is None else order
         spot = np.empty(n, np.int64)
         spot[self.order] = np.arange(n)
@@ -220,19 +220,19 @@ class Index:
         query = np.log1p(counts) * self.idf[places]
         return text, query / np.sqrt(np.bincount(text, weights=query**2, minlength=n))[text]
 
-    def search(self, text: np.ndarray, places: np.ndarray, query: np.ndarray, n: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(cosines by text and spot, opened by text and block): blocks are opened in falling order of
+    def search(self, text: np.ndarray, places: np.ndarray, query: np.ndarray, n: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cosines by text and spot, opened by text and block, a lower bound of each text's k-th cosine): blocks are opened in falling order of
         their bounds, four times as many each time, until no bound reaches a text's k-th cosine."""
         at = self.dense_row[places]
         thick = at >= 0
         weights = np.zeros((n, len(self.dense)))
         weights[text[thick], at[thick]] = query[thick]
         text, places, query = text[~thick], places[~thick], query[~thick]
-        owner, entry = expanded(self.cuts[places], self.cuts[places + 1])
-        text, query = text[owner], query[owner]
-        block = self.entry_block[entry]
+        sizes, entry = expanded(self.cuts[places], self.cuts[places + 1])
+        base, query = np.repeat(text * self.blocks, sizes), np.repeat(query, sizes)
+        pair = base + self.entry_block[entry]
         bounds = weights @ self.dense_most
-        bounds += np.bincount(text * self.blocks + block, weights=query * self.entry_most[entry], minlength=bounds.size).reshape(bounds.shape)
+        bounds += np.bincount(pair, weights=query * self.entry_most[entry], minlength=bounds.size).reshape(bounds.shape)
         rank = np.argsort(np.argsort(-bounds, axis=1, kind="stable"), axis=1)
         out, opened = np.zeros((n, self.blocks, BLOCK)), np.zeros(bounds.shape, bool)
         least, limit = np.zeros(n), FIRST_BLOCKS
@@ -241,28 +241,29 @@ class Index:
             for b in np.flatnonzero(wave.any(axis=0)):
                 own = np.flatnonzero(wave[:, b])
                 out[own, b] = weights[own] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK]
-            some = np.flatnonzero(wave[text, block])
-            owner, post = expanded(self.entry_begin[entry[some]], self.entry_begin[entry[some] + 1])
-            where = text[some][owner] * (self.blocks * BLOCK) + self.at[post]
-            out += np.bincount(where, weights=query[some][owner] * self.weight[post], minlength=out.size).reshape(out.shape)
+            some = np.flatnonzero(wave.ravel()[pair])
+            begins = entry[some]
+            sizes, post = expanded(self.entry_begin[begins], self.entry_begin[begins + 1])
+            where = np.repeat(base[some] * BLOCK, sizes)
+            where += self.at[post]
+            out += np.bincount(where, weights=np.repeat(query[some], sizes) * self.weight[post], minlength=out.size).reshape(out.shape)
             opened |= wave
             if without is not None:
                 out.reshape(n, -1)[np.arange(n), self.spot[without]] = 0
             if limit >= self.blocks:
-                return out.reshape(n, -1), opened
+                return out.reshape(n, -1), opened, least
             if out[0].size > NEIGHBOURS:
                 least = np.partition(out.reshape(n, -1), -NEIGHBOURS, axis=1)[:, -NEIGHBOURS]
             if not (~opened & (bounds > 0) & (bounds >= least[:, None] - NEAR)).any():
-                return out.reshape(n, -1), opened
+                return out.reshape(n, -1), opened, least
             limit *= 4
 
-    def best(self, cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the nearest examples with a cosine above 0."""
-        found = np.arange(len(cosines))
-        if len(cosines) > NEIGHBOURS:
-            least = np.partition(cosines, len(cosines) - NEIGHBOURS)[len(cosines) - NEIGHBOURS]
-            found = np.flatnonzero(cosines >= least - NEAR)
-        found = found[cosines[found] > 0]
+    def best(self, cosines: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the nearest examples with a cosine above 0; the k-th is ``least`` or more."""
+        found = np.flatnonzero(cosines >= max(least - NEAR, 1e-300))
+        if len(found) > NEIGHBOURS:
+            least = np.partition(cosines[found], -NEIGHBOURS)[-NEIGHBOURS]
+            found = found[cosines[found] >= least - NEAR]
         example, cosines = self.order[found], cosines[found]
         order = np.lexsort((example, -np.round(cosines, 9)))[:NEIGHBOURS]
         return example[order], np.minimum(cosines[order], 1.0)
@@ -274,14 +275,14 @@ class Index:
 
     def nearest_of(self, cuts: np.ndarray, places: np.ndarray, counts: np.ndarray, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
         """(nearest examples, their cosines, share of toxic votes) of each text whose terms lie between neighbouring cuts."""
-        held = np.zeros(len(self.idf))
+        held = np.zeros(len(self.idf), np.float32)
         for at in range(0, len(cuts) - 1, BATCH):
             some = cuts[at : at + BATCH + 1]
             part = slice(some[0], some[-1])
             text, query = self.unit(some - some[0], places[part], counts[part])
-            cosines, _ = self.search(text, places[part], query, len(some) - 1, None if without is None else without[at : at + BATCH])
+            cosines, _, least = self.search(text, places[part], query, len(some) - 1, None if without is None else without[at : at + BATCH])
             for k, row in enumerate(cosines):
-                found, near = self.best(row)
+                found, near = self.best(row, float(least[k]))
                 own = slice(some[k] - some[0], some[k + 1] - some[0])
                 held[places[part][own]] = query[own]
                 yield found, near, self.share(found, near, held)
@@ -292,7 +293,7 @@ class Index:
         if not len(found):
             return 0.0
         own = [slice(a, b) for a, b in zip(self.own_cuts[found].tolist(), self.own_cuts[found + 1].tolist())]
-        common = np.array([query[self.own_places[part]] @ self.own_votes[part] for part in own])
+        common = np.array([query[self.own_places[part]] @ self.own_votes[part] for part in own], float)
         votes = cosines * common
         return float((votes * self.labels[found]).sum() / votes.sum())
 

@@ -56,6 +56,7 @@ def topical(rng, groups=32, size=80, terms=30):
 
 def test_blocks_are_skipped_and_nothing_is_lost(monkeypatch):
     monkeypatch.setattr(toxicity, "FIRST_BLOCKS", 2)
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
     rng = np.random.default_rng(11)
     rows, places, counts, n_terms = topical(rng)
     n = rows[-1] + 1
@@ -71,7 +72,7 @@ def test_blocks_are_skipped_and_nothing_is_lost(monkeypatch):
     cuts = np.arange(len(chosen) + 1) * 12
     at = (chosen[:, None] * 12 + np.arange(12)).ravel()
     text, query = index.unit(cuts, places[at], counts[at])
-    cosines, opened = index.search(text, places[at], query, len(chosen))
+    cosines, opened, _ = index.search(text, places[at], query, len(chosen))
     assert sorted(index.order) == list(range(n))
     assert opened.mean() < 0.3 and opened.any(axis=1).all()
     exact = dense[chosen] @ dense.T
