@@ -83,28 +83,51 @@ def rouge_n(hypothesis: Column, reference: Column, n: int) -> Column:
     return let(scored, lambda s: F.struct(s["p"].alias("p"), s["r"].alias("r"), _f_score(s["p"], s["r"]).alias("f")))
 
 
-def _common_words(reference: Sequence[str], hypothesis: Sequence[str]) -> set[str]:
-    """Words of one longest common subsequence; ties prefer a shorter hypothesis."""
-    rows = [[0] * (len(hypothesis) + 1)]
+def _match_bits(hypothesis: Sequence[str]) -> dict[str, int]:
+    """For every word, a number whose bit j is set where the hypothesis has it."""
+    bits: dict[str, int] = {}
+    for j, word in enumerate(hypothesis):
+        bits[word] = bits.get(word, 0) | 1 << j
+    return bits
+
+
+def _common_words(reference: Sequence[str], bits: dict[str, int], n: int) -> set[str]:
+    """Words of one longest common subsequence with a hypothesis of ``n`` words; ties prefer a shorter one.
+
+    Bit j of the row of i is set where i words of the reference have a longer common subsequence with
+    j + 1 words of the hypothesis than with j; a row follows from the one above by an addition
+    over all columns at once. A set bit says that a step back must leave the reference's word.
+    """
+    every, flat = (1 << n) - 1, (1 << n) - 1
+    steps, matches = [], []
     for word in reference:
-        above, row = rows[-1], [0]
-        for j, other in enumerate(hypothesis):
-            row.append(above[j] + 1 if word == other else max(above[j + 1], row[j]))
-        rows.append(row)
-    i, j, common = len(reference), len(hypothesis), set()
-    while i and j:
-        if reference[i - 1] == hypothesis[j - 1]:
-            common.add(reference[i - 1])
-            i, j = i - 1, j - 1
-        elif rows[i - 1][j] > rows[i][j - 1]:
-            i -= 1
-        else:
-            j -= 1
+        match = bits.get(word, 0)
+        if match:
+            flat = ((flat + (flat & match)) | (flat & ~match)) & every
+        steps.append(every & ~flat)
+        matches.append(match)
+    common: set[str] = set()
+    left = every
+    for word, match, step in zip(reversed(reference), reversed(matches), reversed(steps)):
+        # columns that neither match nor step are passed over at once
+        j = ((match | step) & left).bit_length()
+        if j == 0:
+            break
+        left = (1 << j) - 1
+        if match >> (j - 1) & 1:
+            common.add(word)
+            left >>= 1
     return common
 
 
 def _union_size(hypothesis: list[list[str]], reference: list[list[str]]) -> int:
-    return len(set().union(*(_common_words(r, h) for r in reference for h in hypothesis)))
+    found: set[str] = set()
+    for words in hypothesis:
+        bits = _match_bits(words)
+        for sentence in reference:
+            if not bits.keys().isdisjoint(sentence):
+                found |= _common_words(sentence, bits, len(words))
+    return len(found)
 
 
 _lcs_union = row_function(T.IntegerType(), lambda: _union_size)

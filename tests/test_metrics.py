@@ -123,3 +123,34 @@ def test_generated_pieces_and_scores(spark):
     assert {r["metric"]: round(r["value"], 6) for r in same.collect()} == {"levenshtein": 1.0, "bleu": round(0.25**0.25, 6)}
     source = examples.score_predictions(answer, answer, "k", ["levenshtein"], untokenise=True)
     assert source.first()["value"] == 1.0
+
+
+def words_by_table(reference, hypothesis):
+    """Walk back through the full table of lengths; an equal choice leaves the hypothesis's word."""
+    lengths = {(i, j): 0 for i in range(len(reference) + 1) for j in range(len(hypothesis) + 1)}
+    for i, word in enumerate(reference, 1):
+        for j, other in enumerate(hypothesis, 1):
+            lengths[i, j] = lengths[i - 1, j - 1] + 1 if word == other else max(lengths[i - 1, j], lengths[i, j - 1])
+    i, j, taken = len(reference), len(hypothesis), []
+    while i and j:
+        if reference[i - 1] == hypothesis[j - 1]:
+            taken.append(reference[i - 1])
+            i, j = i - 1, j - 1
+        elif lengths[i - 1, j] > lengths[i, j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    assert len(taken) == lengths[len(reference), len(hypothesis)]
+    return set(taken)
+
+
+@pytest.mark.parametrize("most, kinds", [(6, 2), (12, 4), (30, 12), (200, 90)])
+def test_bit_rows_equal_the_table(most, kinds):
+    rng = random.Random(most)
+    for _ in range(300 if most < 100 else 20):
+        reference, hypothesis = ([f"w{rng.randrange(kinds)}" for _ in range(rng.randint(0, most))] for _ in range(2))
+        bits = metrics._match_bits(hypothesis)
+        assert metrics._common_words(reference, bits, len(hypothesis)) == words_by_table(reference, hypothesis)
+    sides = [[[f"w{rng.randrange(kinds)}" for _ in range(rng.randint(1, 8))] for _ in range(4)] for _ in range(2)]
+    union = set().union(*(words_by_table(r, h) for r in sides[1] for h in sides[0]))
+    assert metrics._union_size(*sides) == len(union)
