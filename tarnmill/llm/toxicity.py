@@ -140,8 +140,11 @@ def terms_in(column: pa.Array, terms: np.ndarray) -> tuple[np.ndarray, np.ndarra
     data, bounds = bytes_of(column)
     starts, stops, rows = word_bounds(data, bounds, ALNUM)
     hashes = span_hashes(data, starts, stops, lower=True).astype(np.int64)
-    at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
-    hit = np.flatnonzero(terms[at] == hashes)
+    # each distinct word is looked up once, and most words of a chunk are repeats
+    words, which = np.unique(hashes, return_inverse=True)
+    at = np.minimum(np.searchsorted(terms, words), len(terms) - 1)
+    at = np.where(terms[at] == words, at, -1)[which]
+    hit = np.flatnonzero(at >= 0)
     pairs, n = np.unique(rows[hit].astype(np.int64) * len(terms) + at[hit], return_counts=True)
     return pairs // len(terms), pairs % len(terms), n
 
