@@ -1,33 +1,52 @@
 """Token ids of whole texts by a public tokenizer of the tokenizers library.
 
-White space separates pieces before any merging in the tokenizer used here, so a text's ids
-are those of its white-space separated parts. Every task keeps the ids of parts it has
-seen first (up to ``MEMORY`` parts) and sends only new parts to the
-library. Texts whose part borders could matter are encoded whole.
+The tokenizer used here cuts texts at white space, between letters and signs, and at every digit,
+lower-cases, and only then merges, so a text's ids are those of its units: runs of letters,
+runs of signs and single digits; a white-space separated part with an apostrophe or a
+character outside ASCII is one unit. Every task keeps the ids of the units it has seen first
+(up to ``MEMORY``) in flat arrays, finds all units of a chunk of texts there at once by
+128-bit fingerprints, and sends only new units to the library. Texts that name a special token
+are encoded whole.
 """
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import unicodedata
+import hashlib
+import json
+import os
+import re
 from collections.abc import Callable
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 
-from tarnmill.llm.common import worker_cache
+from tarnmill.llm.common import bytes_of, mixed, worker_cache
 
 TOKENIZER = "word_bpe_49k.json"
-MEMORY = 400_000
-LETTERS = 200_000
-# text bytes encoded at once; a part that occurs again within them is looked up once
+# units kept, and ids kept for them
+MEMORY = 600_000
+MEMORY_IDS = 4_000_000
+# text bytes encoded at once; a new unit that occurs again within them is sent once
 TOKEN_CHUNK = 2_000_000
-# characters that count as white space when splitting and not for the tokenizer
-ODD = "[\x1c-\x1f]"
+# new units sent in one call
+CALL = 4000
+# longer units are hashed one by one
+LONG = 256
+
+_BYTES = np.arange(256)
+_LETTER = ((_BYTES >= 65) & (_BYTES <= 90)) | ((_BYTES >= 97) & (_BYTES <= 122))
+_DIGIT = (_BYTES >= 48) & (_BYTES <= 57)
+_BLANK = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
+KIND = np.where(_BLANK, 0, np.where(_LETTER, 1, np.where(_DIGIT, 2, 3))).astype(np.uint8)
+# bytes whose part is one unit: the apostrophe, and those of other code points
+TIED = (_BYTES >= 128) | (_BYTES == 39)
+LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
+# the first k bytes of a little-endian word
+FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+SECOND = np.uint64(0xD1342543DE82EF95)
 
 
 def tokenizer_path() -> str:
@@ -36,89 +55,165 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def units_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, whether its part is tied) of the units of texts that lie one behind the other."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    kind = KIND[data]
+    inside = kind > 0
+    opens, changes = inside.copy(), kind == 2
+    opens[1:] &= ~inside[:-1]
+    changes[1:] |= kind[1:] != kind[:-1]
+    cuts = bounds[:-1][bounds[:-1] < n]
+    opens[cuts] = inside[cuts]
+    part_start = np.flatnonzero(opens)
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:] | opens[1:]
+    part_stop = np.flatnonzero(ends) + 1
+    tied = np.zeros(len(part_start), bool)
+    tied[np.searchsorted(part_start, np.flatnonzero(TIED[data]), side="right") - 1] = True
+    starts = np.flatnonzero((changes & inside) | opens)
+    first = opens[starts]
+    part = np.cumsum(first) - 1
+    keep = first | ~tied[part]
+    starts, first, part = starts[keep], first[keep], part[keep]
+    last = np.append(first[1:], True)[: len(starts)]
+    stops = np.where(last, part_stop[part], np.append(starts[1:], n)[: len(starts)])
+    return starts, stops, tied[part]
+
+
+def fingerprints(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of every span of bytes, eight bytes at a time."""
+    sizes = stops - starts
+    a = mixed(sizes.astype(np.uint64))
+    b = a * SECOND
+    words = np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+    live = np.flatnonzero(sizes <= LONG)
+    k = 0
+    while len(live):
+        value = words[starts[live] + k] & FIRST_BYTES[np.minimum(sizes[live] - k, 8)]
+        a[live] = mixed(a[live] ^ value)
+        b[live] = mixed((b[live] + value) * SECOND)
+        k += 8
+        live = live[sizes[live] > k]
+    for long in np.flatnonzero(sizes > LONG).tolist():
+        a[long], b[long] = np.frombuffer(hashlib.blake2b(data[starts[long] : stops[long]].tobytes(), digest_size=16).digest(), "<u8")
+    return a, b
+
+
+class Fingerprints:
+    """Places 0, 1, ... of distinct fingerprints, in a table with open addresses."""
+
+    def __init__(self, most: int):
+        size = 1 << max(4, (2 * most - 1).bit_length())
+        self.table, self.mask, self.n = np.full(size, -1, np.int32), np.uint64(size - 1), 0
+        self.a, self.b = np.zeros(most, np.uint64), np.zeros(most, np.uint64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The place of each fingerprint, or -1."""
+        out, at = np.full(len(a), -1, np.int64), (a & self.mask).astype(np.int64)
+        live = np.arange(len(a))
+        while len(live):
+            place = self.table[at[live]]
+            live, place = live[place >= 0], place[place >= 0]
+            same = (self.a[place] == a[live]) & (self.b[place] == b[live])
+            out[live[same]] = place[same]
+            live = live[~same]
+            at[live] = (at[live] + 1) & len(self.table) - 1
+        return out
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Give the next places to new, distinct fingerprints."""
+        self.a[self.n : self.n + len(a)], self.b[self.n : self.n + len(a)] = a, b
+        at, live = (a & self.mask).astype(np.int64), np.arange(len(a))
+        while len(live):
+            free = live[self.table[at[live]] < 0]
+            # of those that want one address the last gets it
+            self.table[at[free]] = self.n + free
+            live = live[self.table[at[live]] != self.n + live]
+            at[live] = (at[live] + 1) & len(self.table) - 1
+        self.n += len(a)
+
+
 class Encoder:
-    """Ids of texts as one array with bounds; keeps known parts as slices of one array."""
+    """Ids of texts as one array with bounds; keeps the ids of known units one behind the other."""
 
     def __init__(self, path: str):
+        # tasks share the cores already
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # letters, then signs: the tokenizer splits such a part between the two
-        self.shape = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}']*)")
-        # where the ids of a part begin and end
-        self.known: dict[str, int] = {}
-        self.begin, self.end = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        # packed ids (little-endian u32) of the letters and the signs of parts
-        self.letters: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {"": b""}
-        self.ids = np.zeros(1 << 18, np.uint32)
-        self.used = 0
-
-    def whole(self, text: str) -> bytes:
-        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def spell(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words of letters only, many words to a call."""
-        found: dict[str, bytes] = {}
-        for at in range(0, len(words), 4000):
-            some = words[at : at + 4000]
-            encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, owners = packed(encoded.ids), np.array(encoded.word_ids, np.int64)
-            if owners[-1] + 1 != len(some):
-                found.update((word, self.whole(word)) for word in some)
-                continue
-            cuts = (4 * np.searchsorted(owners, np.arange(len(some) + 1))).tolist()
-            found.update(zip(some, [ids[a:b] for a, b in zip(cuts, cuts[1:])]))
-        return found
-
-    def learn(self, parts: list[str]) -> None:
-        """Put the ids of new parts behind those of the known ones."""
-        letters, signs, fullmatch = self.letters, self.signs, self.shape.fullmatch
-        shapes = [fullmatch(part) for part in parts]
-        shapes = [m and (m[1], m[2]) if part.isascii() or m is None or self.plain(part, m[1]) else None for part, m in zip(parts, shapes)]
-        spelt = self.spell(list({m[0] for m in shapes if m}.difference(letters)))
-        signs.update((tail, self.whole(tail)) for tail in {m[1] for m in shapes if m}.difference(signs))
-        pieces = [(spelt.get(m[0]) or letters[m[0]]) + signs[m[1]] if m else self.whole(part) for part, m in zip(parts, shapes)]
-        if len(letters) + len(spelt) <= LETTERS:
-            letters.update(spelt)
-        n, sizes = len(self.known), np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        stops = self.used + np.cumsum(sizes)
-        self.begin, self.end = grown(self.begin, n + len(parts)), grown(self.end, n + len(parts))
-        self.begin[n : n + len(parts)], self.end[n : n + len(parts)] = stops - sizes, stops
-        self.ids = grown(self.ids, int(stops[-1]))
-        self.ids[self.used : stops[-1]] = np.frombuffer(b"".join(pieces), "<u4")
-        self.used = int(stops[-1])
-
-    @staticmethod
-    def plain(part: str, letters: str) -> bool:
-        """Normalising and lower-casing move no border of ``part``."""
-        return unicodedata.is_normalized("NFC", part) and len(letters.lower()) == len(letters)
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        # ids that end a word of the tokenizer
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for piece, i in vocabulary.items() if suffix and piece.endswith(suffix)]] = True
+        self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"\z\A."
+        self.known = Fingerprints(MEMORY)
+        self.begin, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def words(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each unit) of units that are one word to the tokenizer."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(units).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.closing[ids]) + 1
+        if len(ends) != len(units) or ends[-1] != len(ids):
+            return self.parts(units)
+        return ids, np.diff(ends, prepend=0)
+
+    def parts(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each unit) of any units."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
+        return np.array([i for own in found for i in own], np.uint32), np.array([len(own) for own in found], np.int64)
+
+    def learn(self, units: list[bytes], n_words: int) -> None:
+        """Put the ids of new units, words first, behind those of the known ones."""
+        done = [self.words(units[k : min(k + CALL, n_words)]) for k in range(0, n_words, CALL)]
+        done += [self.parts(units[k : k + CALL]) for k in range(n_words, len(units), CALL)]
+        ids, lengths = (np.concatenate(both) for both in zip(*done))
+        n, stop = self.known.n, self.used + len(ids)
+        self.begin, self.length, self.ids = grown(self.begin, n + len(units)), grown(self.length, n + len(units)), grown(self.ids, stop)
+        self.begin[n : n + len(units)] = self.used + np.cumsum(lengths) - lengths
+        self.length[n : n + len(units)] = lengths
+        self.ids[self.used : stop] = ids
+
+    def places(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, tied: np.ndarray) -> np.ndarray:
+        """Where ``begin`` and ``length`` tell of each unit, valid until the next call."""
+        a, b = fingerprints(data, starts, stops)
+        place = self.known.find(a, b)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            order = missing[np.lexsort((b[missing], a[missing], tied[missing]))]
+            differs = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
+            new, n = order[differs], self.known.n
+            place[order] = n + np.cumsum(differs) - 1
+            raw = data.tobytes()
+            self.learn([raw[i:j] for i, j in zip(starts[new].tolist(), stops[new].tolist())], int((~tied[new]).sum()))
+            ids = int(self.length[n : n + len(new)].sum())
+            # frequent units come early and are kept; later ones are overwritten
+            if n + len(new) <= MEMORY and self.used + ids <= MEMORY_IDS:
+                self.known.add(a[new], b[new])
+                self.used += ids
+        return place
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds of every text in them); null texts have no ids."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        odd = pc.match_substring_regex(texts, ODD)
-        whole = {k: np.frombuffer(self.whole(texts[k].as_py()), "<u4") for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
-        lists = pc.utf8_split_whitespace(pc.if_else(odd, "", texts) if whole else texts)
-        # every distinct part is looked up once
-        coded = lists.flatten().dictionary_encode()
-        parts, per_text = coded.dictionary.to_pylist(), lists.offsets.to_numpy()
-        place = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int64, len(parts))
-        missing, used = np.flatnonzero(place < 0), self.used
-        new = [parts[k] for k in missing.tolist()]
-        if new:
-            self.learn(new)
-            place[missing] = len(self.known) + np.arange(len(new))
-        flat = place[coded.indices.to_numpy()]
-        begins, lengths = self.begin[flat], self.end[flat] - self.begin[flat]
+        special = pc.match_substring_regex(texts, self.special).to_numpy(zero_copy_only=False)
+        whole = {k: self.whole(texts[k].as_py()) for k in np.flatnonzero(special).tolist()}
+        data, text_bounds = bytes_of(pc.if_else(pa.array(special), "", texts) if whole else texts)
+        data = LOWER[data]
+        starts, stops, tied = units_of(data, text_bounds)
+        place = self.places(data, starts, stops, tied)
+        begins, lengths = self.begin[place], self.length[place]
         ends = np.append(0, np.cumsum(lengths))
         ids = self.ids[np.repeat(begins - ends[:-1], lengths) + np.arange(ends[-1])]
-        if len(self.known) + len(new) <= MEMORY:
-            self.known.update(zip(new, place[missing].tolist()))
-        else:
-            # frequent parts came early and are kept; these will be overwritten
-            self.used = used
-        bounds = ends[per_text]
+        bounds = ends[np.searchsorted(starts, text_bounds)]
         if whole:
             pieces = [whole.get(k, ids[bounds[k] : bounds[k + 1]]) for k in range(len(texts))]
             bounds = np.append(0, np.cumsum([len(p) for p in pieces]))
@@ -126,10 +221,6 @@ class Encoder:
         return ids, bounds
 
 
-def packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
-
-
 def grown(array: np.ndarray, size: int) -> np.ndarray:
     if len(array) >= size:
         return array

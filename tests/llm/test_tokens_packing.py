@@ -7,7 +7,7 @@ from support import empty, table, texts
 from tokenizers import Tokenizer
 
 from tarnmill.llm import packing, rans, token_files
-from tarnmill.llm.tokens import Encoder, tokenizer_path
+from tarnmill.llm.tokens import Encoder, Fingerprints, tokenizer_path
 
 ODD = ["a <|endoftext|> b", "x<|startoftext|>y", "é é ́x ΑΣ ΑΣ. İ don't 'S", None, "", " \n", "a\x1cb c", "ﬁ １２３ 12345 ½", "a b c　d​e\x85g", "hi 🙂👍🏽 中文 x"]
 
@@ -32,6 +32,26 @@ def test_cached_encoding_is_the_tokenizers(tokenizer, monkeypatch):
                 assert ids[bounds[k] : bounds[k + 1]].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_random_texts_encode_as_by_the_tokenizer(tokenizer, monkeypatch):
+    rng = np.random.default_rng(5)
+    some = [*"abzAZ09 \t\n.,!<|>'_-", "\x1c", "\x85", "é", "́", "ß", "İ", "Σ", "中", "½", "🙂", " ", "'s", "'LL", "<|endoftext|>", "word", "The "]
+    rows = ["".join(rng.choice(some, n)) for n in rng.integers(0, 40, 1500)] + ["x" * 300 + "y" * 257 + " " + "é" * 400, "-" * 1000]
+    encoder = Encoder(tokenizer_path())
+    for at in (0, 700, 0):
+        ids, bounds = encoder.encode(pa.array(rows[at:], pa.string()))
+        for k, text in enumerate(rows[at:]):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_fingerprints_share_addresses():
+    known, rng = Fingerprints(500), np.random.default_rng(2)
+    a, b = rng.integers(0, 8, 500, dtype=np.uint64), np.arange(500, dtype=np.uint64)
+    for cut in (slice(0, 1), slice(1, 300), slice(300, 500)):
+        known.add(a[cut], b[cut])
+    assert known.find(a, b).tolist() == list(range(500))
+    assert known.find(a, b + np.uint64(500)).tolist() == [-1] * 500
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 255, 256, 257, 5000, 70000):
