@@ -33,13 +33,12 @@ from tarnmill.llm.tokens import TOKEN_CHUNK, encode_with_end, tokenizer_path
 WINDOW = 4096
 END_ID = 2
 GROUP_IDS = 2_000_000
-# triples kept per longest member, those of the most frequent lengths first
-TRIPLES = 8
-ROUNDS = 150
+# documents by which the solution may miss the optimality of a combination
+TOLERANCE = 0.25
 
 
-def combinations(lengths: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
-    """Rows of two or three places in ``lengths`` (ascending) that sum to ``window``; -1 pads."""
+def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
+    """Rows of all two or three places in ``lengths`` (ascending) whose lengths sum to ``window``; -1 pads."""
     place = np.full(window + 1, -1)
     place[lengths] = np.arange(len(lengths))
     first = np.flatnonzero(2 * lengths <= window)
@@ -52,20 +51,18 @@ def combinations(lengths: np.ndarray, counts: np.ndarray, window: int) -> np.nda
         c = place[window - lengths[a] - lengths[b]]
         b, c = b[c >= 0], c[c >= 0]
         triples.append(np.stack([np.full(len(b), a), b, c], axis=1))
-    if not triples:
-        return pairs
-    triples = np.concatenate(triples)
-    rarest = counts[triples].min(axis=1)
-    triples = triples[np.lexsort((-rarest, triples[:, 2]))]
-    group = triples[:, 2]
-    first_of = np.searchsorted(group, group)
-    return np.concatenate([pairs, triples[np.arange(len(group)) - first_of < TRIPLES]])
+    return np.concatenate([pairs, *triples])
 
 
 def least_squares(members: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """x >= 0 that brings the lengths used by x times each combination near ``counts``."""
-    n, used = len(counts), members >= 0
-    places = np.where(used, members, n)
+    """x >= 0 that brings the lengths used by x times each combination nearest to ``counts``.
+
+    Accelerated projected gradients, a step size for each combination, until every
+    combination is optimal: its gradient vanishes, or is not negative where x is 0, up to
+    ``TOLERANCE`` of a document (or a ten-thousandth of the largest count).
+    """
+    n = len(counts)
+    places = np.where(members >= 0, members, n)
 
     def lengths_used(x: np.ndarray) -> np.ndarray:
         return np.bincount(places.ravel(), weights=np.repeat(x, 3), minlength=n + 1)[:n]
@@ -73,21 +70,28 @@ def least_squares(members: np.ndarray, counts: np.ndarray) -> np.ndarray:
     def back(residual: np.ndarray) -> np.ndarray:
         return np.append(residual, 0.0)[places].sum(axis=1)
 
-    step = 1.0 / (3 * max(1.0, lengths_used(np.ones(len(members))).max()))
+    step = 1 / back(lengths_used(np.ones(len(members))))
+    enough = max(TOLERANCE, 1e-4 * counts.max())
     x = y = np.zeros(len(members))
     momentum = 1.0
-    for _ in range(ROUNDS):
-        new = np.maximum(0.0, y - step * back(lengths_used(y) - counts))
+    while True:
+        gradient = back(lengths_used(y) - counts)
+        if np.abs(np.minimum(y, gradient)).max() <= enough:
+            return y
+        new = np.maximum(0.0, y - step * gradient)
+        if ((new - x) * (y - new)).sum() > 0:
+            # the momentum leads uphill
+            x, y, momentum = new, new, 1.0
+            continue
         following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        y = new + (momentum - 1) / following * (new - x)
+        y = np.maximum(0.0, new + (momentum - 1) / following * (new - x))
         x, momentum = new, following
-    return x
 
 
 def recipes(remainders: np.ndarray, window: int) -> list[tuple[np.ndarray, int]]:
     """(lengths that fill a window, how many such windows) within the given remainders."""
     lengths, counts = np.unique(remainders, return_counts=True)
-    members = combinations(lengths, counts, window) if len(lengths) else np.zeros((0, 3), int)
+    members = combinations(lengths, window) if len(lengths) else np.zeros((0, 3), int)
     if not len(members):
         return []
     solved = least_squares(members, counts.astype(float))
@@ -95,9 +99,8 @@ def recipes(remainders: np.ndarray, window: int) -> list[tuple[np.ndarray, int]]
     order = np.argsort(-solved, kind="stable")
     # the rounded counts first, then whatever the rounding has left over
     for wanted in (np.rint(solved).astype(np.int64), np.full(len(solved), np.iinfo(np.int64).max)):
-        for k in order:
-            if wanted[k] == 0:
-                continue
+        there = ((members < 0) | (left[members] > 0)).all(axis=1)
+        for k in order[(wanted[order] > 0) & there[order]]:
             own = [m for m in members[k] if m >= 0]
             times = min([int(wanted[k]), *(int(left[m]) // own.count(m) for m in own)])
             if times > 0:

@@ -124,3 +124,35 @@ def test_least_squares_recipes():
     assert all(lengths.sum() == 64 for lengths, _ in found)
     used = sum(len(lengths) * times for lengths, times in found)
     assert used >= 28
+
+
+def test_all_combinations_and_optimal_counts():
+    rng = np.random.default_rng(4)
+    lengths, counts = np.unique(rng.integers(1, 200, 900), return_counts=True)
+    members = packing.combinations(lengths, 200)
+    own = {tuple(sorted(lengths[m[m >= 0]].tolist())) for m in members}
+    values = set(lengths.tolist())
+    pairs = {(a, 200 - a) for a in values if a <= 100 and 200 - a in values}
+    triples = {(a, b, 200 - a - b) for a in values for b in values if a <= b <= 200 - a - b and 200 - a - b in values}
+    assert own == pairs | triples and len(own) == len(members)
+    solved = packing.least_squares(members, counts.astype(float))
+    used = np.zeros(len(lengths))
+    for row, x in zip(members, solved):
+        for m in row[row >= 0]:
+            used[m] += x
+    for row, x in zip(members, solved):
+        gradient = (used - counts)[row[row >= 0]].sum()
+        assert x >= 0 and abs(min(x, gradient)) <= packing.TOLERANCE + 1e-9
+
+
+def test_least_squares_keeps_more_documents_whole(monkeypatch):
+    sizes = np.clip(np.random.default_rng(9).lognormal(6.2, 0.9, 3000).astype(int), 1, 4000)
+
+    def cut_documents():
+        packer = packing.Packer(0)
+        pieces = [*packer.pack(list(range(len(sizes))), sizes), *packer.finish()]
+        return int((np.bincount([p[0] for p in pieces]) > 1).sum())
+
+    solved = cut_documents()
+    monkeypatch.setattr(packing, "recipes", lambda remainders, window: [])
+    assert solved < 0.9 * cut_documents()
