@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tarnmill.llm.common import ALNUM, bytes_of, chunks, span_hashes, window_hashes, word_bounds
 
@@ -48,7 +49,7 @@ SHORT = 8
 BLOCK_ITEMS = 4096
 # word occurrences of items compared at once
 PAIRS = 2_000_000
-# texts of at most so many words are compared whole before their stretches
+# texts of at most so many words are bounded whole before their stretches
 WHOLE = 4096
 SLICE = 256
 
@@ -101,6 +102,11 @@ class Exact:
         self.term = np.concatenate(rare) if len(rare) else np.zeros(0, np.int64)
         self.bounds = np.append(0, np.cumsum([len(r) for r in rare])).astype(np.int64)
         self.item = np.repeat(np.arange(len(rare)), np.diff(self.bounds))
+        # the distinct terms of every item, with their numbers of occurrences
+        distinct = [np.unique(block.term_of(words), return_counts=True) for words in block.words]
+        self.terms, self.times = (np.concatenate([d[k] for d in distinct]) if distinct else np.zeros(0, np.int64) for k in (0, 1))
+        self.terms_of = np.append(0, np.cumsum([len(d[0]) for d in distinct])).astype(np.int64)
+        self.masks = [word_masks(words) for words in block.words]
 
     def short_items(self, hashes: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(row, item, words) of the short items that occur in full."""
@@ -141,22 +147,51 @@ class Exact:
             yield item[live], spot[live], spot[last]
 
 
-def covered(block: Block, exact: Exact, item: int, hashes: np.ndarray, start: int, stop: int, first: int, last: int) -> int:
+    def common(self, items: np.ndarray, starts: np.ndarray, stops: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Words that an item and a stretch of words have in common in any order, for each
+        pair of the two; the longest common subsequence is no longer."""
+        out = np.zeros(len(items), np.int64)
+        cost = np.append(0, np.cumsum(stops - starts + np.diff(self.terms_of)[items]))
+        i = 0
+        while i < len(items):
+            j = max(i + 1, int(np.searchsorted(cost, cost[i] + PAIRS // 4, side="right")) - 1)
+            pair, width = np.arange(j - i), len(self.terms_of) + int(self.terms.max()) + 1
+            sizes = stops[i:j] - starts[i:j]
+            found = term[ranges(starts[i:j], sizes)]
+            keys, counts = np.unique((np.repeat(pair, sizes) * width + found)[found >= 0], return_counts=True)
+            n = np.diff(self.terms_of)[items[i:j]]
+            own = ranges(self.terms_of[items[i:j]], n)
+            owner = np.repeat(pair, n)
+            wanted = owner * width + self.terms[own]
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                shared = np.where(keys[at] == wanted, np.minimum(counts[at], self.times[own]), 0)
+                out[i:j] = np.bincount(owner, weights=shared, minlength=j - i)
+            i = j
+        return out
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, one range behind the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def covered(block: Block, exact: Exact, item: int, hashes: np.ndarray, term: np.ndarray, start: int, stop: int, first: int, last: int) -> int:
     """Words of the longest common subsequence with a stretch of ``hashes[start:stop]`` that
     holds the words ``first`` to ``last`` and the item's answer, or 0 below the least cover."""
-    words, answer, least, size = block.words[item], block.answers[item], int(exact.least[item]), int(exact.stretch[item])
+    answer, least, size, masks = block.answers[item], int(exact.least[item]), int(exact.stretch[item]), exact.masks[item]
     a, b = max(start, last - size + 1), min(stop, first + size)
-    own = set(words.tolist())
-    inside = [k for k, word in enumerate(hashes[a:b].tolist()) if word in own]
-    if len(inside) < least or common_subsequence(words, hashes[a:b]) < least:
+    # words that the item lacks change no common subsequence
+    inside = a + np.flatnonzero(np.isin(term[a:b], exact.terms[exact.terms_of[item] : exact.terms_of[item + 1]]))
+    if len(inside) < least or subsequence(masks, hashes[inside]) < least:
         return 0
     best = 0
-    for begin in sorted({a, *(a + k for k in inside if a + k <= first)}):
-        text = hashes[begin : min(stop, begin + size)]
-        n = common_subsequence(words, text)
-        if n > best and n >= least and np.isin(answer, text).sum() >= ANSWER * len(answer):
+    for begin in sorted({a, *inside[inside <= first].tolist()}):
+        end = min(stop, begin + size)
+        n = subsequence(masks, hashes[inside[np.searchsorted(inside, begin) : np.searchsorted(inside, end)]])
+        if n > best and n >= least and np.isin(answer, hashes[begin:end]).sum() >= ANSWER * len(answer):
             best = n
-            if n == len(words):
+            if n == len(block.words[item]):
                 break
     return best
 
@@ -256,6 +291,7 @@ def corpus_sketch(texts: DataFrame, block: Block) -> tuple[np.ndarray, np.ndarra
         cut = slice(row["slice"] * SLICE, row["slice"] * SLICE + SLICE)
         z[cut] = np.frombuffer(row["z"], "<f8").reshape(-1, width)
         df[cut], passages = np.frombuffer(row["df"], np.int64), row["passages"]
+    shared.destroy()
     return z, df, passages
 
 
@@ -307,17 +343,27 @@ def windows(term: np.ndarray, rows: np.ndarray, basis: np.ndarray) -> tuple[np.n
     return first, stop, sums
 
 
-def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
-    """Length of the longest common subsequence, a bit per word of the item."""
+def word_masks(item: np.ndarray) -> tuple[dict[int, int], int]:
+    """For each word of the item a number with the bits of its places; the item's length."""
     masks: dict[int, int] = {}
     for k, word in enumerate(item.tolist()):
         masks[word] = masks.get(word, 0) | (1 << k)
-    full = (1 << len(item)) - 1
+    return masks, len(item)
+
+
+def subsequence(item: tuple[dict[int, int], int], text: np.ndarray) -> int:
+    """Length of the longest common subsequence, a bit per word of the item."""
+    masks, n = item
+    full = (1 << n) - 1
     state = full
     for word in text.tolist():
         match = state & masks.get(word, 0)
         state = ((state + match) | (state - match)) & full
-    return len(item) - state.bit_count()
+    return n - state.bit_count()
+
+
+def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
+    return subsequence(word_masks(item), text)
 
 
 def holds(item: np.ndarray, answer: np.ndarray, text: np.ndarray) -> int:
@@ -343,20 +389,24 @@ def search(column: pa.Array, block: Block, basis: np.ndarray, items: np.ndarray,
     live = np.flatnonzero(np.abs(vectors).sum(axis=1) > 0)
     row_start, row_stop = np.searchsorted(rows, np.arange(len(column))), np.searchsorted(rows, np.arange(len(column)), side="right")
     found = {(row, item): n for row, item, n in exact.short_items(hashes, rows)}
-    # pairs whose whole texts have too little in common
-    apart: dict[tuple[int, int], bool] = {}
-    for some in exact.places(term, rows):
-        for item, low, high in zip(*(x.tolist() for x in some)):
-            row = int(rows[low])
-            if (row, item) not in found:
-                if (row, item) not in apart:
-                    whole = hashes[row_start[row] : row_stop[row]]
-                    apart[row, item] = len(whole) <= WHOLE and common_subsequence(block.words[item], whole) < exact.least[item]
-                if apart[row, item]:
-                    continue
-                n = covered(block, exact, item, hashes, row_start[row], row_stop[row], low, high)
+    for item, low, high in exact.places(term, rows):
+        # words in common bound the subsequence: first those of the whole texts, then those of the stretches
+        pairs, own = np.unique(rows[low].astype(np.int64) * len(block.words) + item, return_inverse=True)
+        pair_row, pair_item = pairs // len(block.words), pairs % len(block.words)
+        enough = row_stop[pair_row] - row_start[pair_row] > WHOLE
+        short = np.flatnonzero(~enough)
+        at = pair_row[short]
+        enough[short] = exact.common(pair_item[short], row_start[at], row_stop[at], term) >= exact.least[pair_item[short]]
+        item, low, high = (x[enough[own]] for x in (item, low, high))
+        begin = np.maximum(row_start[rows[low]], high - exact.stretch[item] + 1)
+        end = np.minimum(row_stop[rows[low]], low + exact.stretch[item])
+        enough = exact.common(item, begin, end, term) >= exact.least[item]
+        for k, first_word, last_word in zip(*(x[enough].tolist() for x in (item, low, high))):
+            row = int(rows[first_word])
+            if (row, k) not in found:
+                n = covered(block, exact, k, hashes, term, row_start[row], row_stop[row], first_word, last_word)
                 if n:
-                    found[row, item] = n
+                    found[row, k] = n
     step = max(1, 8_000_000 // max(1, len(items)))
     for at in range(0, len(live), step):
         some = live[at : at + step]
@@ -394,6 +444,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     doc_type, item_type = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {doc_type}, item_id {item_type}, item_words int, lcs_words int"
+    arrow_item = to_arrow_type(benchmark.schema["item_id"].dataType)
     texts = docs.select("doc_id", F.lower(F.col("text").cast("string")).alias("text"))
     out = spark.createDataFrame([], schema)
     for block in blocks_of(benchmark):
@@ -409,7 +460,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 found = [(row, item_id, item, n) for row, item, n in search(part.column("text"), block, basis, items, exact) for item_id in block.ids[item]]
                 columns = [
                     part.column("doc_id").take(pa.array([f[0] for f in found], pa.int64())),
-                    pa.array([f[1] for f in found]).cast(ids_type(item_type)),
+                    pa.array([f[1] for f in found], arrow_item),
                     pa.array([len(block.words[f[2]]) for f in found], pa.int32()),
                     pa.array([f[3] for f in found], pa.int32()),
                 ]
@@ -417,7 +468,3 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         out = out.unionByName(texts.mapInArrow(run, schema))
     return out
-
-
-def ids_type(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]

@@ -1,3 +1,5 @@
+import collections
+import datetime
 import pickle
 import random
 import zlib
@@ -226,3 +228,27 @@ def test_sketch_is_the_co_occurrence_times_the_test_matrix():
     assert np.allclose(z, (counts.T @ (counts @ w))[present], atol=1e-3)
     assert (df == (counts > 0).sum(axis=0)[present]).all() and n == len(np.unique(passages))
     assert isinstance(pa.array([1]), pa.Array)
+
+
+def test_long_texts_and_other_kinds_of_ids(spark):
+    item = prose(83, 40)
+    words = item.split()
+    edited = " ".join(w for k, w in enumerate(words) if k % 4)
+    rows = [(1, f"{prose(84, 6000)} {edited} {prose(85, 3000)}"), (2, prose(86, 9000)), (3, edited)]
+    benchmark = spark.createDataFrame([(datetime.date(2020, 1, 2), item)], "item_id date, text string")
+    got = decontaminate.contaminated(table(spark, rows), benchmark).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in sorted(got)] == [(1, datetime.date(2020, 1, 2)), (3, datetime.date(2020, 1, 2))]
+
+
+def test_words_in_common_bound_the_subsequence():
+    rng = random.Random(3)
+    items = [" ".join(f"w{rng.randrange(30)}" for _ in range(n)) for n in (8, 12, 20)]
+    text = [rng.randrange(40) for _ in range(200)]
+    block = decontaminate.Block([[k] for k in range(3)], items, [None] * 3)
+    exact = decontaminate.Exact(block, np.zeros(len(block.terms), np.int64))
+    hashes = decontaminate.words_of(pa.array([" ".join(f"w{w}" for w in text)]))[0]
+    pairs = [(k, a, rng.randrange(a, 201)) for k in range(3) for a in range(0, 200, 9)]
+    found = exact.common(*(np.array(x) for x in zip(*pairs)), block.term_of(hashes))
+    for (k, a, b), n in zip(pairs, found):
+        own, there = collections.Counter(items[k].split()), collections.Counter(f"w{w}" for w in text[a:b])
+        assert n == sum((own & there).values()) >= decontaminate.common_subsequence(block.words[k], hashes[a:b])
