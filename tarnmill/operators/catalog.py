@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnmill.operators.prefix import with_position
+
 # Fixed value: upper star bound of a crawl that starts from nothing.
 FIRST_UPPER_BOUND = 500000
+# rows that one task may merge
+TOP_ROWS = 10_000
 
 
 def upsert_repos(items: DataFrame) -> DataFrame:
@@ -40,5 +44,13 @@ def pending(work: DataFrame, finished: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def first_rows(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """The first ``limit`` rows in key order; 0 or less keeps all."""
-    return df.orderBy(*keys).limit(limit) if limit > 0 else df
+    """The first ``limit`` rows in order of the unique ``keys``; 0 or less keeps all.
+
+    Up to ``TOP_ROWS`` rows every task keeps its own first ones and one task merges them; more
+    rows are numbered where they lie.
+    """
+    if limit <= 0:
+        return df
+    if limit <= TOP_ROWS:
+        return df.orderBy(*keys).limit(limit)
+    return with_position(df, keys, "__position").where(F.col("__position") < limit).drop("__position")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tarnmill.operators import classify, sequences
+from tarnmill.operators import catalog, classify, sequences
 from tarnmill.operators.packing import pack_blocks
 from tarnmill.plans.corpus import CorpusBuild, build_corpus
 from tarnmill.plans.examples import finetune_batches
@@ -85,3 +85,11 @@ def test_stages_can_be_repeated(spark, built):
     before = {tuple(r) for r in spark.read.parquet(built[0] + "/splits").select("split", "file_id").collect()}
     again = {tuple(r) for r in build.split(tokenised).select("split", "file_id").collect()}
     assert before == again
+
+
+@pytest.mark.parametrize("limit", [0, 3, 7, 50])
+def test_first_rows_in_one_task_or_numbered(spark, monkeypatch, limit):
+    monkeypatch.setattr(catalog, "TOP_ROWS", 5)
+    df = spark.createDataFrame([(k * 7 % 30, f"v{k}") for k in range(30)], "id int, v string").repartition(4)
+    got = sorted(r["id"] for r in catalog.first_rows(df, ["id"], limit).collect())
+    assert got == list(range(min(limit or 30, 30)))
