@@ -102,6 +102,48 @@ def test_every_row_of_the_grid_equals_a_single_fit(spark):
         assert abs(row["avg_accuracy"] - alone) < 1e-9
 
 
+def test_lines_of_files_are_scored(spark, folds):
+    """Texts that come out of arrays of lines, as in a corpus."""
+    model = classify.fit_classifier(folds.where("part = 'train'"), SMALL)
+    files = spark.createDataFrame([("a", ["remove old entries", ""]), ("b", ["todo not sure", None])], "file_id string, lines array<string>")
+    lines = files.select("file_id", F.posexplode("lines").alias("block_no", "text"))
+    rows = classify.predict(model, lines).select("file_id", "block_no", "label", "prob").orderBy("file_id", "block_no").collect()
+    assert [r["label"] for r in rows[:3]] == ["positive", "NA", "negative"] and len(rows) == 4
+
+
+def test_sums_of_a_task_have_no_dimensions(spark, folds):
+    """A task gets and returns one number for each bucket and setting, and a step from these sums
+    equals one from gradients of all embeddings."""
+    settings = [{"word_ngrams": 2, "buckets": 32, "dim": dim, "lr": 3.0} for dim in (4, 6)]
+    rows = spark.createDataFrame([("a b c",), ("",), ("b b",)], "text string")
+    lists = rows.select(*[textmodel.features(F.col("text"), [n], 32).alias(f"g{n}") for n in (1, 2)]).toArrow()
+    lists, target = [lists[c].combine_chunks() for c in ("g1", "g2")], np.array([1, 0, 0])
+    block = textmodel.new_blocks(settings, [0])[0]
+    block.out = np.linspace(-1.0, 1.0, 10)
+    x = np.zeros((3, 32))
+    for column in lists:
+        for k, found in enumerate(column.to_pylist()):
+            for bucket in found:
+                x[k, bucket] += 1
+    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
+    assert (x.sum(axis=1) == [1, 0, 1]).all()
+    mean = x @ block.table
+    error = 1 / (1 + np.exp(-np.add.reduceat(mean * block.out, [0, 4], axis=1))) - target[:, None]
+    totals, errors = textmodel.Scorer(block).gradient(lists, target)
+    assert totals.shape == (2, 32) and np.allclose(totals, (x.T @ error).T) and np.allclose(errors, error.sum(axis=0))
+    wide = error[:, block.owner]
+    table, out = x.T @ (wide * block.out) / 3, (mean * wide).sum(axis=0) / 3
+    scale = [3.0 / np.sqrt(np.add.reduceat(s, [0, 4]) + textmodel.EPSILON)[block.owner] for s in ((table**2).sum(axis=0), out**2)]
+    want = block.table - table * scale[0], block.out - out * scale[1]
+    block.step([totals, errors], 3)
+    assert np.allclose(block.table, want[0]) and np.allclose(block.out, want[1])
+
+
+def test_a_pass_has_at_most_as_many_sums_as_cores(spark):
+    rows = spark.range(0, 1000, 1, 50)
+    assert textmodel._at_most(rows, 4).rdd.getNumPartitions() == 4 and textmodel._at_most(rows, 64).rdd.getNumPartitions() == 50
+
+
 def test_best_setting_keeps_the_first(spark):
     results = spark.createDataFrame([(0, 0.5), (1, 0.8), (2, 0.8)], "setting int, avg_accuracy double")
     assert classify.best_setting(results).first()["setting"] == 1
