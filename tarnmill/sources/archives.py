@@ -7,7 +7,10 @@ size, so memory holds one batch or one large member, however long the archive is
 
 from __future__ import annotations
 
+import bz2
 import fnmatch
+import gzip
+import io
 import lzma
 import tarfile
 import zlib
@@ -21,7 +24,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MEMBERS_PER_BATCH = 256
 BYTES_PER_BATCH = 32 << 20
-BUFFER = 4 << 20
+# tarfile copies what is left of a buffer at every read, so a large one costs its size for each member
+BUFFER = 64 << 10
+COMPRESSED_BUFFER = 4 << 20
+OPENERS = {b"\x1f\x8b\x08": gzip.open, b"BZh": bz2.BZ2File, b"\xfd7z": lzma.LZMAFile, b"]\0\0": lzma.LZMAFile}
 NAMES = ["archive", "member", "content", "error"]
 
 
@@ -40,7 +46,11 @@ class _Archive(InputPartition):
 
 def members(stream: IO[bytes], suffixes: tuple[str, ...]) -> Iterator[tuple[str, bytes]]:
     """Name and content of the regular files in a tar stream, compressed or not."""
-    with tarfile.open(fileobj=stream, mode="r|*", bufsize=BUFFER) as archive:
+    held = io.BufferedReader(stream, COMPRESSED_BUFFER)
+    opener = OPENERS.get(held.peek(3)[:3])
+    # decompressed by the buffer, however well it is compressed
+    plain = opener(held) if opener else held
+    with tarfile.open(fileobj=plain, mode="r|", bufsize=BUFFER) as archive:
         for member in archive:
             if member.isfile() and (not suffixes or member.name.lower().endswith(suffixes)):
                 yield member.name, archive.extractfile(member).read()

@@ -179,3 +179,28 @@ def test_stream_only_reads_new_files(spark, tree, tmp_path_factory):
     (tree / "org" / "repo" / "later.py").write_text("# came later\n")
     extract_new_comments(spark, str(tree), out, state).awaitTermination()
     assert sorted(r["text"] for r in spark.read.parquet(out).collect()) == ["came later", "hi  there", "other", "stray"]
+
+
+@pytest.mark.parametrize("kind", ["", "gz", "bz2", "xz"])
+def test_small_members_cost_their_own_size(tmp_path, monkeypatch, kind):
+    """However well an archive is compressed, a read copies at most a buffer."""
+    from tarnmill.sources import archives
+
+    with tarfile.open(tmp_path / "many.tar", f"w:{kind}") as archive:
+        for k in range(3000):
+            info = tarfile.TarInfo(f"m{k}.py")
+            info.size = 1000
+            archive.addfile(info, io.BytesIO(bytes(1000)))
+    most = []
+    read = tarfile._Stream._read
+
+    def watched(self, size):
+        found = read(self, size)
+        most.append(max(len(getattr(self, "buf", b"")), len(getattr(self, "dbuf", b""))))
+        return found
+
+    monkeypatch.setattr(tarfile._Stream, "_read", watched)
+    reader = archives._Reader({"path": str(tmp_path), "pattern": "*.tar"})
+    rows = [row for batch in reader.read(reader.partitions()[0]) for row in batch.to_pylist()]
+    assert [row["member"] for row in rows] == [f"m{k}.py" for k in range(3000)] and all(len(row["content"]) == 1000 for row in rows)
+    assert max(most) <= 1 << 16
