@@ -176,8 +176,8 @@ def tokens_of_split(spark, sf):
     return framed.select("file_id", s.text_of("tokens").alias("tokens"))
 
 
-def _ids(spark, sf):
-    return tokens.pieces_to_ids(s.token_files(spark, sf), s.vocabulary(spark, sf))
+def _ids(spark, sf, vocabulary=None):
+    return tokens.pieces_to_ids(s.token_files(spark, sf), vocabulary or s.vocabulary(spark, sf), drop=["tokens"])
 
 
 @query("piece_ids", f"WITH {s.IDS} SELECT file_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS ids FROM ids GROUP BY file_id")
@@ -187,7 +187,8 @@ def piece_ids(spark, sf):
 
 @query("id_pieces", f"WITH {s.IDS} SELECT file_id, string_agg(piece, ' ' ORDER BY pos) AS pieces FROM ids JOIN vocab USING (id) GROUP BY file_id")
 def id_pieces(spark, sf):
-    back = tokens.ids_to_pieces(_ids(spark, sf).select("file_id", "ids"), s.vocabulary(spark, sf), "ids", "pieces")
+    vocabulary = s.vocabulary(spark, sf)
+    back = tokens.ids_to_pieces(_ids(spark, sf, vocabulary).select("file_id", "ids"), vocabulary, "ids", "pieces", ["ids"])
     return back.select("file_id", s.text_of("pieces").alias("pieces"))
 
 

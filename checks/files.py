@@ -150,7 +150,7 @@ def vector_text(spark, sf):
 @query("id_table", f"WITH {s.IDS} SELECT file_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS ids FROM ids GROUP BY file_id")
 def id_table(spark, sf):
     folder = s.scratch(spark)
-    pieces_to_ids(s.token_files(spark, sf), s.vocabulary(spark, sf)).select("file_id", "ids").write.parquet(folder)
+    pieces_to_ids(s.token_files(spark, sf), s.vocabulary(spark, sf), drop=["tokens"]).select("file_id", "ids").write.parquet(folder)
     return spark.read.parquet(folder).select("file_id", s.text_of("ids").alias("ids"))
 
 

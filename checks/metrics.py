@@ -38,7 +38,7 @@ def aligned_pairs(spark, sf):
 )
 def generated_pieces(spark, sf):
     vocab = s.vocabulary(spark, sf)
-    ids = pieces_to_ids(s.token_files(spark, sf), vocab).select("file_id", "ids")
+    ids = pieces_to_ids(s.token_files(spark, sf), vocab, drop=["tokens"]).select("file_id", "ids")
     pieces = ids_to_pieces(ids, vocab, "ids", "pieces")
     answer = pieces.withColumn("prediction", metrics.generated_pieces(F.col("pieces"), F.lit(20)))
     return answer.select("file_id", s.text_of("prediction").alias("prediction"))

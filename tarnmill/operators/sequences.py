@@ -229,7 +229,7 @@ def keep_suitable(pairs: DataFrame, classify, threshold: float = 0.5) -> DataFra
 def finetune_examples(pairs: DataFrame, vocab: DataFrame) -> DataFrame:
     """Ids of context and target in one array, and the context length."""
     joined = pairs.withColumns({"__all": F.concat("context", "target"), "context_len": F.size("context")})
-    return pieces_to_ids(joined, vocab, "__all", "ids").drop("__all", "comment", "context", "target")
+    return pieces_to_ids(joined, vocab, "__all", "ids", ["__all", "comment", "context", "target"])
 
 
 def with_labels(examples: DataFrame) -> DataFrame:

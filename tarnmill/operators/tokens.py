@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -12,9 +13,9 @@ from pyspark.sql import types as T
 
 from tarnmill.markers import BEGIN_FILE, CONTROL_IDS, END_FILE, END_LINE, UNKNOWN, WORD_START, reserved_symbols
 from tarnmill.operators.skew import hot_keys, join_on_skewed_key
-from tarnmill.session import cut_lineage
+from tarnmill.session import stored
 
-# A vocabulary up to this size is sent to every task; a larger one is joined.
+# So many pieces of a vocabulary are sent to every task; the rest of a larger one is joined.
 MAX_SENT_PIECES = 1 << 20
 
 
@@ -36,65 +37,113 @@ def frame_files(files: DataFrame, lines: str = "lines") -> DataFrame:
     return kept.withColumn("tokens", frame_lines(F.col(lines))).drop(lines)
 
 
-def _list_lookup(keys: pa.Array, values: pa.Array, missing) -> object:
+def _offsets(batch: pa.Array) -> pa.Array:
+    """Where each list begins once all are laid end to end; a null list is empty."""
+    lengths = pc.fill_null(pc.list_value_length(batch), 0)
+    return pa.concat_arrays([pa.array([0], pa.int64()), pc.cumulative_sum(lengths.cast(pa.int64()))]).cast(pa.int32())
+
+
+def _spark_type(values: pa.Array) -> T.DataType:
+    return T.IntegerType() if pa.types.is_integer(values.type) else T.StringType()
+
+
+def _list_lookup(keys: pa.Array, values: pa.Array, missing) -> Callable[[Column], Column]:
     """Arrow function that maps the elements of string or int lists through a table."""
-    item = T.IntegerType() if pa.types.is_integer(values.type) else T.StringType()
     held = {"keys": keys, "values": values}
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             found = pc.index_in(batch.flatten(), value_set=held["keys"])
-            mapped = pc.fill_null(pc.take(held["values"], found), missing)
-            lengths = pc.fill_null(pc.list_value_length(batch), 0)
-            offsets = pa.concat_arrays([pa.array([0], pa.int64()), pc.cumulative_sum(lengths.cast(pa.int64()))])
-            yield pa.ListArray.from_arrays(offsets.cast(pa.int32()), mapped)
-
-    return F.arrow_udf(run, T.ArrayType(item)).asNondeterministic()
+            yield pa.ListArray.from_arrays(_offsets(batch), pc.fill_null(pc.take(held["values"], found), missing))
 
+    return F.arrow_udf(run, T.ArrayType(_spark_type(values))).asNondeterministic()
 
-def _sent_pieces(vocab: DataFrame) -> tuple[pa.Array, pa.Array] | None:
-    """Pieces and ids of a vocabulary small enough to send, otherwise None."""
-    rows = vocab.select("piece", F.col("id").cast("int")).limit(MAX_SENT_PIECES + 1).toArrow()
-    if rows.num_rows > MAX_SENT_PIECES:
-        return None
-    return rows["piece"].combine_chunks().cast(pa.string()), rows["id"].combine_chunks()
 
+def _partial_lookup(keys: pa.Array, values: pa.Array, missing) -> Callable[[Column], Column]:
+    """As ``_list_lookup``, with the places (``at``) and keys (``rest``) that the table lacks."""
+    held = {"keys": keys, "values": values}
+    fields = [("found", _spark_type(values)), ("at", T.IntegerType()), ("rest", _spark_type(keys))]
 
-def _map_by_join(df: DataFrame, column: str, out: str, table: DataFrame, key: str, value: str, missing) -> DataFrame:
-    """Map array elements by an equi-join of all elements with the table.
-
-    Elements that hold more than their share of all places, such as the end of a line, are
-    counted first; their rows are spread and the table repeats only them.
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            flat, offsets = batch.flatten(), _offsets(batch)
+            found = pc.index_in(flat, value_set=held["keys"])
+            starts = offsets.to_numpy()
+            place = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+            row = np.searchsorted(starts, place, "right") - 1
+            ends = pa.array(np.searchsorted(place, starts).astype(np.int32))
+            lists = [
+                pa.ListArray.from_arrays(offsets, pc.fill_null(pc.take(held["values"], found), missing)),
+                pa.ListArray.from_arrays(ends, pa.array((place - starts[row]).astype(np.int32))),
+                pa.ListArray.from_arrays(ends, flat.take(pa.array(place))),
+            ]
+            yield pa.StructArray.from_arrays(lists, [name for name, _ in fields])
+
+    schema = T.StructType([T.StructField(name, T.ArrayType(kind)) for name, kind in fields])
+    return F.arrow_udf(run, schema).asNondeterministic()
+
+
+def _patched(kind: T.DataType) -> Callable[[Column, Column, Column], Column]:
+    """Arrow function that puts values into lists at their places."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for lists, places, values in batches:
+            flat, offsets, new = lists.flatten(), _offsets(lists), values.flatten()
+            counts = np.diff(_offsets(places).to_numpy())
+            at = places.flatten().to_numpy() + np.repeat(offsets.to_numpy()[:-1], counts)
+            index = np.arange(len(flat))
+            index[at] = len(flat) + np.arange(len(new))
+            both = pa.concat_arrays([flat, new.cast(flat.type)])
+            yield pa.ListArray.from_arrays(offsets, both.take(pa.array(index)))
+
+    return F.arrow_udf(run, T.ArrayType(kind)).asNondeterministic()
+
+
+def _sent(vocab: DataFrame) -> tuple[pa.Table, DataFrame | None]:
+    """What is sent of a vocabulary, and the rest, if there is any: all of a small one, otherwise
+    the lowest ids, which vocabularies give to the most frequent pieces."""
+    table = vocab.select("piece", F.col("id").cast("int"))
+    if table.limit(MAX_SENT_PIECES + 1).count() <= MAX_SENT_PIECES:
+        return table.toArrow(), None
+    low = F.col("id").between(0, MAX_SENT_PIECES - 1)
+    return table.where(low).toArrow(), table.where(~low)
+
+
+def _map_elements(df: DataFrame, column: str, out: str, vocab: DataFrame, key: str, value: str, missing, drop: Sequence[str]) -> DataFrame:
+    """Map array elements through a vocabulary and leave out the columns in ``drop``.
+
+    Elements outside the part that is sent, few by their frequency, are joined with the
+    rest of the vocabulary and put back into their rows. Among them, those that hold more than
+    their share of the places are counted first; their rows are spread and the table repeats
+    only them.
     """
+    rows, rest = _sent(vocab)
+    keys, values = (rows[c].combine_chunks().cast(pa.int32() if c == "id" else pa.string()) for c in (key, value))
+    if rest is None:
+        return df.withColumn(out, _list_lookup(keys, values, missing)(F.col(column))).drop(*drop)
+    kept = [c for c in df.columns if c not in drop and c != out]
+    looked = df.select(*kept, F.monotonically_increasing_id().alias("__row"), _partial_lookup(keys, values, missing)(F.col(column)).alias("__l"))
     # the row numbers must not change between the readings below
-    tagged = cut_lineage(df.withColumn("__row", F.monotonically_increasing_id()))
-    parts = tagged.select("__row", F.posexplode(column).alias("__at", key))
+    tagged = stored(looked.select(*kept, "__row", "__l.*"), "looked")
+    parts = tagged.where(F.size("at") > 0).select("__row", F.inline(F.arrays_zip(F.col("at").alias("__at"), F.col("rest").alias(key))))
     hot = [found for found in hot_keys(parts.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, "n") if found is not None]
-    mapped = join_on_skewed_key(parts, table.select(key, value), key, "__row", hot, "left").groupBy("__row").agg(
-        F.array_sort(F.collect_list(F.struct("__at", F.coalesce(value, F.lit(missing)).alias("v")))).alias("__m")
+    mapped = join_on_skewed_key(parts, rest, key, "__row", hot).groupBy("__row").agg(F.collect_list(F.struct("__at", value)).alias("__m"))
+    joined = tagged.select(*kept, "__row", "found").join(mapped, "__row", "left")
+    lists = [F.coalesce(F.transform("__m", lambda m: m[c]), F.array().cast(f"array<{kind}>")) for c, kind in (("__at", "int"), (value, dict(rest.dtypes)[value]))]
+    return joined.select(*kept, "found", *[c.alias(name) for c, name in zip(lists, ("__places", "__values"))]).select(
+        *kept, _patched(_spark_type(values))(F.col("found"), F.col("__places"), F.col("__values")).alias(out)
     )
-    joined = tagged.join(mapped, "__row", "left")
-    result = F.coalesce(F.transform("__m", lambda x: x["v"]), F.array().cast(f"array<{dict(table.dtypes)[value]}>"))
-    return joined.withColumn(out, result).drop("__row", "__m")
 
 
-def pieces_to_ids(df: DataFrame, vocab: DataFrame, column: str = "tokens", out: str = "ids") -> DataFrame:
-    """Add the ids of an array of pieces; unknown pieces get the unknown id."""
-    unknown = CONTROL_IDS[UNKNOWN]
-    sent = _sent_pieces(vocab)
-    if sent is None:
-        return _map_by_join(df, column, out, vocab, "piece", "id", unknown)
-    pieces, ids = sent
-    return df.withColumn(out, _list_lookup(pieces, ids, unknown)(F.col(column)))
+def pieces_to_ids(df: DataFrame, vocab: DataFrame, column: str = "tokens", out: str = "ids", drop: Sequence[str] = ()) -> DataFrame:
+    """Add the ids of an array of pieces; unknown pieces get the unknown id. Columns in
+    ``drop`` are left out, which spares their way through a join."""
+    return _map_elements(df, column, out, vocab, "piece", "id", CONTROL_IDS[UNKNOWN], drop)
 
 
-def ids_to_pieces(df: DataFrame, vocab: DataFrame, column: str = "ids", out: str = "tokens") -> DataFrame:
+def ids_to_pieces(df: DataFrame, vocab: DataFrame, column: str = "ids", out: str = "tokens", drop: Sequence[str] = ()) -> DataFrame:
     """Add the pieces of an array of ids; ids outside the vocabulary become unknown."""
-    sent = _sent_pieces(vocab)
-    if sent is None:
-        return _map_by_join(df, column, out, vocab, "id", "piece", UNKNOWN)
-    pieces, ids = sent
-    return df.withColumn(out, _list_lookup(ids, pieces, UNKNOWN)(F.col(column)))
+    return _map_elements(df, column, out, vocab, "id", "piece", UNKNOWN, drop)
 
 
 def decode_pieces(pieces: Column) -> Column:

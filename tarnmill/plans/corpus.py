@@ -95,7 +95,7 @@ class CorpusBuild:
         return self._store(f"tokens_{split}", tokens.frame_files(pieces))
 
     def id_dataset(self, token_dataset: DataFrame, vocabulary: DataFrame, split: str) -> DataFrame:
-        ids = tokens.pieces_to_ids(token_dataset, vocabulary).select("file_id", "ids")
+        ids = tokens.pieces_to_ids(token_dataset, vocabulary, drop=["tokens"]).select("file_id", "ids")
         return self._store(f"ids_{split}", ids)
 
     def blocks(self, id_dataset: DataFrame, split: str, epoch: int = 0, fraction: float = 1.0, block_size: int = BLOCK_SIZE) -> DataFrame:

@@ -195,6 +195,32 @@ def test_ids_by_lookup_and_by_join(spark, monkeypatch):
     assert {r["file_id"]: r["tokens"] for r in back.collect()}[1] == ["a", "b", "<unk>", "a"]
 
 
+def test_only_rare_pieces_are_joined(spark, monkeypatch):
+    """Of a large vocabulary the low ids are sent; other elements alone meet the rest of it."""
+    rows = [(k, ["p0", f"p{k % 40}", "none", "p1", f"p{k}", None]) for k in range(300)] + [(900, []), (901, None)]
+    df = spark.createDataFrame(rows, "file_id int, tokens array<string>")
+    table = spark.createDataFrame([(f"p{k}", k) for k in range(200)], "piece string, id int")
+    small = {r["file_id"]: r["ids"] for r in tokens.pieces_to_ids(df, table).collect()}
+    want = {k: [0, k % 40, 0, 1, k if k < 200 else 0, 0] for k in range(300)} | {900: [], 901: []}
+    assert small == want
+    monkeypatch.setattr(tokens, "MAX_SENT_PIECES", 50)
+    joined_rows = []
+    join = tokens.join_on_skewed_key
+
+    def counted(big, *others):
+        joined_rows.append(big.count())
+        return join(big, *others)
+
+    monkeypatch.setattr(tokens, "join_on_skewed_key", counted)
+    found = tokens.pieces_to_ids(df, table, drop=["tokens"])
+    assert found.columns == ["file_id", "ids"] and {r["file_id"]: r["ids"] for r in found.collect()} == want
+    # unknown ones, and those from id 50 on
+    assert joined_rows == [300 + 300 + 250]
+    back = tokens.ids_to_pieces(found, table, "ids", "pieces", ["ids"])
+    pieces = {r["file_id"]: r["pieces"] for r in back.collect()}
+    assert pieces == {k: [f"p{i}" for i in ids] for k, ids in want.items()}
+
+
 def test_framing_skips_empty_files(spark):
     df = spark.createDataFrame([(1, [["a"], []]), (2, [])], "file_id int, lines array<array<string>>")
     rows = tokens.frame_files(df).collect()
