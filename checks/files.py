@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tarfile
+from collections import Counter
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -58,14 +59,28 @@ def split_partition(spark, sf):
 
 
 def _text_files(spark, sf):
-    """A folder with one text file for each document."""
+    """One text file for each document, in a partition folder for each task."""
     folder = s.scratch(spark)
-    s.files(spark, sf).select(F.col("file_id").alias("doc"), "text").repartition("doc").write.partitionBy("doc").text(folder)
+
+    def write(batches):
+        system, root = located(folder)
+        own = f"{root}/task={TaskContext.get().partitionId()}"
+        system.create_dir(own, recursive=True)
+        # documents with one id keep a file each, and a task that runs again writes the same names
+        seen = Counter()
+        for batch in batches:
+            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
+                with system.open_output_stream(f"{own}/doc={doc}_{seen[doc]}.txt") as stream:
+                    stream.write(f"{text or ''}\n".encode())
+                seen[doc] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([1])], ["done"])
+
+    s.files(spark, sf).select(F.col("file_id").alias("doc"), "text").mapInArrow(write, "done bigint").write.format("noop").mode("overwrite").save()
     return folder
 
 
 def _doc_of(path):
-    return F.regexp_extract(path, "/doc=([0-9]+)/", 1).cast("bigint").alias("file_id")
+    return F.regexp_extract(path, "/doc=([0-9]+)_[0-9]+", 1).cast("bigint").alias("file_id")
 
 
 @query("lines_in_order", f"WITH {s.LINES} SELECT file_id, CAST(line_no - 1 AS INTEGER) AS line_no, line FROM line_rows")
