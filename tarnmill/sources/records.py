@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,25 +43,37 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def _least_range(spark: SparkSession) -> int:
+    """Files up to this size are never cut into ranges."""
+    units = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    found = [re.match(r"(\d+)([bkmg]?)", spark.conf.get(f"spark.sql.files.{name}").lower()) for name in ("openCostInBytes", "maxPartitionBytes")]
+    return min(int(size) * units[unit] for size, unit in (match.groups() for match in found))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``path, line_no, line`` of text files, with the position of each line (from 0).
 
-    A file is read in byte ranges by many tasks; a line belongs to the range in which it begins.
+    A large file is read in byte ranges by many tasks; a line belongs to the range in which it begins.
     Lines are numbered within their range, and a range's first number is the number of lines in
-    the ranges before it. Only files of several ranges have such rows, and few of them.
+    the ranges before it, which takes one more pass over large files. Small ones are read once.
     """
+    read = spark.read.option("lineSep", "\n").text(path)
     meta = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")]
-    rows = spark.read.option("lineSep", "\n").text(path).select(*meta, F.col("value").alias("line"))
-    numbered = rows.mapInArrow(_number_in_range, "path string, start bigint, line string, line_no bigint")
+    small = F.col("_metadata.file_size") <= _least_range(spark)
+    whole, cut = (
+        read.where(files).select(*meta, F.col("value").alias("line")).mapInArrow(_number_in_range, "path string, start bigint, line string, line_no bigint")
+        for files in (small, ~small)
+    )
     # without texts; the splitting into ranges is the same as long as the files are
-    ranges = stored(numbered.groupBy("path", "start").agg((F.max("line_no") + 1).alias("n")), "ranges")
+    ranges = stored(cut.groupBy("path", "start").agg((F.max("line_no") + 1).alias("n")), "ranges")
     ahead = F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     later = ranges.withColumn("ahead", ahead).where("ahead is not null").select("path", "start", "ahead")
     later = stored(later, "offsets")
     if later.count() <= MOST_RANGES:
         later = F.broadcast(later)
-    placed = numbered.join(later, ["path", "start"], "left")
-    return placed.select("path", (F.col("line_no") + F.coalesce("ahead", F.lit(0))).cast("int").alias("line_no"), "line")
+    placed = cut.join(later, ["path", "start"], "left").withColumn("line_no", F.col("line_no") + F.coalesce("ahead", F.lit(0)))
+    both = whole.unionByName(placed.select("path", "start", "line", "line_no"))
+    return both.select("path", F.col("line_no").cast("int").alias("line_no"), "line")
 
 
 def _number_in_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

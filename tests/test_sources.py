@@ -204,3 +204,33 @@ def test_small_members_cost_their_own_size(tmp_path, monkeypatch, kind):
     rows = [row for batch in reader.read(reader.partitions()[0]) for row in batch.to_pylist()]
     assert [row["member"] for row in rows] == [f"m{k}.py" for k in range(3000)] and all(len(row["content"]) == 1000 for row in rows)
     assert max(most) <= 1 << 16
+
+
+def test_small_files_are_read_once(spark, tmp_path):
+    """Only a file that is cut into ranges needs a pass that counts its lines."""
+    want = set()
+    for k, lines in enumerate([["a", "", "b"], ["c"], [f"line {i} " + "x" * 50 for i in range(4000)]]):
+        (tmp_path / f"f{k}.txt").write_text("\n".join(lines) + "\n")
+        want |= {(f"f{k}.txt", i, line) for i, line in enumerate(lines)}
+    limits = {"spark.sql.files.openCostInBytes": "1k", "spark.sql.files.maxPartitionBytes": "50000"}
+    before = {name: spark.conf.get(name) for name in limits}
+    counted = []
+    stored = records.stored
+
+    def watched(df, name="table"):
+        out = stored(df, name)
+        if name == "ranges":
+            counted.extend(row["path"].rsplit("/", 1)[1] for row in out.collect())
+        return out
+
+    try:
+        for name, value in limits.items():
+            spark.conf.set(name, value)
+        records.stored = watched
+        rows = records.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        records.stored = stored
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert {(r["path"].rsplit("/", 1)[1], r["line_no"], r["line"]) for r in rows} == want and len(rows) == len(want)
+    assert set(counted) == {"f2.txt"} and len(counted) > 1
