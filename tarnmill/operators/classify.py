@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import product
 
-from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnmill.functions.text import clean_comment
-from tarnmill.operators import textmodel
+from tarnmill.operators import skipgram, textmodel
 from tarnmill.operators.prefix import running_total
 from tarnmill.operators.textmodel import TextModel
 
@@ -25,17 +24,9 @@ DEFAULTS = {"word_ngrams": 2, "buckets": 1 << 13, "dim": 10, "lr": 3.0, "epochs"
 GRID = {"word_ngrams": [1, 2, 3], "buckets": [1 << 12], "dim": [10, 20], "lr": [1.0, 3.0, 10.0], "epochs": [10, 25]}
 
 
-def word_vectors(cleaned: DataFrame, dim: int = 100, text: str = "text", partitions: int | None = None, min_count: int = 5) -> Word2VecModel:
-    """Unsupervised word vectors (skip-gram) of cleaned comments, trained in parallel."""
-    words = cleaned.select(F.split(text, " ").alias("words"))
-    return Word2Vec(
-        vectorSize=dim,
-        inputCol="words",
-        outputCol="vector",
-        minCount=min_count,
-        seed=1,
-        numPartitions=partitions or cleaned.sparkSession.sparkContext.defaultParallelism,
-    ).fit(words)
+def word_vectors(cleaned: DataFrame, dim: int = 100, text: str = "text", partitions: int | None = None, min_count: int = 5) -> DataFrame:
+    """``word, vector``: unsupervised word vectors (skip-gram) of cleaned comments, trained in parallel."""
+    return skipgram.word_vectors(cleaned, dim, text, partitions, min_count)
 
 
 def fit_classifier(labelled: DataFrame, params: Mapping[str, float] = DEFAULTS, vectors: DataFrame | None = None) -> TextModel:

@@ -133,8 +133,10 @@ def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def vector_table(model: Word2VecModel) -> DataFrame:
-    """``word, vector`` of fitted word vectors."""
+def vector_table(model: Word2VecModel | DataFrame) -> DataFrame:
+    """``word, vector`` of fitted word vectors, from a table of them or a model of Spark ML."""
+    if isinstance(model, DataFrame):
+        return model.select("word", F.col("vector").cast("array<float>").alias("vector"))
     return model.getVectors().select("word", vector_to_array("vector", "float32").alias("vector"))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnmill.operators import classify, textmodel
+from tarnmill.operators import classify, skipgram, textmodel
 from tarnmill.plans import comment_model
 from tarnmill.sources import records
 
@@ -208,3 +208,51 @@ def test_grid_results_runs_every_setting(monkeypatch):
     monkeypatch.setattr(classify, "grid_search", lambda folds, num_folds, grid=classify.GRID: asked.append((num_folds, grid)))
     classifier.grid_results(None, "")
     assert asked == [(3, classify.GRID)]
+
+
+def test_word_vectors_stay_tables(spark):
+    """Words with the same neighbours lie close, every word of the vocabulary has one row,
+    whatever the number of parts, and the driver holds no model."""
+    rng = random.Random(5)
+    groups = [[f"{name}{k}" for k in range(6)] for name in "abcd"]
+    rows = [(" ".join(rng.choice(groups[k % 4]) for _ in range(12)),) for k in range(4000)]
+    texts = spark.createDataFrame([*rows, ("rare",), (None,)], "text string")
+    for parts in (1, 3):
+        found = classify.word_vectors(texts, 16, partitions=parts)
+        assert isinstance(found, type(texts)) and dict(found.dtypes) == {"word": "string", "vector": "array<float>"}
+        vectors = {r["word"]: np.array(r["vector"]) / np.linalg.norm(r["vector"]) for r in found.collect()}
+        assert sorted(vectors) == sorted(word for group in groups for word in group)
+        inner = [vectors[a] @ vectors[b] for group in groups for a in group for b in group if a < b]
+        outer = [vectors[a] @ vectors[b] for g in groups for h in groups if g < h for a in g for b in h]
+        assert min(inner) > max(outer)
+
+
+def test_skipgram_against_plain_loops(monkeypatch):
+    monkeypatch.setattr(skipgram, "WORDS_AT_ONCE", 64)
+    rng = np.random.default_rng(3)
+    ids, owner = rng.integers(0, 12, 333).astype(np.int32), np.sort(rng.integers(0, 9, 333)).astype(np.int32)
+    counts, start = np.bincount(ids, minlength=12), skipgram.start_vectors(rng.integers(1, 2**62, 12), 8)
+    got = skipgram.trained(ids, owner, counts, start.copy(), np.random.default_rng(1))
+
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-x))
+
+    draws, vectors, out, seen = np.random.default_rng(1), start.copy(), np.zeros_like(start), np.zeros((2, 12))
+    chances, reach = np.cumsum(counts**0.75), draws.integers(1, skipgram.WINDOW + 1, 333)
+    for a in range(0, 333, 64):
+        drawn = np.searchsorted(chances, draws.random(skipgram.DRAWN) * chances[-1], side="right")
+        into, outof = np.zeros_like(start), np.zeros_like(start)
+        for i in range(a, min(a + 64, 333)):
+            near = [j for j in range(max(0, i - reach[i]), min(333, i + reach[i] + 1)) if j != i and owner[i] == owner[j]]
+            for j in near:
+                pull = sigmoid(-vectors[ids[i]] @ out[ids[j]])
+                into[ids[i]] += pull * out[ids[j]]
+                outof[ids[j]] += pull * vectors[ids[i]]
+            for j in drawn:
+                push = sigmoid(vectors[ids[i]] @ out[j]) * len(near) * skipgram.NEGATIVES / skipgram.DRAWN
+                into[ids[i]] -= push * out[j]
+                outof[j] -= push * vectors[ids[i]]
+        for table, own, gradient in ((out, seen[1], outof), (vectors, seen[0], into)):
+            own += (gradient**2).mean(axis=1)
+            table += skipgram.RATE * gradient / np.sqrt(own + skipgram.EPSILON)[:, None]
+    assert np.abs(got - vectors).max() < 1e-4
