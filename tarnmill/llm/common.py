@@ -6,6 +6,7 @@ bytes, so that their arrays stay small whatever the batch settings of the sessio
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -83,6 +84,16 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
             end = max(at + 1, int(np.searchsorted(total, before + limit, side="right")))
             yield batch.slice(at, end - at)
             at = end
+    # a worker waits for its next task with the memory of this one, which others need
+    give_back()
+
+
+def give_back() -> None:
+    """Return to the system what this worker has freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

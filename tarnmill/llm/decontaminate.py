@@ -72,13 +72,26 @@ class Block:
         self.words = [hashes[bounds[k] : bounds[k + 1]] for k in keep]
         self.answers = [answer_words(answers[k]) for k in keep]
         self.terms = np.unique(np.concatenate(self.words) if keep else np.zeros(0, np.uint64))
+        # a place of the table for each term, by the low bits of its hash; those that share one are searched for
+        self.slots = np.uint64((1 << max(10, (16 * len(self.terms)).bit_length())) - 1)
+        slot = (self.terms & self.slots).astype(np.int64)
+        self.table = np.full(int(self.slots) + 1, -1, np.int32)
+        self.table[slot] = np.arange(len(self.terms))
+        self.shared = np.bincount(slot, minlength=len(self.table)) > 1
 
     def term_of(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each word among the terms, or -1."""
-        if not len(self.terms):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        return np.where(self.terms[at] == hashes, at, -1)
+        out = np.full(len(hashes), -1)
+        slot = (hashes & self.slots).astype(np.int64)
+        at = self.table[slot]
+        likely = np.flatnonzero(at >= 0)
+        hit = likely[self.terms[at[likely]] == hashes[likely]]
+        out[hit] = at[hit]
+        several = likely[self.shared[slot[likely]]]
+        if len(several):
+            at = np.minimum(np.searchsorted(self.terms, hashes[several]), len(self.terms) - 1)
+            out[several] = np.where(self.terms[at] == hashes[several], at, -1)
+        return out
 
 
 class Exact:
@@ -86,6 +99,7 @@ class Exact:
 
     def __init__(self, block: Block, df: np.ndarray):
         self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.n_terms = len(block.terms)
         sizes = np.array([len(words) for words in block.words], np.int64)
         for width in np.unique(sizes[sizes < SHORT]).tolist():
             items = np.flatnonzero(sizes == width)
@@ -124,7 +138,8 @@ class Exact:
     def places(self, term: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(item, first, last) of the places with enough of an item's rare words in a stretch."""
         known = np.flatnonzero(term >= 0)
-        known = known[np.argsort(term[known], kind="stable")]
+        slim = term[known]
+        known = known[np.argsort(slim.astype(np.uint16) if self.n_terms <= 1 << 16 else slim, kind="stable")]
         if not len(self.term) or not len(known):
             return
         cuts = np.searchsorted(term[known], np.arange(int(self.term.max()) + 2))
@@ -231,15 +246,47 @@ def run_sums(basis: np.ndarray, terms: np.ndarray, runs: np.ndarray, n: int) ->
 
 
 def sketch_of(terms: np.ndarray, passages: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(terms present, rows of T'TW for them, passages per term, passages) of term occurrences."""
-    passage, place = np.unique(passages, return_inverse=True)
-    y = run_sums(w, terms, place, len(passage))
-    order = np.argsort(terms, kind="stable")
-    present, first = np.unique(terms[order], return_index=True)
-    z = np.add.reduceat(y[place[order]], first, axis=0)
-    pairs = np.unique(terms.astype(np.int64) * len(passage) + place)
-    df = np.bincount(np.searchsorted(present, pairs // len(passage)), minlength=len(present))
-    return present, z, df, len(passage)
+    """(terms present, rows of T'TW for them, passages per term, passages) of term occurrences,
+    whose passages do not fall."""
+    place = np.cumsum(changes(passages)) - 1
+    n = int(place[-1]) + 1 if len(place) else 0
+    y = run_sums(w, terms, place, n)
+    # 16-bit numbers sort in linear time
+    slim = terms.astype(np.uint16) if len(w) <= 1 << 16 else terms
+    order = np.argsort(slim, kind="stable")
+    ordered, place = terms[order], place[order]
+    fresh = changes(ordered)
+    first = np.flatnonzero(fresh)
+    z = group_sums(y, place, first)
+    # in this order the passages of one term do not fall either
+    df = np.add.reduceat((fresh | changes(place)).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    return ordered[first], z, df, n
+
+
+def group_sums(table: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``at`` of ``table`` over the groups that begin at ``first``.
+
+    Rows are added by fours first, some at a time: sums of equally many rows are cheap, and what is at hand stays in the cache."""
+    if not len(first):
+        return np.zeros((0, table.shape[1]), table.dtype)
+    sizes = np.diff(np.append(first, len(at)))
+    fours = (sizes + 3) // 4
+    begins = np.cumsum(fours) - fours
+    index = np.full(4 * int(fours.sum()), len(table))
+    index[np.repeat(4 * begins - first, sizes) + np.arange(len(at))] = at
+    table = np.concatenate([table, np.zeros((1, table.shape[1]), table.dtype)])
+    out = np.empty((len(index) // 4, table.shape[1]), table.dtype)
+    for k in range(0, len(out), 512):
+        some = table[index[4 * k : 4 * (k + 512)]].reshape(-1, 4, table.shape[1])
+        np.add(some[:, 0] + some[:, 1], some[:, 2] + some[:, 3], out=out[k : k + 512])
+    return np.add.reduceat(out, begins, axis=0)
+
+
+def changes(values: np.ndarray) -> np.ndarray:
+    """Whether each value differs from the one before it."""
+    out = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=out[1:])
+    return out
 
 
 def corpus_sketch(texts: DataFrame, block: Block) -> tuple[np.ndarray, np.ndarray, int]:
@@ -254,7 +301,7 @@ def corpus_sketch(texts: DataFrame, block: Block) -> tuple[np.ndarray, np.ndarra
             hashes, rows = words_of(part.column("text"))
             term = block.term_of(hashes)
             passage = half_blocks(rows) // 2
-            passages += len(np.unique(passage))
+            passages += int(changes(passage).sum())
             known = term >= 0
             if known.any():
                 present, more, counts, _ = sketch_of(term[known], passage[known], w)
@@ -386,7 +433,7 @@ def search(column: pa.Array, block: Block, basis: np.ndarray, items: np.ndarray,
     hashes, rows = words_of(column)
     term = block.term_of(hashes)
     first, stop, vectors = windows(term, rows, basis)
-    live = np.flatnonzero(np.abs(vectors).sum(axis=1) > 0)
+    live = np.flatnonzero((vectors != 0).any(axis=1))
     row_start, row_stop = np.searchsorted(rows, np.arange(len(column))), np.searchsorted(rows, np.arange(len(column)), side="right")
     found = {(row, item): n for row, item, n in exact.short_items(hashes, rows)}
     for item, low, high in exact.places(term, rows):
@@ -410,8 +457,9 @@ def search(column: pa.Array, block: Block, basis: np.ndarray, items: np.ndarray,
     step = max(1, 8_000_000 // max(1, len(items)))
     for at in range(0, len(live), step):
         some = live[at : at + step]
-        near = unit(vectors[some]) @ items.T >= COSINE
-        for w, item in zip(*np.nonzero(near)):
+        cosines = vectors[some] @ items.T
+        cosines /= np.maximum(np.sqrt(np.einsum("ij,ij->i", vectors[some], vectors[some])), 1e-12)[:, None]
+        for w, item in zip(*np.divmod(np.flatnonzero(cosines >= COSINE), len(items))):
             window = some[w]
             row, words = int(rows[first[window]]), block.words[item]
             if (row, int(item)) in found:

@@ -4,7 +4,7 @@
    joined by single spaces. Prefix polynomials over these bytes give the 64-bit fingerprint of
    every n-gram by one subtraction and one product.
 2. ``counted``: every task adds up equal fingerprints and keeps a pointer (row, first word)
-   to one occurrence; the shuffle adds up those sums. Words come first, then pairs of frequent
+   to one occurrence; the shuffle, which takes one row for each task and range of fingerprints, adds up those sums. Words come first, then pairs of frequent
    words, then 3 to 5 words all of whose pairs are frequent. A phrase is at most as frequent as
    its parts, so nothing is lost. "Frequent" is read from a bit table of fixed size
    (``FILTER_BITS``): a wrong bit lets a rare fingerprint through and costs shuffle alone.
@@ -52,7 +52,12 @@ WORD = ~(PIECE_END | np.isin(_BYTES, list(b" \t")))
 _BASE = 0xB5297A4D3F84D5B5
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
-PART_SCHEMA = "fp bigint, n bigint, row bigint, word int, width int"
+# sums of one task for a range of fingerprints, in ``planes``
+PART_SCHEMA = "segment int, held int, sums binary"
+FOUND_SCHEMA = "fp bigint, n bigint, row bigint, word int, width int"
+# ranges of fingerprints for each partition of the rows: so a range has no more sums than a task hands on, however many tasks there are
+RANGES = 4
+_COLUMNS = [np.uint64, np.int64, np.int64, np.int32, np.int8]
 
 
 class Words:
@@ -135,15 +140,39 @@ class Sums:
         self.parts = [(ordered[heads], np.add.reduceat(n[order], heads) if len(heads) else n, row[one], word[one], width[one])]
         self.held = self.settled = len(heads)
 
-    def batches(self) -> Iterator[pa.RecordBatch]:
+    def batches(self, segments: int) -> Iterator[pa.RecordBatch]:
+        """One row for each range of fingerprints."""
         if self.parts:
             self.settle()
-            columns = self.parts[0]
+            columns = [c.astype(kind, copy=False) for c, kind in zip(self.parts[0], _COLUMNS)]
             self.parts, self.held, self.settled = [], 0, 0
-            for at in range(0, len(columns[0]), 100_000):
-                fp, n, row, word, width = (c[at : at + 100_000] for c in columns)
-                arrays = [fp.view(np.int64), n, row, word, width.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["fp", "n", "row", "word", "width"])
+            segment = segment_of(columns[0], segments)
+            heads = np.flatnonzero(np.append(True, segment[1:] != segment[:-1])) if len(segment) else np.zeros(0, np.int64)
+            stops = np.append(heads[1:], len(segment))
+            for at in range(0, len(heads), 64):
+                some = list(zip(heads[at : at + 64].tolist(), stops[at : at + 64].tolist()))
+                arrays = [pa.array(segment[heads[at : at + 64]]), pa.array([stop - start for start, stop in some], pa.int32()), pa.array([planes([c[start:stop] for c in columns]) for start, stop in some], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["segment", "held", "sums"])
+
+
+def segment_of(fp: np.ndarray, segments: int) -> np.ndarray:
+    """The range that holds each fingerprint; ranges rise with the fingerprints."""
+    return ((fp >> U64(32)) * U64(segments) >> U64(32)).astype(np.int32)
+
+
+def planes(columns: list[np.ndarray]) -> bytes:
+    """The columns' first bytes, second bytes and so on: sorted, small and equal numbers shrink well in this order."""
+    return b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+
+
+def of_planes(raw: bytes, n: int) -> list[np.ndarray]:
+    """The columns in ``planes``."""
+    out, at = [], 0
+    for kind in map(np.dtype, _COLUMNS):
+        size = n * kind.itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, size, at).reshape(kind.itemsize, n).T).view(kind).ravel())
+        at += size
+    return out
 
 
 def has(bits: np.ndarray, fp: np.ndarray) -> np.ndarray:
@@ -168,6 +197,7 @@ def candidates(words: Words, widths: list[int], keep: int, bits: np.ndarray | No
 
 def counted(rows: DataFrame, widths: list[int], keep: int, bits=None, part: int = 0) -> DataFrame:
     """Partial counts of the ``candidates`` of these widths."""
+    segments = RANGES * max(1, rows.rdd.getNumPartitions())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums()
@@ -179,16 +209,32 @@ def counted(rows: DataFrame, widths: list[int], keep: int, bits=None, part: int
                 sums.add(words.fingerprints(first, width, keep), np.ones(len(first), np.int64), ids[own], (first - words.first_word[own]).astype(np.int32), np.full(len(first), width, np.int8))
             # beyond this many different ones memory would grow with the task's input
             if sums.settled > HELD:
-                yield from sums.batches()
-        yield from sums.batches()
+                yield from sums.batches(segments)
+        yield from sums.batches(segments)
 
     return rows.mapInArrow(count, PART_SCHEMA)
 
 
 def frequent(parts: DataFrame, least: int) -> DataFrame:
     """Fingerprints that occur ``least`` times or more, with one pointer each."""
-    total = parts.groupBy("fp").agg(F.sum("n").alias("n"), F.min(F.struct("row", "word", "width")).alias("at"))
-    return staged(total.where(F.col("n") >= least).select("fp", "n", "at.*"), "frequent")
+
+    def add(table: pa.Table) -> pa.Table:
+        held = [of_planes(raw.as_py(), n.as_py()) for raw, n in zip(table.column("sums"), table.column("held"))]
+        fp, n, row, word, width = (np.concatenate(columns) for columns in zip(*held))
+        order = np.argsort(fp, kind="stable")
+        ordered = fp[order]
+        heads = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        total, sizes = np.add.reduceat(n[order], heads), np.diff(np.append(heads, len(fp)))
+        often = np.flatnonzero(total >= least)
+        # the first occurrence of each of these
+        group = np.repeat(np.arange(len(often)), sizes[often])
+        own = order[np.repeat(heads[often] - (np.cumsum(sizes[often]) - sizes[often]), sizes[often]) + np.arange(len(group))]
+        own = own[np.lexsort((width[own], word[own], row[own], group))]
+        own = own[np.cumsum(sizes[often]) - sizes[often]]
+        arrays = [fp[own].view(np.int64), total[often], row[own], word[own], width[own].astype(np.int32)]
+        return pa.table([pa.array(a) for a in arrays], ["fp", "n", "row", "word", "width"])
+
+    return staged(parts.groupBy("segment").applyInArrow(add, FOUND_SCHEMA), "frequent")
 
 
 def bit_table(found: DataFrame) -> np.ndarray:

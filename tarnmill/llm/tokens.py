@@ -11,7 +11,6 @@ are encoded whole.
 
 from __future__ import annotations
 
-import ctypes
 import gc
 import hashlib
 import json
@@ -23,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tarnmill.llm.common import bytes_of, mixed, worker_cache
+from tarnmill.llm.common import bytes_of, give_back, mixed, worker_cache
 
 TOKENIZER = "word_bpe_49k.json"
 # units kept, and ids kept for them
@@ -236,20 +235,12 @@ def encoder(path: str) -> Encoder:
         # a worker that has moved on to tokens needs no tables for words
         for name in [key for key in cache if isinstance(key, tuple) and key[0] == "powers"]:
             del cache[name]
+        gc.collect()
         give_back()
         cache["encoder"] = (path, Encoder(path))
     return cache["encoder"][1]
 
 
-def give_back() -> None:
-    """Return to the system what earlier tasks of this worker have freed."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def encode_with_end(path: str, end: int) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """A function from texts to (ids, bounds) with the id ``end`` after every text."""
     of = encoder(path)
