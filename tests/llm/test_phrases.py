@@ -70,3 +70,16 @@ def test_empty_tables_and_clashing_columns(spark):
     assert phrases.collocations(empty(spark), 2).count() == 0
     assert phrases.collocations(table(spark, [(None, None), (1, " .,")]), 2).count() == 0
     assert collected(phrases.collocations(table(spark), 3)) == brute([(None, t) for _, t in texts()], 3, 2000)
+
+
+def test_sums_leave_a_task_as_one_row_a_range():
+    import numpy as np
+
+    fp = np.sort(np.random.default_rng(4).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
+    sums = phrases.Sums()
+    sums.add(fp, np.ones(5000, np.int64), np.arange(5000), np.arange(5000).astype(np.int32), np.full(5000, 2, np.int8))
+    rows = [row for batch in sums.batches(16) for row in batch.to_pylist()]
+    assert [row["segment"] for row in rows] == list(range(16))
+    held = [phrases.of_planes(row["sums"], row["held"]) for row in rows]
+    assert (np.concatenate([columns[0] for columns in held]) == fp).all()
+    assert (np.concatenate([columns[2] for columns in held]) == np.arange(5000)).all()
