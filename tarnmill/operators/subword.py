@@ -22,16 +22,18 @@ from tarnmill.operators.trie import Trie
 # word bytes and lines taken at once; a word that occurs again within them is cut once
 BYTES_AT_ONCE = 400_000
 LINES_AT_ONCE = 20_000
+# cut words that an encoder remembers for the lines that follow; more are cut anew
+REMEMBERED = 1 << 19
 # Fixed value: score of a character outside the vocabulary, below the worst piece.
 UNKNOWN_PENALTY = 10.0
 
 
-def slices(words: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of the words with about ``BYTES_AT_ONCE`` bytes each."""
+def slices(words: pa.Array, size: int = BYTES_AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Ranges of the words with about ``size`` bytes each."""
     total = np.cumsum(pc.fill_null(pc.binary_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     at = 0
     while at < len(words):
-        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + BYTES_AT_ONCE, side="right")))
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, side="right")))
         yield at, stop
         at = stop
 
@@ -39,7 +41,8 @@ def slices(words: pa.Array) -> Iterator[tuple[int, int]]:
 class Paths:
     """All pieces of a batch of words, as arcs between places.
 
-    A word of n bytes has the places 0 to n; those of all words are numbered through.
+    A word of n bytes has the places 0 to n. Those at one offset of all words lie side by side,
+    the longest word first, so that an arc's length and its offset tell how far it leads.
     """
 
     def __init__(self, words: pa.Array):
@@ -51,21 +54,46 @@ class Paths:
         self.sizes = np.diff(self.bounds)
         self.word = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.limits = self.bounds[1:][self.word]
+        # how many words reach each offset, and where its places begin
+        reach = np.cumsum(np.bincount(self.sizes, minlength=1)[::-1])[::-1] if len(self.sizes) else np.zeros(1, np.int64)
+        self.begins = np.append(0, np.cumsum(reach))
+        self.size = int(self.begins[-1])
         # the first and last place of every word
-        self.first = self.bounds[:-1] + np.arange(len(self.sizes))
-        self.last = self.first + self.sizes
-        self.size = int(self.bounds[-1]) + len(self.sizes)
-        self.offset = np.arange(self.size) - np.repeat(self.first, self.sizes + 1)
-
-    def steps(self, due: np.ndarray, to: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(arcs, where each target's arcs begin) for one step after the other; the arcs into
-        a place are in rising order of ``at``."""
-        order = np.lexsort((at, to, due))
-        due, to = due[order], to[order]
-        heads = np.append(True, to[1:] != to[:-1]) if len(to) else np.zeros(0, bool)
-        cuts = np.flatnonzero(np.append(True, due[1:] != due[:-1])) if len(due) else np.zeros(0, np.int64)
-        for low, high in zip(cuts, np.append(cuts[1:], len(due))):
-            yield order[low:high], np.flatnonzero(heads[low:high])
+        self.first = np.empty(len(self.sizes), np.int64)
+        self.first[np.argsort(-self.sizes, kind="stable")] = np.arange(len(self.sizes))
+        self.last = self.begins[self.sizes] + self.first
+        # of every byte: its offset and the place before it; of every place: the byte behind it
+        self.offset = np.arange(len(self.data)) - np.repeat(self.bounds[:-1], self.sizes)
+        self.place = self.begins[self.offset] + self.first[self.word]
+        self.byte = np.empty(self.size, np.int64)
+        self.byte[self.last] = self.bounds[1:]
+        self.byte[self.place] = np.arange(len(self.data))
+        # the bytes in the order of their places
+        inner = np.zeros(self.size, bool)
+        inner[self.place] = True
+        self.order = self.byte[inner]
+
+
+class Arcs:
+    """Arcs from byte ``start`` by a ``piece`` with its ``score``; ``source`` and ``target`` are places.
+
+    They lie in runs of one length and offset, which touch a place once at most.
+    """
+
+    def __init__(self, paths: Paths, start: np.ndarray, stop: np.ndarray, piece: np.ndarray, score: np.ndarray):
+        self.start, self.piece, self.score = start, piece, score
+        size, offset = stop - start, paths.offset[start]
+        self.source = paths.place[start]
+        self.target = self.source + paths.begins[offset + size] - paths.begins[offset]
+        cuts = np.flatnonzero(np.append(True, (size[1:] != size[:-1]) | (offset[1:] != offset[:-1]))) if len(start) else np.zeros(0, np.int64)
+        ends = np.append(cuts[1:], len(start))
+        self.cuts, self.ends, self.sizes, self.offsets = cuts, ends, size[cuts], offset[cuts]
+
+    def runs(self, back: bool = False) -> Iterator[slice]:
+        """The runs by rising offset (falling, if ``back``), then by rising length."""
+        order = np.lexsort((self.sizes, -self.offsets if back else self.offsets))
+        for low, high in zip(self.cuts[order].tolist(), self.ends[order].tolist()):
+            yield slice(low, high)
 
 
 class Segmenter:
@@ -77,9 +105,10 @@ class Segmenter:
         self.trie = Trie.of([p.encode() for p in self.pieces])
         self.unknown = (float(self.scores.min()) if self.pieces else 0.0) - UNKNOWN_PENALTY
 
-    def arcs(self, paths: Paths, spare: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(from, to, piece, score); with ``spare``, characters that are no piece get an arc (-1)."""
-        start, stop, piece = self.trie.matches(paths.data, paths.limits)
+    def arcs(self, paths: Paths, spare: bool, banned: np.ndarray | None = None) -> Arcs:
+        """With ``spare``, characters that are no piece get an arc (-1). ``banned`` names a piece
+        for each word that it must not use."""
+        start, stop, piece = self.trie.matches(paths.data, paths.limits, paths.order)
         score = self.scores[piece]
         if spare:
             head = np.flatnonzero((paths.data & 0xC0) != 0x80)
@@ -90,57 +119,49 @@ class Segmenter:
             known = np.zeros(len(paths.data) + 1, bool)
             known[start[ends[start] == stop]] = True
             lone = head[~known[head]]
+            lone = lone[np.lexsort((paths.place[lone], ends[lone] - lone))]
             start, stop = np.append(start, lone), np.append(stop, ends[lone])
             piece, score = np.append(piece, np.full(len(lone), -1)), np.append(score, np.full(len(lone), self.unknown))
-        own = paths.word[start]
-        return start + own, stop + own, piece, score
+        if banned is not None:
+            ok = piece != banned[paths.word[start]]
+            start, stop, piece, score = start[ok], stop[ok], piece[ok], score[ok]
+        return Arcs(paths, start, stop, piece, score)
 
     def best(self, words: pa.Array, banned: np.ndarray | None = None) -> tuple[Paths, np.ndarray, np.ndarray, np.ndarray]:
         """(paths, score of every place, and the arc by which the best path reaches it: from, piece).
 
-        Of equal paths the one whose last piece is longest counts. ``banned`` names a piece for
-        each word that it must not use.
+        Of equal paths the one whose last piece is longest counts.
         """
         paths = Paths(words)
-        source, target, piece, score = self.arcs(paths, True)
-        if banned is not None:
-            word = np.searchsorted(paths.first, source, side="right") - 1
-            ok = piece != banned[word]
-            source, target, piece, score = source[ok], target[ok], piece[ok], score[ok]
+        arcs = self.arcs(paths, True, banned)
         total = np.full(paths.size, -np.inf)
         total[paths.first] = 0.0
-        back, by = np.zeros(paths.size, np.int64), np.full(paths.size, -1, np.int64)
-        for arcs, heads in paths.steps(paths.offset[target], target, source):
-            value = total[source[arcs]] + score[arcs]
-            top = np.maximum.reduceat(value, heads)
-            sizes = np.diff(np.append(heads, len(arcs)))
-            hit = np.flatnonzero(value == np.repeat(top, sizes))
-            # the first of the best arcs into each place
-            owner = np.repeat(np.arange(len(heads)), sizes)[hit]
-            hit = hit[np.append(True, owner[1:] != owner[:-1])]
-            to = target[arcs[heads]]
-            total[to], back[to], by[to] = top, source[arcs[hit]], piece[arcs[hit]]
-        return paths, total, back, by
+        by = np.full(paths.size, -1, np.int64)
+        for run in arcs.runs():
+            value, to = total[arcs.source[run]] + arcs.score[run], arcs.target[run]
+            # longer arcs into a place come first, so an equal one changes nothing
+            better = np.flatnonzero(value > total[to])
+            to = to[better]
+            total[to], by[to] = value[better], better + run.start
+        reached = by >= 0
+        back, piece = np.zeros(paths.size, np.int64), np.full(paths.size, -1, np.int64)
+        back[reached], piece[reached] = arcs.source[by[reached]], arcs.piece[by[reached]]
+        return paths, total, back, piece
 
     def cut(self, words: pa.Array) -> pa.ListArray:
         """The pieces of every word on its best path."""
         paths, _, back, _ = self.best(words)
-        at, word = paths.last.copy(), np.arange(len(paths.sizes))
-        starts, stops, owners = [], [], []
+        heads = np.zeros(len(paths.data), bool)
+        at, first = paths.last[paths.sizes > 0], paths.first[paths.sizes > 0]
         while len(at):
-            open_ = at > paths.first[word]
-            at, word = at[open_], word[open_]
-            before = back[at]
-            starts.append(before - word)
-            stops.append(at - word)
-            owners.append(word)
-            at = before
-        start, stop, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, stops, owners))
-        order = np.lexsort((start, owner))
-        start, stop, owner = start[order], stop[order], owner[order]
+            at = back[at]
+            heads[paths.byte[at]] = True
+            open_ = at != first
+            at, first = at[open_], first[open_]
         # pieces of one word lie side by side, so the bytes need no copy
-        text = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(np.append(start, stop[-1:] if len(stop) else [0]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(paths.data))])
-        bounds = np.searchsorted(owner, np.arange(len(paths.sizes) + 1)).astype(np.int32)
+        start = np.flatnonzero(heads)
+        text = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(np.append(start, len(heads)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(paths.data))])
+        bounds = np.append(0, np.cumsum(heads))[paths.bounds].astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(bounds), text.cast(pa.string()))
 
     def used(self, words: pa.Array, counts: np.ndarray) -> np.ndarray:
@@ -149,7 +170,7 @@ class Segmenter:
         at, word = paths.last.copy(), np.arange(len(paths.sizes))
         out = np.zeros(len(self.pieces))
         while len(at):
-            open_ = at > paths.first[word]
+            open_ = at != paths.first[word]
             at, word = at[open_], word[open_]
             known = by[at] >= 0
             out += np.bincount(by[at][known], weights=counts[word][known], minlength=len(out))
@@ -170,20 +191,20 @@ class Segmenter:
         """Expected count of each piece over all segmentations, words taken ``counts`` times;
         a word that the pieces cannot spell counts nothing."""
         paths = Paths(words)
-        source, target, piece, score = self.arcs(paths, False)
+        arcs = self.arcs(paths, False)
         ahead, behind = np.full(paths.size, -np.inf), np.full(paths.size, -np.inf)
         ahead[paths.first], behind[paths.last] = 0.0, 0.0
-        for arcs, heads in paths.steps(paths.offset[target], target, source):
-            ahead[target[arcs[heads]]] = np.logaddexp.reduceat(ahead[source[arcs]] + score[arcs], heads)
-        left = np.repeat(paths.sizes, paths.sizes + 1) - paths.offset
-        for arcs, heads in paths.steps(left[source], source, target):
-            behind[source[arcs[heads]]] = np.logaddexp.reduceat(behind[target[arcs]] + score[arcs], heads)
-        word = np.searchsorted(paths.first, source, side="right") - 1
+        for run in arcs.runs():
+            to = arcs.target[run]
+            ahead[to] = np.logaddexp(ahead[to], ahead[arcs.source[run]] + arcs.score[run])
+        for run in arcs.runs(back=True):
+            at = arcs.source[run]
+            behind[at] = np.logaddexp(behind[at], behind[arcs.target[run]] + arcs.score[run])
+        word = paths.word[arcs.start]
         total = ahead[paths.last][word]
         spelt = total > -np.inf
-        source, target, piece, score, word, total = (a[spelt] for a in (source, target, piece, score, word, total))
-        share = np.exp(ahead[source] + score + behind[target] - total)
-        return np.bincount(piece, weights=share * counts[word], minlength=len(self.pieces)) if len(piece) else np.zeros(len(self.pieces))
+        share = np.exp(ahead[arcs.source[spelt]] + arcs.score[spelt] + behind[arcs.target[spelt]] - total[spelt])
+        return np.bincount(arcs.piece[spelt], weights=share * counts[word[spelt]], minlength=len(self.pieces))
 
 
 class Encoder:
@@ -191,9 +212,22 @@ class Encoder:
 
     def __init__(self, segmenter: Segmenter, symbols: list[str]):
         self.segmenter, self.symbols = segmenter, pa.array(symbols, pa.large_string())
+        self.known, self.pieces = pa.array([], pa.large_string()), pa.array([], pa.list_(pa.string()))
 
     def words(self, words: pa.Array) -> pa.ListArray:
-        """The pieces of distinct words."""
+        """The pieces of distinct words; those of words seen before are remembered."""
+        found = pc.index_in(words, self.known)
+        fresh = words.filter(found.is_null())
+        cut = self.fresh(fresh)
+        number = found.fill_null(0).to_numpy().copy()
+        number[found.is_null().to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(fresh))
+        known, pieces = pa.concat_arrays([self.known, fresh]), pa.concat_arrays([self.pieces, cut])
+        out = pieces.take(pa.array(number))
+        self.known, self.pieces = (known, pieces) if len(known) <= REMEMBERED else (words, out)
+        return out
+
+    def fresh(self, words: pa.Array) -> pa.ListArray:
+        """The pieces of words, each of them cut."""
         whole = pc.is_in(words, self.symbols)
         plain = words.filter(pc.invert(whole))
         parts = []

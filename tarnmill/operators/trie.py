@@ -11,10 +11,6 @@ from collections.abc import Sequence
 
 import numpy as np
 
-# slots that are tried at once for the children of a node
-TRIED = 1024
-
-
 class Trie:
     """Byte strings with values 0, 1, 2, ... in the order given."""
 
@@ -26,70 +22,58 @@ class Trie:
         """The trie of distinct, non-empty byte strings."""
         order = sorted(range(len(pieces)), key=pieces.__getitem__)
         texts = [pieces[k] for k in order]
-        size = 3 * sum(map(len, texts)) + (1 << 13)
-        base, owner, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
-        flags = bytearray(size)
-        used = np.frombuffer(flags, np.uint8)
-        flags[0] = 1
-        # slots up to here are full; nodes with one child fill the holes behind it, and
-        # nodes with more look where there is more room
-        free_from = roomy_from = 257
-        # (node, first text, text behind the last one) of one level
-        level = [(0, 0, len(texts))]
-        depth = 0
-        while level:
-            following = []
-            for node, low, high in level:
-                if low < high and len(texts[low]) == depth:
-                    value[node] = order[low]
-                    low += 1
-                if low == high:
-                    continue
-                firsts, cuts = [], []
-                at = low
-                while at < high:
-                    byte = texts[at][depth]
-                    firsts.append(byte)
-                    cuts.append(at)
-                    # texts are sorted, so equal bytes are neighbours
-                    step = at + 1
-                    while step < high and texts[step][depth] == byte:
-                        step += 1
-                    at = step
-                cuts.append(high)
-                if len(firsts) == 1:
-                    while flags[free_from]:
-                        free_from += 1
-                    place = free_from - firsts[0]
-                    slots = [free_from]
-                    flags[free_from] = 1
-                else:
-                    children = np.array(firsts)
-                    while True:
-                        fit = ~used[(roomy_from + np.arange(TRIED))[:, None] + children].any(axis=1)
-                        if fit.any():
-                            break
-                        roomy_from += TRIED // 2
-                    place = roomy_from + int(np.argmax(fit))
-                    slots = (place + children).tolist()
-                    used[place + children] = 1
-                base[node] = place
-                owner[slots] = node
-                following.extend(zip(slots, cuts, cuts[1:]))
-            level = following
+        number = np.array(order, np.int32)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        heads = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        # (slot, owner) of all nodes, (node, base) of those with children, (node, value) of those that end a text
+        slots, bases, values = [], [], []
+        # slots from here on are free, and so are the holes before it
+        free, holes = 257, np.zeros(0, np.int64)
+        open_, node, depth = np.arange(len(texts)), np.zeros(len(texts), np.int64), 0
+        while len(open_):
+            byte = data[heads[open_] + depth].astype(np.int64)
+            # texts are sorted, so those below one child are neighbours
+            first = np.append(True, (node[1:] != node[:-1]) | (byte[1:] != byte[:-1]))
+            parent, label = node[first], byte[first]
+            begins = np.flatnonzero(np.append(True, parent[1:] != parent[:-1]))
+            ends = np.append(begins[1:], len(parent))
+            # children of one node lie as far apart as their bytes; nodes with one child fill the holes between
+            several = ends - begins > 1
+            low = label[begins]
+            width = np.where(several, label[ends - 1] - low + 1, 0)
+            place = free + np.cumsum(width) - width
+            filled = np.zeros(int(width.sum()), bool)
+            slot = np.repeat(place - low, ends - begins) + label
+            filled[slot[np.repeat(several, ends - begins)] - free] = True
+            holes = np.append(holes, free + np.flatnonzero(~filled))
+            free += len(filled)
+            lone = int(np.count_nonzero(~several))
+            spare = np.append(holes[:lone], np.arange(free, free + max(0, lone - len(holes))))
+            free, holes = free + max(0, lone - len(holes)), holes[lone:]
+            slot[begins[~several]] = spare
+            slots.append((slot, parent))
+            bases.append((parent[begins], slot[begins] - low))
+            node = slot[np.cumsum(first) - 1]
             depth += 1
+            done = sizes[open_] == depth
+            values.append((node[done], number[open_[done]]))
+            open_, node = open_[~done], node[~done]
         # a step may look 255 slots beyond the last child
-        last = int(np.flatnonzero(used)[-1]) + 257
-        return cls(base[:last].copy(), owner[:last].copy(), value[:last].copy())
+        base, owner, value = np.zeros(free + 256, np.int32), np.full(free + 256, -1, np.int32), np.full(free + 256, -1, np.int32)
+        for table, rows in ((owner, slots), (base, bases), (value, values)):
+            for at, what in rows:
+                table[at] = what
+        return cls(base, owner, value)
 
-    def matches(self, data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def matches(self, data: np.ndarray, limits: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, value) of every piece inside ``data``.
 
         A match begins at any byte and ends at ``limits`` of that byte at most; it comes in
-        rising order of its length, then of its start.
+        rising order of its length, then of its start, or with its start in the ``order`` given.
         """
-        at = np.arange(len(data))
-        node = np.zeros(len(data), np.int32)
+        at = np.arange(len(data)) if order is None else order
+        node = np.zeros(len(at), np.int32)
         starts, ends, values = [], [], []
         depth = 0
         while len(at):

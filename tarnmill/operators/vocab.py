@@ -12,11 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tarnmill.functions.tasks import row_function
 from tarnmill.markers import WORD_START, reserved_symbols
 from tarnmill.operators.repeats import maximal_repeats
 from tarnmill.operators.subword import Segmenter, slices
@@ -28,22 +27,38 @@ SEED_FACTOR = 4
 EM_ROUNDS = 2
 KEEP_SHARE = 0.75
 MOST_PIECES = 1 << 21
+# bytes of lines whose words are counted at once in a task
+COUNTED_AT_ONCE = 16_000_000
 
 
 def word_counts(files: DataFrame, lines: str = "lines", num_reserved: int = 0) -> DataFrame:
     """``word, n`` over all lines; words carry the word mark, reserved symbols are left out."""
-    words = files.select(F.explode(lines).alias("line")).select(F.explode(F.split("line", r"\s+")).alias("w"))
-    kept = words.where((F.col("w") != "") & ~F.col("w").isin(reserved_symbols(num_reserved)))
-    # the same NFKC form that encoding uses; only distinct words leave the JVM
-    counted = kept.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    normal = counted.select(F.explode(F.split(_nfkc(F.col("w")), r"\s+")).alias("w"), "n")
-    split = normal.where(F.col("w") != "")
-    return split.groupBy(F.concat(F.lit(WORD_START), F.col("w")).alias("word")).agg(F.sum("n").alias("n"))
-
-
-_nfkc = row_function(
-    T.StringType(), lambda: lambda word: None if word is None else unicodedata.normalize("NFKC", word)
-)
+    reserved = pa.array(reserved_symbols(num_reserved), pa.large_string())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0).flatten().cast(pa.large_string()).drop_null()
+            for start, stop in slices(column, COUNTED_AT_ONCE):
+                yield _slice_counts(column.slice(start, stop - start), reserved)
+
+    counted = files.select(lines).mapInArrow(count, "w string, n bigint")
+    return counted.groupBy(F.concat(F.lit(WORD_START), F.col("w")).alias("word")).agg(F.sum("n").alias("n"))
+
+
+def _slice_counts(lines: pa.Array, reserved: pa.Array) -> pa.RecordBatch:
+    """``w, n`` of some lines, in the NFKC form that encoding uses."""
+    found = pc.ascii_split_whitespace(lines).flatten().value_counts()
+    words, counts = found.field("values"), found.field("counts")
+    kept = pc.invert(pc.is_in(words, reserved))
+    words, counts = words.filter(kept), counts.filter(kept).to_numpy()
+    # ASCII words are in that form
+    plain = pc.string_is_ascii(words)
+    others = [unicodedata.normalize("NFKC", word) for word in words.filter(pc.invert(plain)).to_pylist()]
+    words = pc.replace_with_mask(words, pc.invert(plain), pa.array(others, pa.large_string()))
+    parts = pc.ascii_split_whitespace(words)
+    counts = np.repeat(counts, np.diff(parts.offsets.to_numpy()))
+    filled = pc.not_equal(parts.flatten(), "")
+    return pa.RecordBatch.from_arrays([parts.flatten().filter(filled).cast(pa.string()), pa.array(counts, pa.int64()).filter(filled)], ["w", "n"])
 
 
 def seed_pieces(words: DataFrame, limit: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tarnmill.functions import arrays
 from tarnmill.markers import reserved_symbols
 from tarnmill.operators import dedup, packing, prefix, repeats, skew, splits, subword, tokens, vocab
+from tarnmill.operators.trie import Trie
 
 
 def naive_simhash(text):
@@ -392,3 +393,47 @@ def test_encoding_takes_the_longest_piece(spark):
     reserved = spark.createDataFrame([(["<RES0> <RES3>"],)], "lines array<string>")
     got = reserved.select(subword.encode_lines(F.col("lines"), {"<": -1.0, "▁": -1.0}, 3)).first()[0][0]
     assert got[0] == "<RES0>" and "<RES3>" not in got
+
+
+def test_words_seen_before_are_not_cut_again(monkeypatch):
+    cut = []
+    own = subword.Segmenter.cut
+
+    def counted(self, words):
+        cut.extend(words.to_pylist())
+        return own(self, words)
+
+    monkeypatch.setattr(subword.Segmenter, "cut", counted)
+    segmenter = subword.Segmenter({"▁": -1.0, "a": -2.0, "b": -2.0, "▁ab": -2.5})
+    encoder = subword.Encoder(segmenter, ["<EOL>"])
+    first = encoder.lines(pa.array(["ab ba <EOL>", None, "ab"]))
+    assert first.to_pylist() == [["▁ab", "▁", "b", "a", "<EOL>"], [], ["▁ab"]]
+    assert encoder.lines(pa.array(["ba x ab", "<EOL> ba", ""])).to_pylist() == [["▁", "b", "a", "▁", "x", "▁ab"], ["<EOL>", "▁", "b", "a"], []]
+    assert sorted(w for w in cut if w != "▁") == ["▁ab", "▁ba", "▁x"]
+    # what is remembered is bounded, and changes no result
+    monkeypatch.setattr(subword, "REMEMBERED", 2)
+    lines = [f"ab w{i % 5} ba <EOL>" for i in range(20)]
+    want = subword.Encoder(segmenter, ["<EOL>"]).lines(pa.array(lines)).to_pylist()
+    few = subword.Encoder(segmenter, ["<EOL>"])
+    assert [few.lines(pa.array([line])).to_pylist()[0] for line in lines] == want
+    assert len(few.known) <= 4
+
+
+def test_trie_finds_all_pieces():
+    rng = random.Random(9)
+    pieces = sorted({"".join(rng.choice("abcé🙂\x00") for _ in range(rng.randint(1, 5))).encode() for _ in range(400)} | {b"abc" * 40})
+    rng.shuffle(pieces)
+    text = "".join(rng.choice("abcdé🙂\x00") for _ in range(500)).encode() + b"abc" * 41
+    starts, stops, values = Trie.of(pieces).matches(np.frombuffer(text, np.uint8), np.full(len(text), len(text)))
+    want = {(at, at + len(p), k) for k, p in enumerate(pieces) for at in range(len(text)) if text.startswith(p, at)}
+    assert set(zip(starts.tolist(), stops.tolist(), values.tolist())) == want and len(starts) == len(want)
+    assert len(Trie.of([]).matches(np.frombuffer(text, np.uint8), np.full(len(text), len(text)))[0]) == 0
+
+
+def test_words_are_counted_where_they_lie(spark):
+    lines = ["a  b\ta", "", None, "\u00a0x", "ﬁ ﬁ <EOL>", "c\u2003d a"]
+    files = spark.createDataFrame([(lines,), (None,), (lines[:1],)], "lines array<string>").coalesce(1)
+    counted = vocab.word_counts(files)
+    assert {r["word"]: r["n"] for r in counted.collect()} == {"▁a": 5, "▁b": 2, "▁x": 1, "▁fi": 2, "▁c": 1, "▁d": 1}
+    # no row for every occurrence of a word goes to the aggregation
+    assert "explode" not in counted._jdf.queryExecution().executedPlan().toString()
