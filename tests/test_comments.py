@@ -106,6 +106,45 @@ def test_docstrings_can_be_stripped(spark):
     assert flat.count("<INDENT>") == flat.count("<DEDENT>") == 2
 
 
+def many_sources():
+    rng = random.Random(5)
+    pieces = ["# one\n", "  # two\n", "\n", "x = 1\n", "y = 2  # tail\n", "f(1, # in\n  2)\n", "#\n", "z(\n# a\n# b\n\n# c\n)\n", "if a:\n  b\n"]
+    pieces += ["if a:\n\tif b:\n\t\tc # d\n", '"""doc\nstring"""\n', "'s'\n", "def f():\n    'doc'\n    # c\n    x\n", 'f"a{b}c {d!r:>{e}}"\n', "x = (\n", "last", "$\n"]
+    pieces += ["a = \'\'\'q\n\n w\'\'\'; b\n", "\\\n", "p\x0cq\n", "é = 'ü\u00a0ö'\n", "class A:\n  'd'\n", "'a' 'b' # t\n", "\u2003x\n", "pass;"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 8))) for _ in range(1500)]
+    return [(str(i), text) for i, text in enumerate([*texts, None, ""])]
+
+
+@pytest.mark.parametrize("strip", [False, True])
+def test_code_lines_are_those_of_a_second_lexing(spark, strip):
+    rows = spark.createDataFrame(many_sources(), "file_id string, text string")
+    files = comments.filter_blocks(comments.comment_blocks(lexing.lex_files(rows)), lambda b: b["text"] != "")
+    got = lexing.code_lines(files, strip_docstrings=strip).select("text", "blocks", "code", "code_error").collect()
+    assert sum(r["code_error"] is not None for r in got) > 100
+    for row in got:
+        want = lexing._code_record(row["text"], [b["srow"] for b in row["blocks"]], [b["text"] for b in row["blocks"]], strip)
+        assert (row["code"], row["code_error"]) == (want["lines"], want["error"]), row["text"]
+
+
+def test_a_lexed_table_is_not_lexed_again(spark):
+    files = comments.filter_blocks(lexed(spark, {"a": "import os\nx = 1\n"}))
+    # code comes from the tokens, so a table that carries others shows them
+    others = F.transform("tokens", lambda t: t.withField("text", F.when(t["text"] == "import", "fetch").otherwise(t["text"])))
+    assert lexing.code_lines(files.withColumn("tokens", others)).first()["code"] == [["fetch", "os"], ["x", "=", "1"]]
+
+
+@pytest.mark.parametrize("size", [1, 512])
+def test_tokens_are_those_of_the_lexer(monkeypatch, size):
+    monkeypatch.setattr(lexing, "TOKENS_AT_ONCE", size)
+    texts = [text for _, text in many_sources()[-300:]]
+    for text, row in zip(texts, lexing._lex_batch(texts).to_pylist()):
+        try:
+            want = [(tokenize.tok_name[t.type], t.string, *t.start, *t.end) for t in tokenize.generate_tokens(io.StringIO(text or "").readline)]
+            assert ([tuple(t.values()) for t in row["tokens"]], row["error"]) == (want, None)
+        except lexing.LEX_ERRORS as error:
+            assert row == {"tokens": [], "error": type(error).__name__}
+
+
 def test_code_lines_report_errors(spark):
     row = lexing.code_lines(spark.createDataFrame([("x = (\n",)], "text string")).first()
     assert row["code"] == [] and row["code_error"] == "TokenError"
