@@ -46,42 +46,53 @@ def common_prefixes(keys: list[str]) -> np.ndarray:
     return out
 
 
-def nodes(keys: list[str], counts: np.ndarray, whole: np.ndarray) -> Iterator[tuple[str, int, bool]]:
-    """(text, count, at the edge) of the suffix tree over sorted distinct keys.
+def inner_nodes(keys: list[str], shared: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first key, last key, depth) of the suffix tree's nodes over sorted distinct keys.
 
-    A node is a prefix at which keys part, or a key that is a whole suffix. Edge rows are the
-    prefixes of the first and the last key, nodes or not, with what these keys count.
+    A node is a prefix at which keys part, or a key that is a whole suffix. ``shared`` has the
+    common prefix of each key and the one before it.
     """
-    if not keys:
-        return
-    shared = np.append(common_prefixes(keys), 0)
-    first, last = keys[0], keys[-1]
+    sizes = np.fromiter(map(len, keys), np.int64, len(keys))
+    # a whole suffix that begins the next key is a place where keys part
+    alone = np.flatnonzero(whole & (np.append(shared[1:], 0) < sizes))
+    firsts, lasts, depths = [alone], [alone], [sizes[alone]]
+    at = np.flatnonzero(shared > 0)
+    for depth in np.unique(shared[at]).tolist():
+        at = at[shared[at] >= depth]
+        # keys with a common prefix of this depth are neighbours; they part here if one shares no more
+        heads = np.flatnonzero(np.append(True, np.diff(at) > 1))
+        ends = np.append(heads[1:], len(at)) - 1
+        parted = np.logical_or.reduceat(shared[at] == depth, heads)
+        firsts.append(at[heads[parted]] - 1)
+        lasts.append(at[ends[parted]])
+        depths.append(np.full(int(parted.sum()), depth))
+    return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(depths)
+
+
+def nodes(keys: list[str], counts: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, depth, count, at the edge) of the suffix tree over sorted distinct keys; the node is the
+    key's prefix of that depth.
+
+    Edge rows are the prefixes of the first and the last key, nodes or not, with what these keys count.
+    """
+    shared = common_prefixes(keys)
     before = np.append(0, np.cumsum(counts))
-
-    def at_edge(text: str) -> bool:
-        return first.startswith(text) or last.startswith(text)
-
-    # (depth, first key below the node); the root stays
-    stack = [(0, 0)]
-    for k, key in enumerate(keys):
-        if whole[k] and stack[-1][0] < len(key):
-            stack.append((len(key), k))
-        start = k
-        while stack[-1][0] > shared[k + 1]:
-            depth, start = stack.pop()
-            text = keys[start][:depth]
-            if not at_edge(text):
-                yield text, int(before[k + 1] - before[start]), False
-        if shared[k + 1] > stack[-1][0]:
-            stack.append((int(shared[k + 1]), start))
+    first, last, depth = inner_nodes(keys, shared, whole)
+    # a node at the edge holds the first or the last key
+    inside = (first > 0) & (last < len(keys) - 1)
+    first, last, depth = first[inside], last[inside], depth[inside]
     # edges: the keys that begin with a prefix of the first (last) key are the first (last) ones
-    head = np.minimum.accumulate(np.append(len(first), shared[1:-1]))
-    tail = np.minimum.accumulate(np.append(len(last), shared[1:-1][::-1]))
-    for depth in range(1, len(first) + 1):
-        yield first[:depth], int(before[np.count_nonzero(head >= depth)]), True
-    for depth in range(1, len(last) + 1):
-        if not first.startswith(last[:depth]):
-            yield last[:depth], int(before[-1] - before[len(keys) - np.count_nonzero(tail >= depth)]), True
+    head = np.minimum.accumulate(np.append(len(keys[0]), shared[1:]))
+    tail = np.minimum.accumulate(np.append(len(keys[-1]), shared[1:][::-1]))
+    opening = np.arange(1, len(keys[0]) + 1)
+    # prefixes of the last key that are none of the first one
+    closing = np.arange(int(tail[-1]) + 1 if len(keys) > 1 else len(keys[0]) + 1, len(keys[-1]) + 1)
+    # both fall along the keys
+    opened = np.searchsorted(-head, -opening, side="right")
+    closed = len(keys) - np.searchsorted(-tail, -closing, side="right")
+    key = np.concatenate([first, np.zeros(len(opening), np.int64), np.full(len(closing), len(keys) - 1)])
+    count = np.concatenate([before[last + 1] - before[first], before[opened], before[-1] - before[closed]])
+    return key, np.concatenate([depth, opening, closing]), count, np.arange(len(key)) >= len(first)
 
 
 def _stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,20 +100,13 @@ def _stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not tables:
         return
     table = pa.Table.from_batches(tables)
-    found = nodes(table.column("key").to_pylist(), table.column("n").to_numpy(), table.column("whole").to_numpy())
-    held: list[tuple[str, int, bool]] = []
-    for node in found:
-        held.append(node)
-        if len(held) == 100_000:
-            yield _batch(held)
-            held = []
-    yield _batch(held)
-
-
-def _batch(rows: list[tuple[str, int, bool]]) -> pa.RecordBatch:
-    texts, counts, edges = zip(*rows) if rows else ((), (), ())
-    arrays = [pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(edges, pa.bool_())]
-    return pa.RecordBatch.from_arrays(arrays, ["piece", "n", "edge"])
+    keys = table.column("key").to_pylist()
+    at, depth, count, edge = nodes(keys, table.column("n").to_numpy(), table.column("whole").to_numpy())
+    for start in range(0, len(at), 100_000):
+        stop = start + 100_000
+        texts = [keys[k][:d] for k, d in zip(at[start:stop].tolist(), depth[start:stop].tolist())]
+        arrays = [pa.array(texts, pa.string()), pa.array(count[start:stop], pa.int64()), pa.array(edge[start:stop], pa.bool_())]
+        yield pa.RecordBatch.from_arrays(arrays, ["piece", "n", "edge"])
 
 
 def _suffixes(words: DataFrame, least: int) -> DataFrame:

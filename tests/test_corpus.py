@@ -437,3 +437,13 @@ def test_words_are_counted_where_they_lie(spark):
     assert {r["word"]: r["n"] for r in counted.collect()} == {"▁a": 5, "▁b": 2, "▁x": 1, "▁fi": 2, "▁c": 1, "▁d": 1}
     # no row for every occurrence of a word goes to the aggregation
     assert "explode" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_suffix_tree_nodes_of_a_stretch():
+    # sorted distinct suffix keys: (text, count, whole suffix)
+    rows = [("a", 2, True), ("ab", 1, True), ("abc", 4, True), ("abd", 1, True), ("b", 3, True), ("bcd", 1, False), ("c", 1, True)]
+    keys, counts, whole = [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    at, depth, count, edge = repeats.nodes(keys, counts, whole)
+    assert all(isinstance(column, np.ndarray) for column in (at, depth, count, edge))
+    found = sorted((keys[k][:d], n, e) for k, d, n, e in zip(at.tolist(), depth.tolist(), count.tolist(), edge.tolist()))
+    assert found == [("a", 8, True), ("ab", 6, False), ("abc", 4, False), ("abd", 1, False), ("b", 4, False), ("c", 1, True)]
