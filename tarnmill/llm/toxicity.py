@@ -7,8 +7,9 @@ frequency, whatever its label. Examples become unit vectors in an inverted index
 ordered so that similar ones share a block of ``BLOCK``, and the index holds the largest weight of every
 term in every block: dense rows for terms in a ``DENSE``-th of the examples or more, postings for the rest.
 
-Score: the block maxima bound a text's cosines with each block. Blocks are opened in falling order of
-their bounds, in waves, until no unopened block can reach the text's ``NEIGHBOURS``-th cosine, so the neighbours found
+Score: the block maxima bound a text's cosines with each block. The postings' part of all cosines is added up term by
+term, which costs less than block by block: they are few. Blocks are opened in falling order of
+their bounds, in waves, and the dense rows' part added in them, until no unopened block can reach the text's ``NEIGHBOURS``-th cosine, so the neighbours found
 are the exact nearest (ties: the smaller place). They vote with their cosine times the sum of what the
 common terms add to it, each weighed by (1 + its log-likelihood ratio with the label) squared. The
 share of toxic votes is calibrated by a monotone step function fitted on the examples,
@@ -225,31 +226,31 @@ class Index:
 
     def search(self, text: np.ndarray, places: np.ndarray, query: np.ndarray, n: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(cosines by text and spot, opened by text and block, a lower bound of each text's k-th cosine): blocks are opened in falling order of
-        their bounds, four times as many each time, until no bound reaches a text's k-th cosine."""
+        their bounds, four times as many each time, until no bound reaches a text's k-th cosine. Spots of a block that stays
+        closed hold the postings' part alone, which no bound exceeds."""
         at = self.dense_row[places]
         thick = at >= 0
         weights = np.zeros((n, len(self.dense)))
         weights[text[thick], at[thick]] = query[thick]
         text, places, query = text[~thick], places[~thick], query[~thick]
-        sizes, entry = expanded(self.cuts[places], self.cuts[places + 1])
-        base, query = np.repeat(text * self.blocks, sizes), np.repeat(query, sizes)
-        pair = base + self.entry_block[entry]
         bounds = weights @ self.dense_most
-        bounds += np.bincount(pair, weights=query * self.entry_most[entry], minlength=bounds.size).reshape(bounds.shape)
+        out, opened = np.empty((n, self.blocks, BLOCK)), np.zeros(bounds.shape, bool)
+        # one text at a time: its entries and sums stay in the processor's cache
+        own_cuts = np.searchsorted(text, np.arange(n + 1)).tolist()
+        for k in range(n):
+            own = slice(own_cuts[k], own_cuts[k + 1])
+            begin, end = self.cuts.take(places[own]), self.cuts.take(places[own] + 1)
+            sizes, entry = expanded(begin, end)
+            bounds[k] += np.bincount(self.entry_block.take(entry), weights=np.repeat(query[own], sizes) * self.entry_most.take(entry), minlength=self.blocks)
+            sizes, post = expanded(self.entry_begin.take(begin), self.entry_begin.take(end))
+            out[k] = np.bincount(self.at.take(post), weights=np.repeat(query[own], sizes) * self.weight.take(post), minlength=self.blocks * BLOCK).reshape(self.blocks, BLOCK)
         rank = np.argsort(np.argsort(-bounds, axis=1, kind="stable"), axis=1)
-        out, opened = np.zeros((n, self.blocks, BLOCK)), np.zeros(bounds.shape, bool)
         least, limit = np.zeros(n), FIRST_BLOCKS
         while True:
             wave = (rank < limit) & ~opened & (bounds > 0) & (bounds >= least[:, None] - NEAR)
             for b in np.flatnonzero(wave.any(axis=0)):
                 own = np.flatnonzero(wave[:, b])
-                out[own, b] = weights[own] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK]
-            some = np.flatnonzero(wave.ravel()[pair])
-            begins = entry[some]
-            sizes, post = expanded(self.entry_begin[begins], self.entry_begin[begins + 1])
-            where = np.repeat(base[some] * BLOCK, sizes)
-            where += self.at[post]
-            out += np.bincount(where, weights=np.repeat(query[some], sizes) * self.weight[post], minlength=out.size).reshape(out.shape)
+                out[own, b] += weights[own] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK]
             opened |= wave
             if without is not None:
                 out.reshape(n, -1)[np.arange(n), self.spot[without]] = 0
@@ -296,7 +297,10 @@ class Index:
         if not len(found):
             return 0.0
         own = [slice(a, b) for a, b in zip(self.own_cuts[found].tolist(), self.own_cuts[found + 1].tolist())]
-        common = np.array([query[self.own_places[part]] @ self.own_votes[part] for part in own], float)
+        # the text's weights for the terms of all its neighbours are looked up at once
+        met = query.take(np.concatenate([self.own_places[part] for part in own]))
+        stops = np.cumsum([part.stop - part.start for part in own]).tolist()
+        common = np.array([met[a:b] @ self.own_votes[part] for a, b, part in zip([0, *stops], stops, own)], float)
         votes = cosines * common
         return float((votes * self.labels[found]).sum() / votes.sum())
 

@@ -86,6 +86,46 @@ def test_blocks_are_skipped_and_nothing_is_lost(monkeypatch):
         assert np.allclose(cosines[k][:n][spots], exact[k][index.order][spots])
 
 
+def test_postings_are_added_once_for_all_blocks(monkeypatch):
+    monkeypatch.setattr(toxicity, "FIRST_BLOCKS", 2)
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
+    rng = np.random.default_rng(12)
+    rows, places, counts, n_terms = topical(rng)
+    n = rows[-1] + 1
+    index = toxicity.Index(np.append(np.full(5, 0.2), rng.random(n_terms - 5) + 2), rows, places, counts, rng.integers(0, 2, n), list(range(n)))
+    vectors = np.zeros((n, n_terms))
+    vectors[rows, places] = np.log1p(counts) * index.idf[places]
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    rare = np.bincount(places, minlength=n_terms) * toxicity.DENSE < n
+    assert rare.any() and not rare.all()
+    text, query = index.unit(np.arange(41) * 12, places[:480], counts[:480])
+    cosines, opened, least = index.search(text, places[:480], query, 40)
+    part, whole = (vectors[:40] * rare) @ vectors.T, vectors[:40] @ vectors.T
+    spots = np.repeat(opened, toxicity.BLOCK, axis=1)[:, :n]
+    assert not spots.all()
+    assert np.allclose(cosines[:, :n], np.where(spots, whole[:, index.order], part[:, index.order]))
+    assert (np.where(spots, 0, whole[:, index.order]).max(axis=1) < least).all()
+
+
+def test_a_text_looks_up_all_its_neighbours_at_once():
+    rows, places, counts = np.repeat(np.arange(40), 3), np.tile(np.arange(3), 40), np.ones(120, int)
+    index = toxicity.Index(np.ones(3), rows, places, counts, np.arange(40) % 2, list(range(40)))
+
+    class Weights(np.ndarray):
+        lookups = 0
+
+        def take(self, *args, **more):
+            Weights.lookups += 1
+            return np.asarray(self).take(*args, **more)
+
+        def __getitem__(self, key):
+            Weights.lookups += 1
+            return np.asarray(self)[key]
+
+    assert np.isclose(index.share(np.arange(40), np.ones(40), np.ones(3, np.float32).view(Weights)), 0.5)
+    assert Weights.lookups == 1
+
+
 def test_votes_are_weighed_by_evidence():
     # both neighbours are as near; only the term in common with the first depends on the label
     rows, places, counts = np.array([0, 0, 1, 1]), np.array([0, 2, 1, 3]), np.ones(4, int)
