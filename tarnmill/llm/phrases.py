@@ -3,14 +3,17 @@
 1. ``fingerprints``: a chunk of texts becomes one array of bytes, its words lower-cased and
    joined by single spaces. Prefix polynomials over these bytes give the 64-bit fingerprint of
    every n-gram by one subtraction and one product.
-2. ``counted``: every task adds up equal fingerprints and keeps a pointer (row, first word)
-   to one occurrence; the shuffle, which takes one row for each task and range of fingerprints, adds up those sums. Words come first, then pairs of frequent
+2. ``busy_buckets``: every task adds up occurrences by bucket, the low 32 bits of a fingerprint, and
+   the shuffle, which takes one row for each task and range of buckets, adds up those sums: some two bytes for each distinct
+   n-gram of a task. Words come first, then pairs of frequent
    words, then 3 to 5 words all of whose pairs are frequent. A phrase is at most as frequent as
-   its parts, so nothing is lost. "Frequent" is read from a bit table of fixed size
+   its parts and as its bucket, so nothing is lost. "Frequent" is read from a bit table of fixed size
    (``FILTER_BITS``): a wrong bit lets a rare fingerprint through and costs shuffle alone.
-3. ``materialised``: the pointers of frequent fingerprints, and only these, are followed to
+3. ``counted``: one scan counts the fingerprints of frequent buckets, and these alone, in full and keeps a pointer
+   (row, first word) to one occurrence of each.
+4. ``materialised``: the pointers of frequent fingerprints, and only these, are followed to
    their texts.
-4. ``verified``: one more scan compares every counted occurrence of a frequent fingerprint with
+5. ``verified``: one more scan compares every counted occurrence of a frequent fingerprint with
    that text, byte by byte. Those that differ (a collision, or another language) are emitted
    with their own text, counted by it and taken off. Up to ``REPRESENTATIVES`` texts are
    sent to the tasks; beyond, none is sent, and all occurrences count by their texts in
@@ -26,7 +29,7 @@ longest single text. An empty table gives an empty result. Counts stay exact up
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +45,10 @@ MIN_COUNT = 100
 FIRST = 2000
 FILTER_BITS = 1 << 27
 SEGMENT_BITS = 1 << 21
-# fingerprints that a task adds up before it hands them on
+# fingerprints or buckets that a task adds up before it hands them on
 HELD = 1_000_000
+# occurrences that a task sorts at once, for each of these
+SORTED_AT_ONCE = 4
 REPRESENTATIVES = 1 << 19
 
 _BYTES = np.arange(256)
@@ -58,6 +63,8 @@ FOUND_SCHEMA = "fp bigint, n bigint, row bigint, word int, width int"
 # ranges of fingerprints for each partition of the rows: so a range has no more sums than a task hands on, however many tasks there are
 RANGES = 4
 _COLUMNS = [np.uint64, np.int64, np.int64, np.int32, np.int8]
+# steps between neighbouring buckets, and their sums
+_BUCKET_COLUMNS = [np.uint32, np.int64]
 
 
 class Words:
@@ -146,13 +153,53 @@ class Sums:
             self.settle()
             columns = [c.astype(kind, copy=False) for c, kind in zip(self.parts[0], _COLUMNS)]
             self.parts, self.held, self.settled = [], 0, 0
-            segment = segment_of(columns[0], segments)
-            heads = np.flatnonzero(np.append(True, segment[1:] != segment[:-1])) if len(segment) else np.zeros(0, np.int64)
-            stops = np.append(heads[1:], len(segment))
-            for at in range(0, len(heads), 64):
-                some = list(zip(heads[at : at + 64].tolist(), stops[at : at + 64].tolist()))
-                arrays = [pa.array(segment[heads[at : at + 64]]), pa.array([stop - start for start, stop in some], pa.int32()), pa.array([planes([c[start:stop] for c in columns]) for start, stop in some], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["segment", "held", "sums"])
+            yield from by_segment(segment_of(columns[0], segments), lambda own: [c[own] for c in columns])
+
+
+class Buckets:
+    """Occurrences by bucket: how many, without a trace of where."""
+
+    def __init__(self):
+        self.raw, self.pending = [], 0
+        self.buckets, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def add(self, fp: np.ndarray) -> None:
+        self.raw.append(fp.astype(np.uint32))
+        self.pending += len(fp)
+        if self.pending > SORTED_AT_ONCE * HELD:
+            self.settle()
+
+    def settle(self) -> None:
+        if self.pending:
+            buckets, n = np.unique(np.concatenate(self.raw), return_counts=True)
+            self.buckets, self.n = summed(np.concatenate([self.buckets, buckets]), np.concatenate([self.n, n])) if len(self.buckets) else (buckets, n)
+        self.raw, self.pending = [], 0
+
+    def batches(self, segments: int) -> Iterator[pa.RecordBatch]:
+        """One row for each range of buckets."""
+        self.settle()
+        buckets, n = self.buckets, self.n.astype(np.int64)
+        self.buckets, self.n = buckets[:0], n[:0]
+        segment = segment_of(buckets.astype(np.uint64) << U64(32), segments)
+        yield from by_segment(segment, lambda own: [np.diff(buckets[own], prepend=np.uint32(0)), n[own]])
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, their sums), ascending."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    heads = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))[: len(keys)]
+    return ordered[heads], np.add.reduceat(n[order], heads) if len(heads) else n
+
+
+def by_segment(segment: np.ndarray, columns: Callable[[slice], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """One row for each segment, with the columns of its range in ``planes``."""
+    heads = np.flatnonzero(np.append(True, segment[1:] != segment[:-1])) if len(segment) else np.zeros(0, np.int64)
+    stops = np.append(heads[1:], len(segment))
+    for at in range(0, len(heads), 64):
+        some = list(zip(heads[at : at + 64].tolist(), stops[at : at + 64].tolist()))
+        arrays = [pa.array(segment[heads[at : at + 64]]), pa.array([stop - start for start, stop in some], pa.int32()), pa.array([planes(columns(slice(start, stop))) for start, stop in some], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["segment", "held", "sums"])
 
 
 def segment_of(fp: np.ndarray, segments: int) -> np.ndarray:
@@ -165,10 +212,10 @@ def planes(columns: list[np.ndarray]) -> bytes:
     return b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
 
 
-def of_planes(raw: bytes, n: int) -> list[np.ndarray]:
+def of_planes(raw: bytes, n: int, kinds: list = _COLUMNS) -> list[np.ndarray]:
     """The columns in ``planes``."""
     out, at = [], 0
-    for kind in map(np.dtype, _COLUMNS):
+    for kind in map(np.dtype, kinds):
         size = n * kind.itemsize
         out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, size, at).reshape(kind.itemsize, n).T).view(kind).ravel())
         at += size
@@ -195,8 +242,31 @@ def candidates(words: Words, widths: list[int], keep: int, bits: np.ndarray | No
         yield width, first
 
 
-def counted(rows: DataFrame, widths: list[int], keep: int, bits=None, part: int = 0) -> DataFrame:
-    """Partial counts of the ``candidates`` of these widths."""
+def busy_buckets(rows: DataFrame, widths: list[int], least: int, keep: int, bits=None, part: int = 0) -> DataFrame:
+    """Buckets that the ``candidates`` of these widths fill ``least`` times or more, as ``fp``."""
+    segments = RANGES * max(1, rows.rdd.getNumPartitions())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Buckets()
+        for chunk in chunks(batches):
+            words = Words(chunk.column("text"), chunk.column("lang"))
+            for width, first in candidates(words, widths, keep, bits.value if bits is not None else None, part):
+                sums.add(words.fingerprints(first, width, keep))
+            # beyond this many different ones memory would grow with the task's input
+            if len(sums.buckets) > HELD:
+                yield from sums.batches(segments)
+        yield from sums.batches(segments)
+
+    def add(table: pa.Table) -> pa.Table:
+        held = [of_planes(raw.as_py(), n.as_py(), _BUCKET_COLUMNS) for raw, n in zip(table.column("sums"), table.column("held"))]
+        buckets, total = summed(np.concatenate([np.cumsum(steps, dtype=np.uint32) for steps, _ in held]), np.concatenate([n for _, n in held]))
+        return pa.table([pa.array(buckets[total >= least].astype(np.int64))], ["fp"])
+
+    return staged(rows.mapInArrow(count, PART_SCHEMA).groupBy("segment").applyInArrow(add, "fp bigint"), "buckets")
+
+
+def counted(rows: DataFrame, levels: list, keep: int) -> DataFrame:
+    """Partial counts of the ``candidates`` of all levels whose own bucket is in the level's bits."""
     segments = RANGES * max(1, rows.rdd.getNumPartitions())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,10 +274,9 @@ def counted(rows: DataFrame, widths: list[int], keep: int, bits=None, part: int
         for chunk in chunks(batches):
             words = Words(chunk.column("text"), chunk.column("lang"))
             ids = chunk.column("row").to_numpy()
-            for width, first in candidates(words, widths, keep, bits.value if bits is not None else None, part):
+            for width, first, fp in busy(words, levels, keep):
                 own = words.rows[first]
-                sums.add(words.fingerprints(first, width, keep), np.ones(len(first), np.int64), ids[own], (first - words.first_word[own]).astype(np.int32), np.full(len(first), width, np.int8))
-            # beyond this many different ones memory would grow with the task's input
+                sums.add(fp, np.ones(len(first), np.int64), ids[own], (first - words.first_word[own]).astype(np.int32), np.full(len(first), width, np.int8))
             if sums.settled > HELD:
                 yield from sums.batches(segments)
         yield from sums.batches(segments)
@@ -215,6 +284,15 @@ def counted(rows: DataFrame, widths: list[int], keep: int, bits=None, part: int
     return rows.mapInArrow(count, PART_SCHEMA)
 
 
+def busy(words: Words, levels: list, keep: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(width, first words, fingerprints) of the n-grams of all levels that have their bit and their parts'."""
+    for widths, bits, part in levels:
+        for width, first in candidates(words, widths, keep, bits.value if part else None, part):
+            fp = words.fingerprints(first, width, keep)
+            hit = np.flatnonzero(has(bits.value, fp))
+            yield width, first[hit], fp[hit]
+
+
 def frequent(parts: DataFrame, least: int) -> DataFrame:
     """Fingerprints that occur ``least`` times or more, with one pointer each."""
 
@@ -279,7 +357,7 @@ def materialised(rows: DataFrame, found: DataFrame) -> DataFrame:
 def verified(rows: DataFrame, found: DataFrame, levels: list, keep: int, least: int) -> DataFrame:
     """(lang, phrase, width, f) of all phrases that occur ``least`` times or more, exactly counted.
 
-    ``levels``: the (widths, bits, part) by which the fingerprints in ``found`` were counted.
+    ``levels``: the (widths, bits, part) by whose ``busy`` n-grams the fingerprints in ``found`` were counted.
     """
     spark = rows.sparkSession
     known = staged(materialised(rows, found), "materialised") if found.count() <= REPRESENTATIVES else None
@@ -322,18 +400,16 @@ def verified(rows: DataFrame, found: DataFrame, levels: list, keep: int, least:
     def differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             words = Words(chunk.column("text"), chunk.column("lang"))
-            for widths, bits, part in levels:
-                for width, first in candidates(words, widths, keep, bits.value if bits is not None else None, part):
-                    fp = words.fingerprints(first, width, keep)
-                    hit, same = agree(words, first, width, fp)
-                    first, fp = first[hit[~same]], fp[hit[~same]]
-                    if len(first):
-                        lang = words.langs.take(pa.array(words.lang_of[words.rows[first]]))
-                        texts = pa.table([pa.array(fp.view(np.int64)), lang.cast(pa.string()), words.texts(first, width)], ["fp", "lang", "phrase"])
-                        summed = texts.group_by(["fp", "lang", "phrase"]).aggregate([([], "count_all")]).combine_chunks()
-                        arrays = [summed.column("fp"), summed.column("lang"), summed.column("phrase").cast(pa.string()), summed.column("count_all")]
-                        arrays = [a.combine_chunks() for a in arrays] + [pa.array(np.full(summed.num_rows, width, np.int32))]
-                        yield pa.RecordBatch.from_arrays(arrays, ["fp", "lang", "phrase", "n", "width"])
+            for width, first, fp in busy(words, levels, keep):
+                hit, same = agree(words, first, width, fp)
+                first, fp = first[hit[~same]], fp[hit[~same]]
+                if len(first):
+                    lang = words.langs.take(pa.array(words.lang_of[words.rows[first]]))
+                    texts = pa.table([pa.array(fp.view(np.int64)), lang.cast(pa.string()), words.texts(first, width)], ["fp", "lang", "phrase"])
+                    equal = texts.group_by(["fp", "lang", "phrase"]).aggregate([([], "count_all")]).combine_chunks()
+                    arrays = [equal.column("fp"), equal.column("lang"), equal.column("phrase").cast(pa.string()), equal.column("count_all")]
+                    arrays = [a.combine_chunks() for a in arrays] + [pa.array(np.full(equal.num_rows, width, np.int32))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["fp", "lang", "phrase", "n", "width"])
 
     others = rows.mapInArrow(differing, "fp bigint, lang string, phrase string, n bigint, width int")
     # a rare phrase among them may have been counted in part; it fails the threshold all the same
@@ -374,16 +450,18 @@ def phrase_counts(docs: DataFrame, least: int = MIN_COUNT, keep: int = 64) -> tu
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     rows = staged(rows, "rows")
-    words = frequent(counted(rows, [1], keep), least)
-    levels = [([1], None, 0), ([2], spark.sparkContext.broadcast(bit_table(words)), 1)]
-    pairs = frequent(counted(rows, [2], keep, *levels[1][1:]), least)
-    levels.append((list(range(3, LONGEST + 1)), spark.sparkContext.broadcast(bit_table(pairs)), 2))
-    longer = frequent(counted(rows, levels[2][0], keep, *levels[2][1:]), least)
-    # phrases of several widths may share a fingerprint; one of them represents it
-    found = words.union(pairs).union(longer).groupBy("fp").agg(F.sum("n").alias("n"), F.min(F.struct("row", "word", "width")).alias("at"))
-    counts = verified(rows, staged(found.select("fp", "n", "at.*"), "found"), levels, keep, least)
-    for _, bits, _ in levels[1:]:
-        bits.unpersist()
+    # each level reads the bits of all before it; the last table has every level's
+    bits, sent = np.zeros(FILTER_BITS // 8, np.uint8), None
+    levels = [([1], 0), ([2], 1), (list(range(3, LONGEST + 1)), 2)]
+    for widths, part in levels:
+        bits |= bit_table(busy_buckets(rows, widths, least, keep, sent, part))
+        if sent is not None:
+            sent.unpersist()
+        sent = spark.sparkContext.broadcast(bits)
+    levels = [(widths, sent, part) for widths, part in levels]
+    found = frequent(counted(rows, levels, keep), least)
+    counts = verified(rows, found, levels, keep, least)
+    sent.unpersist()
     return counts, staged(word_totals(rows), "totals")
 
 

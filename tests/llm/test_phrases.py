@@ -83,3 +83,28 @@ def test_sums_leave_a_task_as_one_row_a_range():
     held = [phrases.of_planes(row["sums"], row["held"]) for row in rows]
     assert (np.concatenate([columns[0] for columns in held]) == fp).all()
     assert (np.concatenate([columns[2] for columns in held]) == np.arange(5000)).all()
+
+
+def test_a_rare_phrase_costs_few_bytes_and_no_pointer():
+    import numpy as np
+    import pyarrow as pa
+
+    fp = np.random.default_rng(6).integers(0, 1 << 63, 200_000).astype(np.uint64)
+    sums = phrases.Buckets()
+    sums.add(fp)
+    sums.add(fp[:1000])
+    rows = [row for batch in sums.batches(16) for row in batch.to_pylist()]
+    assert [row["segment"] for row in rows] == list(range(16))
+    held = [phrases.of_planes(row["sums"], row["held"], phrases._BUCKET_COLUMNS) for row in rows]
+    buckets, n = np.unique(np.concatenate([fp, fp[:1000]]).astype(np.uint32), return_counts=True)
+    assert (np.concatenate([np.cumsum(steps, dtype=np.uint32) for steps, _ in held]) == buckets).all()
+    assert (np.concatenate([n for _, n in held]) == n).all()
+    assert sum(len(pa.compress(row["sums"], "lz4", asbytes=True)) for row in rows) < 4 * len(fp)
+
+
+def test_buckets_lose_nothing_when_sorted_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "HELD", 50)
+    stored = docs(spark, rows()).selectExpr("doc_id as row", "coalesce(text, '') as text", "coalesce(lang, 'und') as lang")
+    got = [r["fp"] for r in phrases.busy_buckets(stored, [1], 6, 64).collect()]
+    want = collections.Counter((("und" if lang is None else lang), w) for lang, text in rows() for words in pieces_of(text) for w in words)
+    assert len(got) == len(set(got)) == sum(n >= 6 for n in want.values()) > 20
