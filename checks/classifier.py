@@ -122,11 +122,11 @@ def prediction_report(spark, sf):
 # ---------------------------------------------------------------- learners (no SQL)
 
 def _labelled(spark, sf):
-    """Cleaned labelled documents with three folds of training and validation rows."""
+    """Cleaned labelled documents, each with those of three folds that train on it and those that hold it out."""
     rows = s.predictions(spark, sf).select("file_id", "label", clean_comment(F.col("text")).alias("text"))
-    folds = rows.withColumn("fold", F.explode(F.array(*[F.lit(i) for i in range(3)])))
-    held_out = (F.col("file_id") + F.col("fold")) % 5 == 0
-    return stored(folds.withColumn("part", F.when(held_out, "valid").otherwise("train")))
+    folds = F.array(*[F.lit(i) for i in range(3)])
+    valid = F.filter(folds, lambda fold: (F.col("file_id") + fold) % 5 == 0)
+    return stored(rows.withColumns({"train": F.array_except(folds, valid), "valid": valid}))
 
 
 @query("word_vectors")
@@ -158,6 +158,6 @@ def grid_results(spark, sf):
 
 @query("predicted_comments")
 def predicted_comments(spark, sf):
-    model = classify.fit_classifier(_labelled(spark, sf).where("fold = 0 AND part = 'train'"), classify.DEFAULTS)
+    model = classify.fit_classifier(_labelled(spark, sf).where("array_contains(train, 0)"), classify.DEFAULTS)
     comments = s.files(spark, sf).select("file_id", F.posexplode("lines").alias("block_no", "text"))
     return classify.predict(model, comments).select("file_id", "block_no", "label", "prob")

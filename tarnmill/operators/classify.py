@@ -33,7 +33,7 @@ def fit_classifier(labelled: DataFrame, params: Mapping[str, float] = DEFAULTS,
     """Fit on ``label, text`` with text already cleaned, from zero knowledge or from
     pre-trained ``vectors`` (word, vector) of the model's dimension."""
     params = {**DEFAULTS, **params}
-    rows = labelled.select("label", "text", F.lit(0).alias("fold"), F.lit("train").alias("part"))
+    rows = labelled.select("label", "text", F.array(F.lit(0)).alias("train"), F.array().cast("array<int>").alias("valid"))
     blocks = textmodel.new_blocks([params], [0], vectors)
     return TextModel(textmodel.fit(textmodel.prepared(rows, [params], POSITIVE), blocks, int(params["epochs"]))[0])
 
@@ -100,9 +100,10 @@ def mean_accuracy(predictions: DataFrame) -> DataFrame:
 
 def predict_folds(folds: DataFrame, params: Mapping[str, float], num_folds: int, vectors: DataFrame | None = None) -> DataFrame:
     """Predictions for the validation part of each fold from a model fitted on its
-    training part: ``fold, label, predicted_label, prob``. All folds are fitted together."""
+    training part: ``fold, label, predicted_label, prob``. All folds are fitted together.
+    ``folds`` has ``fold, part``, or one row a text with its folds (``textmodel.placed``)."""
     params = {**DEFAULTS, **params}
-    rows = textmodel.prepared(folds.where(F.col("fold") < num_folds), [params], POSITIVE, ["label"])
+    rows = textmodel.prepared(textmodel.placed(folds, num_folds), [params], POSITIVE, ["label"])
     blocks = textmodel.new_blocks([params], range(num_folds), vectors)
     scored = textmodel.predicted(rows, textmodel.fit(rows, blocks, int(params["epochs"])))
     label, prob = _decision(F.col("chance"))
@@ -113,12 +114,12 @@ def grid_search(folds: DataFrame, num_folds: int, grid: Mapping[str, Sequence[fl
     """Mean validation accuracy of every parameter setting: ``setting``, the parameters
     and ``avg_accuracy``.
 
-    All settings and folds are fitted together: one pass over the stored features for each
+    ``folds`` as for ``predict_folds``. All settings and folds are fitted together: one pass over the stored features for each
     epoch of the longest setting, and one over the validation rows for each number of epochs.
     """
     names = sorted(grid)
     settings = [{**DEFAULTS, **dict(zip(names, values))} for values in product(*[grid[name] for name in names])]
-    rows = textmodel.prepared(folds.where(F.col("fold") < num_folds), settings, POSITIVE)
+    rows = textmodel.prepared(textmodel.placed(folds, num_folds), settings, POSITIVE)
     blocks, done, found = textmodel.new_blocks(settings, range(num_folds), vectors), 0, {}
     for epochs in sorted({int(s["epochs"]) for s in settings}):
         blocks = textmodel.fit(rows, blocks, epochs - done)
@@ -140,7 +141,8 @@ def best_setting(results: DataFrame) -> DataFrame:
 def fit_best(folds: DataFrame, results: DataFrame, vectors: DataFrame | None = None) -> TextModel:
     """The best setting fitted on all labelled rows of one fold (train and validation)."""
     params = {k: v for k, v in best_setting(results).first().asDict().items() if k not in ("setting", "avg_accuracy")}
-    return fit_classifier(folds.where(F.col("fold") == 0), params, vectors)
+    first = F.col("fold") == 0 if "fold" in folds.columns else F.array_contains("train", 0) | F.array_contains("valid", 0)
+    return fit_classifier(folds.where(first), params, vectors)
 
 
 def confusion_metrics(predictions: DataFrame) -> DataFrame:

@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tarnmill.operators import classify, skipgram, textmodel
+from tarnmill.operators import classify, grams, skipgram, textmodel
 from tarnmill.plans import comment_model
 from tarnmill.sources import records
 
@@ -139,6 +140,47 @@ def test_sums_of_a_task_have_no_dimensions(spark, folds):
     assert np.allclose(block.table, want[0]) and np.allclose(block.out, want[1])
 
 
+def test_grams_equal_the_features_of_built_in_functions(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab c  d\u00e9\u6f22 z") for _ in range(rng.choice([0, 1, 5, 40, 300]))) for _ in range(150)]
+    texts += ["", " ", " x  y ", "q" * 31, "q" * 32, "q" * 33 + " r", "w" * 64 + " " + "w" * 100, None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").coalesce(1)
+    for buckets in (97, 1 << 12, 1 << 18):
+        lists = [textmodel.features(F.coalesce("text", F.lit("")), [n], buckets) for n in (1, 2, 3)]
+        want = rows.select("k", *lists).orderBy("k").collect()
+        for n, (sizes, found) in enumerate(grams.numbered(pa.array(["left out", *texts])[1:], (1, 2, 3), buckets), 1):
+            assert [own.tolist() for own in np.split(found, np.cumsum(sizes)[:-1])] == [r[n] for r in want]
+
+
+@pytest.mark.parametrize("buckets", [1 << 9, 1 << 15])
+def test_a_pass_over_all_folds_equals_the_sums_of_each(spark, monkeypatch, buckets):
+    """One row a text, whatever its folds, multiplied by the weights of all settings and folds at once."""
+    monkeypatch.setattr(textmodel, "CELLS", 1 << 13)
+    settings = [{"word_ngrams": n, "buckets": buckets, "dim": 3, "lr": lr} for n in (1, 2) for lr in (1.0, 3.0)]
+    rng = random.Random(3)
+    texts = [(k, rng.choice(["positive", "negative"]), " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(9)))) for k in range(90)]
+    folds = spark.createDataFrame([(*t, [f for f in (0, 1) if t[0] % 4 != f], [f for f in (0, 1) if t[0] % 4 == f]) for t in texts], "k int, label string, text string, train array<int>, valid array<int>")
+    flat = folds.select("label", "text", F.explode("train").alias("fold"), F.lit("train").alias("part")).union(folds.select("label", "text", F.explode("valid"), F.lit("valid")))
+    rows = textmodel.prepared(textmodel.placed(folds, 2), settings, "positive")
+    assert rows.count() == 90 and textmodel.prepared(textmodel.placed(flat, 1), settings, "positive").count() == 90
+    blocks = textmodel.new_blocks(settings, range(2))
+    for block in blocks:
+        block.out += np.linspace(-1.0, 1.0, len(block.out))
+    [each] = textmodel._scorers(blocks)
+    room, totals, more = {}, np.zeros(each.weights.shape), np.zeros((2, len(each.bias)))
+    for batch in rows.toArrow().to_batches():
+        for chunk in textmodel._chunks([batch], textmodel._at_once(buckets)):
+            each.add(chunk, room, totals, more)
+    for k, a, b in zip(each.blocks, each.cuts[:-1], each.cuts[1:]):
+        own = folds.where(F.array_contains("train", blocks[k].fold))
+        lists = own.select(*[textmodel.features(F.col("text"), [n], buckets).alias(f"g{n}") for n in range(1, blocks[k].word_ngrams + 1)]).toArrow()
+        target = np.array([int(r["label"] == "positive") for r in own.select("label").collect()])
+        want = textmodel.Scorer(blocks[k]).gradient([c.combine_chunks() for c in lists.columns], target)
+        assert np.allclose(totals[a:b], want[0]) and np.allclose(more[0, a:b], want[1]) and (more[1, a:b] == len(target)).all()
+    one, other = (classify.grid_search(each, 2, {"word_ngrams": [1, 2], "buckets": [buckets], "lr": [1.0, 3.0], "epochs": [2, 3], "dim": [3]}).collect() for each in (folds, flat))
+    assert [r["avg_accuracy"] for r in one] == pytest.approx([r["avg_accuracy"] for r in other], abs=1e-9) and len(one) == 8
+
+
 def test_a_pass_has_at_most_as_many_sums_as_cores(spark):
     rows = spark.range(0, 1000, 1, 50)
     assert textmodel._at_most(rows, 4).rdd.getNumPartitions() == 4 and textmodel._at_most(rows, 64).rdd.getNumPartitions() == 50
