@@ -1,12 +1,16 @@
 """Word vectors by skip-gram with negative sampling, trained side by side on parts of the texts.
 
-1. Texts are stored and dealt into parts of about ``PART_BYTES``. Words are counted by part and in all;
+1. Texts are stored and dealt into parts of about ``PART_BYTES``. Words are counted;
    a word's first vector is drawn from its hash, so that all parts start alike.
 2. Each part is one pass over its own texts. A task holds one part: its texts and the
    vectors of the words in it. Every word predicts its neighbours within a window drawn
    from 1 to ``WINDOW``, against words drawn by their counts to the power of 0.75.
 3. A word's vector is the mean of its vectors in the parts, weighed by its occurrences there.
 
+A word has a vector in every part that it occurs in, which together are several times the texts. So
+parts are trained a round at a time, at most ``ROUNDS`` rounds of at least as many parts as cores. After each round
+the vectors of its parts are added to a table of one row a word, and the round's files go.
+
 Vocabulary and vectors stay tables; the driver holds neither. Steps are scaled by the squared
 gradients of each word so far, so a frequent word, which a chunk holds many times, moves no further than a rare one.
 """
@@ -21,9 +25,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnmill.session import stored
+from tarnmill.session import discard, shuffles_removed, stored, stored_path
 
 PART_BYTES = 32_000_000
+ROUNDS = 8
 WINDOW = 5
 # words predicted against for each neighbour, and drawn together for a chunk of words
 NEGATIVES, DRAWN = 5, 64
@@ -106,7 +111,7 @@ def trained(ids: np.ndarray, owner: np.ndarray, counts: np.ndarray, vectors: np.
 
 
 def _part_vectors(dim: int):
-    """Trains one part: its texts, and (word, hash, own, n) of its words."""
+    """Trains one part: its texts, and (part, word, hash, own, n) of its words."""
 
     def train(texts: pa.Table, words: pa.Table) -> pa.Table:
         known = words.column("word").combine_chunks()
@@ -123,28 +128,25 @@ def _part_vectors(dim: int):
         vectors = trained(ids, owner, words.column("n").to_numpy(), vectors, np.random.default_rng([SEED, part]))
         own = words.column("own").to_numpy()
         sums = vectors * own[:, None].astype(np.float32)
-        flat = pa.Array.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(np.arange(len(own) + 1, dtype=np.int64) * 4 * dim), pa.py_buffer(sums)])
-        return pa.table({"word": known, "own": pa.array(own), "sum": flat.cast(pa.binary())})
+        return pa.table({"word": known, "own": pa.array(own), "sum": _sums(sums).cast(pa.binary())})
 
     return train
 
 
-def _means(dim: int):
-    """``word, vector`` from the rows of the parts, in order of their words."""
+def _added(dim: int):
+    """``word, own, sum`` by word from the rows of several parts, in order of their words."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
         def finished(word, own, total):
-            mean = (total / own[:, None]).astype(np.float32)
-            vector = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * dim), pa.array(mean.ravel()))
-            return pa.RecordBatch.from_arrays([word, vector], ["word", "vector"])
+            return pa.RecordBatch.from_arrays([word, pa.array(own), _sums(total.astype(np.float32)).cast(pa.binary())], ["word", "own", "sum"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            word, own = batch.column("word"), batch.column("own").to_numpy().astype(float)
-            total = np.frombuffer(b"".join(batch.column("sum").to_pylist()), np.float32).reshape(-1, dim).astype(float)
+            word, own = batch.column("word"), batch.column("own").to_numpy()
+            total = _floats(batch.column("sum"), dim).astype(float)
             if held is not None:
                 word, own, total = pa.concat_arrays([held[0], word]), np.append(held[1], own), np.concatenate([held[2], total])
             number = word.dictionary_encode().indices.to_numpy()
@@ -159,20 +161,69 @@ def _means(dim: int):
     return add
 
 
+def _means(dim: int):
+    """``word, vector`` from ``word, own, sum``."""
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("own").to_numpy()
+            mean = (_floats(batch.column("sum"), dim) / own[:, None]).astype(np.float32)
+            vector = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * dim), pa.array(mean.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), vector], ["word", "vector"])
+
+    return divide
+
+
+def _floats(raw: pa.Array, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(raw.to_pylist()), np.float32).reshape(-1, dim)
+
+
+def _sums(rows: np.ndarray) -> pa.Array:
+    """A binary value for each row of numbers."""
+    ends = np.arange(len(rows) + 1, dtype=np.int64) * 4 * rows.shape[1]
+    return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _round_size(parts: int, cores: int) -> int:
+    """Parts that are trained before their vectors are added up: as many times the cores as it takes for ``ROUNDS`` rounds at most."""
+    return min(parts, cores * -(-parts // (cores * ROUNDS)))
+
+
 def word_vectors(texts: DataFrame, dim: int, text: str = "text", partitions: int | None = None, min_count: int = 5) -> DataFrame:
     """``word, vector`` of all words that occur ``min_count`` times or more.
 
     Words lie between single spaces. Null texts have none.
     """
-    rows = stored(texts.where(F.col(text).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("text")), "texts")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(partitions or texts.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
-    # by the hash of the row's number, as equal texts would all go to one part by their own
-    dealt = rows.select(F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part"), "text")
-    counted = dealt.select("part", F.explode(F.split("text", " ")).alias("word")).groupBy("part", "word").agg(F.count(F.lit(1)).alias("own"))
-    counted = stored(counted, "words")
-    known = counted.groupBy("word").agg(F.sum("own").alias("n")).where(F.col("n") >= min_count)
-    words = counted.join(known, "word").select("part", "word", F.xxhash64("word").alias("hash"), "own", "n").repartitionById(parts, "part")
-    sums = dealt.repartitionById(parts, "part").groupBy("part").cogroup(words.groupBy("part")).applyInArrow(_part_vectors(dim), "word string, own bigint, sum binary")
-    sums = stored(sums, "sums")
-    return sums.repartition("word").sortWithinPartitions("word").mapInArrow(_means(dim), "word string, vector array<float>")
+    spark = texts.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    place, known_at = stored_path(spark, "texts"), stored_path(spark, "words")
+    numbered = texts.where(F.col(text).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    with shuffles_removed(spark):
+        rows = stored(numbered, path=place, compression="zstd")
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(partitions or cores, -(-size // PART_BYTES))
+        known = rows.select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        known = stored(known.where(F.col("n") >= min_count), path=known_at)
+        # by the hash of the row's number, as equal texts would all go to one part by their own
+        dealt = rows.select(F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part"), "text")
+        total, total_at, wide = None, None, _round_size(parts, cores)
+        for first in range(0, parts, wide):
+            after = stored_path(spark, "sums")
+            total = stored(_round(dealt, known, total, first, min(wide, parts - first), dim), path=after)
+            if total_at:
+                discard(spark, total_at)
+            total_at = after
+    for path in (place, known_at):
+        discard(spark, path)
+    return total.mapInArrow(_means(dim), "word string, vector array<float>")
+
+
+def _round(dealt: DataFrame, known: DataFrame, total: DataFrame | None, first: int, wide: int, dim: int) -> DataFrame:
+    """``word, own, sum`` of the parts from ``first`` on and of ``total``, the rounds before."""
+    own = dealt.where(F.col("part").between(first, first + wide - 1))
+    slot = (F.col("part") - first).alias("slot")
+    counted = own.select("part", F.explode(F.split("text", " ")).alias("word")).groupBy("part", "word").agg(F.count(F.lit(1)).alias("own"))
+    words = counted.join(known, "word").select(slot, "part", "word", F.xxhash64("word").alias("hash"), "own", "n").repartitionById(wide, "slot")
+    sums = own.select(slot, "text").repartitionById(wide, "slot").groupBy("slot").cogroup(words.groupBy("slot")).applyInArrow(_part_vectors(dim), "word string, own bigint, sum binary")
+    rows = sums if total is None else sums.unionByName(total)
+    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(_added(dim), "word string, own bigint, sum binary")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,13 +63,38 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written once as a Parquet table in the shared folder and read from there."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+def stored(df: DataFrame, name: str = "table", path: str | None = None, **options: str) -> DataFrame:
+    """``df`` written once as a Parquet table in the shared folder, or at a ``path`` from
+    ``stored_path``, and read from there."""
+    path = path or stored_path(df.sparkSession, name)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_path(spark: SparkSession, name: str) -> str:
+    """A place of its own in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}/{name}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``stored`` wrote to ``path`` and that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a write go as soon as the write has ended, not with the
+    driver's next full collection of garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-spread rows by ``keys`` when the scan yields fewer partitions than cores.
 

@@ -1,5 +1,6 @@
 """Classifier, selection and classifier metrics."""
 
+import os
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tarnmill import session
 from tarnmill.operators import classify, grams, skipgram, textmodel
 from tarnmill.plans import comment_model
 from tarnmill.sources import records
@@ -269,6 +271,46 @@ def test_word_vectors_stay_tables(spark):
         assert min(inner) > max(outer)
 
 
+def test_vectors_of_parts_are_added_up_in_rounds(spark, monkeypatch, tmp_path):
+    """What is stored between rounds has one row a word, not one for each part and word, and the texts go."""
+    rng = random.Random(7)
+    groups = [[f"{name}{k}" for k in range(6)] for name in "abc"]
+    texts = spark.createDataFrame([(" ".join(rng.choice(groups[k % 3]) for _ in range(12)),) for k in range(15000)], "text string")
+    cores, tables = spark.sparkContext.defaultParallelism, []
+    assert [skipgram._round_size(parts, 8) for parts in (1, 8, 9, 64, 65, 330)] == [1, 8, 8, 8, 16, 48]
+
+    def counting(df, name="table", path=None, **options):
+        table = session.stored(df, name, path, **options)
+        tables.append((path or name, table.agg(F.count(F.lit(1)), F.sum(table["own"] if "own" in table.columns else F.lit(0))).first()))
+        return table
+
+    monkeypatch.setattr(skipgram, "stored", counting)
+    found = classify.word_vectors(texts, 16, partitions=3 * cores - 1)
+    sums = [tuple(row) for path, row in tables if path.endswith("/sums")]
+    assert len(sums) == 3 and sums[-1] == (18, 15000 * 12) and [rows for rows, _ in sums] == [18] * 3
+    assert [os.path.exists(path.removeprefix("file:")) for path, _ in tables] == [False] * (len(tables) - 1) + [True]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+    vectors = {r["word"]: np.array(r["vector"]) / np.linalg.norm(r["vector"]) for r in found.collect()}
+    inner = [vectors[a] @ vectors[b] for group in groups for a in group for b in group if a < b]
+    outer = [vectors[a] @ vectors[b] for g in groups for h in groups if g < h for a in g for b in h]
+    assert len(vectors) == 18 and min(inner) > max(outer)
+
+
+def test_sums_of_a_word_lie_in_any_batches():
+    rng = np.random.default_rng(2)
+    words = sorted(f"w{k}" for k in rng.integers(0, 9, 60))
+    own, sums = rng.integers(1, 9, 60), rng.random((60, 4)).astype(np.float32)
+    rows = pa.RecordBatch.from_arrays([pa.array(words), pa.array(own), skipgram._sums(sums).cast(pa.binary())], ["word", "own", "sum"])
+    for step in (1, 7, 60):
+        got = pa.Table.from_batches(skipgram._added(4)(rows.slice(k, step) for k in range(0, 60, step)))
+        assert got.column("word").to_pylist() == sorted(set(words))
+        for word, n, vector in zip(*(got.column(c).to_pylist() for c in ("word", "own", "sum"))):
+            at = [k for k, w in enumerate(words) if w == word]
+            assert n == own[at].sum() and np.allclose(np.frombuffer(vector, np.float32), sums[at].sum(axis=0))
+        means = pa.Table.from_batches(skipgram._means(4)(got.to_batches()))
+        assert np.allclose(means.column("vector")[0].as_py(), sums[[k for k, w in enumerate(words) if w == words[0]]].sum(axis=0) / got.column("own")[0].as_py())
+
+
 def test_skipgram_against_plain_loops(monkeypatch):
     monkeypatch.setattr(skipgram, "WORDS_AT_ONCE", 64)
     rng = np.random.default_rng(3)
